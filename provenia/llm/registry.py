@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from provenia.llm import simhash
+from provenia.llm import exact_dedup, pii, sharding, simhash
 
 QUERIES = {
     "op3_simhash": simhash.op3_simhash,
+    "op4_pii": pii.op4_pii,
+    "op8_sharding": sharding.op8_sharding,
+    "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op4_pii": pii.OP4_SQL,
+    "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
-ORACLES: dict[str, str] = {}
