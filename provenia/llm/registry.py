@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from provenia.llm import exact_dedup, pii, sharding, simhash
+from provenia.llm import bpe, exact_dedup, packing, pii, sharding, simhash
 
 QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_pii": pii.op4_pii,
+    "op7_bpe": bpe.op7_bpe,
     "op8_sharding": sharding.op8_sharding,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_packing": packing.op10_packing,
 }
 ORACLES: dict[str, str] = {
     "op4_pii": pii.OP4_SQL,
