@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from provenia.llm import bpe, exact_dedup, packing, pii, sharding, simhash
+from provenia.llm import bpe, exact_dedup, packing, pii, sharding, simhash, toxicity
 
 QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_pii": pii.op4_pii,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_bpe": bpe.op7_bpe,
     "op8_sharding": sharding.op8_sharding,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
