@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from provenia.llm import bpe, exact_dedup, packing, pii, sharding, simhash, toxicity
+from provenia.llm import bpe, compression, decision_list, exact_dedup, packing, pii, sharding, simhash, toxicity
 
 QUERIES = {
+    "op2_quality_rules": decision_list.op2_quality_rules,
     "op3_simhash": simhash.op3_simhash,
     "op4_pii": pii.op4_pii,
+    "op5_compression": compression.op5_compression,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_bpe": bpe.op7_bpe,
     "op8_sharding": sharding.op8_sharding,
