@@ -18,17 +18,22 @@ import codecs
 import functools
 import hashlib
 import heapq
+import itertools
 import json
 import re
 
+import numpy as np
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
 from provenia.llm.common import text_pass
+from provenia.llm.merging import MergeTable
 
-#: Characters of text encoded at a time, those of a pre-token merged at once, entries of the memo.
-BLOCK, WINDOW, MEMO = 1 << 16, 1 << 12, 400_000
+#: Characters of text encoded at a time, those of a pre-token merged at once.
+BLOCK, WINDOW = 1 << 16, 1 << 12
+#: Entries of a generation of the memo and their longest key.
+MEMO, KEY = 300_000, 64
 #: White space as Unicode has it.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _OUTER = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -60,6 +65,8 @@ class MergeList:
             self.bytes[i] = content.encode()
         self.of_byte = [vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(spec["model"]["merges"])}
+        self.table = MergeTable(self.merges)
+        self.byte_ids = np.array(self.of_byte)
         self.lookahead = self._lookahead()
 
     def _lookahead(self) -> int:
@@ -108,6 +115,58 @@ class MergeList:
         return [x for x in ids if x >= 0]
 
 
+class Memo:
+    """ids of pieces of text between white space, in two generations; unknown ones are merged together."""
+
+    def __init__(self, merges: MergeList):
+        self.merges = merges
+        self.young: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
+
+    def ids(self, each: list[list[str]]) -> list[list[int]]:
+        """The ids of each list of pieces."""
+        get = self.young.get
+        found = [list(map(get, pieces)) for pieces in each]
+        missing = {p for pieces, ids in zip(each, found, strict=True) if None in ids for p, i in zip(pieces, ids, strict=True) if i is None}
+        got = self._learn(missing) if missing else {}
+        chain = itertools.chain.from_iterable
+        return [list(chain(ids if None not in ids else [got[p] if i is None else i for p, i in zip(pieces, ids, strict=True)])) for pieces, ids in zip(each, found, strict=True)]
+
+    def _learn(self, pieces: set[str]) -> dict[str, tuple]:
+        old, got, split, long = self.old, {}, {}, []
+        for p in pieces:
+            if (known := old.get(p)) is not None:
+                got[p] = known
+            elif len(p) > KEY:
+                long.append(p)
+            elif p.isalpha():
+                split[p] = (p,)
+            else:
+                split[p] = (p,) if p[0] == " " and p[1:].isalpha() else tuple(_INNER.findall(p))
+        get = self.young.get
+        parts = {q: get(q) or old.get(q) for qs in split.values() for q in qs}
+        new = [q for q, ids in parts.items() if ids is None]
+        if new:
+            data = [q.encode() for q in new]
+            flat, sizes = self.merges.table.merge(self.merges.byte_ids[np.frombuffer(b"".join(data), np.uint8)], np.fromiter(map(len, data), np.int64, len(data)))
+            flat, ends = flat.tolist(), np.cumsum(sizes).tolist()
+            parts.update((q, tuple(flat[a:b])) for q, a, b in zip(new, [0, *ends], ends))
+        for p, qs in split.items():
+            got[p] = parts[p] if len(qs) == 1 else tuple(i for q in qs for i in parts[q])
+        if len(self.young) + len(got) > MEMO:
+            self.old, self.young = self.young, {}
+        self.young.update(got)
+        for p in long:
+            got[p] = tuple(i for q in _INNER.findall(p) for i in self._long(q.encode()))
+        return got
+
+    def _long(self, data: bytes) -> list[int]:
+        if len(data) < 2 * WINDOW:
+            return self.merges.merge(data)
+        stream = PretokenStream(self.merges)
+        return stream.feed(data) + stream.finish()
+
+
 class PretokenStream:
     """Tokens of one pre-token of any length, out as soon as no later byte can change them."""
 
@@ -138,8 +197,8 @@ class PretokenStream:
 class StreamEncoder:
     """feed() text in any pieces, finish() at its end; both return the ids that have become certain."""
 
-    def __init__(self, merges: MergeList, memo: dict | None = None):
-        self.merges, self.memo = merges, {} if memo is None else memo
+    def __init__(self, merges: MergeList, memo: Memo | None = None):
+        self.merges, self.memo = merges, memo or Memo(merges)
         self.special = re.compile("|".join(map(re.escape, sorted(merges.special, key=len, reverse=True)))) if merges.special else None
         self.reserve = max([3, *map(len, merges.special)])
         self.buffer, self.inside, self.run = "", None, None
@@ -181,24 +240,7 @@ class StreamEncoder:
         return out + self._plain(text[at:])
 
     def _plain(self, text: str) -> list[int]:
-        out, memo = [], self.memo
-        extend = out.extend
-        for piece in _OUTER.findall(text):
-            ids = memo.get(piece)
-            if ids is None:
-                ids = [i for p in _INNER.findall(piece) for i in self._one(p.encode())]
-                if len(piece) <= 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[piece] = ids
-            extend(ids)
-        return out
-
-    def _one(self, data: bytes) -> list[int]:
-        if len(data) < 2 * WINDOW:
-            return self.merges.merge(data)
-        stream = PretokenStream(self.merges)
-        return stream.feed(data) + stream.finish()
+        return self.memo.ids([_OUTER.findall(text)])[0]
 
     def _pretokens(self) -> list[int]:
         """Without a border in the buffer: its pre-tokens but the last, and the certain tokens of that."""
@@ -212,7 +254,7 @@ class StreamEncoder:
         for m in _INNER.finditer(text):
             if m.end() >= edge:
                 break
-            out += self._one(m[0].encode())
+            out += self.memo._long(m[0].encode())
             at = m.end()
         rest = text[at:]
         lead = 1 if rest[:1] == " " and len(rest) > 1 and not _RUN["S"].match(rest[1:2]) else 0
@@ -244,15 +286,13 @@ class StreamEncoder:
         return out
 
 
-def encode(merges: MergeList, text: str, memo: dict | None = None) -> list[int]:
+def encode(merges: MergeList, text: str, memo: Memo | None = None) -> list[int]:
     """ids of a whole text, a block at a time."""
     stream, out, at = StreamEncoder(merges, memo), [], 0
-    while len(text) - at > 2 * BLOCK and (m := _EDGE.search(text, at + BLOCK)):
-        if stream.special is None or not stream.special.search(text, at):
-            out += stream._plain(text[at : m.start()])
-            at = m.start()
-        else:
-            break
+    special = stream.special is not None and stream.special.search(text)
+    while not special and len(text) - at > 2 * BLOCK and (m := _EDGE.search(text, at + BLOCK)):
+        out += stream._plain(text[at : m.start()])
+        at = m.start()
     if len(text) - at <= 2 * BLOCK:
         return out + stream._whole(text[at:])
     for k in range(at, len(text), BLOCK):
@@ -260,6 +300,14 @@ def encode(merges: MergeList, text: str, memo: dict | None = None) -> list[int]:
     return out + stream.finish()
 
 
+def encode_all(merges: MergeList, texts: list[str], memo: Memo) -> list[list[int]]:
+    """ids of each text; texts of at most a block share one look into the memo."""
+    special = list(merges.special)
+    short = [len(t) <= BLOCK and not any(x in t for x in special) for t in texts]
+    ids = iter(memo.ids([_OUTER.findall(t) for t, s in zip(texts, short, strict=True) if s]))
+    return [next(ids) if s else encode(merges, t, memo) for t, s in zip(texts, short, strict=True)]
+
+
 class StreamDecoder:
     """Text of ids, fed in any pieces; bytes of a character not yet whole wait for the rest."""
 
@@ -279,16 +327,20 @@ def load(name: str) -> MergeList:
     return MergeList(public_tokenizers.path(name))
 
 
+@functools.lru_cache(maxsize=2)
+def memo_of(name: str) -> Memo:
+    """One memo for each Python worker, so that it outlives a task."""
+    return Memo(load(name))
+
+
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", keep_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids]) for each row; null counts as empty, which has no ids."""
 
     def make():
-        merges = load(vocabulary)
-        memo: dict = {}
+        merges, memo = load(vocabulary), memo_of(vocabulary)
         names = [str(i) for i in range(len(merges.bytes))]
 
-        def one(text: str) -> dict:
-            ids = encode(merges, text, memo)
+        def one(ids: list[int]) -> dict:
             digest, back, decoder = hashlib.sha256(), hashlib.sha256(), StreamDecoder(merges)
             for at in range(0, len(ids), BLOCK):
                 part = ids[at : at + BLOCK]
@@ -297,7 +349,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             back.update(decoder.finish().encode())
             return {"n_tokens": len(ids), "ids_sha256": digest.hexdigest(), "decoded_sha256": back.hexdigest()} | ({"ids": ids} if keep_ids else {})
 
-        return lambda texts: [one(t) for t in texts]
+        return lambda texts: [one(ids) for ids in encode_all(merges, texts, memo)]
 
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return text_pass(docs, make, fields, text_col, [id_col], binary=False)

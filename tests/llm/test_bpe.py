@@ -29,6 +29,9 @@ def test_matches_the_library(both):
     merges, library = both
     for t in texts():
         assert bpe.encode(merges, t) == library.encode(t, add_special_tokens=False).ids, repr(t)
+    memo = bpe.Memo(merges)
+    got = bpe.encode_all(merges, [*texts(), *texts()], memo)
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in [*texts(), *texts()]]
 
 
 def test_streaming_gives_the_same_ids(both, monkeypatch):
