@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenia.llm.common import SPACE, cut, join_splittable, text_pass
+from provenia.llm.rows import keep_one_of_each
 
 #: The smallest prime above 2**128.
 PRIME = 2**128 + 51
@@ -111,15 +112,8 @@ def _unequal(docs: DataFrame, marked: DataFrame, twins: DataFrame, id_col: str,
     return chunks.groupBy("fp", "at").agg((F.min("chunk") != F.max("chunk")).alias("differ")).where("differ").select("fp").distinct()
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, keep_id, group_size, kept, text_sha256) for each row of docs.
-
-    Texts are equal when they are after replacing each run of ASCII white space by one
-    space; null counts as empty. The row with the smallest id stays (null ids come last);
-    of repeated rows with that id, one. Text columns may be of any length, the table
-    empty; other columns play no part.
-    """
-    docs = docs.select(id_col, text_col)
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, h64, sha, fp) for each row, fp telling unequal texts apart, and (fp, group_size, keep_id) where it has several rows."""
     marked = cut(fingerprints(docs, id_col, text_col))
     sizes = marked.groupBy("fp").agg(F.count("*").alias("group_size"), F.min("id").alias("keep_id"))
     twins = cut(sizes.where("group_size > 1"))
@@ -130,6 +124,25 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         twins = cut(marked.groupBy("fp").agg(F.count("*").alias("group_size"), F.min("id").alias("keep_id")).where("group_size > 1"))
         if _unequal(docs, marked, twins, id_col, text_col).count():
             raise ValueError("texts with equal fingerprints and digests differ")
+    return marked, twins
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with one row of each group of equal texts: that of the smallest id."""
+    marked, _ = _classes(docs.select(id_col, text_col), id_col, text_col)
+    return keep_one_of_each(docs, marked.select("id", "h64", F.col("fp").alias("class")), id_col, text_col)
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, keep_id, group_size, kept, text_sha256) for each row of docs.
+
+    Texts are equal when they are after replacing each run of ASCII white space by one
+    space; null counts as empty. The row with the smallest id stays (null ids come last);
+    of repeated rows with that id, one. Text columns may be of any length, the table
+    empty; other columns play no part.
+    """
+    docs = docs.select(id_col, text_col)
+    marked, twins = _classes(docs, id_col, text_col)
     named = join_splittable(marked, twins, "fp").select("id", "sha", "fp", F.coalesce("group_size", F.lit(1)).alias("group_size"), F.coalesce("keep_id", "id").alias("keep_id"))
     first = F.col("id").eqNullSafe(F.col("keep_id"))
     # Only rows that repeat the id that stays need a tie broken; they are the same row.

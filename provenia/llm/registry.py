@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from provenia.llm import bpe, compression, decision_list, exact_dedup, packing, pii, sharding, simhash, toxicity
+from provenia.llm import bpe, compression, decision_list, exact_dedup, packing, pii, sharding, simhash, toxicity, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_quality_rules": decision_list.op2_quality_rules,
     "op3_simhash": simhash.op3_simhash,
     "op4_pii": pii.op4_pii,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
 }
 ORACLES: dict[str, str] = {
+    "op1_warc": warc.OP1_SQL,
     "op4_pii": pii.OP4_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }

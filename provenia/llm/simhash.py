@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from provenia.llm.common import cut, join_splittable, text_pass
 from provenia.llm.components import connected_components
+from provenia.llm.rows import keep_one_of_each, text_hash
 
 #: Words of a shingle, bits by which linked fingerprints may differ, seed of the hash.
 WORDS, BITS, SEED = 3, 3, 42
@@ -67,15 +68,6 @@ def fingerprint(data: bytes, words: int = WORDS, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long. Null texts count as empty."""
-
-    def make():
-        return lambda texts: [{"fp": (fingerprint(t, words) ^ (1 << 63)) - (1 << 63)} for t in texts]
-
-    return text_pass(docs, make, "fp long", text_col, [id_col])
-
-
 def _hook(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Labels after linking i with j; a label is the smallest index linked."""
     while True:
@@ -170,6 +162,23 @@ def near_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int) -> DataFrame:
+    """(id, h64, fp, root, component_id) for each row; root is the smallest fingerprint linked."""
+    keyed = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("h64"), F.col(text_col).alias("text"))
+
+    def make():
+        return lambda texts: [{"fp": (fingerprint(t, words) ^ (1 << 63)) - (1 << 63)} for t in texts]
+
+    marked = cut(text_pass(keyed, make, "fp long", "text", ["id", "h64"]))
+    fps = cut(marked.groupBy("fp").agg(F.min("id").alias("low")))
+    roots = connected_components(near_links(fps, bits))
+    tied = roots.join(fps, roots.node == fps.fp).select("fp", "root", "low")
+    ids = tied.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = fps.join(tied.join(ids, "root").select("fp", "root", "component_id"), "fp", "left")
+    named = named.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "low").alias("component_id"))
+    return join_splittable(marked, named, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
     """(id, fp, component_id) for each row: component_id is the smallest id reachable by links.
 
@@ -177,13 +186,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null id takes part with its text but is never a component_id unless all are null.
     Repeated rows stay repeated. An empty table gives no rows.
     """
-    marked = cut(fingerprints(docs.select(id_col, text_col), id_col, text_col, words).select(F.col(id_col).alias("id"), "fp"))
-    fps = cut(marked.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = connected_components(near_links(fps, bits))
-    tied = roots.join(fps, roots.node == fps.fp).select("fp", "root", "low")
-    ids = tied.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = fps.join(tied.join(ids, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return join_splittable(marked, named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return _classes(docs, id_col, text_col, words, bits).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
+    """docs, all columns, with one row of each component: that of the smallest id."""
+    rows = _classes(docs, id_col, text_col, words, bits).select("id", "h64", F.col("root").alias("class"))
+    return keep_one_of_each(docs, cut(rows), id_col, text_col)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
