@@ -14,6 +14,8 @@ a block are taken back and solved again with the next, so memory stays bounded.
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 import zlib
 from collections import deque
@@ -22,12 +24,15 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from provenia.llm.common import SLICE_ROWS, small_batches
+from provenia.llm.bpe import byte_letters
+from provenia.llm.common import small_batches
+from provenia.llm.merging import MergeTable
 
 #: Ids of a sequence; id after each document.
 SIZE, END = 2048, 1
@@ -35,41 +40,100 @@ SIZE, END = 2048, 1
 SENTENCE, WITHIN, STEP = 8, 32, 48
 #: Ids of a block, and windows at its end that are solved again with the next.
 BLOCK, AGAIN = 1 << 18, 4
-#: Entries of the memo of words and their longest key.
-MEMO, KEY = 400_000, 64
+#: Entries of a generation of the memo of words, their longest key, characters of texts encoded together.
+MEMO, KEY, TOGETHER = 1_000_000, 64, 1 << 20
+#: Words whose lower case and split are the same to the library: Latin-1 letters, then marks.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]*)")
 _ODD = re.compile("[\x1c-\x1f]")
 _WORDS = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 class WordEncoder:
-    """ids of texts by a tokenizer for which white space only separates words; words are looked up in a memo."""
+    """ids of texts by a BPE tokenizer for which white space only separates words.
+
+    Words are looked up in a memo of two generations. Of those not there, plain ones are
+    split into letters and marks and merged together; any other goes to the library.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        path = public_tokenizers.path(vocabulary)
+        self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.memo: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+        letters = sorted(byte_letters().items(), key=lambda x: x[1])
+        self.inner = np.array([vocab[c] for c, _ in letters])
+        self.final = np.array([vocab[c + suffix] for c, _ in letters])
+        self.merges = MergeTable({(vocab[x], vocab[y]): (rank, vocab[x + y]) for rank, (x, y) in enumerate(model["merges"])})
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         stops = [i for t, i in self.library.get_vocab().items() if re.fullmatch(r"(?:.*[^\w\s])?[.!?]+[^\w\s]*</w>", t)]
         self.sentence_end = np.zeros(self.library.get_vocab_size(), bool)
         self.sentence_end[stops] = True
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        if len(self.memo) + len(words) > MEMO:
-            self.memo.clear()
-        ids = self.library.encode_batch_fast(words, add_special_tokens=False)
-        got = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, ids, strict=True)}
-        self.memo.update((w, b) for w, b in got.items() if len(w) <= KEY)
+    def _merged(self, parts: list[str]) -> dict[str, bytes]:
+        raw = np.frombuffer("\n".join([*parts, ""]).lower().encode(), np.uint8)
+        breaks = np.flatnonzero(raw == 10)
+        sizes = np.diff(np.r_[-1, breaks]) - 1
+        raw = raw[raw != 10]
+        last = np.cumsum(sizes) - 1
+        ids = self.inner[raw]
+        ids[last] = self.final[raw[last]]
+        ids, sizes = self.merges.merge(ids, sizes)
+        flat, ends = ids.astype("<u4").tobytes(), (np.cumsum(sizes) * 4).tolist()
+        return {p: flat[x:y] for p, x, y in zip(parts, [0, *ends], ends)}
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        young, old = self.young, self.old
+        got, whole, split, other = {}, [], [], []
+        try:
+            "".join(words).encode("latin-1")
+            latin = True
+        except UnicodeEncodeError:
+            latin = False
+        for w in words:
+            if (known := old.get(w)) is not None:
+                got[w] = known
+            elif len(w) > KEY:
+                other.append(w)
+            elif w.isalpha() and (latin or w.isascii() or max(w) <= "\xff"):
+                whole.append(w)
+            elif m := _PLAIN.fullmatch(w):
+                split.append((w, *m.groups()))
+            else:
+                other.append(w)
+        parts = {p: young.get(p) or old.get(p) for _, *both in split for p in both if p}
+        new = list({*whole, *(p for p, b in parts.items() if b is None)})
+        if new:
+            made = self._merged(new)
+            parts = {p: b or made[p] for p, b in parts.items()}
+            got |= made
+        parts[""] = b""
+        got.update((w, parts[a] + parts[b]) for w, a, b in split)
+        if other:
+            got.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False), strict=True))
+        if len(young) + len(got) > MEMO:
+            self.old, self.young = young, {}
+        self.young.update((w, b) for w, b in got.items() if len(w) <= KEY) if other else self.young.update(got)
         return got
 
-    def encode(self, text: str) -> np.ndarray:
-        words = _WORDS.findall(text) if _ODD.search(text) else text.split()
-        found = list(map(self.memo.get, words))
-        if None in found:
-            got = self._learn(list({w for w, b in zip(words, found, strict=True) if b is None}))
-            found = [got[w] if b is None else b for w, b in zip(words, found, strict=True)]
-        return np.frombuffer(b"".join(found), "<u4")
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        split = [_WORDS.findall(t) if _ODD.search(t) else t.split() for t in texts]
+        get = self.young.get
+        found = [list(map(get, words)) for words in split]
+        missing = {w for words, bs in zip(split, found, strict=True) if None in bs for w, b in zip(words, bs, strict=True) if b is None}
+        got = self._learn(missing) if missing else {}
+        return [np.frombuffer(b"".join(bs if None not in bs else [got[w] if b is None else b for w, b in zip(words, bs, strict=True)]), "<u4") for words, bs in zip(split, found, strict=True)]
+
+
+@functools.lru_cache(maxsize=2)
+def encoder_of(vocabulary: str) -> WordEncoder:
+    """One encoder for each Python worker, so that its memo outlives a task."""
+    return WordEncoder(vocabulary)
 
 
 def choose_cuts(positions: np.ndarray, penalties: np.ndarray, size: int = SIZE) -> list[int]:
@@ -166,7 +230,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         schema.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         packer = Packer(encoder.sentence_end, size)
         base = TaskContext.get().partitionId() << 33
         tail = np.array([end], "<u4")
@@ -179,11 +243,17 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    if pieces := packer.add(i, np.concatenate([encoder.encode(text), tail])):
+            rows_of, texts = batch.column(0).to_pylist(), batch.column(1)
+            sizes, at = pc.binary_length(texts).to_pylist(), 0
+            while at < len(sizes):
+                to, room = at + 1, TOGETHER - sizes[at]
+                while to < len(sizes) and room > sizes[to]:
+                    room -= sizes[to]
+                    to += 1
+                for i, ids in zip(rows_of[at:to], encoder.encode(texts.slice(at, to - at).to_pylist()), strict=True):
+                    if pieces := packer.add(i, np.concatenate([ids, tail])):
                         yield rows(pieces, kind)
+                at = to
         if pieces := packer.finish():
             yield rows(pieces, kind)
 
