@@ -91,16 +91,41 @@ def page_text(text: Column, pages: Column, page: Column) -> Column:
     return let(own, lambda o: F.when(F.size(o) > 0, slice_text(text, F.try_element_at(o, F.lit(1))["char_start"], F.try_element_at(o, F.lit(1))["char_end"])).otherwise(""))
 
 
+def _product_error(a: Column, b: Column) -> Column:
+    """What is lost of a * b when it is rounded to a double, exactly (Dekker's product)."""
+    halves = lambda x: (lambda c: (c - (c - x), x - (c - (c - x))))(x * 134217729.0)
+    (ah, al), (bh, bl) = halves(a), halves(b)
+    return ((ah * bh - a * b) + ah * bl + al * bh) + al * bl
+
+
 def format_g(x: Column) -> Column:
-    """x as C's %g has it: six significant digits, no trailing zeros."""
-    parts = F.split(F.format_string("%.5e", x), "e")
-    exponent = parts[1].cast("int")
-    plain = F.format_string("%.5e", x).cast("double").cast("decimal(30,12)").cast("string")
-    stripped = F.regexp_replace(F.regexp_replace(plain, "0+$", ""), r"\.$", "")
-    mantissa = F.regexp_replace(F.regexp_replace(parts[0], "0+$", ""), r"\.$", "")
-    power = F.concat(F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
-    return F.when(x == 0, "0").when(exponent.between(-4, 5), stripped).otherwise(F.concat(mantissa, F.lit("e"), power))
-
-
-def initcap_words(text: Column) -> Column:
-    return F.initcap(text)
+    """x as C's %g has it: six significant digits, no trailing zeros; null stays null.
+
+    Java rounds the shortest decimal of x, C its exact binary value. They differ where
+    that decimal has seven digits of which the last is 5; there the exact remainder of
+    x * 10^m decides, and an exact tie goes to the even digit.
+    """
+
+    def digits(v: Column) -> Column:
+        seven = F.split(F.format_string("%.6e", v), "e")
+        exponent = F.try_element_at(seven, F.lit(2)).try_cast("int")
+        shift = F.lit(6) - exponent
+        scale = F.pow(F.lit(10.0), shift)
+        magnitude = F.abs(v)
+        whole = F.regexp_replace(F.regexp_replace(F.try_element_at(seven, F.lit(1)), "-", ""), r"\.", "").try_cast("long")
+        tie = (whole % 10 == 5) & shift.between(0, 22) & (F.format_string("%.6e", magnitude).try_cast("double") == magnitude)
+        rest = (magnitude * scale - whole) + _product_error(magnitude, scale)
+        down = tie & ((rest < 0) | ((rest == 0) & (F.floor(whole / 10) % 2 == 0)))
+        return F.when(down, F.signum(v) * (whole - 1) / scale).otherwise(v)
+
+    def shown(v: Column) -> Column:
+        text = F.format_string("%.5e", v)
+        parts = F.split(text, "e")
+        exponent = F.try_element_at(parts, F.lit(2)).try_cast("int")
+        plain = text.try_cast("double").cast("decimal(30,12)").cast("string")
+        stripped = F.regexp_replace(F.regexp_replace(plain, "0+$", ""), r"\.$", "")
+        mantissa = F.regexp_replace(F.regexp_replace(F.try_element_at(parts, F.lit(1)), "0+$", ""), r"\.$", "")
+        power = F.concat(F.when(exponent < 0, "-").otherwise("+"), F.when(F.abs(exponent) < 10, "0").otherwise(""), F.abs(exponent).cast("string"))
+        return F.when(v == 0, "0").when(exponent.between(-4, 5), stripped).otherwise(F.concat(mantissa, F.lit("e"), power))
+
+    return F.when(x.isNotNull(), let(let(x, digits), shown))

@@ -39,7 +39,8 @@ def arbitrate(claims: DataFrame, keys: list[str]) -> DataFrame:
     row = F.struct(*[c for c in claims.columns if c not in (*keys, "vkey")])
     order = F.struct((-F.col("prec")).alias("p"), F.col("ord"))
     cells = claims.groupBy(*keys, "doc", "vkey").agg(F.max("prec").alias("prec"), F.count("*").alias("n"), F.min_by("weight", "ord").alias("weight"), F.min_by(row, order).alias("rep"))
-    score = F.sum(F.col("prec") * F.col("weight") * (1 + 0.5 * F.log2(F.col("n") + 1)))
+    # Rounded, so that sums in another order rank alike.
+    score = F.round(F.sum(F.col("prec") * F.col("weight") * (1 + 0.5 * F.log2(F.col("n") + 1))), 9)
     clusters = cells.groupBy(*keys, "vkey").agg(score.alias("score"), F.collect_set("doc").alias("docs"), F.sum("n").alias("reps"), F.min_by("rep", F.struct((-F.col("prec")).alias("p"), F.col("rep.ord"))).alias("rep"))
     ranked = clusters.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vkey", "docs", "reps", "rep"))).alias("ranked"))
     losers = F.slice("ranked", 2, F.greatest(F.size("ranked") - 1, F.lit(0)))

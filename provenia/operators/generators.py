@@ -76,7 +76,7 @@ def series_headers(text: Column, siblings: Column) -> Column:
     def found(p: Column) -> Column:
         starts = find_all(text, F.concat(F.lit("(?iu)"), p["first"], F.lit("(?="), p["rest"], F.lit(")")))
         whole = F.concat(F.lit("(?iu)^"), p["first"], p["rest"])
-        return F.transform(starts, lambda h: F.struct(h["s"].alias("s"), (h["s"] + F.length(F.regexp_extract(F.substring(text, h["s"] + 1, F.lit(REGION)), whole, F.lit(0)))).alias("e")))
+        return F.transform(starts, lambda h: F.struct(h["s"].alias("s"), (h["s"] + F.length(F.call_function("regexp_extract", F.substring(text, h["s"] + 1, F.lit(REGION)), whole, F.lit(0)))).alias("e")))
 
     return F.when(F.size(siblings) < 2, _none("struct<s:int,e:int>")).otherwise(let(F.struct(quote_regex(_first(siblings)).alias("first"), rest.alias("rest")), found))
 
@@ -91,7 +91,7 @@ def row_numbers(region: Column, start: Column, expected: Column) -> Column:
     def walk(tokens: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
             t = F.element_at(tokens, i)
-            word = F.trim(F.lit("|"), t["m"])
+            word = F.trim(t["m"], F.lit("|"))
             following = F.try_element_at(tokens, i + 1)["m"]
             some = F.size(acc["cells"]) > 0
 
