@@ -262,6 +262,28 @@ def llm_windows(work: DataFrame, most: int = 3, before: int = 400, after: int =
     return found.select("sku", "doc_id", "attribute", "window_no", F.col("w.s").alias("window_start"), slice_text(F.col("text"), F.col("w.s"), F.col("w.e")).alias("window"))
 
 
+def prompts(windows: DataFrame, work: DataFrame) -> DataFrame:
+    """windows with the question that is put to a model: part, other parts of the document, attribute, unit, excerpt."""
+    spec = work.select("sku", "doc_id", "mpn", "siblings", F.explode("specs").alias("spec")).select("sku", "doc_id", "mpn", "siblings", F.col("spec.attribute").alias("attribute"), F.col("spec.label").alias("label"), F.col("spec.unit").alias("unit"))
+    rows = windows.join(spec, ["sku", "doc_id", "attribute"])
+    others = F.array_join(F.filter("siblings", lambda s: F.upper(s) != F.upper("mpn")), ", ")
+    lines = [
+        F.concat(F.lit("Part number: "), F.col("mpn")),
+        F.concat(F.lit("Other part numbers covered by this document: "), F.coalesce(F.nullif(others, F.lit("")), F.lit("none"))),
+        F.concat(F.lit("Attribute wanted: "), F.col("attribute"), F.lit(" ("), F.col("label"), F.lit(")")),
+        F.concat(F.lit("Expected unit: "), F.coalesce("unit", F.lit("n/a"))),
+        F.concat(F.lit("\n--- document excerpt ---\n"), F.col("window"), F.lit("\n--- end excerpt ---")),
+    ]
+    return rows.withColumn("prompt", F.concat_ws("\n", *lines)).drop("siblings", "label", "unit")
+
+
+def parse_response(raw: Column) -> Column:
+    """(found, value, quote) of the first tool call in a model's JSON reply; null where there is none."""
+    reply = F.from_json(raw, "struct<output:struct<message:struct<content:array<struct<toolUse:struct<input:struct<found:boolean,value:string,quote:string>>>>>>>")
+    calls = F.filter(reply["output"]["message"]["content"], lambda b: b["toolUse"].isNotNull())
+    return F.try_element_at(calls, F.lit(1))["toolUse"]["input"]
+
+
 def self_consistency(responses: DataFrame, keys: list[str], samples: int) -> DataFrame:
     """For each key the value most samples agree on, its first quote, and the share of samples.
 

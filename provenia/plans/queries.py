@@ -252,6 +252,30 @@ def self_consistency(spark, d):
     return generators.self_consistency(e, ["user_id", "day"], 3).select("user_id", F.col("day").cast("string").alias("day"), "raw", F.round("consistency", 6).alias("consistency"), "samples")
 
 
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 3 = 1 END AS found, CASE WHEN doc_id % 3 <> 0 THEN source END AS value FROM documents
+""")
+def parse_response(spark, d):
+    """The first tool call of a recorded reply; replies without one give nothing."""
+    call = F.concat(F.lit('{"output":{"message":{"content":[{"text":"x"},{"toolUse":{"input":{"found":'), F.when(F.col("doc_id") % 3 == 1, "true").otherwise("false"), F.lit(',"value":"'), F.col("source"), F.lit('","quote":"q"}}}]}}}'))
+    raw = F.when(F.col("doc_id") % 3 == 0, '{"output":{"message":{"content":[{"text":"x"}]}}}').otherwise(call)
+    return t(spark, d, "documents").select("doc_id", T.let(generators.parse_response(raw), lambda r: r).alias("r")).select("doc_id", "r.found", "r.value")
+
+
+@query("""
+SELECT doc_id, least(n, 3) AS n_windows, CASE WHEN n > 0 THEN 0 END AS first_start FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 4 END AS n FROM documents)
+""")
+def model_windows(spark, d):
+    """Regions around an alias that a model would be shown: three at most, one for each 500 characters."""
+    gap = F.repeat(F.lit("- "), F.lit(400))
+    hit = F.lit(" zqalias ")
+    text = F.when(F.col("doc_id") % 3 == 0, "none").when(F.col("doc_id") % 3 == 1, F.concat(hit, hit)).otherwise(F.concat(hit, gap, hit, gap, hit, gap, hit))
+    spec = F.array(F.struct(F.lit("x").alias("attribute"), F.array(F.lit("ZQALIAS")).alias("aliases")))
+    work = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("sku"), "doc_id", text.alias("text"), spec.alias("specs"))
+    found = generators.llm_windows(work).groupBy("doc_id").agg(F.count("*").cast("int").alias("n_windows"), F.min("window_start").alias("first_start"))
+    return t(spark, d, "documents").select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n_windows", F.lit(0)).alias("n_windows"), "first_start")
+
+
 # --- values -----------------------------------------------------------------------------------
 
 _UNITS = [("mA", "current", 0.001), ("A", "current", 1.0), ("uV", "voltage", 1e-6), ("kV", "voltage", 1000.0), ("°C", "temperature", 1.0), ("V", "voltage", 1.0)]

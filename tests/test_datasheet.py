@@ -173,6 +173,14 @@ def test_publishing(made):
     assert publish.summary(decided).first().records == 5
 
 
+def test_prompts(made):
+    skus, manifest, docs, *_ = made
+    work = datasheet.work_rows(skus, manifest, docs).where("sku = 'S1' AND doc_id = 'acme'")
+    rows = generators.prompts(generators.llm_windows(work), work).where("attribute = 'forward_voltage_max'").collect()
+    assert 0 < len(rows) <= 3
+    assert rows[0].prompt.startswith("Part number: 1N7001\nOther part numbers covered by this document: 1N7002, 1N7003, 1N7004\nAttribute wanted: forward_voltage_max (") and rows[0].window in rows[0].prompt
+
+
 def test_naive_arm_trusts_everything(made):
     skus, manifest, docs, *_ = made
     rows = generators.naive(datasheet.work_rows(skus, manifest, docs))

@@ -90,6 +90,19 @@ def test_files(rows, spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "log")).columns == ["mpn", "decision", "confidence", "reasons"]
 
 
+def test_batch(spark, tmp_path):
+    from provenia.plans import appliance
+
+    (tmp_path / "in.csv").write_text("Mfg_Part_Num,Part_Desc,E1_Brand,Unilog_Brand,DIB_Brand,Part_Manuf\nWDX1,Whirlpool Dishwasher SS,,,,Keep\nQ2,garden hose,,,,Keep\nR3,Maytag dryer,,,,Skip\n")
+    fetched = spark.createDataFrame([("WDX1", 0, "u1", 200, "text/html", f"<html>{PAGE}</html>", "")], "mpn string, url_pos int, url string, status int, content_type string, body string, error string")
+    said = spark.createDataFrame([("WDX1", label, True, v, q) for label, v, q in (("Voltage Rating", "120 V", "Voltage 120 V"), ("Model", "WDX1", "Model WDX1"), ("Mounting Type", "Built-in", "Mounting Built-in"))], "mpn string, label string, found boolean, value string, quote string")
+    counts = appliance.run_batch(spark, str(tmp_path / "in.csv"), str(tmp_path / "out"), fetched, said, excluded=("Skip",)).collect()
+    assert [(r.decision, r.n) for r in counts] == [("AUTO_PUBLISH", 1)]
+    rows = appliance.input_rows(spark, str(tmp_path / "in.csv"))
+    urls = appliance.wanted_urls(rows).orderBy("mpn", "url_pos").collect()
+    assert [u.mpn for u in urls] == ["R3"] * 3 + ["WDX1"] * 3 and urls[3].url.endswith("searchtext=WDX1")
+
+
 def test_catalog_file(spark, tmp_path):
     (tmp_path / "c.csv").write_text("Mfg_Part_Num,Part_Desc,Part_Manuf\nA,dishwasher,Keep\nB,dryer,Skip\n")
     assert [r.Mfg_Part_Num for r in corpus.catalog_rows(spark, str(tmp_path / "c.csv"), ("Skip",)).collect()] == ["A"]
