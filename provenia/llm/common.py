@@ -35,11 +35,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/provenia/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
     """df written once as Parquet in the shared folder and read back.
 
     It ends the lineage: what follows survives lost executors without computing df again.
+    narrow: rows of a few bytes, made where wide ones are read; they are dealt anew into
+    files of the advisory size rather than one small file for each task that reads.
     """
+    if narrow:
+        df = df.hint("rebalance")
     spark = df.sparkSession
     path = scratch_dir(spark)
     df.write.parquet(path)

@@ -114,7 +114,7 @@ def _unequal(docs: DataFrame, marked: DataFrame, twins: DataFrame, id_col: str,
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(id, h64, sha, fp) for each row, fp telling unequal texts apart, and (fp, group_size, keep_id) where it has several rows."""
-    marked = cut(fingerprints(docs, id_col, text_col))
+    marked = cut(fingerprints(docs, id_col, text_col), narrow=True)
     sizes = marked.groupBy("fp").agg(F.count("*").alias("group_size"), F.min("id").alias("keep_id"))
     twins = cut(sizes.where("group_size > 1"))
     bad = cut(_unequal(docs, marked, twins, id_col, text_col))

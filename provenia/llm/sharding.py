@@ -117,7 +117,7 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     table gives no rows, and a shard may stay empty where groups are fewer than shards.
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
-    rows = cut(docs.select(F.col(id_col).alias("id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("crc"), F.xxhash64(body).alias("g"), F.monotonically_increasing_id().alias("row")))
+    rows = cut(docs.select(F.col(id_col).alias("id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("crc"), F.xxhash64(body).alias("g"), F.monotonically_increasing_id().alias("row")), narrow=True)
     groups = cut(rows.groupBy("g").agg(F.sum("size").alias("bytes")))
     giants, starts, _ = plan(groups, shards)
     shard = F.lit(len(giants))

@@ -169,7 +169,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int)
     def make():
         return lambda texts: [{"fp": (fingerprint(t, words) ^ (1 << 63)) - (1 << 63)} for t in texts]
 
-    marked = cut(text_pass(keyed, make, "fp long", "text", ["id", "h64"]))
+    marked = cut(text_pass(keyed, make, "fp long", "text", ["id", "h64"]), narrow=True)
     fps = cut(marked.groupBy("fp").agg(F.min("id").alias("low")))
     roots = connected_components(near_links(fps, bits))
     tied = roots.join(fps, roots.node == fps.fp).select("fp", "root", "low")
