@@ -37,15 +37,17 @@ from provenia.llm.merging import MergeTable
 #: Ids of a sequence; id after each document.
 SIZE, END = 2048, 1
 #: Penalties of a cut at the end of a sentence and within one; ids between candidates within one.
-SENTENCE, WITHIN, STEP = 8, 32, 48
+SENTENCE, WITHIN, STEP = 4, 12, 24
 #: Ids of a block, and windows at its end that are solved again with the next.
-BLOCK, AGAIN = 1 << 18, 4
+BLOCK, AGAIN = 1 << 19, 4
 #: Entries of a generation of the memo of words, their longest key, characters of texts encoded together.
-MEMO, KEY, TOGETHER = 1_000_000, 64, 1 << 20
+MEMO, KEY, TOGETHER = 400_000, 64, 1 << 21
 #: Words whose lower case and split are the same to the library: Latin-1 letters, then marks.
+_MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]*)")
 _ODD = re.compile("[\x1c-\x1f]")
 _WORDS = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class WordEncoder:
@@ -76,6 +78,8 @@ class WordEncoder:
         self.sentence_end[stops] = True
 
     def _merged(self, parts: list[str]) -> dict[str, bytes]:
+        if not parts:
+            return {}
         raw = np.frombuffer("\n".join([*parts, ""]).lower().encode(), np.uint8)
         breaks = np.flatnonzero(raw == 10)
         sizes = np.diff(np.r_[-1, breaks]) - 1
@@ -89,45 +93,63 @@ class WordEncoder:
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         young, old = self.young, self.old
-        got, whole, split, other = {}, [], [], []
-        try:
-            "".join(words).encode("latin-1")
-            latin = True
-        except UnicodeEncodeError:
-            latin = False
-        for w in words:
-            if (known := old.get(w)) is not None:
-                got[w] = known
-            elif len(w) > KEY:
-                other.append(w)
-            elif w.isalpha() and (latin or w.isascii() or max(w) <= "\xff"):
-                whole.append(w)
-            elif m := _PLAIN.fullmatch(w):
+        known = old.keys() & words
+        got = {w: old[w] for w in known}
+        new = words - known if known else words
+        joined = "".join(new)
+        plain = (joined.isascii() or max(joined) <= "\xff") and max(map(len, new), default=0) <= KEY
+        whole = {w for w in new if w.isalpha() and (plain or len(w) <= KEY and max(w) <= "\xff")}
+        split, other = [], []
+        for w in new - whole:
+            body, mark = w[:-1], w[-1]
+            if body.isalpha() and mark in _MARKS and (plain or len(w) <= KEY and max(body) <= "\xff"):
+                split.append((w, body, mark))
+            elif len(w) <= KEY and (m := _PLAIN.fullmatch(w)):
                 split.append((w, *m.groups()))
             else:
                 other.append(w)
-        parts = {p: young.get(p) or old.get(p) for _, *both in split for p in both if p}
-        new = list({*whole, *(p for p, b in parts.items() if b is None)})
-        if new:
-            made = self._merged(new)
-            parts = {p: b or made[p] for p, b in parts.items()}
-            got |= made
+        parts = dict.fromkeys(p for _, *both in split for p in both)
+        for p in parts:
+            b = young.get(p)
+            parts[p] = old.get(p) if b is None else b
         parts[""] = b""
+        made = self._merged([*whole, *(p for p, b in parts.items() if b is None and p not in whole)])
+        got |= made
+        parts.update((p, made[p]) for p, b in parts.items() if b is None)
         got.update((w, parts[a] + parts[b]) for w, a, b in split)
-        if other:
-            got.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False), strict=True))
         if len(young) + len(got) > MEMO:
             self.old, self.young = young, {}
-        self.young.update((w, b) for w, b in got.items() if len(w) <= KEY) if other else self.young.update(got)
+        self.young.update(got)
+        if other:
+            of = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False), strict=True)}
+            self.young.update((w, b) for w, b in of.items() if len(w) <= KEY)
+            got |= of
         return got
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [_WORDS.findall(t) if _ODD.search(t) else t.split() for t in texts]
-        get = self.young.get
-        found = [list(map(get, words)) for words in split]
-        missing = {w for words, bs in zip(split, found, strict=True) if None in bs for w, b in zip(words, bs, strict=True) if b is None}
-        got = self._learn(missing) if missing else {}
-        return [np.frombuffer(b"".join(bs if None not in bs else [got[w] if b is None else b for w, b in zip(words, bs, strict=True)]), "<u4") for words, bs in zip(split, found, strict=True)]
+        words = set().union(*split)
+        missing = words.difference(self.young)
+        table = self.young
+        if missing:
+            got = self._learn(missing)
+            if self.young is not table or max(map(len, missing)) > KEY:  # a new generation began, or words too long for it
+                old, table = table, {}
+                for w in words:
+                    b = got.get(w)
+                    table[w] = old[w] if b is None else b
+        ids = table.__getitem__
+        return [np.frombuffer(b"".join(map(ids, s)), "<u4") for s in split]
+
+    def encode_long(self, text: str) -> np.ndarray:
+        """ids of a text of any length, a block of words at a time."""
+        parts, at = [], 0
+        while at < len(text):
+            gap = _GAP.search(text, at + TOGETHER) if len(text) - at > TOGETHER else None
+            end = gap.start() if gap else len(text)
+            parts += self.encode([text[at:end]])
+            at = end
+        return np.concatenate(parts)
 
 
 @functools.lru_cache(maxsize=2)
@@ -250,7 +272,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
                 while to < len(sizes) and room > sizes[to]:
                     room -= sizes[to]
                     to += 1
-                for i, ids in zip(rows_of[at:to], encoder.encode(texts.slice(at, to - at).to_pylist()), strict=True):
+                some = texts.slice(at, to - at).to_pylist()
+                for i, ids in zip(rows_of[at:to], encoder.encode(some) if sizes[at] <= TOGETHER else [encoder.encode_long(some[0])], strict=True):
                     if pieces := packer.add(i, np.concatenate([ids, tail])):
                         yield rows(pieces, kind)
                 at = to
