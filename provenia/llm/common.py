@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as a Java, RE2 and Python character class.
 SPACE = r"[\x20\x09-\x0D]"
-#: Rows of a batch handed to Python, and rows turned into Python objects at a time.
-BATCH_ROWS, SLICE_ROWS = 500, 50
+#: Rows and bytes of a batch handed to Python, and rows turned into Python objects at a time.
+BATCH_ROWS, BATCH_BYTES, SLICE_ROWS = 500, 16 << 20, 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +51,9 @@ def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, for a batch holds whole texts."""
+    """Bound the rows and bytes of an Arrow batch, for a batch holds whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_pass(

@@ -41,7 +41,7 @@ SENTENCE, WITHIN, STEP = 4, 12, 24
 #: Ids of a block, and windows at its end that are solved again with the next.
 BLOCK, AGAIN = 1 << 19, 4
 #: Entries of a generation of the memo of words, their longest key, characters of texts encoded together.
-MEMO, KEY, TOGETHER = 400_000, 64, 1 << 21
+MEMO, KEY, TOGETHER = 600_000, 64, 1 << 21
 #: Words whose lower case and split are the same to the library: Latin-1 letters, then marks.
 _MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]*)")
@@ -50,6 +50,14 @@ _WORDS = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 _GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordEncoder:
     """ids of texts by a BPE tokenizer for which white space only separates words.
 
@@ -96,8 +104,7 @@ class WordEncoder:
         known = old.keys() & words
         got = {w: old[w] for w in known}
         new = words - known if known else words
-        joined = "".join(new)
-        plain = (joined.isascii() or max(joined) <= "\xff") and max(map(len, new), default=0) <= KEY
+        plain = _is_latin("".join(new)) and max(map(len, new), default=0) <= KEY
         whole = {w for w in new if w.isalpha() and (plain or len(w) <= KEY and max(w) <= "\xff")}
         split, other = [], []
         for w in new - whole:
