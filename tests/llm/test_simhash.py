@@ -57,6 +57,39 @@ def test_trie_join_finds_each_link(monkeypatch):
         assert simhash.trie_links(np.zeros(len(fps), np.int64), fps).tolist() == want
 
 
+def test_wide_trie_join(monkeypatch):
+    rng = random.Random(4)
+    fps = {rng.getrandbits(128) for _ in range(60)}
+    for f in list(fps)[:25]:
+        for _ in range(5):
+            g = f
+            for b in rng.sample(range(128), rng.randint(1, 9)):
+                g ^= 1 << b
+            fps.add(g)
+    ordered = sorted(fps)
+    words = np.array([[f >> 64, f & (2**64 - 1)] for f in ordered], np.uint64)
+    for frontier in (1 << 18, 50):
+        monkeypatch.setattr(simhash, "FRONTIER", frontier)
+        assert simhash.trie_links(np.zeros(len(words), np.int64), words, 7).tolist() == slow_components(ordered, 7)
+
+
+def test_near_copies_of_long_texts_go(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice(["ta", "ri", "no", "se", "lu", "ke"]) for _ in range(rng.randint(1, 5))) for _ in range(3000)]
+    base = [[rng.choice(words) for _ in range(rng.randint(80, 400))] for _ in range(60)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    for i in range(30):
+        w = list(base[i])
+        for k in rng.sample(range(len(w)), max(1, len(w) // 45)):
+            w[k] = rng.choice(words)
+        rows.append((100 + i, " ".join(w)))
+    rows += [(200, "Tiny text"), (201, "tiny TEXT"), (202, "tiny book"), (203, ""), (204, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.drop_near_copies(docs).collect()}
+    assert set(range(60)) <= kept and len(kept & set(range(100, 130))) <= 1
+    assert {200, 202, 203} <= kept and not kept & {201, 204}
+
+
 def test_components_match_brute_force(spark):
     rng = random.Random(3)
     base = [" ".join(rng.choice("abcdefghij") * 3 for _ in range(rng.randint(4, 60))) for _ in range(40)]
