@@ -36,10 +36,17 @@ def work_rows(skus: DataFrame, manifest: DataFrame, docs: DataFrame) -> DataFram
     return rows.withColumn("known", F.coalesce("known", F.array().cast("array<string>"))).drop("class_key", "part")
 
 
-def enrich(skus: DataFrame, manifest: DataFrame, docs: DataFrame, responses: DataFrame | None = None, panel: tuple[str, ...] = ("table_column", "range", "inline_spec", "llm"), model: confidence.Model = confidence.Model(), samples: int = 3) -> Enriched:
-    """Generate, gate, arbitrate, check, score and decide; nothing here runs until it is read."""
+def enrich(skus: DataFrame, manifest: DataFrame, docs: DataFrame, responses: DataFrame | None = None, panel: tuple[str, ...] = ("table_column", "range", "inline_spec", "llm"), model: confidence.Model = confidence.Model(), samples: int = 3, path: str | None = None) -> Enriched:
+    """Generate, gate, arbitrate, check, score and decide.
+
+    With a path, candidates are written there and read again, so that texts are searched
+    once; without, nothing runs until it is read, and again for each use.
+    """
     work = work_rows(skus, manifest, docs)
     found = generators.candidates(work, panel, responses, samples)
+    if path:
+        found.write.mode("overwrite").parquet(path)
+        found = skus.sparkSession.read.schema(found.schema).parquet(path)
     brand = skus.select("sku", "brand")
     weighed = arbitrate.brand_authority(found.join(brand, "sku")).drop("brand")
     resolved = arbitrate.resolve(weighed)

@@ -10,11 +10,17 @@ from tests import sheets
 
 
 @pytest.fixture(scope="module")
-def made(spark):
+def made(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("made")
+
+    def kept(name, df):
+        df.write.parquet(str(root / name))
+        return spark.read.parquet(str(root / name))
+
     skus, manifest, pages = sheets.tables(spark)
     docs = corpus.document_text(pages.repartition(5))
-    out = datasheet.enrich(skus, manifest, docs)
-    return skus, manifest, docs, out.candidates.cache(), out.decided.cache(), out.notes.cache()
+    out = datasheet.enrich(skus, manifest, docs, path=str(root / "found"))
+    return skus, manifest, docs, kept("candidates", out.candidates), kept("decided", out.decided), kept("notes", out.notes)
 
 
 def value(decided, sku, attribute):
@@ -114,9 +120,9 @@ def test_notes(made):
     assert any(s == "P1" and n.startswith("no evidence found for: reverse_voltage_max") for s, n in got)
 
 
-def test_same_after_repartition(spark, made):
+def test_same_after_repartition(spark, made, tmp_path):
     skus, manifest, docs, *_ = made
-    again = datasheet.enrich(skus.repartition(3), manifest.repartition(7), docs.repartition(7)).decided
+    again = datasheet.enrich(skus.repartition(3), manifest.repartition(7), docs.repartition(7), path=str(tmp_path / "found")).decided
     columns = ["sku", "attribute", "value_num", "value_str", "start", "decision", "confidence", "reasons"]
     key = lambda df: sorted(map(str, df.select(*columns).collect()))
     assert key(again) == key(made[4])
