@@ -128,4 +128,7 @@ def format_g(x: Column) -> Column:
         power = F.concat(F.when(exponent < 0, "-").otherwise("+"), F.when(F.abs(exponent) < 10, "0").otherwise(""), F.abs(exponent).cast("string"))
         return F.when(v == 0, "0").when(exponent.between(-4, 5), stripped).otherwise(F.concat(mantissa, F.lit("e"), power))
 
-    return F.when(x.isNotNull(), let(let(x, digits), shown))
+    # Most numbers have six digits at most, which their shortest decimal shows as they are.
+    plain = F.regexp_replace(x.cast("string"), r"\.0$", "")
+    short = plain.rlike(r"^-?(?:[1-9][0-9]{0,5}|(?=[0-9.]{3,7}$)[1-9][0-9]*\.[0-9]+|0\.0{0,3}[1-9][0-9]{0,5})$")
+    return F.when(x == 0, "0").when(short, plain).when(x.isNotNull(), let(let(x, digits), shown))

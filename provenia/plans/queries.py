@@ -343,10 +343,10 @@ def _arbitrated(spark, d):
     return A.arbitrate(_claims(spark, d), ["sku", "attribute"])
 
 
-@query(f"WITH {_LIVE} SELECT w.sku, w.attribute, w.vkey, round(w.score, 6) AS score, len(w.docs)::INT AS agreeing_sources, w.reps AS repetitions, (w.k - 1)::INT AS n_rivals, coalesce(l.conflicting, false) AS conflicting, coalesce(l.conflict_values, '') AS conflict_values FROM win w LEFT JOIN lose l USING (sku, attribute)")
+@query(f"WITH {_LIVE} SELECT w.sku, w.attribute, w.vkey, round(w.score, 4) AS score, len(w.docs)::INT AS agreeing_sources, w.reps AS repetitions, (w.k - 1)::INT AS n_rivals, coalesce(l.conflicting, false) AS conflicting, coalesce(l.conflict_values, '') AS conflict_values FROM win w LEFT JOIN lose l USING (sku, attribute)")
 def arbitrate(spark, d):
     got = _arbitrated(spark, d)
-    return got.select("sku", "attribute", "vkey", F.round("score", 6).alias("score"), "agreeing_sources", "repetitions", "n_rivals", "conflicting", F.array_join("conflict_values", " ").alias("conflict_values"))
+    return got.select("sku", "attribute", "vkey", F.round("score", 4).alias("score"), "agreeing_sources", "repetitions", "n_rivals", "conflicting", F.array_join("conflict_values", " ").alias("conflict_values"))
 
 
 @query("""
