@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenia.llm.common import cut, join_splittable, text_pass
@@ -26,8 +26,8 @@ from provenia.llm.rows import keep_one_of_each, text_hash
 
 #: Words of a shingle, bits by which linked fingerprints may differ, seed of the hash.
 WORDS, BITS, SEED = 3, 3, 42
-#: The wide fingerprint of distinct words: its bits, those by which near copies may differ, bits of a block.
-WIDTH, WIDE_BITS, BLOCK_BITS = 320, 36, 16
+#: Words of a shingle of near copies; texts sampled for common shingles, and how many of these are told apart from others.
+SHINGLE, SAMPLED, COMMON = 5, 10_000, 100_000
 #: Bytes of a text split into words at a time; rows of tries and node pairs walked at a time.
 BLOCK, TRIE_ROWS, FRONTIER = 1 << 20, 200_000, 1 << 18
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -206,71 +206,128 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _classes(docs, id_col, text_col, words, bits).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def wide_fingerprint(data: bytes, width: int = WIDTH) -> bytes:
-    """The SimHash of a UTF-8 text's distinct words, in `width` bits; zeros for a text without words.
+def shingle_set(data: bytes, words: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a UTF-8 text's shingles, ascending; letters and white space as for fingerprint().
 
-    A changed word changes five shingles of five words but one distinct word, so texts of
-    which 0.8 of such shingles are the same differ in about 6 % of these bits, and texts
-    that have nothing to do with each other in over a third.
+    A text of fewer words is one shingle; a text without words has none.
     """
-    words: set[bytes] = set()
-    for block in _blocks(data.lower(), 0):
-        words.update(block)
-    if not words:
-        return bytes(width // 8)
-    seeds = range(SEED, SEED - (-width // 128))
-    ones = np.zeros(width, np.int64)
-    each = list(words)
-    for k in range(0, len(each), 1 << 14):
-        part = each[k : k + (1 << 14)]
-        hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, s) for w in part for s in seeds]), np.uint8).reshape(len(part), -1)[:, : width // 8]
-        ones += np.unpackbits(hashes, axis=1).sum(0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(each)).tobytes()
-
-
-def wide_links(fps: DataFrame, bits: int = WIDE_BITS, width: int = WIDTH, block: int = BLOCK_BITS) -> DataFrame:
-    """(u, v): links that span the components of wide fingerprints (f long, fp binary) at most `bits` bits apart.
-
-    A fingerprint goes to the tries of its width / block blocks. Two that differ in a
-    share d of their bits meet in one of them with a chance of 1 - (1 - (1 - d)^block) to the
-    power of the number of blocks: 0.9999 for 6 %, 0.96 for the 11 % that are the budget.
+    digest, found, first = xxhash.xxh64_intdigest, [], None
+    for block in _blocks(data.lower(), words - 1):
+        first = block
+        if len(block) < words:
+            continue
+        joined = b" ".join(block)
+        sizes = np.fromiter(map(len, block), np.int64, len(block))
+        ends = np.cumsum(sizes + 1) - 1
+        starts = (ends - sizes)[: len(block) - words + 1].tolist()
+        found.append(np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)), np.uint64, len(starts))))
+    if not found:
+        found = [np.array([digest(b" ".join(first), SEED)] if first else [], np.uint64)]
+    return np.unique(np.concatenate(found)).view(np.int64)
+
+
+def common_shingles(keyed: DataFrame, rows: int) -> np.ndarray:
+    """Hashes of shingles that several texts of a sample have, the most common last.
+
+    They only set the order in which shingles are compared. Any order that is the same for
+    all texts finds the same links, so the sample and the bound have no part in results.
     """
+    some = keyed.where(F.pmod("h64", F.lit(max(8, rows // SAMPLED))) == 0)
+    sets = text_pass(some, lambda: lambda texts: [{"s": shingle_set(t)} for t in texts], "s array<long>", "text", ["h64"])
+    counts = sets.select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 2")
+    return np.array([r.s for r in counts.orderBy(F.desc("n"), "s").limit(COMMON).collect()][::-1], np.int64)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(block - 1, -1, -1)
-        for batch in batches:
-            f, fp = batch.column("f").to_numpy(), batch.column("fp")
-            n = len(f)
-            values = np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(n, -1), axis=1).reshape(n, -1, block) @ weights
-            k = values.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(f, k)), fp.take(pa.array(np.repeat(np.arange(n), k))), pa.array(np.tile(np.arange(k, dtype=np.int32), n)), pa.array(values.ravel().astype(np.int32))], names=["f", "fp", "block", "value"])
 
-    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        fp = np.frombuffer(b"".join(t["fp"].to_pylist()), ">u8").astype(np.uint64).reshape(t.num_rows, -1)
-        bucket = _buckets(t)
-        order = np.lexsort((*fp.T[::-1], bucket))
-        yield from _links(t["f"].to_numpy()[order], trie_links(bucket[order], fp[order], bits))
+def _in_order(found: np.ndarray, common: np.ndarray, by_value: np.ndarray) -> np.ndarray:
+    """Hashes with the common ones last; by_value sorts common."""
+    if not len(common):
+        return found
+    at = by_value[np.minimum(np.searchsorted(common, found, sorter=by_value), len(common) - 1)]
+    known = common[at] == found
+    return np.concatenate([found[~known], common[np.sort(at[known])]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _by_bucket(batches, solve)
 
-    keyed = fps.select("f", "fp").mapInArrow(spread, "f long, fp binary, block int, value int")
-    return keyed.repartition("block", "value").sortWithinPartitions("block", "value").mapInArrow(run, "u long, v long").distinct()
+def _parities(found: np.ndarray) -> np.ndarray:
+    """Whether each of 1024 (long texts: 16,384) residues has an odd number of hashes, in longs of 64 bits.
+
+    Two sets differ in at least as many hashes as their parities in bits.
+    """
+    width = 1 << (10 if len(found) < 1500 else 14)
+    return np.packbits((np.bincount(found & (width - 1), minlength=width) & 1).astype(np.uint8)).view(np.int64)
+
 
+def _may_reach(*sides: tuple[str, str]) -> Column:
+    """Whether two sets of sizes n, whose first common shingle is at pos in each, can have Jaccard 0.8: 4/9 of n + n in common."""
+    need = 4 * (F.col(sides[0][0]) + F.col(sides[1][0]))
+    return (9 * (F.col(sides[0][0]) - F.col(sides[0][1])) >= need) & (9 * (F.col(sides[1][0]) - F.col(sides[1][1])) >= need)
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = WIDE_BITS, width: int = WIDTH, block: int = BLOCK_BITS) -> DataFrame:
+
+def _confirmed(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The pairs (u, v) of which the shingles have Jaccard 0.8 or more.
+
+    That is, at most a ninth of n + n differs; pairs whose parities differ in more need no sets.
+    """
+    ends = pairs.select(F.col("u").alias("f")).unionByName(pairs.select(F.col("v").alias("f"))).distinct()
+    short = cut(marked.select("f", "n", "parities").join(ends, "f", "left_semi").dropDuplicates(["f"]), narrow=True)
+    for x in "uv":
+        pairs = join_splittable(pairs, short.select(F.col("f").alias(x), F.col("n").alias("n" + x), F.col("parities").alias("p" + x)), x, "inner")
+    differ = F.aggregate(F.zip_with("pu", "pv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, x: acc + x)
+    pairs = cut(pairs.where((F.size("pu") != F.size("pv")) | (9 * differ <= F.col("nu") + F.col("nv"))).select("u", "v"), narrow=True)
+    ends = pairs.select(F.col("u").alias("f")).unionByName(pairs.select(F.col("v").alias("f"))).distinct()
+    sets = cut(marked.select("f", "shingles").join(ends, "f", "left_semi").dropDuplicates(["f"]))
+    both = join_splittable(pairs, sets.select(F.col("f").alias("u"), F.col("shingles").alias("a")), "u", "inner")
+    both = join_splittable(both, sets.select(F.col("f").alias("v"), F.col("shingles").alias("b")), "v", "inner")
+    return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
+
+
+def jaccard_links(marked: DataFrame) -> DataFrame:
+    """(u, v): links that span the components of shingle sets (f, n, shingles) with Jaccard 0.8 or more.
+
+    Such sets of n shingles, put in one order, have a common one among their first n -
+    ceil(0.8 n) + 1, and it is early enough in both (_may_reach). In the bucket of each
+    shingle all are compared with the one that has it earliest, which links a group of
+    copies in proportion to its size; then those that are not yet in one component are
+    compared with each other. Each link is confirmed by its whole sets.
+    """
+    first = F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1
+    keys = marked.select("f", "n", F.posexplode(F.slice("shingles", F.lit(1), first)).alias("pos", "key"))
+    head = F.first(F.struct("f", "n", "pos")).over(Window.partitionBy("key").orderBy("pos", "f"))
+    shared = cut(keys.withColumn("head", head).where("f <> head.f").select("key", "f", "n", "pos", F.col("head.f").alias("hf"), F.col("head.n").alias("hn"), F.col("head.pos").alias("hp")).distinct(), narrow=True)
+    stars = cut(shared.where(_may_reach(("n", "pos"), ("hn", "hp"))).select(F.least("f", "hf").alias("u"), F.greatest("f", "hf").alias("v")).distinct(), narrow=True)
+    links = cut(_confirmed(stars, marked), narrow=True)
+    roots = connected_components(links).select(F.col("node").alias("f"), "root")
+    named = join_splittable(shared.select("key", "f", "n", "pos"), roots, "f").select("key", "f", "n", "pos", F.coalesce("root", "f").alias("class"))
+    mixed = named.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
+    named = cut(named.join(mixed, "key", "left_semi"), narrow=True)
+    a, b = (named.select("key", *[F.col(c).alias(x + c) for c in ("f", "n", "pos", "class")]) for x in "ab")
+    pairs = a.join(b, "key").where((F.col("af") < F.col("bf")) & (F.col("aclass") != F.col("bclass")) & _may_reach(("an", "apos"), ("bn", "bpos")))
+    pairs = cut(pairs.select(F.col("af").alias("u"), F.col("bf").alias("v")).distinct().join(stars, ["u", "v"], "left_anti"), narrow=True)
+    return links.unionByName(_confirmed(pairs, marked))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, with one row of each group of near copies: that of the smallest id.
 
-    Rows link if their wide fingerprints differ in at most `bits` bits; links are
-    transitive. Null texts count as empty, and all texts without words are one group.
+    Rows link if the sets of their five-word shingles (64-bit hashes) have Jaccard 0.8 or
+    more, equal ones included; each such pair is found and no other. Links are transitive.
+    Null texts count as empty, and all texts without words are one group.
     """
     keyed = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("h64"), F.col(text_col).alias("text"))
-    marked = cut(text_pass(keyed, lambda: lambda texts: [{"fp": wide_fingerprint(t, width)} for t in texts], "fp binary", "text", ["id", "h64"]), narrow=True)
-    fps = cut(marked.select("fp").distinct().withColumn("f", F.monotonically_increasing_id()))
-    roots = connected_components(wide_links(fps, bits, width, block)).select(F.col("node").alias("f"), "root")
-    named = fps.join(roots, "f", "left").select("fp", F.coalesce("root", "f").alias("class"))
-    rows = join_splittable(marked, named, "fp").select("id", "h64", "class")
-    return keep_one_of_each(docs, cut(rows), id_col, text_col)
+    common = common_shingles(keyed, docs.count())
+
+    def make():
+        by_value = np.argsort(common)
+
+        def one(text: bytes) -> dict:
+            found = shingle_set(text)
+            return {"f": xxhash.xxh3_64_intdigest(found.tobytes(), SEED) - (1 << 63), "n": len(found), "parities": _parities(found), "shingles": _in_order(found, common, by_value)}
+
+        return lambda texts: [one(t) for t in texts]
+
+    marked = cut(text_pass(keyed, make, "f long, n int, parities array<long>, shingles array<long>", "text", ["id", "h64"]))
+    roots = connected_components(jaccard_links(marked)).select(F.col("node").alias("f"), "root")
+    rows = join_splittable(marked.select("id", "h64", "f"), roots, "f").select("id", "h64", F.coalesce("root", "f").alias("class"))
+    return keep_one_of_each(docs, cut(rows, narrow=True), id_col, text_col)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

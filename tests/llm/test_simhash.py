@@ -90,6 +90,48 @@ def test_near_copies_of_long_texts_go(spark):
     assert {200, 202, 203} <= kept and not kept & {201, 204}
 
 
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def kept_by_brute_force(rows, least=0.8):
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= least * len(a | b):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {k for i, (k, _) in enumerate(rows) if find(i) == i}
+
+
+def vocabulary(rng, n=3000):
+    return ["".join(rng.choice(["ta", "ri", "no", "se", "lu", "ke"]) for _ in range(rng.randint(1, 5))) + str(i) for i in range(n)]
+
+
+def test_near_copies_with_block_edits_go(spark):
+    rng = random.Random(6)
+    words = vocabulary(rng)
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    rows, copies = [], []
+    for i in range(40):
+        w = some(rng.randint(60, 600))
+        k, at = (len(w) - 4) // 5 - 8, rng.randrange(len(w))
+        made = [w + some(k), w[k:], w[:-k], w[:at] + some(k) + w[at:]]
+        rows.append((i, " ".join(w)))
+        rows.append((1000 + i, " ".join(made[i % 4])))
+        copies.append(1000 + i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.drop_near_copies(docs).collect()}
+    assert not kept & set(copies) and kept == kept_by_brute_force(rows)
+
+
 def test_components_match_brute_force(spark):
     rng = random.Random(3)
     base = [" ".join(rng.choice("abcdefghij") * 3 for _ in range(rng.randint(4, 60))) for _ in range(40)]
