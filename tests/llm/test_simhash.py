@@ -132,6 +132,22 @@ def test_near_copies_with_block_edits_go(spark):
     assert not kept & set(copies) and kept == kept_by_brute_force(rows)
 
 
+def test_near_copies_below_the_threshold_stay(spark):
+    rng = random.Random(7)
+    words = vocabulary(rng)
+    rows = []
+    for i in range(20):
+        w = rng.sample(words, 150)
+        edited = list(w)
+        for k in range(5, 150, 25):
+            edited[k] = "changed"  # six words: Jaccard 0.66
+        turned = w[:]
+        rng.shuffle(turned)
+        rows += [(10 * i, " ".join(w)), (10 * i + 1, " ".join(edited)), (10 * i + 2, " ".join(turned)), (10 * i + 3, " ".join(w + w[::-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == {i for i, _ in rows} == kept_by_brute_force(rows)
+
+
 def test_components_match_brute_force(spark):
     rng = random.Random(3)
     base = [" ".join(rng.choice("abcdefghij") * 3 for _ in range(rng.randint(4, 60))) for _ in range(40)]
