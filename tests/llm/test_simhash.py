@@ -148,6 +148,24 @@ def test_near_copies_below_the_threshold_stay(spark):
     assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == {i for i, _ in rows} == kept_by_brute_force(rows)
 
 
+def test_each_near_copy_is_found(spark, monkeypatch):
+    rng = random.Random(8)
+    words = vocabulary(rng, 400)
+    passages = [[rng.choice(words) for _ in range(rng.randint(10, 50))] for _ in range(12)]
+    rows = []
+    for i in range(60):
+        w = sum(rng.sample(passages, rng.randint(1, 4)), []) + [rng.choice(words) for _ in range(rng.randint(0, 60))]
+        for j in range(rng.randint(1, 8)):
+            v = list(w)
+            for k in rng.sample(range(len(v)), rng.randint(0, len(v) // 25)):
+                v[k] = rng.choice(words)
+            rows.append((100 * i + j, " ".join(v[rng.randint(0, len(v) // 12) :])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for common in (100_000, 40):
+        monkeypatch.setattr(simhash, "COMMON", common)
+        assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == kept_by_brute_force(rows)
+
+
 def test_components_match_brute_force(spark):
     rng = random.Random(3)
     base = [" ".join(rng.choice("abcdefghij") * 3 for _ in range(rng.randint(4, 60))) for _ in range(40)]
