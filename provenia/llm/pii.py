@@ -9,6 +9,9 @@ begins or the previous match ended.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,7 +168,7 @@ def redact(text: Column, least: float = REDACTED) -> Column:
         start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
         return F.aggregate(spans(x), start, step, lambda acc: F.concat(acc["out"], F.substring(x, acc["pos"] + 1, F.length(x))))
 
-    maybe = text.contains("@") | text.contains("+") | text.rlike(r"[0-9](?:\.|[\x20-]?[0-9]{2})|[A-Z]{2}[0-9]{2}")
+    maybe = reduce(or_, [GUARDS[kind](text) for kind in KINDS])
     return F.when(maybe, F.array_join(F.transform(F.split(text, "\n", -1), line), "\n")).otherwise(text)
 
 

@@ -81,5 +81,10 @@ def test_redaction(spark):
     assert got == ["[EMAIL]\nx [PHONE] y\n\n[IP]", None, "", "nothing 12 here", "call [PHONE], [CARD]"]
 
 
+def test_redaction_of_cards_digit_by_digit(spark):
+    rows = [(sep.join("4111111111111111"),) for sep in " -"]
+    assert [r[0] for r in spark.createDataFrame(rows, "t string").select(P.redact(F.col("t"))).collect()] == ["[CARD]", "[CARD]"]
+
+
 def test_empty_table(spark):
     assert P.personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
