@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from provenia.llm.common import let
 
-#: Matches whose positions are summed together; code points of context; score from which spans are redacted.
+#: Matches whose positions are summed together; code points of context; score from which spans of added kinds are redacted.
 SUMMED, CONTEXT, REDACTED = 256, 48, 0.5
 #: In the order of ties; those before iban are found whatever their score.
 KINDS = ("email", "ip", "card", "phone", "iban")
+BASE = 4
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -154,16 +155,16 @@ def spans(text: Column) -> Column:
 
 
 def redact(text: Column, least: float = REDACTED) -> Column:
-    """The text with each span of at least that score replaced by its kind in brackets.
+    """The text with each confirmed span replaced by its kind in brackets.
 
-    Of overlapping spans the first stands. Null stays null. No pattern spans a line break,
+    Base kinds are replaced whatever their score, others from that score. Of overlapping spans the first stands. Null stays null. No pattern spans a line break,
     so the work is done line by line and a long text costs about its length.
     """
 
     def line(x: Column) -> Column:
         def step(acc: Column, r: Column) -> Column:
             more = F.concat(acc["out"], F.substring(x, acc["pos"] + 1, r["s"] - acc["pos"]), F.lit("["), F.upper(r["kind"]), F.lit("]"))
-            return F.when((r["score"] >= least) & (r["s"] >= acc["pos"]), F.struct(r["e"].alias("pos"), more.alias("out"))).otherwise(acc)
+            return F.when(((r["k"] < BASE) | (r["score"] >= least)) & (r["s"] >= acc["pos"]), F.struct(r["e"].alias("pos"), more.alias("out"))).otherwise(acc)
 
         start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
         return F.aggregate(spans(x), start, step, lambda acc: F.concat(acc["out"], F.substring(x, acc["pos"] + 1, F.length(x))))
@@ -185,8 +186,8 @@ def op4_pii(spark, sf_dir: str) -> DataFrame:
     """doc_id, counts by kind, base_sha256 and spans for each row of documents."""
 
     def digest(found: Column) -> Column:
-        base = F.filter(found, lambda r: r["k"] < 4)
-        counts = [F.size(F.filter(found, lambda r: r["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
+        base = F.filter(found, lambda r: r["k"] < BASE)
+        counts = [F.size(F.filter(found, lambda r: r["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS[:BASE])]
         return F.struct(*counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(found).alias("spans"))
 
     found = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))

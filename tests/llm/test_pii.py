@@ -86,5 +86,10 @@ def test_redaction_of_cards_digit_by_digit(spark):
     assert [r[0] for r in spark.createDataFrame(rows, "t string").select(P.redact(F.col("t"))).collect()] == ["[CARD]", "[CARD]"]
 
 
+def test_redaction_whatever_the_context(spark):
+    rows = [("version 10.0.0.1",), ("plus +1 (377) 555-0271",)]
+    assert [r[0] for r in spark.createDataFrame(rows, "t string").select(P.redact(F.col("t"))).collect()] == ["version [IP]", "plus [PHONE]"]
+
+
 def test_empty_table(spark):
     assert P.personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
