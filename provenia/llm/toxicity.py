@@ -34,6 +34,8 @@ STEM, LEAST_DOCS, LEAST_SHARE, MOST_CLEAN, RATIO = (4, 12), 3, 0.004, 0.002, 20.
 EDITS = ((5, 1), (10, 2))
 #: Words on either side that make the context; entries of the memo of words; states of the automaton.
 CONTEXT, MEMO, STATES = 6, 200_000, 20_000
+#: Characters without white space from which these are not one word.
+LONG = 1000
 #: Files of the labelled sample.
 FILES = 8
 #: Share of hold-outs and score from which a document is toxic.
@@ -151,7 +153,7 @@ class _Words(dict):
         if len(self) >= MEMO:
             self.clear()
         best = None
-        for part in _LETTERS.findall(word.lower()) if len(word) < 1000 else ():
+        for part in _LETTERS.findall(word.lower()):
             found = self.automaton.find(part)
             if found and (best is None or found[0] < best[1]):
                 best = (found[1].weight, found[0], word[0] in _MARKS and word.rstrip(".,;:!?")[-1:] in _MARKS)
@@ -161,8 +163,11 @@ class _Words(dict):
 
 
 def measure(words: _Words, text: str) -> list[float]:
-    """Sums over a text's hits: exact and near ones as abuse, all as quotation, and their share of the words."""
-    parts = text.split()
+    """Sums over a text's hits: exact and near ones as abuse, all as quotation, and their share of the words.
+
+    Words are split at white space, a run of LONG characters without any at all but letters and digits.
+    """
+    parts = [p for w in text.split() for p in ([w] if len(w) < LONG else _LETTERS.findall(w))]
     found = [words[w] for w in parts]
     exact = near = quoted = 0.0
     for k, hit in enumerate(found):

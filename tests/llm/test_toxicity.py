@@ -45,6 +45,12 @@ def test_quotation_counts_less_than_abuse():
     assert X.measure(words, "") == [0.0, 0.0, 0.0, 0.0]
 
 
+def test_runs_without_white_space_are_read():
+    words = X._Words(X.Automaton([X.Term("idiot", False, 0.95)]))
+    text = ["you", "are", "an", "idiot", *["word"] * 300, "such", "idioot"]
+    assert X.measure(words, ",".join(text)) == X.measure(words, " ".join(text))
+
+
 def corpus(spark, n=600):
     rng = random.Random(13)
     plain = ["".join(rng.choice(["ta", "ri", "no", "se", "lu"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
