@@ -20,14 +20,14 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenia.llm.common import cut, small_batches, table, text_pass
 from provenia.llm.learning import Logistic, labelled_sample, remainder
 
-#: Labelled documents of each class to learn from; candidate terms carried to the driver; terms kept.
-SAMPLE, CANDIDATES, TERMS = 4000, 20_000, 400
+#: Labelled documents of each class to learn from; terms kept.
+SAMPLE, TERMS = 4000, 400
 #: Letters of a stem; documents and share of toxic ones with a term; share of clean ones; ratio of the two.
 STEM, LEAST_DOCS, LEAST_SHARE, MOST_CLEAN, RATIO = (4, 12), 3, 0.004, 0.002, 20.0
 #: Letters from which one and two edits are allowed.
@@ -194,7 +194,7 @@ def _terms_of(text: str) -> set[tuple[str, bool]]:
     return out
 
 
-def _counts(sample: DataFrame, only: frozenset | None) -> DataFrame:
+def _counts(sample: DataFrame) -> DataFrame:
     """(part, term, stem, docs): documents of each half of the sample that have a term."""
     small_batches(sample.sparkSession)
 
@@ -202,8 +202,7 @@ def _counts(sample: DataFrame, only: frozenset | None) -> DataFrame:
         n: Counter = Counter()
         for batch in batches:
             for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                terms = _terms_of(text)
-                n.update((part, *t) for t in (terms if only is None else terms & only))
+                n.update((part, *t) for t in _terms_of(text))
             if len(n) > 300_000:
                 yield flush(n)
                 n.clear()
@@ -241,6 +240,25 @@ def choose_terms(toxic: dict, clean: dict, n_toxic: int, n_clean: int) -> list[T
     return sorted(out.values(), key=lambda t: (-toxic[(t.text, t.stem)], t))[:TERMS]
 
 
+def _candidates(sample: DataFrame, n_toxic: list[int], n_clean: list[int]) -> tuple[list[dict], list[dict]]:
+    """Documents of each class, by half of the sample, that have a term; only of terms good enough in a half or in both."""
+    by_part = [F.sum(F.when(F.col("part") == p, F.col("docs")).otherwise(0)) for p in (0, 1)]
+    of = {c: _counts(sample.where(F.col("label") == k)).groupBy("term", "stem").agg(*[n.alias(f"{c}{p}") for p, n in enumerate(by_part)]) for k, c in ((1, "toxic"), (0, "clean"))}
+    rows = of["toxic"].where(F.col("toxic0") + F.col("toxic1") >= LEAST_DOCS).join(of["clean"], ["term", "stem"], "left").na.fill(0)
+
+    def good(docs: Column, other_docs: Column, toxic: int, clean: int) -> Column:
+        share, other = docs / max(1, toxic), other_docs / max(1, clean)
+        return (docs >= max(LEAST_DOCS, LEAST_SHARE * toxic)) & (other <= MOST_CLEAN) & (share >= RATIO * (other + 0.5 / max(1, clean)))
+
+    t, c = ([F.col(f"{x}{p}") for p in (0, 1)] for x in ("toxic", "clean"))
+    either = good(t[0], c[0], n_toxic[0], n_clean[0]) | good(t[1], c[1], n_toxic[1], n_clean[1]) | good(t[0] + t[1], c[0] + c[1], sum(n_toxic), sum(n_clean))
+    toxic, clean = [{}, {}], [{}, {}]
+    for r in rows.where(either).collect():
+        for p in (0, 1):
+            toxic[p][(r.term, r.stem)], clean[p][(r.term, r.stem)] = r[f"toxic{p}"], r[f"clean{p}"]
+    return toxic, clean
+
+
 class Model(NamedTuple):
     terms: list
     score: Logistic
@@ -272,14 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = FOLD, id_col
     if not sum(n_toxic) or not sum(n_clean):
         x = np.array([[0, 0, 0, 0], [0.6, 0, 0, 0.05], [1.1, 0, 0, 0.1], [1.4, 0.6, 0, 0.3]])
         return Model(seed, Logistic(x, np.array([0, 0, 1, 1]), 0.1))
-    found = _counts(sample.where("label = 1"), None)
-    top = found.groupBy("term", "stem").agg(F.sum("docs").alias("all")).where(F.col("all") >= LEAST_DOCS).orderBy(F.desc("all"), "term", "stem").limit(CANDIDATES)
-    toxic: list[dict] = [{}, {}]
-    for r in found.join(F.broadcast(top), ["term", "stem"]).select("part", "term", "stem", "docs").collect():
-        toxic[r.part][(r.term, r.stem)] = r.docs
-    clean: list[dict] = [{}, {}]
-    for r in _counts(sample.where("label = 0"), frozenset(toxic[0]) | frozenset(toxic[1])).collect():
-        clean[r.part][(r.term, r.stem)] = r.docs
+    toxic, clean = _candidates(sample, n_toxic, n_clean)
     both = [{k: d[0].get(k, 0) + d[1].get(k, 0) for k in {*d[0], *d[1]}} for d in (toxic, clean)]
     halves = [choose_terms(toxic[p], clean[p], n_toxic[p], n_clean[p]) or seed for p in (0, 1)]
     terms = choose_terms(*both, sum(n_toxic), sum(n_clean)) or seed

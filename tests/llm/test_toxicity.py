@@ -81,6 +81,15 @@ def test_learns_words_and_stems(spark):
     assert kept.count() == sum(s < X.TOXIC for s in got.values()) - (got[0] >= X.TOXIC) + (got[0] < X.TOXIC) + (got[0] >= X.TOXIC)
 
 
+def test_terms_rarer_than_many_neutral_ones_are_learned(spark):
+    neutral = " ".join("".join(chr(97 + (i // 26**k) % 26) for k in range(4)) for i in range(11_000))
+    rows = [(i, f"{neutral} word{i}x{i} zwipot" if i % 2 and i > 4 else f"{neutral} word{i}x{i}", i % 2) for i in range(24)]
+    sample = spark.createDataFrame([(p, k, t) for p in (0, 1) for _, t, k in rows], "part int, label int, text string")
+    toxic, clean = X._candidates(sample, [12, 12], [12, 12])
+    assert toxic[0][("zwipot", False)] == toxic[1][("zwipot", False)] == 10 and clean[0][("zwipot", False)] == 0
+    assert not any(k[0] in neutral for k in toxic[0])
+
+
 @pytest.mark.parametrize("which", [0, 1])
 def test_without_labels(spark, which):
     docs, labels = corpus(spark, 50)
