@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as a Java, RE2 and Python character class.
 SPACE = r"[\x20\x09-\x0D]"
-#: Rows and bytes of a batch handed to Python, and rows turned into Python objects at a time.
-BATCH_ROWS, BATCH_BYTES, SLICE_ROWS = 500, 16 << 20, 50
+#: Rows turned into Python objects at a time; Spark bounds the bytes of a batch.
+SLICE_ROWS = 50
+_LOCAL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,18 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which every executor reaches.
+    """A fresh folder below spark.checkpoint.dir, which every executor reaches; it goes with the session's process.
 
     The setting is read from the session; only where it is unset (tests, notebooks in
-    local mode) is a temporary folder of this machine set in its place.
+    local mode) does a temporary folder of this machine stand in.
     """
+    app = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="provenia-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/provenia/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+        root = _LOCAL.get(app) or _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="provenia-"))
+    own = f"{root.rstrip('/')}/provenia/{app}"
+    if own not in _LOCAL:
+        _LOCAL[own] = own
+        atexit.register(_delete, spark, own)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is None:  # stopped already
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
@@ -50,10 +63,10 @@ def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows and bytes of an Arrow batch, for a batch holds whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def remove(df: DataFrame) -> None:
+    """Delete the files of a table that cut() wrote and nothing reads any more."""
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
 
 
 def text_pass(
@@ -73,7 +86,6 @@ def text_pass(
     """
     from pyspark.sql.types import StructType
 
-    small_batches(df.sparkSession)
     names = df.columns if carry is None else carry
     body = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     source = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), (body.cast("binary") if binary else body.cast("string")).alias("text"))

@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from provenia.llm.bpe import byte_letters
-from provenia.llm.common import small_batches
 from provenia.llm.merging import MergeTable
 
 #: Ids of a sequence; id after each document.
@@ -252,7 +251,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     gives no pieces. A sequence holds pieces of one task's documents, in their order;
     sequence ids are unique, not consecutive. Other columns play no part.
     """
-    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = StructType().add(source.schema["id"])
     for name in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"):

@@ -1,12 +1,16 @@
 """Near-duplicate documents by SimHash fingerprints and a self-join of their binary trie.
 
-Fingerprints are 64 bits wide. Two that differ in at most `bits` bits agree on at least
-one of `bits + 1` blocks of bits, so each distinct fingerprint goes, once for each block,
-to the trie of the fingerprints with the same block. Within such a trie, pairs of nodes
-are walked together from the root; a pair carries the number of bits in which its two
-paths differ and is dropped when that exceeds the budget. Pairs of subtrees known to lie
-in one component are dropped too, so that a dense ball of fingerprints costs about its
-size and leaves a spanning star of links rather than all its pairs.
+Within a trie, pairs of nodes are walked together from the root; a pair carries the number
+of bits in which its two paths differ and is dropped when that exceeds the budget. Pairs of
+subtrees known to lie in one component are dropped too, so that a dense ball of fingerprints
+costs about its size and leaves a spanning forest of links rather than all its pairs.
+
+A trie holds the fingerprints that can be near each other. For a budget of few bits
+(near_links) these are the ones with an equal block of bits: of `bits + 1` blocks, two
+fingerprints within the budget have one in common. For near copies (wide_links), whose
+budget is a fifth of all bits, no block is both wide enough to tell texts apart and likely
+to be equal; there, the texts of a trie share one of six min-wise shingles. Tries of many
+rows are split by further bits before they are dealt out.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenia.llm.common import cut, join_splittable, text_pass
@@ -26,10 +30,13 @@ from provenia.llm.rows import keep_one_of_each, text_hash
 
 #: Words of a shingle, bits by which linked fingerprints may differ, seed of the hash.
 WORDS, BITS, SEED = 3, 3, 42
-#: Words of a shingle of near copies; texts sampled for common shingles, and how many of these are told apart from others.
-SHINGLE, SAMPLED, COMMON = 5, 10_000, 100_000
-#: Bytes of a text split into words at a time; rows of tries and node pairs walked at a time.
-BLOCK, TRIE_ROWS, FRONTIER = 1 << 20, 200_000, 1 << 18
+#: Near copies: words of a shingle, bits of a fingerprint, share of bits that must agree, min-wise shingles by which texts meet.
+SHINGLE, WIDE, LEAST, ANCHORS = 5, 1024, 0.8, 6
+#: Rows from which a trie is split; blocks of bits by which one of near copies is.
+HOT, SPLIT_HOT, BLOCKS = 20_000, 1000, 16
+#: Bytes of a text split into words at a time; shingles counted at a time; rows of tries and node pairs walked at a time.
+BLOCK, COUNTED, TRIE_ROWS, FRONTIER = 1 << 20, 4096, 100_000, 1 << 18
+_SPREAD, _LANES = np.uint64(0x9E3779B97F4A7C15), WIDE // 64
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -70,20 +77,30 @@ def fingerprint(data: bytes, words: int = WORDS, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def _hook(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Labels after linking i with j; a label is the smallest index linked."""
+def _hook(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels after linking i with j, and which of these pairs made a forest; a label is the smallest index linked."""
+    used = [np.zeros(0, np.int64)]
     while True:
         a, b = labels[i], labels[j]
-        differ = a != b
-        if not differ.any():
-            return labels
-        np.minimum.at(labels, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        differ = np.flatnonzero(low != high)
+        if not len(differ):
+            return labels, np.concatenate(used)
+        order = differ[np.lexsort((low[differ], high[differ]))]
+        first = order[np.r_[True, high[order[1:]] != high[order[:-1]]]]
+        labels[high[first]] = low[first]
+        used.append(first)
         while (labels[labels] != labels).any():
             labels = labels[labels]
 
 
 def trie_links(bucket: np.ndarray, fp: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """For each row, the index of its component's first row.
+    """For each row, the index of its component's first row; arguments as for trie_walk()."""
+    return trie_walk(bucket, fp, bits)[0]
+
+
+def trie_walk(bucket: np.ndarray, fp: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(labels, i, j, node pairs walked): a row's label is its component's first row; the links i, j span the components.
 
     Rows are sorted by (bucket, fp) and distinct within a bucket; fp holds 64 bits a row,
     or several 64-bit words, the first the most significant.
@@ -98,6 +115,7 @@ def trie_links(bucket: np.ndarray, fp: np.ndarray, bits: int = BITS) -> np.ndarr
     changes = None  # running count of label changes: a range is of one label if it does not grow
     ones = [None] * width
     stack = [(0, root)]
+    links, walked = [(np.zeros(0, np.int64),) * 2], 0
     while stack:
         depth, (al, ah, bl, bh, diff) = stack.pop()
         if changes is not None and len(al):
@@ -109,12 +127,15 @@ def trie_links(bucket: np.ndarray, fp: np.ndarray, bits: int = BITS) -> np.ndarr
             half = len(al) // 2
             stack += [(depth, tuple(x[half:] for x in (al, ah, bl, bh, diff))), (depth, tuple(x[:half] for x in (al, ah, bl, bh, diff)))]
             continue
+        walked += len(al)
         leaf = (ah - al == 1) & (bh - bl == 1)
         if leaf.any():
             i, j = al[leaf], bl[leaf]
             near = (i != j) & (np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64) <= bits)
             if near.any():
-                labels = _hook(labels, i[near], j[near])
+                i, j = i[near], j[near]
+                labels, used = _hook(labels, i, j)
+                links.append((i[used], j[used]))
                 changes = np.cumsum(np.r_[False, labels[1:] != labels[:-1]])
             al, ah, bl, bh, diff = (x[~leaf] for x in (al, ah, bl, bh, diff))
         if not len(al) or depth == width:
@@ -129,18 +150,18 @@ def trie_links(bucket: np.ndarray, fp: np.ndarray, bits: int = BITS) -> np.ndarr
         nl, nh, ml, mh, d = (np.concatenate(x) for x in zip(*parts, strict=True))
         keep = (nl < nh) & (ml < mh) & (d <= bits) & ~((nl == ml) & (nh - nl == 1))
         stack.append((depth + 1, (nl[keep], nh[keep], ml[keep], mh[keep], d[keep])))
-    return labels
+    return labels, *(np.concatenate(x) for x in zip(*links, strict=True)), walked
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch], solve: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
-    """solve() over whole buckets (block, value), by which the batches are sorted, some TRIE_ROWS rows at a time."""
+    """solve() over whole tries (bucket), by which the batches are sorted, some TRIE_ROWS rows at a time."""
     held, rows = [], 0
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
-        if rows >= TRIE_ROWS:  # all buckets but the last are whole
-            b, v = batch.column("block").to_numpy(), batch.column("value").to_numpy()
-            last = np.flatnonzero((b != b[-1]) | (v != v[-1]))
+        if rows >= TRIE_ROWS:  # all tries but the last are whole
+            b = batch.column("bucket").to_numpy()
+            last = np.flatnonzero(b != b[-1])
             if len(last):
                 yield from solve(pa.Table.from_batches([*held[:-1], batch.slice(0, last[-1] + 1)]))
                 held = [batch.slice(last[-1] + 1)]
@@ -149,34 +170,58 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], solve: Callable[[pa.Table], It
         yield from solve(pa.Table.from_batches(held))
 
 
-def _links(names: np.ndarray, labels: np.ndarray) -> Iterator[pa.RecordBatch]:
-    tied = labels != np.arange(len(labels))
-    if tied.any():
-        yield pa.RecordBatch.from_arrays([pa.array(names[tied]), pa.array(names[labels[tied]])], names=["u", "v"])
+def _linked(names: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(i):
+        yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(names[j])], names=["u", "v"])
+
 
+def _joined(keyed: DataFrame, solve: Callable[[pa.Table], Iterator[pa.RecordBatch]], *order: str) -> DataFrame:
+    """(u, v) of the tries of keyed, whose rows are dealt by bucket and sorted."""
 
-def _buckets(t: pa.Table) -> np.ndarray:
-    return t["block"].to_numpy().astype(np.int64) << 32 | t["value"].to_numpy().astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _by_bucket(batches, solve)
+
+    return keyed.repartition("bucket").sortWithinPartitions("bucket", *order).mapInArrow(run, "u long, v long").distinct()
+
+
+def _hot(keyed: DataFrame, least: int) -> DataFrame | None:
+    """(bucket) of more than `least` rows, as a table; None if there is none."""
+    hot = cut(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > least).select("bucket", F.lit(True).alias("hot")), narrow=True)
+    return None if hot.isEmpty() else hot
 
 
 def near_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """(u, v): links that span the components of distinct fingerprints (fp long) at most `bits` bits apart."""
+    """(u, v): links that span the components of distinct fingerprints (fp long) at most `bits` bits apart.
+
+    A trie of more than HOT rows is split in the same way again: what is left of the
+    fingerprints beside its block has `bits + 1` blocks, of which near ones share one.
+    """
     width = 64 // (bits + 1)
-    block = F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("block")
-    mask = (1 << width) - 1
-    keyed = fps.select("fp", block).select("fp", "block", F.expr(f"shiftrightunsigned(fp, block * {width})").bitwiseAND(F.lit(mask)).alias("value"))
-    dealt = keyed.repartition("block", "value").sortWithinPartitions("block", "value")
+    rest = 64 - width
+    inner = rest // (bits + 1)
+    block = F.explode(F.sequence(F.lit(0), F.lit(bits)))
+
+    def value(of: str, at: str, wide: int) -> Column:
+        return F.expr(f"shiftrightunsigned({of}, {at} * {wide})").bitwiseAND(F.lit((1 << wide) - 1))
+
+    keyed = fps.select("fp", block.alias("block")).select("fp", "block", F.xxhash64("block", value("fp", "block", width)).alias("bucket"))
+    hot = _hot(keyed, HOT)
+    if hot is not None:
+        marked = join_splittable(keyed, hot, "bucket")
+        low = F.expr(f"fp & (shiftleft(1L, block * {width}) - 1)")
+        above = F.expr(f"if(block = {bits}, 0L, shiftleft(shiftrightunsigned(fp, least(63, (block + 1) * {width})), block * {width}))")
+        split = marked.where("hot").select("fp", "bucket", low.bitwiseOR(above).alias("rest"), block.alias("inner"))
+        split = split.select("fp", F.lit(0).alias("block"), F.xxhash64("bucket", "inner", value("rest", "inner", inner)).alias("bucket"))
+        keyed = marked.where("hot is null").select("fp", "block", "bucket").unionByName(split)
 
     def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        fp, bucket = t["fp"].to_numpy().astype(np.int64).view(np.uint64), _buckets(t)
+        fp, bucket = t["fp"].to_numpy().astype(np.int64).view(np.uint64), t["bucket"].to_numpy()
         order = np.lexsort((fp, bucket))
         fp, bucket = fp[order], bucket[order]
-        yield from _links(fp.view(np.int64), trie_links(bucket, fp, bits))
+        _, i, j, _ = trie_walk(bucket, fp, bits)
+        yield from _linked(fp.view(np.int64), i, j)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _by_bucket(batches, solve)
-
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return _joined(keyed.select("fp", "bucket"), solve)
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int) -> DataFrame:
@@ -206,126 +251,114 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _classes(docs, id_col, text_col, words, bits).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_SEEDS = _mix(np.arange(1, _LANES + 1, dtype=np.uint64) * _SPREAD)
+
+
 def shingle_set(data: bytes, words: int = SHINGLE) -> np.ndarray:
-    """The distinct hashes of a UTF-8 text's shingles, ascending; letters and white space as for fingerprint().
+    """The distinct 64-bit hashes of a UTF-8 text's shingles, ascending; letters and white space as for fingerprint().
 
     A text of fewer words is one shingle; a text without words has none.
     """
-    digest, found, first = xxhash.xxh64_intdigest, [], None
+    found, seen, first = [], 0, None
     for block in _blocks(data.lower(), words - 1):
-        first = block
-        if len(block) < words:
-            continue
-        joined = b" ".join(block)
-        sizes = np.fromiter(map(len, block), np.int64, len(block))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[: len(block) - words + 1].tolist()
-        found.append(np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)), np.uint64, len(starts))))
+        first, seen = block, seen + len(block)
+        h = np.fromiter(map(xxhash.xxh64_intdigest, block), np.uint64, len(block))
+        n = len(h) - words + 1
+        if n > 0:
+            total = h[:n].copy()
+            for k in range(1, words):
+                total = _mix(total * _SPREAD + h[k : k + n])
+            found.append(np.unique(total))
     if not found:
-        found = [np.array([digest(b" ".join(first), SEED)] if first else [], np.uint64)]
-    return np.unique(np.concatenate(found)).view(np.int64)
-
-
-def common_shingles(keyed: DataFrame, rows: int) -> np.ndarray:
-    """Hashes of shingles that several texts of a sample have, the most common last.
-
-    They only set the order in which shingles are compared. Any order that is the same for
-    all texts finds the same links, so the sample and the bound have no part in results.
-    """
-    some = keyed.where(F.pmod("h64", F.lit(max(8, rows // SAMPLED))) == 0)
-    sets = text_pass(some, lambda: lambda texts: [{"s": shingle_set(t)} for t in texts], "s array<long>", "text", ["h64"])
-    counts = sets.select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 2")
-    return np.array([r.s for r in counts.orderBy(F.desc("n"), "s").limit(COMMON).collect()][::-1], np.int64)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(first), SEED)] if first else [], np.uint64)
+    return np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
 
 
-def _in_order(found: np.ndarray, common: np.ndarray, by_value: np.ndarray) -> np.ndarray:
-    """Hashes with the common ones last; by_value sorts common."""
-    if not len(common):
-        return found
-    at = by_value[np.minimum(np.searchsorted(common, found, sorter=by_value), len(common) - 1)]
-    known = common[at] == found
-    return np.concatenate([found[~known], common[np.sort(at[known])]])
+def wide_fingerprint(shingles: np.ndarray) -> tuple[bytes, list[int]]:
+    """The SimHash of a set of shingles in WIDE bits, and the ANCHORS min-wise hashes of the set."""
+    ones, least = np.zeros(WIDE, np.int64), np.full(ANCHORS, ~np.uint64(0))
+    for at in range(0, len(shingles), COUNTED):
+        lanes = _mix(shingles[at : at + COUNTED, None] ^ _SEEDS)
+        ones += np.unpackbits(lanes.view(np.uint8), axis=1).sum(0, dtype=np.uint32)
+        least = np.minimum(least, lanes[:, :ANCHORS].min(0))
+    return np.packbits(ones * 2 > len(shingles)).tobytes(), least.view(np.int64).tolist() if len(shingles) else []
 
 
-def _parities(found: np.ndarray) -> np.ndarray:
-    """Whether each of 1024 (long texts: 16,384) residues has an odd number of hashes, in longs of 64 bits.
+def _split(rows: DataFrame) -> DataFrame:
+    """(bucket, f, fp) of rows (bucket, f, fp, n): tries of n > SPLIT_HOT rows become smaller ones.
 
-    Two sets differ in at least as many hashes as their parities in bits.
+    Each goes to BLOCKS tries, by the first four bits of as many blocks of the fingerprint,
+    and these that are still large to more, by the next four.
     """
-    width = 1 << (10 if len(found) < 1500 else 14)
-    return np.packbits((np.bincount(found & (width - 1), minlength=width) & 1).astype(np.uint8)).view(np.int64)
-
+    out = rows.where(F.col("n") <= SPLIT_HOT).select("bucket", "f", "fp")
+    now = rows.where(F.col("n") > SPLIT_HOT).select("bucket", "f", "fp", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    step = WIDE // BLOCKS // 8
+    for level in range(2 * step):
+        digit = F.substring(F.hex(F.expr(f"substring(fp, block * {step} + {level // 2 + 1}, 1)")), level % 2 + 1, 1)
+        now = cut(now.select(F.xxhash64("bucket", "block", digit).alias("bucket"), "f", "fp", "block"))
+        hot = _hot(now, SPLIT_HOT)
+        if hot is None:
+            break
+        marked = join_splittable(now, hot, "bucket")
+        out = out.unionByName(marked.where("hot is null").select("bucket", "f", "fp"))
+        now = marked.where("hot").drop("hot")
+    return out.unionByName(now.select("bucket", "f", "fp"))
+
+
+def wide_links(marked: DataFrame, least: float = LEAST) -> DataFrame:
+    """(u, v): links between fingerprints (f, fp, anchors) of which a share `least` of bits agrees; they span the components.
+
+    f names a fingerprint, anchors are the min-wise shingles of its text. Fingerprints
+    that share an anchor are in one trie. Two sets of Jaccard j share none with a chance
+    of (1 - j) ** ANCHORS; at 0.8 of equal bits j is about 0.68, the chance 0.001.
+    """
+    bits = int(WIDE * (1 - least) + 1e-9)
+    keys = cut(marked.select("f", F.explode("anchors").alias("bucket")).distinct(), narrow=True)
+    met = cut(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), narrow=True)
+    rows = cut(join_splittable(keys, met, "bucket", "inner"), narrow=True)
+    fps = marked.select("f", "fp").join(rows.select("f").distinct(), "f", "left_semi").dropDuplicates(["f"])
+    rows = rows.join(fps, "f")
+    if not met.where(F.col("n") > SPLIT_HOT).isEmpty():
+        rows = _split(cut(rows))
 
-def _may_reach(*sides: tuple[str, str]) -> Column:
-    """Whether two sets of sizes n, whose first common shingle is at pos in each, can have Jaccard 0.8: 4/9 of n + n in common."""
-    need = 4 * (F.col(sides[0][0]) + F.col(sides[1][0]))
-    return (9 * (F.col(sides[0][0]) - F.col(sides[0][1])) >= need) & (9 * (F.col(sides[1][0]) - F.col(sides[1][1])) >= need)
+    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        fp = np.frombuffer(b"".join(t["fp"].to_pylist()), ">u8").astype(np.uint64).reshape(-1, _LANES)
+        bucket, names = t["bucket"].to_numpy(), t["f"].to_numpy()
+        new = np.r_[True, (bucket[1:] != bucket[:-1]) | (fp[1:] != fp[:-1]).any(1)]  # equal ones link as one row
+        at = np.flatnonzero(new)
+        row = np.cumsum(new) - 1
+        same = np.flatnonzero(~new)
+        yield from _linked(names, same, at[row[same]])
+        _, i, j, _ = trie_walk(bucket[at], fp[at], bits)
+        yield from _linked(names, at[i], at[j])
 
+    return _joined(rows.select("bucket", "f", "fp"), solve, "fp")
 
-def _confirmed(pairs: DataFrame, marked: DataFrame) -> DataFrame:
-    """The pairs (u, v) of which the shingles have Jaccard 0.8 or more.
 
-    That is, at most a ninth of n + n differs; pairs whose parities differ in more need no sets.
-    """
-    ends = pairs.select(F.col("u").alias("f")).unionByName(pairs.select(F.col("v").alias("f"))).distinct()
-    short = cut(marked.select("f", "n", "parities").join(ends, "f", "left_semi").dropDuplicates(["f"]), narrow=True)
-    for x in "uv":
-        pairs = join_splittable(pairs, short.select(F.col("f").alias(x), F.col("n").alias("n" + x), F.col("parities").alias("p" + x)), x, "inner")
-    differ = F.aggregate(F.zip_with("pu", "pv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, x: acc + x)
-    pairs = cut(pairs.where((F.size("pu") != F.size("pv")) | (9 * differ <= F.col("nu") + F.col("nv"))).select("u", "v"), narrow=True)
-    ends = pairs.select(F.col("u").alias("f")).unionByName(pairs.select(F.col("v").alias("f"))).distinct()
-    sets = cut(marked.select("f", "shingles").join(ends, "f", "left_semi").dropDuplicates(["f"]))
-    both = join_splittable(pairs, sets.select(F.col("f").alias("u"), F.col("shingles").alias("a")), "u", "inner")
-    both = join_splittable(both, sets.select(F.col("f").alias("v"), F.col("shingles").alias("b")), "v", "inner")
-    return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
-
-
-def jaccard_links(marked: DataFrame) -> DataFrame:
-    """(u, v): links that span the components of shingle sets (f, n, shingles) with Jaccard 0.8 or more.
-
-    Such sets of n shingles, put in one order, have a common one among their first n -
-    ceil(0.8 n) + 1, and it is early enough in both (_may_reach). In the bucket of each
-    shingle all are compared with the one that has it earliest, which links a group of
-    copies in proportion to its size; then those that are not yet in one component are
-    compared with each other. Each link is confirmed by its whole sets.
-    """
-    first = F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1
-    keys = marked.select("f", "n", F.posexplode(F.slice("shingles", F.lit(1), first)).alias("pos", "key"))
-    head = F.first(F.struct("f", "n", "pos")).over(Window.partitionBy("key").orderBy("pos", "f"))
-    shared = cut(keys.withColumn("head", head).where("f <> head.f").select("key", "f", "n", "pos", F.col("head.f").alias("hf"), F.col("head.n").alias("hn"), F.col("head.pos").alias("hp")).distinct(), narrow=True)
-    stars = cut(shared.where(_may_reach(("n", "pos"), ("hn", "hp"))).select(F.least("f", "hf").alias("u"), F.greatest("f", "hf").alias("v")).distinct(), narrow=True)
-    links = cut(_confirmed(stars, marked), narrow=True)
-    roots = connected_components(links).select(F.col("node").alias("f"), "root")
-    named = join_splittable(shared.select("key", "f", "n", "pos"), roots, "f").select("key", "f", "n", "pos", F.coalesce("root", "f").alias("class"))
-    mixed = named.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
-    named = cut(named.join(mixed, "key", "left_semi"), narrow=True)
-    a, b = (named.select("key", *[F.col(c).alias(x + c) for c in ("f", "n", "pos", "class")]) for x in "ab")
-    pairs = a.join(b, "key").where((F.col("af") < F.col("bf")) & (F.col("aclass") != F.col("bclass")) & _may_reach(("an", "apos"), ("bn", "bpos")))
-    pairs = cut(pairs.select(F.col("af").alias("u"), F.col("bf").alias("v")).distinct().join(stars, ["u", "v"], "left_anti"), narrow=True)
-    return links.unionByName(_confirmed(pairs, marked))
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """docs, all columns, with one row of each group of near copies: that of the smallest id.
 
-    Rows link if the sets of their five-word shingles (64-bit hashes) have Jaccard 0.8 or
-    more, equal ones included; each such pair is found and no other. Links are transitive.
-    Null texts count as empty, and all texts without words are one group.
+    Rows link if SimHash fingerprints of their five-word shingles, WIDE bits of the set of
+    them, agree in a share `least` of the bits; equal sets always do. The share estimates
+    1 - angle / pi, so 0.8 is a cosine of 0.81 between the sets. Links are transitive.
+    Null texts count as empty, and all texts without words are one group; texts of fewer
+    than five words are one shingle. Repeated rows are copies; an empty table stays empty.
     """
     keyed = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("h64"), F.col(text_col).alias("text"))
-    common = common_shingles(keyed, docs.count())
-
-    def make():
-        by_value = np.argsort(common)
-
-        def one(text: bytes) -> dict:
-            found = shingle_set(text)
-            return {"f": xxhash.xxh3_64_intdigest(found.tobytes(), SEED) - (1 << 63), "n": len(found), "parities": _parities(found), "shingles": _in_order(found, common, by_value)}
 
-        return lambda texts: [one(t) for t in texts]
+    def one(text: bytes) -> dict:
+        found = shingle_set(text)
+        fp, anchors = wide_fingerprint(found)
+        return {"f": xxhash.xxh3_64_intdigest(found.tobytes(), SEED) - (1 << 63), "fp": fp, "anchors": anchors}
 
-    marked = cut(text_pass(keyed, make, "f long, n int, parities array<long>, shingles array<long>", "text", ["id", "h64"]))
-    roots = connected_components(jaccard_links(marked)).select(F.col("node").alias("f"), "root")
+    marked = cut(text_pass(keyed, lambda: lambda texts: [one(t) for t in texts], "f long, fp binary, anchors array<long>", "text", ["id", "h64"]), narrow=True)
+    roots = connected_components(wide_links(marked, least)).select(F.col("node").alias("f"), "root")
     rows = join_splittable(marked.select("id", "h64", "f"), roots, "f").select("id", "h64", F.coalesce("root", "f").alias("class"))
     return keep_one_of_each(docs, cut(rows, narrow=True), id_col, text_col)
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from provenia.llm.common import join_splittable, scratch_dir, small_batches, table
+from provenia.llm.common import join_splittable, scratch_dir, table
 
 #: Bytes of a segment, bytes from which equal payloads are stored once, rows of twice-found digests that are broadcast.
 SEGMENT, DEDUPE, BROADCAST_ROWS = 1 << 20, 100, 200_000
@@ -173,7 +173,6 @@ def read(spark: SparkSession, path: str, keep: bool = True) -> DataFrame:
     running_digest is the SHA-256 of the payload up to and with the chunk; payload_bytes is
     set on the last chunk. Without keep, data is null. An empty folder gives no rows.
     """
-    small_batches(spark)
     schema = StructType.fromDDL(CHUNKS)
     lines = spark.read.schema("value string").option("lineSep", _CRLF).text(path).select(F.col("value").cast("binary").alias("value"))
 

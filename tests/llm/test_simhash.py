@@ -96,7 +96,8 @@ def shingles(text):
 
 
 def kept_by_brute_force(rows, least=0.8):
-    sets = [shingles(t) for _, t in rows]
+    """Ids that stay if texts link whose five-word fingerprints agree in `least` of their bits."""
+    fps = [np.frombuffer(simhash.wide_fingerprint(simhash.shingle_set((t or "").encode()))[0], np.uint64) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -104,13 +105,18 @@ def kept_by_brute_force(rows, least=0.8):
             i = root[i]
         return i
 
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if len(a & b) >= least * len(a | b):
+    for i, a in enumerate(fps):
+        for j, b in enumerate(fps[:i]):
+            if int(np.bitwise_count(a ^ b).sum()) <= simhash.WIDE * (1 - least) + 1e-9:
                 root[max(find(i), find(j))] = min(find(i), find(j))
     return {k for i, (k, _) in enumerate(rows) if find(i) == i}
 
 
+def cosine(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / max(1, len(a) * len(b)) ** 0.5
+
+
 def vocabulary(rng, n=3000):
     return ["".join(rng.choice(["ta", "ri", "no", "se", "lu", "ke"]) for _ in range(rng.randint(1, 5))) + str(i) for i in range(n)]
 
@@ -132,15 +138,15 @@ def test_near_copies_with_block_edits_go(spark):
     assert not kept & set(copies) and kept == kept_by_brute_force(rows)
 
 
-def test_near_copies_below_the_threshold_stay(spark):
+def test_texts_below_the_threshold_stay(spark):
     rng = random.Random(7)
     words = vocabulary(rng)
     rows = []
     for i in range(20):
         w = rng.sample(words, 150)
         edited = list(w)
-        for k in range(5, 150, 25):
-            edited[k] = "changed"  # six words: Jaccard 0.66
+        for k in range(5, 150, 15):
+            edited[k] = "changed"  # ten words: cosine 0.66
         turned = w[:]
         rng.shuffle(turned)
         rows += [(10 * i, " ".join(w)), (10 * i + 1, " ".join(edited)), (10 * i + 2, " ".join(turned)), (10 * i + 3, " ".join(w + w[::-1]))]
@@ -148,22 +154,73 @@ def test_near_copies_below_the_threshold_stay(spark):
     assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == {i for i, _ in rows} == kept_by_brute_force(rows)
 
 
-def test_each_near_copy_is_found(spark, monkeypatch):
-    rng = random.Random(8)
+def passages(rng, n=60):
     words = vocabulary(rng, 400)
-    passages = [[rng.choice(words) for _ in range(rng.randint(10, 50))] for _ in range(12)]
+    shared = [[rng.choice(words) for _ in range(rng.randint(10, 50))] for _ in range(12)]
     rows = []
-    for i in range(60):
-        w = sum(rng.sample(passages, rng.randint(1, 4)), []) + [rng.choice(words) for _ in range(rng.randint(0, 60))]
+    for i in range(n):
+        w = sum(rng.sample(shared, rng.randint(1, 4)), []) + [rng.choice(words) for _ in range(rng.randint(0, 60))]
         for j in range(rng.randint(1, 8)):
             v = list(w)
             for k in rng.sample(range(len(v)), rng.randint(0, len(v) // 25)):
                 v[k] = rng.choice(words)
             rows.append((100 * i + j, " ".join(v[rng.randint(0, len(v) // 12) :])))
+    return rows
+
+
+def test_each_near_copy_is_found(spark, monkeypatch):
+    rows = passages(random.Random(8))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for common in (100_000, 40):
-        monkeypatch.setattr(simhash, "COMMON", common)
-        assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == kept_by_brute_force(rows)
+    want = kept_by_brute_force(rows)
+    for hot in (1000, 12):  # tries whole, and split by bits
+        monkeypatch.setattr(simhash, "SPLIT_HOT", hot)
+        assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == want
+
+
+def test_fingerprints_estimate_the_cosine():
+    rows = passages(random.Random(9), 25)
+    fps = [np.frombuffer(simhash.wide_fingerprint(simhash.shingle_set(t.encode()))[0], np.uint64) for _, t in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            want = 1 - np.arccos(min(1.0, cosine(rows[i][1], rows[j][1]))) / np.pi
+            assert abs(1 - int(np.bitwise_count(fps[i] ^ fps[j]).sum()) / simhash.WIDE - want) < 0.08
+
+
+def test_work_grows_with_the_rows(monkeypatch):
+    """Node pairs walked, over tries as wide_links() makes them, for twice the texts three times."""
+    work = []
+    for n in (500, 1000, 2000, 4000):
+        rng = np.random.default_rng(n)
+        base = rng.integers(0, 2**63, (n // 10, 300)).astype(np.uint64)
+        sets = [np.unique(np.r_[base[i // 10, rng.random(300) < 0.93], rng.integers(0, 2**63, 20).astype(np.uint64)]) for i in range(n)]
+        made = [simhash.wide_fingerprint(s) for s in sets]
+        tries = sorted((a, fp) for fp, anchors in made for a in anchors)
+        fp = np.frombuffer(b"".join(f for _, f in tries), ">u8").astype(np.uint64).reshape(len(tries), -1)
+        new = np.r_[True, [x != y for x, y in zip(tries, tries[1:])]]
+        work.append(simhash.trie_walk(np.array([a for a, _ in tries])[new], fp[new], 204)[3])
+    for a, b in zip(work, work[1:]):
+        assert b <= 2.3 * a
+
+
+def test_hot_tries_of_narrow_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 20)
+    rng = random.Random(12)
+    fps = {rng.getrandbits(16) << 48 | 7 << 16 | rng.getrandbits(16) for _ in range(150)}
+    fps |= {f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in list(fps)[:60]}
+    fps = sorted(fps)
+    rows = spark.createDataFrame([((f ^ (1 << 63)) - (1 << 63),) for f in fps], "fp long")
+    place = {(f ^ (1 << 63)) - (1 << 63): k for k, f in enumerate(fps)}
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in simhash.near_links(rows).collect():
+        a, b = sorted((find(place[r.u]), find(place[r.v])))
+        root[b] = a
+    assert [find(i) for i in range(len(fps))] == slow_components(fps)
 
 
 def test_components_match_brute_force(spark):
