@@ -23,8 +23,8 @@ from provenia.llm.rows import keep_one_of_each
 PRIME = 2**128 + 51
 #: Bytes hashed at a time, bytes of a text dealt to one task, bytes compared at a time.
 PIECE, CHUNK, COMPARED = 1 << 12, 1 << 22, 1 << 16
-#: Rows of duplicates up to which their keys (24 bytes each) are broadcast.
-BROADCAST_ROWS = 500_000
+#: Rows of duplicates up to which their keys (some 60 bytes each) are broadcast.
+BROADCAST_ROWS = 100_000
 _WHITE = b" \t\n\r\x0b\x0c"
 
 

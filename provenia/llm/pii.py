@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from provenia.llm.common import let
 
-#: Matches whose positions are summed together; code points of context; score from which spans of added kinds are redacted.
-SUMMED, CONTEXT, REDACTED = 256, 48, 0.5
+#: Matches whose positions are summed together; code points of context; score in hundredths from which spans of added kinds are admitted.
+SUMMED, CONTEXT, ADMITTED = 256, 48, 50
 #: In the order of ties; those before iban are found whatever their score.
 KINDS = ("email", "ip", "card", "phone", "iban")
 BASE = 4
@@ -37,23 +37,23 @@ GUARDS = {
     "phone": lambda t: t.contains("+"),
     "iban": lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"),
 }
-#: Score of a confirmed span, and words that raise or lower it by a fifth.
-PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9}
+#: Score of a confirmed span in hundredths, by how much a word nearby raises or lowers it, and these words in English, German, French and Spanish.
+PRIOR, STEP = {"email": 80, "ip": 60, "card": 80, "phone": 70, "iban": 60}, 20
 RAISING = {
-    "email": "mail|e-mail|contact|write|reply",
-    "ip": "ip|address|host|server|client|login",
-    "card": "card|visa|mastercard|amex|credit|debit|payment|cvv",
-    "phone": "tel|phone|call|mobile|fax|whatsapp|sms",
-    "iban": "iban|account|bank|swift|bic|transfer",
+    "email": "mail|e-mail|contact|write|reply|kontakt|schreiben|antwort|courriel|écrire|correo|contacto|escribir",
+    "ip": "ip|address|host|server|client|login|adresse|rechner|serveur|adresse|dirección|servidor",
+    "card": "card|visa|mastercard|amex|credit|debit|payment|cvv|karte|kreditkarte|zahlung|carte|paiement|tarjeta|pago",
+    "phone": "tel|phone|call|mobile|fax|whatsapp|sms|telefon|anruf|handy|téléphone|appeler|portable|teléfono|llamar|móvil",
+    "iban": "iban|account|bank|swift|bic|transfer|konto|überweisung|compte|banque|virement|cuenta|banco|transferencia",
 }
 LOWERING = {
-    "email": "example|noreply",
-    "ip": "version|release|section|chapter",
-    "card": "order|tracking|serial|isbn|invoice",
-    "phone": "equals|plus|sum|version",
-    "iban": "serial|key|token|part",
+    "email": "example|noreply|beispiel|exemple|ejemplo",
+    "ip": "version|release|section|chapter|abschnitt|kapitel|chapitre|versión|sección|capítulo",
+    "card": "order|tracking|serial|isbn|invoice|bestellung|sendung|rechnung|commande|suivi|facture|pedido|envío|factura",
+    "phone": "equals|plus|sum|version|gleich|summe|égale|somme|suma",
+    "iban": "serial|key|token|part|seriennummer|schlüssel|clé|jeton|clave|serie",
 }
-_SPAN = "array<struct<s:int,k:int,e:int,kind:string,m:string,score:double>>"
+_SPAN = "array<struct<s:int,k:int,e:int,kind:string,m:string,score:int>>"
 _FOUND = "struct<s:int,e:int,m:string,before:string,after:string>"
 
 
@@ -134,15 +134,16 @@ def _valid(kind: str, r: Column) -> Column:
 
 def _score(kind: str, r: Column) -> Column:
     near = F.concat_ws(" ", r["before"], r["after"])
-    word = r"(?i)(?<![\p{L}\p{N}])(?:%s)(?![\p{L}\p{N}])"
-    up, down = (F.when(near.rlike(word % words), 0.2).otherwise(0.0) for words in (RAISING[kind], LOWERING[kind]))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(PRIOR[kind]) + up - down))
+    word = r"(?iu)(?<![\p{L}\p{N}])(?:%s)(?![\p{L}\p{N}])"
+    up, down = (F.when(near.rlike(word % words), STEP).otherwise(0) for words in (RAISING[kind], LOWERING[kind]))
+    return F.lit(PRIOR[kind]) + up - down
 
 
-def spans(text: Column) -> Column:
+def spans(text: Column, least: int = ADMITTED) -> Column:
     """All personal data of a text by start, then kind: array of (s, k, e, kind, m, score).
 
-    s and e are code points, k is the kind's place in KINDS. Null counts as empty; a text
+    s and e are code points, k is the kind's place in KINDS, scores are hundredths. Base
+    kinds are found whatever their score, others from `least`. Null counts as empty; a text
     without any gives an empty array. Spans of different kinds may overlap.
     """
     text = F.coalesce(text, F.lit(""))
@@ -150,24 +151,27 @@ def spans(text: Column) -> Column:
     for k, kind in enumerate(KINDS):
         good = F.filter(_matches(text, PATTERNS[kind]), lambda r: _valid(kind, r))
         own = F.transform(good, lambda r: F.struct(r["s"].alias("s"), F.lit(k).alias("k"), r["e"].alias("e"), F.lit(kind).alias("kind"), r["m"].alias("m"), _score(kind, r).alias("score"))).cast(_SPAN)
+        if k >= BASE:
+            own = F.filter(own, lambda r: r["score"] >= least)
         of.append(F.when(GUARDS[kind](text), own).otherwise(_empty(_SPAN)))
     return F.array_sort(F.concat(*of))
 
 
-def redact(text: Column, least: float = REDACTED) -> Column:
+def redact(text: Column, least: int = ADMITTED) -> Column:
     """The text with each confirmed span replaced by its kind in brackets.
 
-    Base kinds are replaced whatever their score, others from that score. Of overlapping spans the first stands. Null stays null. No pattern spans a line break,
-    so the work is done line by line and a long text costs about its length.
+    Base kinds are replaced whatever their score, others from `least`. Of overlapping
+    spans the first stands. Null stays null, a text without any stays as it is. No pattern
+    spans a line break, so the work is done line by line and a long text costs about its length.
     """
 
     def line(x: Column) -> Column:
         def step(acc: Column, r: Column) -> Column:
             more = F.concat(acc["out"], F.substring(x, acc["pos"] + 1, r["s"] - acc["pos"]), F.lit("["), F.upper(r["kind"]), F.lit("]"))
-            return F.when(((r["k"] < BASE) | (r["score"] >= least)) & (r["s"] >= acc["pos"]), F.struct(r["e"].alias("pos"), more.alias("out"))).otherwise(acc)
+            return F.when(r["s"] >= acc["pos"], F.struct(r["e"].alias("pos"), more.alias("out"))).otherwise(acc)
 
         start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-        return F.aggregate(spans(x), start, step, lambda acc: F.concat(acc["out"], F.substring(x, acc["pos"] + 1, F.length(x))))
+        return F.aggregate(spans(x, least), start, step, lambda acc: F.concat(acc["out"], F.substring(x, acc["pos"] + 1, F.length(x))))
 
     maybe = reduce(or_, [GUARDS[kind](text) for kind in KINDS])
     return F.when(maybe, F.array_join(F.transform(F.split(text, "\n", -1), line), "\n")).otherwise(text)
@@ -183,22 +187,24 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:
-    """doc_id, counts by kind, base_sha256 and spans for each row of documents."""
+    """doc_id, counts by kind, base_sha256, spans and their scores for each row of documents."""
 
     def digest(found: Column) -> Column:
         base = F.filter(found, lambda r: r["k"] < BASE)
         counts = [F.size(F.filter(found, lambda r: r["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS[:BASE])]
-        return F.struct(*counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(found).alias("spans"))
+        return F.struct(*counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(found).alias("spans"), F.concat_ws(",", F.transform(found, lambda r: r["score"].cast("string"))).alias("scores"))
 
     found = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", let(F.col("found"), digest).alias("d")).select("doc_id", "d.*")
 
 
 def _sql_kind(kind: str, pattern: str, valid: str) -> str:
-    return f"""SELECT rid, '{kind}' AS kind, {KINDS.index(kind)} AS k, s, e FROM (
-  SELECT rid, m, s, s + length(m) AS e, before, after FROM (
+    near = "right(p[i], {n}) || ' ' || left(p[i+1], {n})".format(n=CONTEXT)
+    up, down = (rf"regexp_matches(near, '(?i)(?:^|[^\p{{L}}\p{{N}}])(?:{words})(?:$|[^\p{{L}}\p{{N}}])')::INT" for words in (RAISING[kind], LOWERING[kind]))
+    return f"""SELECT rid, '{kind}' AS kind, {KINDS.index(kind)} AS k, s, e, {PRIOR[kind]} + {STEP} * ({up} - {down}) AS score FROM (
+  SELECT rid, m, s, s + length(m) AS e, before, after, near FROM (
     SELECT rid, m[i] AS m, coalesce(list_sum(list_transform(p[:i], lambda x: length(x))), 0)::BIGINT + coalesce(list_sum(list_transform(m[:i-1], lambda x: length(x))), 0)::BIGINT AS s,
-           right(p[i], 1) AS before, left(p[i+1], 1) AS after
+           right(p[i], 1) AS before, left(p[i+1], 1) AS after, {near} AS near
     FROM (SELECT rid, p, m, unnest(generate_series(1, len(m))) AS i FROM (
       SELECT rid, string_split_regex(t, '{pattern}') AS p, regexp_extract_all(t, '{pattern}') AS m FROM d)))) WHERE {valid}"""
 
@@ -214,12 +220,14 @@ OP4_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 f AS ({' UNION ALL '.join((
     _sql_kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
-    _sql_kind("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_bool_and(list_transform(string_split(m, '.'), lambda x: x::HUGEINT <= 255))"),
+    _sql_kind("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_bool_and(list_transform(string_split(m, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(try_cast(ltrim(x, '0') AS INTEGER), 0) <= 255))"),
     _sql_kind("card", r"[0-9](?:[\x20-]?[0-9])+", _SQL_LUHN),
     _sql_kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_SQL_DIGITS}) BETWEEN 9 AND 15"),
     _sql_kind("iban", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", _SQL_97)))}),
+a AS (SELECT * FROM f WHERE k < {BASE} OR score >= {ADMITTED}),
 g AS (SELECT rid, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone,
-  coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 4), '') AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM f GROUP BY rid)
+  coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 4), '') AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans,
+  string_agg(score::VARCHAR, ',' ORDER BY s, k) AS scores FROM a GROUP BY rid)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN g USING (rid)
 """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from provenia.llm.common import cut
 
 #: Keys (16 bytes) up to which they are broadcast rather than joined by a shuffle of the table.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def text_hash(text_col: str) -> Column:

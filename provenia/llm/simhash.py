@@ -15,6 +15,7 @@ rows are split by further bits before they are dealt out.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -30,8 +31,10 @@ from provenia.llm.rows import keep_one_of_each, text_hash
 
 #: Words of a shingle, bits by which linked fingerprints may differ, seed of the hash.
 WORDS, BITS, SEED = 3, 3, 42
-#: Near copies: words of a shingle, bits of a fingerprint, share of bits that must agree, min-wise shingles by which texts meet.
+#: Near copies: words of a shingle, bits of a fingerprint, least similarity (cosine), min-wise shingles by which texts meet.
 SHINGLE, WIDE, LEAST, ANCHORS = 5, 1024, 0.8, 6
+#: Case and ASCII punctuation play no part in near copies.
+_PLAIN = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in bytes(range(256)).lower())
 #: Rows from which a trie is split; blocks of bits by which one of near copies is.
 HOT, SPLIT_HOT, BLOCKS = 20_000, 1000, 16
 #: Bytes of a text split into words at a time; shingles counted at a time; rows of tries and node pairs walked at a time.
@@ -261,13 +264,15 @@ _SEEDS = _mix(np.arange(1, _LANES + 1, dtype=np.uint64) * _SPREAD)
 
 
 def shingle_set(data: bytes, words: int = SHINGLE) -> np.ndarray:
-    """The distinct 64-bit hashes of a UTF-8 text's shingles, ascending; letters and white space as for fingerprint().
+    """The distinct 64-bit hashes of a UTF-8 text's shingles, ascending.
 
-    A text of fewer words is one shingle; a text without words has none.
+    Letters A-Z count as a-z; white space and punctuation are ASCII's, the latter a word
+    only in texts of nothing else. A text of fewer words is one shingle, one without any has none.
     """
-    found, seen, first = [], 0, None
-    for block in _blocks(data.lower(), words - 1):
-        first, seen = block, seen + len(block)
+    found, first = [], None
+    plain = data.translate(_PLAIN)
+    for block in _blocks(plain if plain.strip() else data, words - 1):
+        first = block
         h = np.fromiter(map(xxhash.xxh64_intdigest, block), np.uint64, len(block))
         n = len(h) - words + 1
         if n > 0:
@@ -311,14 +316,19 @@ def _split(rows: DataFrame) -> DataFrame:
     return out.unionByName(now.select("bucket", "f", "fp"))
 
 
+def budget(least: float = LEAST) -> int:
+    """Bits of WIDE in which fingerprints of cosine `least` differ: each does with a chance of angle / pi."""
+    return round(WIDE * math.acos(least) / math.pi)
+
+
 def wide_links(marked: DataFrame, least: float = LEAST) -> DataFrame:
-    """(u, v): links between fingerprints (f, fp, anchors) of which a share `least` of bits agrees; they span the components.
+    """(u, v): links between fingerprints (f, fp, anchors) whose bits tell a cosine of `least` or more; they span the components.
 
     f names a fingerprint, anchors are the min-wise shingles of its text. Fingerprints
     that share an anchor are in one trie. Two sets of Jaccard j share none with a chance
-    of (1 - j) ** ANCHORS; at 0.8 of equal bits j is about 0.68, the chance 0.001.
+    of (1 - j) ** ANCHORS; at a cosine of 0.8 j is two thirds, the chance 0.0014.
     """
-    bits = int(WIDE * (1 - least) + 1e-9)
+    bits = budget(least)
     keys = cut(marked.select("f", F.explode("anchors").alias("bucket")).distinct(), narrow=True)
     met = cut(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), narrow=True)
     rows = cut(join_splittable(keys, met, "bucket", "inner"), narrow=True)
@@ -344,9 +354,9 @@ def wide_links(marked: DataFrame, least: float = LEAST) -> DataFrame:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """docs, all columns, with one row of each group of near copies: that of the smallest id.
 
-    Rows link if SimHash fingerprints of their five-word shingles, WIDE bits of the set of
-    them, agree in a share `least` of the bits; equal sets always do. The share estimates
-    1 - angle / pi, so 0.8 is a cosine of 0.81 between the sets. Links are transitive.
+    Rows link if SimHash fingerprints of the sets of their five-word shingles, WIDE bits,
+    tell a similarity of `least` or more: their cosine, which is what SimHash estimates, to
+    about 0.02. Equal sets always link. Links are transitive.
     Null texts count as empty, and all texts without words are one group; texts of fewer
     than five words are one shingle. Repeated rows are copies; an empty table stays empty.
     """

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from provenia.llm.common import cut, table, text_pass
 from provenia.llm.learning import Logistic, labelled_sample, remainder
 
-#: Labelled documents of each class to learn from; terms kept.
-SAMPLE, TERMS = 4000, 400
+#: Labelled documents of each class to learn from.
+SAMPLE = 4000
 #: Letters of a stem; documents and share of toxic ones with a term; share of clean ones; ratio of the two.
 STEM, LEAST_DOCS, LEAST_SHARE, MOST_CLEAN, RATIO = (4, 12), 3, 0.004, 0.002, 20.0
 #: Letters from which one and two edits are allowed.
@@ -189,7 +189,7 @@ def _terms_of(text: str) -> set[tuple[str, bool]]:
     out = set()
     for w in set(_LETTERS.findall(text.lower())):
         if len(w) >= STEM[0]:
-            out.add((w[:64], False))
+            out.add((w, False))
             out.update((w[:n], True) for n in range(STEM[0], min(len(w), STEM[1] + 1)))
     return out
 
@@ -236,7 +236,7 @@ def choose_terms(toxic: dict, clean: dict, n_toxic: int, n_clean: int) -> list[T
             same = [k for k in by_prefix[word] if toxic[k] >= 0.95 * toxic[key]]
             word, stem = max(same, key=lambda k: (len(k[0]), not k[1]))
         out[(word, stem)] = Term(word, stem, round(good[(word, stem)], 6))
-    return sorted(out.values(), key=lambda t: (-toxic[(t.text, t.stem)], t))[:TERMS]
+    return sorted(out.values(), key=lambda t: (-toxic[(t.text, t.stem)], t))
 
 
 def _candidates(sample: DataFrame, n_toxic: list[int], n_clean: list[int]) -> tuple[list[dict], list[dict]]:
@@ -264,7 +264,7 @@ class Model(NamedTuple):
 
 
 def _nearly_once(sample: DataFrame) -> DataFrame:
-    """One document of each group of near copies: those with the same smallest shingle of three words."""
+    """One document of each group of near copies, that of the smallest id: those with the same smallest shingle of three words."""
 
     def make():
         def one(text: str) -> dict:
@@ -273,7 +273,8 @@ def _nearly_once(sample: DataFrame) -> DataFrame:
 
         return lambda texts: [one(t) for t in texts]
 
-    return text_pass(sample, make, "least long", "text", binary=False).dropDuplicates(["label", "least"]).drop("least")
+    marked = text_pass(sample, make, "least long", "text", binary=False)
+    return marked.groupBy("label", "least").agg(F.min(F.struct("id", "text")).alias("first")).select("label", "first.id", "first.text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = FOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:

@@ -56,7 +56,7 @@ def test_spans_match_plain_patterns(spark, monkeypatch):
         text = {i: t or "" for i, t, _ in rows}
         for r in got:
             assert [(x.kind, x.s, x.e) for x in r.found] == slow_spans(text[r.doc_id]), repr(text[r.doc_id])
-            assert all(x.m == text[r.doc_id][x.s : x.e] and 0 <= x.score <= 1 for x in r.found)
+            assert all(x.m == text[r.doc_id][x.s : x.e] and x.score in {P.PRIOR[x.kind] + d for d in (-P.STEP, 0, P.STEP)} for x in r.found)
 
 
 def test_query_columns(spark, tmp_path):
@@ -75,6 +75,27 @@ def test_context_moves_the_score(spark):
     assert got[0] < got[1] < got[2]
 
 
+def test_context_decides_about_added_spans(spark):
+    iban, cases = "GB82WEST12345698765432", {"": True, "my account": True, "IBAN key": True, "serial": False, "Schlüssel": False, "la CLÉ": False, "clave:": False, "keyed": True, "serial bank": True}
+    rows = [(f"{words} {iban}", f"{words} [IBAN]" if found else f"{words} {iban}") for words, found in cases.items()]
+    df = spark.createDataFrame(rows, "t string, want string").select("want", P.redact(F.col("t")).alias("got"), F.size(P.spans(F.col("t"))).alias("n"))
+    for r in df.collect():
+        assert r.got == r.want and r.n == ("[" in r.want)
+
+
+def test_sql_finds_the_same(spark, tmp_path):
+    import duckdb
+
+    docs = [(i, t) for i, t in enumerate(texts())] + [(9000, "clave GB82WEST12345698765432"), (9001, None), (9002, "Überweisung GB82WEST12345698765432 ÜBERWEISUNG")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = P.op4_pii(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(P.OP4_SQL).fetchall()
+    columns = [d[0] for d in con.description]
+    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(want)
+
+
 def test_redaction(spark):
     rows = [("a@b.c\nx +1 (377) 555-0271 y\n\n10.0.0.1",), (None,), ("",), ("nothing 12 here",), ("call +44 20 7946 0958, 4111111111111111",)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(P.redact(F.col("t"))).collect()]

@@ -96,7 +96,7 @@ def shingles(text):
 
 
 def kept_by_brute_force(rows, least=0.8):
-    """Ids that stay if texts link whose five-word fingerprints agree in `least` of their bits."""
+    """Ids that stay if texts link whose five-word fingerprints differ in as many bits as cosine `least` has."""
     fps = [np.frombuffer(simhash.wide_fingerprint(simhash.shingle_set((t or "").encode()))[0], np.uint64) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -107,7 +107,7 @@ def kept_by_brute_force(rows, least=0.8):
 
     for i, a in enumerate(fps):
         for j, b in enumerate(fps[:i]):
-            if int(np.bitwise_count(a ^ b).sum()) <= simhash.WIDE * (1 - least) + 1e-9:
+            if int(np.bitwise_count(a ^ b).sum()) <= simhash.WIDE * np.arccos(least) / np.pi:
                 root[max(find(i), find(j))] = min(find(i), find(j))
     return {k for i, (k, _) in enumerate(rows) if find(i) == i}
 
@@ -177,6 +177,11 @@ def test_each_near_copy_is_found(spark, monkeypatch):
         assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == want
 
 
+def test_case_and_punctuation_play_no_part():
+    assert simhash.shingle_set(b"One two, three: four five!").tolist() == simhash.shingle_set(b"one TWO three four, five").tolist()
+    assert len(simhash.shingle_set(b"!! ?")) == 1 and len(simhash.shingle_set(b" \n")) == 0
+
+
 def test_fingerprints_estimate_the_cosine():
     rows = passages(random.Random(9), 25)
     fps = [np.frombuffer(simhash.wide_fingerprint(simhash.shingle_set(t.encode()))[0], np.uint64) for _, t in rows]
@@ -197,7 +202,7 @@ def test_work_grows_with_the_rows(monkeypatch):
         tries = sorted((a, fp) for fp, anchors in made for a in anchors)
         fp = np.frombuffer(b"".join(f for _, f in tries), ">u8").astype(np.uint64).reshape(len(tries), -1)
         new = np.r_[True, [x != y for x, y in zip(tries, tries[1:])]]
-        work.append(simhash.trie_walk(np.array([a for a, _ in tries])[new], fp[new], 204)[3])
+        work.append(simhash.trie_walk(np.array([a for a, _ in tries])[new], fp[new], simhash.budget())[3])
     for a, b in zip(work, work[1:]):
         assert b <= 2.3 * a
 

@@ -1,5 +1,7 @@
 import random
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +53,68 @@ def test_runs_without_white_space_are_read():
     assert X.measure(words, ",".join(text)) == X.measure(words, " ".join(text))
 
 
+def test_long_words_and_other_scripts_are_read():
+    words = X._Words(X.Automaton([X.Term("idiot", False, 0.95), X.Term("笨蛋", False, 0.9)]))
+    assert X.measure(words, "a" * 100_000) == [0.0, 0.0, 0.0, 0.0]
+    assert X.measure(words, "a" * 100_000 + " idiot")[0] > 0
+    assert X.measure(words, "-".join(["x" * 50_000, "idiot", "y" * 50_000]))[0] > 0
+    assert X.measure(words, "你，笨蛋！")[0] > 0
+
+
+def slow_measure(terms, text):
+    """Sums of measure() by the plain distance of each word to each term."""
+    parts, sums = text.split(), [0.0, 0.0, 0.0]
+    for k, w in enumerate(parts):
+        best = None
+        for run in X._LETTERS.findall(w.lower()):
+            for t in terms:
+                d = min(distance(run[:n], t.text) for n in (range(len(run) + 1) if t.stem else [len(run)]))
+                if d <= X.Automaton.edits(t) and (best is None or d < best[0]):
+                    best = (d, t)
+        if best is None:
+            continue
+        around = [v.strip(X._MARKS + ".,;:!?").lower() for v in parts[max(0, k - X.CONTEXT) : k + X.CONTEXT + 1]]
+        marked = w[0] in X._MARKS and w.rstrip(".,;:!?")[-1:] in X._MARKS
+        to, report = sum(v in X.ADDRESSING for v in around), marked + sum(v in X.QUOTING for v in around)
+        share = (1 + to) / (1 + to + 2 * report)
+        sums[1 if best[0] else 0] += best[1].weight * share
+        sums[2] += best[1].weight * (1 - share)
+    return [*np.log1p(sums), (sums[0] + sums[1]) / max(1, len(parts)) ** 0.5]
+
+
+def test_measure_matches_brute_force():
+    rng = random.Random(14)
+    terms = [X.Term(t, stem, 0.9) for t, stem in (("zwipot", False), ("grabbul", True), ("trolmaggers", False), ("moktar", True))]
+    words = X._Words(X.Automaton(terms))
+    pool = ["zwipot", "zwippot", "grabbulen", "grabulen", "trolmagers", "moktarix", "moktr", "you", "said", "tu", "word", "house", "tari", "zwi", "grab", "ok"]
+    for _ in range(300):
+        text = " ".join(rng.choice(["{}", "{}", '"{}"', "{},", "({})", "{}!"]).format(rng.choice(pool)) for _ in range(rng.randint(0, 30)))
+        assert np.allclose(X.measure(words, text), slow_measure(terms, text)), text
+
+
+def test_the_same_model_from_the_same_rows(spark):
+    docs, labels = corpus(spark, 300)
+    near = docs.where("doc_id < 150").selectExpr("doc_id + 1000 AS doc_id", "concat(text, ' tail', doc_id) AS text", "score")
+    more = labels.where("doc_id < 150").selectExpr("doc_id + 1000 AS doc_id", "quality", "toxic")
+    docs, labels = docs.unionByName(near), labels.unionByName(more)
+    a, b = X.fit(docs.repartition(7), labels), X.fit(docs.orderBy(F.desc("doc_id")).repartition(2), labels)
+    assert a.terms == b.terms and np.allclose(a.score.w, b.score.w)
+
+
+def test_query_holds_out_and_predicts(spark, tmp_path):
+    docs, labels = corpus(spark, 300)
+    docs.drop("score").write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    rows = X.op6_toxicity(spark, str(tmp_path)).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7)
+    assert {r.predicted for r in rows if r.held_out} == {0, 1}
+    swapped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = X.fit(docs, labels), X.fit(docs, swapped)  # held-out labels teach nothing
+    assert a.terms == b.terms and np.allclose(a.score.w, b.score.w)
+
+
 def corpus(spark, n=600):
     rng = random.Random(13)
     plain = ["".join(rng.choice(["ta", "ri", "no", "se", "lu"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
