@@ -21,6 +21,7 @@ import heapq
 import itertools
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -30,8 +31,8 @@ from pyspark.sql import DataFrame
 from provenia.llm.common import text_pass
 from provenia.llm.merging import MergeTable
 
-#: Characters of text encoded at a time, those of a pre-token merged at once.
-BLOCK, WINDOW = 1 << 16, 1 << 12
+#: Characters of text fed at a time, bytes of a pre-token that are settled at once.
+BLOCK, WINDOW = 1 << 14, 1 << 9
 #: Entries of a generation of the memo and their longest key.
 MEMO, KEY = 300_000, 64
 #: White space as Unicode has it.
@@ -161,8 +162,6 @@ class Memo:
         return got
 
     def _long(self, data: bytes) -> list[int]:
-        if len(data) < 2 * WINDOW:
-            return self.merges.merge(data)
         stream = PretokenStream(self.merges)
         return stream.feed(data) + stream.finish()
 
@@ -195,15 +194,20 @@ class PretokenStream:
 
 
 class StreamEncoder:
-    """feed() text in any pieces, finish() at its end; both return the ids that have become certain."""
+    """feed() text in any pieces, finish() at its end; both return what has become certain.
 
-    def __init__(self, merges: MergeList, memo: Memo | None = None):
-        self.merges, self.memo = merges, memo or Memo(merges)
+    That is a list of ids (of a pre-token still open, as far as the lookahead settles them,
+    or a special token) and of strings: text that begins and ends where pre-tokens do, whose
+    ids the memo gives. At most two blocks of text are held.
+    """
+
+    def __init__(self, merges: MergeList):
+        self.merges = merges
         self.special = re.compile("|".join(map(re.escape, sorted(merges.special, key=len, reverse=True)))) if merges.special else None
         self.reserve = max([3, *map(len, merges.special)])
         self.buffer, self.inside, self.run = "", None, None
 
-    def feed(self, text: str) -> list[int]:
+    def feed(self, text: str) -> list[int | str]:
         self.buffer += text
         if len(self.buffer) < BLOCK:
             return []
@@ -223,38 +227,34 @@ class StreamEncoder:
             out += self._pretokens()
         return out
 
-    def finish(self) -> list[int]:
+    def finish(self) -> list[int | str]:
         out = self._continue(True) if self.inside else []
         ready, self.buffer = self.buffer, ""
         return out + self._whole(ready)
 
-    def _whole(self, text: str) -> list[int]:
-        """ids of text that begins and ends where pre-tokens do."""
+    def _whole(self, text: str) -> list[int | str]:
+        """Text that begins and ends where pre-tokens do, parted at special tokens."""
         if self.special is None or not self.special.search(text):
-            return self._plain(text)
+            return [text] if text else []
         out, at = [], 0
         for m in self.special.finditer(text):
-            out += self._plain(text[at : m.start()])
-            out.append(self.merges.special[m[0]])
+            out += [text[at : m.start()], self.merges.special[m[0]]]
             at = m.end()
-        return out + self._plain(text[at:])
+        return out + [text[at:]]
 
-    def _plain(self, text: str) -> list[int]:
-        return self.memo.ids([_OUTER.findall(text)])[0]
-
-    def _pretokens(self) -> list[int]:
+    def _pretokens(self) -> list[int | str]:
         """Without a border in the buffer: its pre-tokens but the last, and the certain tokens of that."""
         text = self.buffer
         edge = len(text) - self.reserve
         if self.special is not None and (m := self.special.search(text)):
-            out = self._plain(text[: m.start()]) + [self.merges.special[m[0]]]
             self.buffer = text[m.end() :]
-            return out
+            return [text[: m.start()], self.merges.special[m[0]]]
         out, at = [], 0
         for m in _INNER.finditer(text):
             if m.end() >= edge:
                 break
-            out += self.memo._long(m[0].encode())
+            run = PretokenStream(self.merges)
+            out += run.feed(m[0].encode()) + run.finish()
             at = m.end()
         rest = text[at:]
         lead = 1 if rest[:1] == " " and len(rest) > 1 and not _RUN["S"].match(rest[1:2]) else 0
@@ -262,7 +262,7 @@ class StreamEncoder:
         self.run, self.buffer = PretokenStream(self.merges), rest[lead:]
         return out + self.run.feed(rest[:lead].encode()) + self._continue(False)
 
-    def _continue(self, ended: bool) -> list[int]:
+    def _continue(self, ended: bool) -> list[int | str]:
         """Carry on within a pre-token that began before the buffer."""
         if not self.inside:
             return []
@@ -286,26 +286,34 @@ class StreamEncoder:
         return out
 
 
+def encoded(merges: MergeList, texts: list[str], memo: Memo) -> Iterator[list[list[int]]]:
+    """For each step of BLOCK characters, the ids that each text's transducer settles in it.
+
+    All texts go through theirs side by side; what they settle in a step shares one look
+    into the memo. One step holds no more than some blocks of each text.
+    """
+    streams = [StreamEncoder(merges) for _ in texts]
+    longest = max(map(len, texts), default=0)
+    for at in range(0, longest + 1, BLOCK):
+        settled = []
+        for t, stream in zip(texts, streams, strict=True):
+            out = stream.feed(t[at : at + BLOCK]) if at < len(t) else []
+            if at <= len(t) < at + BLOCK:
+                out += stream.finish()
+            settled.append(out)
+        known = iter(memo.ids([_OUTER.findall(x) for out in settled for x in out if isinstance(x, str)]))
+        ids: list[list[int]] = []
+        for out in settled:
+            own: list[int] = []
+            for x in out:
+                own.extend(next(known)) if isinstance(x, str) else own.append(x)
+            ids.append(own)
+        yield ids
+
+
 def encode(merges: MergeList, text: str, memo: Memo | None = None) -> list[int]:
-    """ids of a whole text, a block at a time."""
-    stream, out, at = StreamEncoder(merges, memo), [], 0
-    special = stream.special is not None and stream.special.search(text)
-    while not special and len(text) - at > 2 * BLOCK and (m := _EDGE.search(text, at + BLOCK)):
-        out += stream._plain(text[at : m.start()])
-        at = m.start()
-    if len(text) - at <= 2 * BLOCK:
-        return out + stream._whole(text[at:])
-    for k in range(at, len(text), BLOCK):
-        out += stream.feed(text[k : k + BLOCK])
-    return out + stream.finish()
-
-
-def encode_all(merges: MergeList, texts: list[str], memo: Memo) -> list[list[int]]:
-    """ids of each text; texts of at most a block share one look into the memo."""
-    special = list(merges.special)
-    short = [len(t) <= BLOCK and not any(x in t for x in special) for t in texts]
-    ids = iter(memo.ids([_OUTER.findall(t) for t, s in zip(texts, short, strict=True) if s]))
-    return [next(ids) if s else encode(merges, t, memo) for t, s in zip(texts, short, strict=True)]
+    """ids of a whole text."""
+    return [i for (ids,) in encoded(merges, [text], memo or Memo(merges)) for i in ids]
 
 
 class StreamDecoder:
@@ -322,6 +330,29 @@ class StreamDecoder:
         return self.machine.decode(b"", True)
 
 
+class Digest:
+    """Number and digest of ids that come in steps, and the digest of what they decode to."""
+
+    def __init__(self, merges: MergeList, names: list[str], keep: bool):
+        self.names, self.kept, self.n = names, [] if keep else None, 0
+        self.ids, self.text, self.decoder = hashlib.sha256(), hashlib.sha256(), StreamDecoder(merges)
+
+    def feed(self, ids: list[int]) -> None:
+        if not ids:
+            return
+        names = self.names
+        self.ids.update(((b"," if self.n else b"") + ",".join([names[i] for i in ids]).encode()))
+        self.text.update(self.decoder.feed(ids).encode())
+        self.n += len(ids)
+        if self.kept is not None:
+            self.kept += ids
+
+    def row(self) -> dict:
+        self.text.update(self.decoder.finish().encode())
+        out = {"n_tokens": self.n, "ids_sha256": self.ids.hexdigest(), "decoded_sha256": self.text.hexdigest()}
+        return out if self.kept is None else out | {"ids": self.kept}
+
+
 @functools.lru_cache(maxsize=2)
 def load(name: str) -> MergeList:
     return MergeList(public_tokenizers.path(name))
@@ -340,16 +371,14 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         merges, memo = load(vocabulary), memo_of(vocabulary)
         names = [str(i) for i in range(len(merges.bytes))]
 
-        def one(ids: list[int]) -> dict:
-            digest, back, decoder = hashlib.sha256(), hashlib.sha256(), StreamDecoder(merges)
-            for at in range(0, len(ids), BLOCK):
-                part = ids[at : at + BLOCK]
-                digest.update(((b"," if at else b"") + ",".join([names[i] for i in part]).encode()))
-                back.update(decoder.feed(part).encode())
-            back.update(decoder.finish().encode())
-            return {"n_tokens": len(ids), "ids_sha256": digest.hexdigest(), "decoded_sha256": back.hexdigest()} | ({"ids": ids} if keep_ids else {})
+        def each(texts: list[str]) -> list[dict]:
+            made = [Digest(merges, names, keep_ids) for _ in texts]
+            for step in encoded(merges, texts, memo):
+                for d, ids in zip(made, step, strict=True):
+                    d.feed(ids)
+            return [d.row() for d in made]
 
-        return lambda texts: [one(ids) for ids in encode_all(merges, texts, memo)]
+        return each
 
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return text_pass(docs, make, fields, text_col, [id_col], binary=False)

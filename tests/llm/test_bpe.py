@@ -29,9 +29,45 @@ def test_matches_the_library(both):
     merges, library = both
     for t in texts():
         assert bpe.encode(merges, t) == library.encode(t, add_special_tokens=False).ids, repr(t)
-    memo = bpe.Memo(merges)
-    got = bpe.encode_all(merges, [*texts(), *texts()], memo)
-    assert got == [library.encode(t, add_special_tokens=False).ids for t in [*texts(), *texts()]]
+
+
+def side_by_side(merges, each):
+    got = [[] for _ in each]
+    for step in bpe.encoded(merges, each, bpe.Memo(merges)):
+        for ids, more in zip(got, step, strict=True):
+            ids += more
+    return got
+
+
+def test_texts_side_by_side(both, monkeypatch):
+    merges, library = both
+    each = [*texts(), *texts(), " ".join(texts()) * 3]
+    want = [library.encode(t, add_special_tokens=False).ids for t in each]
+    assert side_by_side(merges, each) == want
+    monkeypatch.setattr(bpe, "BLOCK", 25)
+    assert side_by_side(merges, each) == want
+    assert list(bpe.encoded(merges, [], bpe.Memo(merges))) == [[]]
+
+
+def test_documents_go_through_the_transducer(both, monkeypatch):
+    """Each text of ordinary size is fed to its own transducer, and a long one is settled while it is fed."""
+    merges, library = both
+    fed, held = [], []
+    feed = bpe.StreamEncoder.feed
+
+    def counted(self, text):
+        out = feed(self, text)
+        fed.append((id(self), len(text), bool(out)))
+        held.append(len(self.buffer))
+        return out
+
+    monkeypatch.setattr(bpe.StreamEncoder, "feed", counted)
+    word = "some words of a text, as they come: 12 of them\n"
+    each = [word * n for n in (1, 5, 40, 400, 4000)]
+    assert side_by_side(merges, each) == [library.encode(t, add_special_tokens=False).ids for t in each]
+    assert {n for _, n, _ in fed} >= {len(word), 5 * len(word), 40 * len(word), bpe.BLOCK}
+    assert len({i for i, *_ in fed}) == 5 and sum(out for *_, out in fed) > 10
+    assert max(held) < 2 * bpe.BLOCK
 
 
 def test_streaming_gives_the_same_ids(both, monkeypatch):
@@ -48,8 +84,11 @@ def test_streaming_gives_the_same_ids(both, monkeypatch):
             while at < len(t):
                 step = rng.randint(1, 50)
                 got += stream.feed(t[at : at + step])
+                assert len(stream.buffer) < 4 * bpe.BLOCK and (stream.run is None or len(stream.run.held) < bpe.WINDOW + merges.lookahead + 1)
                 at += step
-            assert got + stream.finish() == want, repr(t[:80])
+            memo = bpe.Memo(merges)
+            flat = [i for x in got + stream.finish() for i in (memo.ids([bpe._OUTER.findall(x)])[0] if isinstance(x, str) else [x])]
+            assert flat == want, repr(t[:80])
 
 
 def test_lookahead_bounds_changes(both):
