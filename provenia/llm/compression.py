@@ -2,8 +2,10 @@
 
 A Zstandard dictionary is trained on labelled good text and one on bad text. Every block
 of a text is compressed with each; the difference of the total sizes over the text's size
-says which class the text resembles. A logistic regression on that difference, fitted on
-other labelled documents than the dictionaries, turns it into a probability.
+says which class the text resembles. Text that repeats itself compresses alike with
+either, so the size without a dictionary, over the text's own, stands beside it. Both are
+sizes by compression; nothing else about a text is looked at. A logistic regression on
+them, fitted on other labelled documents than the dictionaries, gives the probability.
 """
 
 from __future__ import annotations
@@ -56,20 +58,22 @@ class Measure:
 
         self.each = [compressor(c) for c in (good, bad, b"")]
 
+    def sizes(self, data: bytes) -> list[int]:
+        """Compressed bytes with the good dictionary, with the bad one, and with none."""
+        return [sum(len(c.compress(b)) for b in blocks(data)) for c in self.each]
+
     def __call__(self, data: bytes) -> list[float]:
-        good, bad, plain = ([len(c.compress(b)) for b in blocks(data)] for c in self.each)
+        good, bad, plain = self.sizes(data)
         n = max(1, len(data))
-        difference = (sum(bad) - sum(good)) / n
-        most = max(((y - x) / BLOCK for x, y in zip(good, bad, strict=True)), default=0.0)
-        least = min(((y - x) / BLOCK for x, y in zip(good, bad, strict=True)), default=0.0)
-        return [difference, difference * abs(difference), float(np.log(n)), sum(plain) / n, most, least]
+        return [(bad - good) / n, float(np.log(plain / n + 0.001))]
 
 
 def fit(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = FOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Dictionaries and score from at most SAMPLE labelled rows of each class (1: good) outside the fold.
 
-    Half of them give blocks for the dictionaries, the others fit the score. Where a class
-    is missing the model has no score and judges every text alike.
+    Half of them give blocks for the dictionaries, the others fit the score. Blocks are
+    taken in the order of their hashes, equal ones alike, so the same rows give the same
+    model. Where a class is missing the model has no score and judges every text alike.
     """
     sample = cut(labelled_sample(docs, labels, label_col, fold, SAMPLE, id_col, text_col).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(2)).cast("int")))
     cutter = text_pass(sample.where("part = 0"), lambda: lambda texts: [{"blocks": blocks(t)} for t in texts], "blocks array<binary>", "text", ["label"])
@@ -90,7 +94,12 @@ def fit(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = FOLD, id_col
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for each row; whole texts, null as empty; 0.5 throughout if the model has no score."""
+    """(id, score) for each row, whole texts, of any length, block by block.
+
+    Null counts as empty; an empty text has sizes 0 and scores as a text that is all
+    repetition. Equal texts have equal scores and repeated rows stay; an empty table gives
+    no rows. 0.5 throughout if the model has no score.
+    """
     good, bad, calibrated = model
 
     def make():

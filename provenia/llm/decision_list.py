@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from provenia.llm.common import table, text_pass
 from provenia.llm.learning import labelled_sample
 
-#: Labelled rows of each class to learn from, and the fold left out of learning (none).
-SAMPLE, FOLD = 8000, (1, 1)
+#: Labelled rows of each class to learn from; rows with this remainder are never learned from, so that rules can be judged on them.
+SAMPLE, FOLD = 8000, (5, 0)
 #: Base rule: fewer words fail, and so do texts of which more than this percentage of words repeats.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Rules at most, conditions of a rule at most, precision a rule needs, rows it must cover, thresholds tried.
@@ -196,7 +196,8 @@ def judged(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for each row.
 
     kept is false where the base rule fails or a learned rule marks the row. A null or
-    empty text has no words and fails. Repeated rows stay; an empty table gives no rows.
+    empty text has no words and fails. Texts of any length are counted whole. Repeated rows
+    stay and are judged alike; an empty table gives no rows.
     """
     rows = measured(docs, id_col, text_col).select(F.col(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), *features())
     return rows.select(F.col(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & verdict(rules)).alias("kept"))

@@ -1,8 +1,10 @@
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from provenia.llm import compression as C
@@ -83,3 +85,76 @@ def test_compression_without_labels(spark, labels_of):
     docs, labels = corpus(spark, 30)
     model = C.fit(docs, labels.where(labels_of))
     assert C.score(docs, model).agg(F.countDistinct("score")).first()[0] == 1
+
+
+def test_sizes_match_plain_version():
+    rng = random.Random(20)
+    good, bad = (" ".join(rng.choice(pool) for _ in range(3000)).encode() for pool in (["alpha", "beta", "gamma"], ["###", "$$$", "%%"]))
+    measure = C.Measure(good, bad)
+    for n in (0, 1, 10, 4095, 4096, 4097, 60_000):
+        data = bytes(rng.choice(b"abc alpha ###") for _ in range(n))
+        want = []
+        for content in (good, bad, b""):
+            d = zstandard.ZstdCompressionDict(content) if content else None
+            c = zstandard.ZstdCompressor(level=C.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            want.append(sum(len(c.compress(data[k : k + 4096])) for k in range(0, n, 4096)))
+        assert measure.sizes(data) == want
+        got = measure(data)
+        assert got[0] == (want[1] - want[0]) / max(1, n) and got[1] == pytest.approx(np.log(want[2] / max(1, n) + 0.001))
+
+
+def test_scores_of_odd_rows(spark):
+    docs, labels = corpus(spark)
+    model = C.fit(docs, labels)
+    again = C.fit(docs.orderBy(F.desc("doc_id")).repartition(5), labels)
+    assert again.good == model.good and again.bad == model.bad and np.allclose(again.score.w, model.score.w)
+    long = docs.where("doc_id < 4 AND score > 0").select("doc_id", F.repeat(F.concat("text", F.lit(" ")), F.lit(2000)).alias("text"))
+    rows = docs.select("doc_id", "text").unionByName(long).unionByName(docs.select("doc_id", "text").where("doc_id = 5"))
+    got = sorted((r.doc_id, round(r.score, 12)) for r in C.score(rows, model).collect())
+    assert len(got) == rows.count() and len({s for i, s in got if i == 5}) == 1
+    assert len({s for i, s in got if i in (400, 401)}) == 1
+
+
+def test_queries_hold_out_and_predict(spark, tmp_path):
+    docs, labels = corpus(spark)
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    rows = C.op5_compression(spark, str(tmp_path)).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3)
+    unseen = [r for r in rows if r.held_out and r.doc_id < 400]
+    assert np.mean([r.predicted == (r.doc_id % 4 > 0) for r in unseen]) > 0.95
+    swapped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = C.fit(docs, labels), C.fit(docs, swapped)  # held-out labels teach nothing
+    assert a.good == b.good and np.allclose(a.score.w, b.score.w)
+    assert D.fit(docs, labels) == D.fit(docs, swapped)
+    kept = {r.doc_id: r.kept for r in D.op2_quality_rules(spark, str(tmp_path)).collect()}
+    assert np.mean([kept[r.doc_id] == (r.doc_id % 4 > 0) for r in unseen]) > 0.95
+
+
+def test_rules_mark_what_plain_python_marks(spark):
+    docs, labels = corpus(spark)
+    rules = D.fit(docs, labels)
+    assert rules
+    for r in D.judged(docs, rules).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        s = D.statistics((r.text or "").encode())
+        words, chars, lines = max(1, s["n_words"]), max(1, s["word_chars"]), max(1, s["n_lines"])
+        x = [s["n_symbols"] / words, s["n_dup_lines"] / lines, s["n_repeat_words"] / words, s["word_chars"] / words, s["n_upper"] / chars, s["n_digits"] / chars, s["n_marks"] / chars, s["n_words"] / lines]
+        marked = any(all((x[c.feature] > c.threshold) == c.above for c in rule) for rule in rules)
+        assert r.base_failed == (s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"])
+        assert r.kept == (not r.base_failed and not marked)
+
+
+def test_rules_of_tied_features(spark):
+    x = np.repeat([[0.5] * len(D.FEATURES)], 60, 0)
+    x[::3, 1] = 0.9
+    rules = D.learn(np.tile(x, (3, 1)), np.tile(x[:, 1] > 0.6, 3))
+    assert [[(c.feature, c.above) for c in r] for r in rules] == [[(1, True)]]
+    assert D.learn(np.repeat([[0.5] * len(D.FEATURES)], 60, 0), np.arange(60) % 2 == 0) == []
+
+
+def test_very_long_text():
+    text = ("aa bb cc\n" * 400_000).encode()
+    s = D.statistics(text)
+    assert s["n_words"] == s["n_repeat_words"] == 1_200_000 and s["n_dup_lines"] == 399_999
