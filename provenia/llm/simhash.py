@@ -37,8 +37,8 @@ SHINGLE, WIDE, LEAST, ANCHORS = 5, 1024, 0.8, 6
 _PLAIN = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in bytes(range(256)).lower())
 #: Rows from which a trie is split; blocks of bits by which one of near copies is.
 HOT, SPLIT_HOT, BLOCKS = 20_000, 1000, 16
-#: Bytes of a text split into words at a time; shingles counted at a time; rows of tries and node pairs walked at a time.
-BLOCK, COUNTED, TRIE_ROWS, FRONTIER = 1 << 20, 4096, 100_000, 1 << 18
+#: Bytes of a text split into words at a time; shingles counted at a time; bits of the fingerprints of tries and node pairs walked at a time.
+BLOCK, COUNTED, TRIE_BITS, FRONTIER = 1 << 20, 4096, 4_000_000, 1 << 16
 _SPREAD, _LANES = np.uint64(0x9E3779B97F4A7C15), WIDE // 64
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -144,7 +144,7 @@ def trie_walk(bucket: np.ndarray, fp: np.ndarray, bits: int = BITS) -> tuple[np.
         if not len(al) or depth == width:
             continue
         if ones[depth] is None:
-            ones[depth] = np.r_[0, np.cumsum((fp[:, depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1))].astype(np.int64)
+            ones[depth] = np.r_[0, np.cumsum((fp[:, depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1))].astype(np.int32)
         c = ones[depth]
         am, bm = ah - (c[ah] - c[al]), bh - (c[bh] - c[bl])
         own = al == bl  # a node with itself: its two children, and the pair of them
@@ -156,13 +156,13 @@ def trie_walk(bucket: np.ndarray, fp: np.ndarray, bits: int = BITS) -> tuple[np.
     return labels, *(np.concatenate(x) for x in zip(*links, strict=True)), walked
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch], solve: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
-    """solve() over whole tries (bucket), by which the batches are sorted, some TRIE_ROWS rows at a time."""
+def _by_bucket(batches: Iterator[pa.RecordBatch], solve: Callable[[pa.Table], Iterator[pa.RecordBatch]], most: int) -> Iterator[pa.RecordBatch]:
+    """solve() over whole tries (bucket), by which the batches are sorted, some `most` rows at a time."""
     held, rows = [], 0
-    for batch in batches:
+    for batch in (b.slice(k, most) for b in batches for k in range(0, b.num_rows, most)):
         held.append(batch)
         rows += batch.num_rows
-        if rows >= TRIE_ROWS:  # all tries but the last are whole
+        if rows >= most:  # all tries but the last are whole
             b = batch.column("bucket").to_numpy()
             last = np.flatnonzero(b != b[-1])
             if len(last):
@@ -178,11 +178,12 @@ def _linked(names: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(names[j])], names=["u", "v"])
 
 
-def _joined(keyed: DataFrame, solve: Callable[[pa.Table], Iterator[pa.RecordBatch]], *order: str) -> DataFrame:
-    """(u, v) of the tries of keyed, whose rows are dealt by bucket and sorted."""
+def _joined(keyed: DataFrame, solve: Callable[[pa.Table], Iterator[pa.RecordBatch]], width: int, *order: str) -> DataFrame:
+    """(u, v) of the tries of keyed, whose rows are dealt by bucket and sorted; width: bits of a fingerprint."""
+    most = max(1, TRIE_BITS // width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _by_bucket(batches, solve)
+        yield from _by_bucket(batches, solve, most)
 
     return keyed.repartition("bucket").sortWithinPartitions("bucket", *order).mapInArrow(run, "u long, v long").distinct()
 
@@ -224,7 +225,7 @@ def near_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
         _, i, j, _ = trie_walk(bucket, fp, bits)
         yield from _linked(fp.view(np.int64), i, j)
 
-    return _joined(keyed.select("fp", "bucket"), solve)
+    return _joined(keyed.select("fp", "bucket"), solve, 64)
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int) -> DataFrame:
@@ -348,7 +349,7 @@ def wide_links(marked: DataFrame, least: float = LEAST) -> DataFrame:
         _, i, j, _ = trie_walk(bucket[at], fp[at], bits)
         yield from _linked(names, at[i], at[j])
 
-    return _joined(rows.select("bucket", "f", "fp"), solve, "fp")
+    return _joined(rows.select("bucket", "f", "fp"), solve, WIDE, "fp")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
