@@ -113,10 +113,11 @@ def format_g(x: Column) -> Column:
         scale = F.pow(F.lit(10.0), shift)
         magnitude = F.abs(v)
         whole = F.regexp_replace(F.regexp_replace(F.try_element_at(seven, F.lit(1)), "-", ""), r"\.", "").try_cast("long")
-        tie = (whole % 10 == 5) & shift.between(0, 22) & (F.format_string("%.6e", magnitude).try_cast("double") == magnitude)
-        rest = (magnitude * scale - whole) + _product_error(magnitude, scale)
+        tie = (whole % 10 == 5) & shift.between(-22, 22) & (F.format_string("%.6e", magnitude).try_cast("double") == magnitude)
+        large, big = shift < 0, F.pow(F.lit(10.0), -shift)  # a power of ten is exact up to 22, its inverse isn't
+        rest = F.when(large, (magnitude - whole * big) - _product_error(whole.cast("double"), big)).otherwise((magnitude * scale - whole) + _product_error(magnitude, scale))
         down = tie & ((rest < 0) | ((rest == 0) & (F.floor(whole / 10) % 2 == 0)))
-        return F.when(down, F.signum(v) * (whole - 1) / scale).otherwise(v)
+        return F.when(down, F.signum(v) * F.when(large, (whole - 1) * big).otherwise((whole - 1) / scale)).otherwise(v)
 
     def shown(v: Column) -> Column:
         text = F.format_string("%.5e", v)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenia.functions import text as T
@@ -16,6 +16,7 @@ from provenia.operators import gate, generators, joins, ledger, publish, rules,
 from provenia.plans import evaluate
 from provenia.sources import corpus
 from provenia.sources import reference as R
+from provenia.sources.scratch import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,9 +102,6 @@ def asof_lookup(spark, d):
     return joins.asof(e.where("event_type = 'error'").select("event_id", "user_id", "ts"), clicks, ["user_id"], "ts", "last_click").select("event_id", "user_id", "last_click")
 
 
-_MARK = "(?i)\\\\b(?:the|la|die|le)\\\\b"
-
-
 @query("""
 WITH h AS (SELECT doc_id, string_split_regex(text, '\\n') AS p FROM documents)
 SELECT doc_id, len(p)::BIGINT - 1 AS n_marks, CASE WHEN len(p) > 1 THEN list_sum(list_transform(p[1:len(p)-1], lambda x: length(x)))::BIGINT + len(p) - 2 END AS last_mark FROM h
@@ -115,20 +113,6 @@ def match_offsets(spark, d):
     return docs.select("doc_id", F.col("x.n").alias("n_marks"), F.col("x.last").alias("last_mark"))
 
 
-@query("""
-WITH s AS (SELECT doc_id, text, (doc_id % 4) AS k FROM documents),
-x AS (SELECT doc_id, CASE k WHEN 0 THEN 'Absolute  Maximum Ratings' || chr(10) ELSE '' END || text || CASE k WHEN 1 THEN chr(10) || 'Recommended operating conditions' || chr(10) || 'x' WHEN 2 THEN chr(10) || 'Mechanical Data ..... 7' WHEN 3 THEN chr(10) || 'Maximum Ratings and Electrical Characteristics' ELSE '' END AS t, k FROM s)
-SELECT doc_id, CASE k WHEN 0 THEN 'OTHER' ELSE 'OTHER' END AS first_section, CASE k WHEN 0 THEN 'ABS_MAX' WHEN 1 THEN 'RECOMMENDED' WHEN 2 THEN 'OTHER' ELSE 'ABS_MAX' END AS last_section, CASE k WHEN 2 THEN 0 ELSE 1 END AS n_marks FROM x
-""")
-def section_lookup(spark, d):
-    """Headings added to texts: which section the start and the end lie in, and how many marks remain."""
-    k = F.col("doc_id") % 4
-    tail = F.when(k == 1, "\nRecommended operating conditions\nx").when(k == 2, "\nMechanical Data ..... 7").when(k == 3, "\nMaximum Ratings and Electrical Characteristics").otherwise("")
-    text = F.concat(F.when(k == 0, "x Absolute  Maximum Ratings\n").otherwise(""), F.col("text"), tail)
-    docs = t(spark, d, "documents").select("doc_id", F.length(text).alias("n"), sections.section_marks(text).alias("marks"))
-    return docs.select("doc_id", sections.section_at(F.col("marks"), F.lit(0)).alias("first_section"), sections.section_at(F.col("marks"), F.col("n")).alias("last_section"), F.size("marks").alias("n_marks"))
-
-
 @query(r"""
 SELECT page_id, length(x) AS n_chars, sha256(x) AS text_sha256 FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html,
  '<script\b[^>]*>.*?</script>', ' ', 'gis'), '<style\b[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10), 'g'), '^\s+', ''), '\s+$', '') AS x FROM pages)
@@ -138,21 +122,6 @@ def strip_html(spark, d):
     return x.select("page_id", F.length("x").cast("long").alias("n_chars"), F.sha2("x", 256).alias("text_sha256"))
 
 
-@query(r"""
-SELECT page_id, status, NOT (page_id % 5 = 1) AND NOT (page_id % 5 = 2) AS ok,
-  CASE WHEN page_id % 5 = 1 THEN 'HTTP 404' WHEN page_id % 5 = 2 THEN 'PDF asset (not text-extracted)' ELSE '' END AS reason,
-  NOT (page_id % 5 IN (1, 2)) AND (strpos(upper(html), upper(split_part(split_part(url, '/', 3), '.', 1))) > 0 AND 1 = 1 OR regexp_matches(html, '(?i)\b(voltage|amperage|dimensions|specifications|dBA|cu\.?\s*ft)\b')) AS content
-FROM (SELECT *, CASE WHEN page_id % 5 = 1 THEN 404 ELSE 200 END AS status, 0 AS z FROM pages) WHERE page_id % 5 <> 3 OR true
-""")
-def page_fetch(spark, d):
-    """Recorded responses: status, kind and content of pages served as text."""
-    k = F.col("page_id") % 5
-    rows = t(spark, d, "pages").select("page_id", "url", F.col("html").alias("body"), F.when(k == 1, 404).otherwise(200).alias("status"), F.when(k == 2, "application/pdf").otherwise("text/plain").alias("content_type"), F.lit("").alias("error"))
-    term = F.split(F.split("url", "/")[2], r"\.")[0]
-    done = corpus.fetched_pages(rows)
-    return done.select("page_id", "status", "ok", "reason", (F.col("ok") & corpus.has_content(F.col("text"), term)).alias("content"))
-
-
 @query("""
 WITH c AS (SELECT doc_id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS h FROM documents)
 SELECT h AS sha256, count(*) AS n, min(doc_id) AS first_doc FROM c GROUP BY h
@@ -171,13 +140,6 @@ def revision_sha(spark, d):
     return corpus.revisions(lock, docs.select("doc_id", F.sha2("text", 256).alias("sha256")))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")
-def stale_cache(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
-    cache = docs.where("doc_id % 3 <> 2").withColumn("sha256", F.when(F.col("doc_id") % 3 == 1, "old").otherwise(F.col("sha256")))
-    return corpus.stale(docs, cache).select("doc_id")
-
-
 @query("""
 WITH x AS (SELECT doc_id, text || ' LM' || (100 + doc_id % 7) || 'A BC' || (20 + doc_id % 5) || ' LM' || (100 + doc_id % 3) AS t FROM documents),
 k AS (SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(t, '\\b(?:1N|2N|LM|TL|UA|MC|BC|BAV|MMBT|SS|SR|NE)[0-9]{2,5}[A-Z]{0,4}\\b'), lambda p: upper(p)))) AS tokens, 'LM' || (100 + doc_id % 7) || 'A' AS mpn FROM x)
@@ -194,44 +156,6 @@ def contamination(spark, d):
 # --- candidates -------------------------------------------------------------------------------
 
 
-@query("""
-WITH s AS (SELECT p_partkey, p_name || ' rated 25' || chr(176) || 'C, peak ' || (p_size + 0.5) || ' mA in DO-' || (200 + p_size) || 'AL case' AS t, p_size FROM part)
-SELECT p_partkey, (p_size + 0.5)::VARCHAR || ' mA' AS raw, 'mA' AS unit, round((p_size + 0.5) * 0.001, 9) AS amperes FROM s
-""")
-def inline_value(spark, d):
-    """The first number with a unit of current after a word, past temperatures and package codes."""
-    text = F.concat("p_name", F.lit(" rated 25°C, peak "), (F.col("p_size") + 0.5).cast("decimal(10,1)").cast("string"), F.lit(" mA in DO-"), F.col("p_size") + 200, F.lit("AL case"))
-    spec = F.struct(F.lit("number").alias("dtype"), F.lit("A").alias("unit"), F.lit("x").alias("attribute"), F.array().cast("array<string>").alias("members"))
-    got = t(spark, d, "part").select("p_partkey", T.let(generators.value_in(text, spec), lambda v: v).alias("v"))
-    return got.select("p_partkey", "v.raw", "v.unit", F.round(V.convert(V.parse_number(F.col("v.raw")), F.col("v.unit"), F.lit("A")), 9).alias("amperes"))
-
-
-@query("""
-SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 0 ELSE 1 END AS n, CASE WHEN p_size % 4 <> 0 THEN -p_size::DOUBLE END AS low FROM part
-""")
-def range_value(spark, d):
-    """The low end of a temperature range, if its unit is stated."""
-    text = F.concat(F.lit("Storage temperature −"), F.col("p_size"), F.lit(" to +"), F.col("p_size") + 60, F.when(F.col("p_size") % 4 == 0, "").otherwise(" °C"))
-    spec = F.struct(F.lit("min").alias("range_end"), F.array(F.lit("storage temperature")).alias("aliases"), F.lit("degC").alias("unit"), F.lit(-100.0).alias("low"), F.lit(50.0).alias("high"))
-    c = generators.range_end(text, F.lit("X"), spec, F.array(), F.array().cast("array<string>"))
-    got = t(spark, d, "part").select("p_partkey", T.let(c, lambda x: x).alias("c"))
-    return got.select("p_partkey", F.size("c").alias("n"), V.minus(F.try_element_at("c", F.lit(1))["raw"]).cast("double").alias("low"))
-
-
-@query("""
-SELECT p_partkey, 1 + p_size % 3 AS column_no, CASE p_size % 3 WHEN 0 THEN p_size WHEN 1 THEN 2 * p_size ELSE 3 * p_size END::DOUBLE AS value FROM part
-""")
-def series_table(spark, d):
-    """A part's own column in a series table of three."""
-    n = F.col("p_size")
-    text = F.concat(F.lit("PARAMETER LM11 LM12 LM13 UNIT\nVRRM "), n, F.lit(" "), 2 * n, F.lit(" "), 3 * n, F.lit(" V\nend"))
-    spec = F.struct(F.lit("number").alias("dtype"), F.array(F.lit("VRRM")).alias("table_aliases"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
-    siblings = F.array(*map(F.lit, ("LM11", "LM12", "LM13")))
-    c = generators.table_column(text, F.element_at(siblings, (n % 3 + 1).cast("int")), spec, siblings, F.array().cast("array<string>"))
-    got = t(spark, d, "part").select("p_partkey", T.let(c, lambda x: x).alias("c"))
-    return got.select("p_partkey", (F.col("c")[0]["column_index"] + 1).alias("column_no"), F.col("c")[0]["raw"].cast("double").alias("value"))
-
-
 @query("""
 SELECT o_orderkey, list_extract(cells, 2) AS second_price, len(cells)::BIGINT AS n FROM (SELECT l_orderkey AS o_orderkey, list(l_extendedprice ORDER BY l_linenumber, l_extendedprice) AS cells FROM lineitem GROUP BY l_orderkey)
 """)
@@ -252,30 +176,6 @@ def self_consistency(spark, d):
     return generators.self_consistency(e, ["user_id", "day"], 3).select("user_id", F.col("day").cast("string").alias("day"), "raw", F.round("consistency", 6).alias("consistency"), "samples")
 
 
-@query("""
-SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 3 = 1 END AS found, CASE WHEN doc_id % 3 <> 0 THEN source END AS value FROM documents
-""")
-def parse_response(spark, d):
-    """The first tool call of a recorded reply; replies without one give nothing."""
-    call = F.concat(F.lit('{"output":{"message":{"content":[{"text":"x"},{"toolUse":{"input":{"found":'), F.when(F.col("doc_id") % 3 == 1, "true").otherwise("false"), F.lit(',"value":"'), F.col("source"), F.lit('","quote":"q"}}}]}}}'))
-    raw = F.when(F.col("doc_id") % 3 == 0, '{"output":{"message":{"content":[{"text":"x"}]}}}').otherwise(call)
-    return t(spark, d, "documents").select("doc_id", T.let(generators.parse_response(raw), lambda r: r).alias("r")).select("doc_id", "r.found", "r.value")
-
-
-@query("""
-SELECT doc_id, least(n, 3) AS n_windows, CASE WHEN n > 0 THEN 0 END AS first_start FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 4 END AS n FROM documents)
-""")
-def model_windows(spark, d):
-    """Regions around an alias that a model would be shown: three at most, one for each 500 characters."""
-    gap = F.repeat(F.lit("- "), F.lit(400))
-    hit = F.lit(" zqalias ")
-    text = F.when(F.col("doc_id") % 3 == 0, "none").when(F.col("doc_id") % 3 == 1, F.concat(hit, hit)).otherwise(F.concat(hit, gap, hit, gap, hit, gap, hit))
-    spec = F.array(F.struct(F.lit("x").alias("attribute"), F.array(F.lit("ZQALIAS")).alias("aliases")))
-    work = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("sku"), "doc_id", text.alias("text"), spec.alias("specs"))
-    found = generators.llm_windows(work).groupBy("doc_id").agg(F.count("*").cast("int").alias("n_windows"), F.min("window_start").alias("first_start"))
-    return t(spark, d, "documents").select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n_windows", F.lit(0)).alias("n_windows"), "first_start")
-
-
 # --- values -----------------------------------------------------------------------------------
 
 _UNITS = [("mA", "current", 0.001), ("A", "current", 1.0), ("uV", "voltage", 1e-6), ("kV", "voltage", 1000.0), ("°C", "temperature", 1.0), ("V", "voltage", 1.0)]
@@ -295,31 +195,6 @@ def format_g(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.format_g(F.col("l_extendedprice")).alias("price_key"), T.format_g(F.col("l_discount") * F.col("l_quantity") * 0.00001).alias("small_key"))
 
 
-@query("""
-WITH r AS (SELECT p_partkey, p_size % 6 AS k, p_size FROM part)
-SELECT p_partkey, CASE k WHEN 0 THEN p_size / 1000.0::DOUBLE WHEN 1 THEN p_size + 0.5 WHEN 3 THEN p_size::DOUBLE END AS num, CASE k WHEN 0 THEN printf('%g', p_size / 1000.0::DOUBLE) || ' A' WHEN 1 THEN printf('%g', p_size + 0.5) || ' A' WHEN 3 THEN p_size || ' A' ELSE '' END AS display,
-  CASE k WHEN 2 THEN 'unit ''V'' not compatible with ''A''' WHEN 4 THEN 'no number in ''none''' WHEN 5 THEN 'empty' ELSE '' END AS error FROM r
-""")
-def normalize_number(spark, d):
-    k, n = F.col("p_size") % 6, F.col("p_size").cast("string")
-    raw = F.when(k == 0, F.concat(F.lit("up to "), n, F.lit("mA"))).when(k == 1, F.concat(n, F.lit(",5 A"))).when(k == 2, F.concat(n, F.lit(" V"))).when(k == 3, n).when(k == 4, "none").otherwise("  ")
-    v = V.normalize_value(raw, F.lit("number"), F.lit("A"), F.array().cast("array<string>"), F.lit(""))
-    return t(spark, d, "part").select("p_partkey", T.let(v, lambda x: x).alias("v")).select("p_partkey", "v.num", "v.display", "v.error")
-
-
-@query("""
-WITH r AS (SELECT p_partkey, p_size % 8 AS k FROM part)
-SELECT p_partkey, CASE k WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN true WHEN 5 THEN true WHEN 6 THEN false END AS flag,
-  CASE k WHEN 0 THEN 'THROUGH_HOLE' WHEN 1 THEN 'SURFACE_MOUNT' WHEN 4 THEN 'SURFACE_MOUNT' WHEN 7 THEN 'THROUGH_HOLE' END AS member FROM r
-""")
-def flags_and_members(spark, d):
-    """Booleans from words (whole ones before parts) and members of a closed list."""
-    k = F.col("p_size") % 8
-    flag = F.element_at(F.array(*map(F.lit, ("Yes", "non-compliant", "is not compliant", "no", "RoHS: compliant", "Pb-free finish", "Fixed", "zzz"))), (k + 1).cast("int"))
-    word = F.element_at(F.array(*map(F.lit, ("through hole", "Surface-Mount", "axial", "radial", "surface", "none", "q", "THROUGH_HOLE"))), (k + 1).cast("int"))
-    return t(spark, d, "part").select("p_partkey", V.to_bool(flag).alias("flag"), V.canon_enum(word, F.array(F.lit("THROUGH_HOLE"), F.lit("SURFACE_MOUNT"))).alias("member"))
-
-
 # --- arbitration and decisions ----------------------------------------------------------------
 
 _LIVE = """
@@ -494,21 +369,6 @@ def calibrate_fit(spark, d):
     return spark.createDataFrame([(model.trained, model.general, model.safety, [round(w, 6) for w in model.weights])], "trained boolean, general double, safety double, weights array<double>")
 
 
-@query("""
-SELECT doc_id, attribute, CASE attribute WHEN 'n' THEN (doc_id % 3) <> 1 WHEN 's' THEN doc_id % 2 = 0 ELSE doc_id % 5 = 0 END AS correct FROM documents, (VALUES ('n'), ('s'), ('f')) a(attribute)
-""")
-def label_match(spark, d):
-    """Numbers within 2 %, texts as prefixes without blanks and case, flags by truth."""
-    k = F.col("doc_id")
-    rows = t(spark, d, "documents").select("doc_id", F.explode(F.array(*map(F.lit, "nsf"))).alias("attribute"))
-    n, s, f = (F.col("attribute") == c for c in "nsf")
-    num = F.when(n, 100 + (k % 3) * F.lit(1.0) + F.when(k % 3 == 1, 2.0).otherwise(0.0) - F.when(k % 3 == 2, 1.0).otherwise(0.0))
-    text = F.when(s, F.when(k % 2 == 0, "do-204 al").otherwise("TO-220"))
-    flag = F.when(f, k % 5 == 0)
-    accepted = F.when(n, F.array(F.struct(F.lit(100.0).alias("num"), F.lit(None).cast("string").alias("str"), F.lit(None).cast("boolean").alias("flag")))).when(s, F.array(F.struct(F.lit(None).cast("double").alias("num"), F.lit("DO-204AL (DO-41)").alias("str"), F.lit(None).cast("boolean").alias("flag")))).otherwise(F.array(F.struct(F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("str"), F.lit(True).alias("flag"))))
-    return rows.select("doc_id", "attribute", V.label_matches(num, text, flag, accepted).alias("correct"))
-
-
 @query("""
 WITH w AS (SELECT n_nationkey AS k, n_name AS name, upper(n_name) AS got FROM nation)
 SELECT 'name' AS field, count(*) FILTER (name = got) AS matched, count(*) AS total, round(count(*) FILTER (name = got) / count(*), 4) AS rate FROM w
@@ -545,27 +405,14 @@ def audit_fold(spark, d):
 @query(_FOLD)
 def ledger_stream(spark, d):
     """The same fold kept by a stream: events arrive as files and batches merge into the state."""
-    import uuid
-
     from provenia.streaming import ledger as stream
 
-    root = f"{_scratch(spark)}/ledger-{uuid.uuid4().hex}"
+    root = scratch_dir(spark)
     _log(spark, d).repartition(4, "id").write.parquet(f"{root}/events")
     stream.fold_into(stream.read_events(spark, f"{root}/events", files_per_batch=2, lateness="3650 days"), f"{root}/state", f"{root}/checkpoint").awaitTermination()
     return stream.current(spark, f"{root}/state")
 
 
-def _scratch(spark) -> str:
-    """The shared folder named in spark.checkpoint.dir; one of this machine where it is unset."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="provenia-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 @query("SELECT user_id::VARCHAR AS sku, event_id AS id, rn AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn <= 20")
 def audit_trail(spark, d):
     """The newest twenty events of each part."""
@@ -588,36 +435,10 @@ _WORDS = ("Dishwasher", "laundry  center", "gas dryer", "WASHER top", "grill", "
 _KEYS = ("DISHWASHER", "LAUNDRY_CENTER", "DRYER", "WASHER", "RANGE", "REFRIGERATOR", None, "DRYER", "COOKTOP", None)
 
 
-@query("SELECT p_partkey, [" + ", ".join(f"'{k}'" if k else "NULL" for k in _KEYS) + "][p_size % 10 + 1] AS category FROM part")
-def classify(spark, d):
-    """Ordered patterns: the first that matches names the category."""
-    text = F.concat_ws(" ", "p_name", F.element_at(F.array(*map(F.lit, _WORDS)), (F.col("p_size") % 10 + 1).cast("int")))
-    return t(spark, d, "part").select("p_partkey", D.classify(text).alias("category"))
-
-
 _BRANDED = ("Kitchen  Aid mixer", "SQ Elect", "my GE range", "general electric", "café oven", "MAYTAG", "Whirlpool and LG", "nothing", "Speed Queen", "LGX")
 _BRAND_KEYS = ("KITCHENAID", "SPEED QUEEN", "GE", None, "CAFE", "MAYTAG", "WHIRLPOOL", None, "SPEED QUEEN", None)
 
 
-@query("""SELECT p_partkey, b AS brand_key, m.d AS brand_display FROM (SELECT p_partkey, [""" + ", ".join(f"'{k}'" if k else "NULL" for k in _BRAND_KEYS) + """][p_size % 10 + 1] AS b FROM part)
-LEFT JOIN (VALUES """ + ", ".join(f"('{k}', '{disp}')" for k, disp, *_ in R.BRANDS) + """) m(k, d) ON b = k""")
-def brand_resolve(spark, d):
-    text = F.element_at(F.array(*map(F.lit, _BRANDED)), (F.col("p_size") % 10 + 1).cast("int"))
-    keyed = t(spark, d, "part").select("p_partkey", D.brand_key(text).alias("brand_key"))
-    return keyed.join(F.broadcast(R.brands(spark)), "brand_key", "left").select("p_partkey", "brand_key", "brand_display")
-
-
-@query("""
-SELECT p_partkey, ['V', 'A', 'in', 'kW-hr', 'furlong', 'lb'][p_size % 6 + 1] AS unit, p_size % 6 <> 4 AS known, CASE p_size % 3 WHEN 0 THEN '50-1/4' WHEN 1 THEN p_size::VARCHAR ELSE 'about 5 in' END AS value, CASE p_size % 3 WHEN 2 THEN '' ELSE 'in' END AS uom FROM part
-""")
-def uom(spark, d):
-    """Units as delivered, and values parted from the expected unit."""
-    raw = F.element_at(F.array(*map(F.lit, ("Volts", "amp.", " Inches ", "kwh", "furlong", "lbs"))), (F.col("p_size") % 6 + 1).cast("int"))
-    said = F.when(F.col("p_size") % 3 == 0, "50-1/4 in").when(F.col("p_size") % 3 == 1, F.concat("p_size", F.lit("in"))).otherwise("about 5 in")
-    rows = t(spark, d, "part").select("p_partkey", D.normalize_uom(raw).alias("u"), D.split_value_unit(said, F.lit("in")).alias("v"))
-    return rows.select("p_partkey", "u.unit", "u.known", "v.value", "v.uom")
-
-
 @query("""
 SELECT p_partkey, p_type AS "ATTRIBUTE_VALUE 1", CASE WHEN p_size % 2 = 0 THEN 'Size' END AS "ATTRIBUTE_LABEL 3", CASE WHEN p_size % 2 = 0 THEN p_size::VARCHAR END AS "ATTRIBUTE_VALUE 3", CASE WHEN p_size % 2 = 0 THEN 'in' END AS "ATTRIBUTE_UOM 3", NULL::VARCHAR AS "ATTRIBUTE_LABEL 2" FROM part
 """)
@@ -643,28 +464,6 @@ def descriptions(spark, d):
     return out.select("p_partkey", F.col("SHORT_DESC").alias("short_desc"), F.col("RETAIL_DESC").alias("retail_desc"), F.col("LONG_DESC1").alias("long_desc"), F.col("INVOICE_DESC").alias("invoice_desc"))
 
 
-@query("""
-WITH u AS (SELECT p_partkey, unnest(CASE WHEN p_size % 8 IN (1, 7) THEN ['s', 'o', 'q'] ELSE ['o', 'q'] END) AS k, p_size % 8 AS b FROM part)
-SELECT p_partkey, count(*) AS n_urls, bool_or(k = 's') AS has_search FROM u GROUP BY p_partkey
-""")
-def candidate_urls(spark, d):
-    keys = F.array(*[F.lit(b[0]) for b in R.BRANDS])
-    rows = t(spark, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("mpn"), F.element_at(keys, (F.col("p_size") % 8 + 1).cast("int")).alias("brand_key")).join(F.broadcast(R.brands(spark)), "brand_key")
-    urls = corpus.candidate_urls(rows, R.SUPPORT_SEARCH)
-    return urls.groupBy("p_partkey").agg(F.count("*").alias("n_urls"), F.bool_or(F.col("url").contains("searchtext")).alias("has_search"))
-
-
-@query("""
-SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'WHIRLPOOL' WHEN 1 THEN 'LG' END AS brand_key FROM part WHERE p_size % 3 <> 2
-""")
-def domain_search(spark, d):
-    """The first search result on a maker's own domain, regional ones included."""
-    k = F.col("p_size") % 3
-    href = F.array(F.lit("https://www.shop.example/x"), F.when(k == 0, "//go.example/?uddg=https%3A%2F%2Fwww.whirlpool.co.uk%2Fp&r=1").when(k == 1, "http://m.lg.com/a").otherwise("https://algae.com/b"), F.lit("https://www.maytagged.example/"))
-    results = t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("mpn"), F.posexplode(href).alias("rank", "href"))
-    return corpus.brand_of_results(results, R.brands(spark)).select(F.col("mpn").cast("long").alias("p_partkey"), "brand_key")
-
-
 @query("""
 WITH p AS (SELECT page_id, page_id % 50 AS mpn, page_id AS pos, page_id % 3 <> 0 AND length(html) > 200 AND page_id % 7 <> 0 AS good FROM pages)
 SELECT mpn::VARCHAR AS mpn, coalesce(min(pos) FILTER (good), max(pos)) AS page_id, bool_or(good) AS ok FROM p GROUP BY mpn
@@ -709,15 +508,3 @@ def docs_for_part(spark, d):
     skus = t(spark, d, "customer").select("c_custkey", F.concat(F.lit(" pt-"), F.col("c_custkey") % 100, F.lit(" ")).alias("mpn"))
     manifest = t(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.col("s_suppkey").alias("doc_pos"), F.array(F.concat(F.lit("PT-"), F.col("s_suppkey") % 100)).alias("covers"))
     return corpus.docs_for_part(skus, manifest).select("c_custkey", "doc_id")
-
-
-@query("""
-SELECT s_suppkey, CASE s_nationkey % 5 WHEN 0 THEN 'MFR_DATASHEET' ELSE 'AUTHORIZED_DIST' END AS authority, CASE s_nationkey % 5 WHEN 0 THEN 1.0::DOUBLE ELSE 0.4 END AS weight FROM supplier
-""")
-def brand_authority(spark, d):
-    """Documents of another brand weigh as a distributor's."""
-    rows = t(spark, d, "supplier").select("s_suppkey", F.lit("MFR_DATASHEET").alias("authority"), F.when(F.col("s_nationkey") % 5 == 0, "Acme Semi-conductors").otherwise("Bolt").alias("publisher"), F.lit("ACME").alias("brand"))
-    return A.brand_authority(rows).select("s_suppkey", "authority", A.tier_weight(A.authority_tier(F.col("authority"))).alias("weight"))
-
-
-__all__ = ["ORACLES", "QUERIES", "Window"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from provenia.plans import sheet_queries, text_queries  # they register theirs
 from provenia.plans.queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "sheet_queries", "text_queries"]

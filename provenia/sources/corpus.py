@@ -40,6 +40,23 @@ def stale(found: DataFrame, cache: DataFrame) -> DataFrame:
     return found.join(cache, ["doc_id", "sha256"], "left_anti")
 
 
+def write_text_cache(texts: DataFrame, path: str) -> None:
+    """Append decoded texts (doc_id, sha256 of the file, text) to the cache at path."""
+    texts.select("doc_id", "sha256", "text").write.mode("append").parquet(path)
+
+
+def through_cache(found: DataFrame, decoded: DataFrame, path: str) -> DataFrame:
+    """(doc_id, sha256, text, from_cache) of files found (doc_id, sha256).
+
+    Where the cache has a text of the same digest that is taken; the others come from
+    decoded (doc_id, sha256, text); write_text_cache() of those with from_cache false adds them.
+    """
+    cache = found.sparkSession.read.parquet(path).dropDuplicates(["doc_id", "sha256"])
+    new = decoded.join(stale(found, cache), ["doc_id", "sha256"], "left_semi").select("doc_id", "sha256", "text")
+    old = cache.join(found, ["doc_id", "sha256"], "left_semi").select("doc_id", "sha256", "text")
+    return old.withColumn("from_cache", F.lit(True)).unionByName(new.withColumn("from_cache", F.lit(False)))
+
+
 def revisions(lock: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, previous, sha256, revised): whether a document's digest differs from its lock entry."""
     old = lock.select("doc_id", F.col("sha256").alias("previous"))

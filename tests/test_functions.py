@@ -15,7 +15,8 @@ def one(spark, column):
 
 def test_format_g_is_c_s(spark):
     rng = random.Random(1)
-    xs = [0.0, 50.0, 1234567.0, 1.234e-5, 0.1, 100000.0, 999999.5, -1.5, 2.5e-4, 95611.45, 74492.65, -0.1234565, 1e22, 1e-300, 123456.5, 123457.5, 2.5, 1e15]
+    xs = [0.0, 50.0, 1234567.0, 1.234e-5, 0.1, 100000.0, 999999.5, -1.5, 2.5e-4, 95611.45, 74492.65, -0.1234565, 1e22, 1e-300, 123456.5, 123457.5, 2.5, 1e15, 13090450.0, 13090550.0, 1309045.0, 233284500.0, 1.234565e21, 9.999995e9]
+    xs += [round(rng.uniform(-1e9, 1e9), -2) + 50 for _ in range(300)] + [float(rng.randint(100000, 999999) * 10 + 5) * 10**rng.randint(0, 12) for _ in range(300)]
     xs += [round(rng.uniform(-1e5, 1e5), rng.randint(0, 6)) for _ in range(500)] + [rng.uniform(-1, 1) * 10 ** rng.randint(-9, 9) for _ in range(200)]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", T.format_g(F.col("x")).alias("g")).collect()
     assert [r.g for r in got] == ["%g" % r.x for r in got]
