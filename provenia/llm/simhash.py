@@ -318,8 +318,12 @@ def _split(rows: DataFrame) -> DataFrame:
 
 
 def budget(least: float = LEAST) -> int:
-    """Bits of WIDE in which fingerprints of cosine `least` differ: each does with a chance of angle / pi."""
-    return round(WIDE * math.acos(least) / math.pi)
+    """Bits of WIDE in which fingerprints of cosine `least` may differ: each does with a chance of angle / pi.
+
+    One standard deviation is added, so that of pairs just at the threshold five in six are found.
+    """
+    share = math.acos(least) / math.pi
+    return round(WIDE * share + math.sqrt(WIDE * share * (1 - share)))
 
 
 def wide_links(marked: DataFrame, least: float = LEAST) -> DataFrame:
@@ -357,7 +361,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows link if SimHash fingerprints of the sets of their five-word shingles, WIDE bits,
     tell a similarity of `least` or more: their cosine, which is what SimHash estimates, to
-    about 0.02. Equal sets always link. Links are transitive.
+    about 0.02, with which the budget of bits reckons. Equal sets always link. Links are transitive.
     Null texts count as empty, and all texts without words are one group; texts of fewer
     than five words are one shingle. Repeated rows are copies; an empty table stays empty.
     """

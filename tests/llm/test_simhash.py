@@ -107,7 +107,7 @@ def kept_by_brute_force(rows, least=0.8):
 
     for i, a in enumerate(fps):
         for j, b in enumerate(fps[:i]):
-            if int(np.bitwise_count(a ^ b).sum()) <= simhash.WIDE * np.arccos(least) / np.pi:
+            if int(np.bitwise_count(a ^ b).sum()) <= simhash.budget(least):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     return {k for i, (k, _) in enumerate(rows) if find(i) == i}
 
