@@ -76,13 +76,15 @@ def text_pass(
     text: Column | str = "text",
     carry: list[str] | None = None,
     binary: bool = True,
+    shown: bool = True,
 ) -> DataFrame:
     """One Arrow pass over a text column.
 
     make() runs once in each task and returns f(texts) -> list of dicts (None drops the
     row); out is the DDL of these dicts. The columns named in carry (None: all of df)
     stay in front. Null texts arrive as empty ones, as bytes or, if binary is false, str.
-    Carried columns travel in a struct, so that no name of theirs can clash with ours.
+    Carried columns travel in a struct, so that no name of theirs can clash with ours;
+    with shown false they alone come back, for passes that only drop rows.
     """
     from pyspark.sql.types import StructType
 
@@ -107,7 +109,7 @@ def text_pass(
                     yield pa.RecordBatch.from_arrays([row, pa.array(got, kind)], names=["row", "out"])
 
     done = source.mapInArrow(run, schema)
-    return done.select(*[F.col(f"row.`{c}`") for c in names], *[F.col(f"out.`{f.name}`") for f in fields])
+    return done.select(*[F.col(f"row.`{c}`") for c in names], *[F.col(f"out.`{f.name}`") for f in fields if shown])
 
 
 def join_splittable(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:

@@ -325,9 +325,9 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text", least: float =
 
     def make():
         f = scorer()
-        return lambda texts: [None if x["score"] >= least else {"_kept": True} for x in f(texts)]
+        return lambda texts: [None if x["score"] >= least else {"stays": True} for x in f(texts)]
 
-    return text_pass(docs, make, "_kept boolean", text_col, binary=False).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return text_pass(docs, make, "stays boolean", text_col, binary=False, shown=False)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:

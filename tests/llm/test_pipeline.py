@@ -59,3 +59,37 @@ def test_rows_without_ids_or_text(spark):
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(3, "a b c d"), (3, "other text here"), (4, ""), (None, "x y z")], key=str)
     assert exact_dedup.drop_copies(docs.limit(0)).count() == 0
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    docs = corpus(spark, tmp_path).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(str(tmp_path / "empty" / name))
+        docs = spark.read.parquet(str(tmp_path / "empty" / name))
+        assert docs.count() == 0
+        if name != "packing":
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_stages_with_clashing_columns_and_nulls(spark, tmp_path):
+    """Columns named as the stages name theirs, nulls in each, ties and repeated rows, and a long text."""
+    corpus(spark, tmp_path)
+    long = "Long text of many words. " * 8000
+    rows = [(1, "some few words of a text", "a"), (1, "some few words of a text", "b"), (2, "some few  words of a text", None), (None, None, "c"), (3, "", "d"), (None, "call +49 (30) 1234567 or a@b.org", None), (4, long, "e"), (5, long, "f"), (5, long, "f")]
+    names = ["row", "out", "_kept", "id", "h64", "class", "stays", "n", "keep_id", "bucket", "fp", "f", "score", "part", "label", "fold.dots"]
+    docs = spark.createDataFrame([(i, t, k, None) for i, t, k in rows], "doc_id long, text string, lang string, n_chars long")
+    for name in names:
+        docs = docs.withColumn(name, F.col("lang"))
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, docs, str(tmp_path))
+        now.write.parquet(str(tmp_path / "odd" / name))
+        now = spark.read.parquet(str(tmp_path / "odd" / name))
+        if name != "packing":
+            assert now.columns == docs.columns
+        docs = now
+        counts.append(docs.count())
+    assert counts[:4] == [9, 4, 4, 4]
+    red = {r.text for r in spark.read.parquet(str(tmp_path / "odd" / "personal_data")).collect()}
+    assert "call [PHONE] or [EMAIL]" in red
