@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenia.functions.values import value_key
@@ -10,6 +10,9 @@ from provenia.operators.generators import live
 from provenia.sources.corpus import brand_matches
 from provenia.sources.reference import AUTHORITY_TIERS, OTHER_TIER_WEIGHT, TIER_WEIGHTS
 
+#: Rival values that a result shows.
+RIVALS_SHOWN = 4
+
 
 def authority_tier(authority: Column) -> Column:
     tiers = F.create_map(*[F.lit(x) for pair in AUTHORITY_TIERS.items() for x in pair])
@@ -35,25 +38,33 @@ def arbitrate(claims: DataFrame, keys: list[str]) -> DataFrame:
     claims and the authority of the first. Second: per value the sum of precision times
     authority times 1 + log2(n + 1) / 2, so repetition counts but little. The greatest sum
     wins, the smaller value on a tie. It conflicts if a rival has a document it has not.
+    Keys must not be null. No group of claims, documents or values is gathered anywhere.
     """
     row = F.struct(*[c for c in claims.columns if c not in (*keys, "vkey")])
     order = F.struct((-F.col("prec")).alias("p"), F.col("ord"))
     cells = claims.groupBy(*keys, "doc", "vkey").agg(F.max("prec").alias("prec"), F.count("*").alias("n"), F.min_by("weight", "ord").alias("weight"), F.min_by(row, order).alias("rep"))
     # Rounded, so that sums in another order rank alike.
     score = F.round(F.sum(F.col("prec") * F.col("weight") * (1 + 0.5 * F.log2(F.col("n") + 1))), 9)
-    clusters = cells.groupBy(*keys, "vkey").agg(score.alias("score"), F.collect_set("doc").alias("docs"), F.sum("n").alias("reps"), F.min_by("rep", F.struct((-F.col("prec")).alias("p"), F.col("rep.ord"))).alias("rep"))
-    ranked = clusters.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vkey", "docs", "reps", "rep"))).alias("ranked"))
-    losers = F.slice("ranked", 2, F.greatest(F.size("ranked") - 1, F.lit(0)))
-    win = F.col("ranked")[0]
-    return ranked.select(
+    clusters = cells.groupBy(*keys, "vkey").agg(score.alias("score"), F.count("*").cast("int").alias("docs"), F.sum("n").alias("reps"), F.min_by("rep", F.struct((-F.col("prec")).alias("p"), F.col("rep.ord"))).alias("rep"))
+    # The winner and four rivals of each key are gathered, however many values it has.
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "vkey"))
+    shown = F.struct("rank", "vkey", "score", "docs", "reps", "rep")
+    top = clusters.withColumn("rank", rank).where(F.col("rank") <= 1 + RIVALS_SHOWN).groupBy(*keys).agg(F.array_sort(F.collect_list(shown)).alias("top"))
+    # A rival has a document of its own if one of its documents has no claim of the winner's value.
+    best = clusters.groupBy(*keys).agg(F.min_by("vkey", F.struct((-F.col("score")).alias("s"), "vkey")).alias("best"), (F.count("*") - 1).cast("int").alias("n_rivals"))
+    theirs = cells.join(best.where("n_rivals > 0").select(*keys, "best"), keys)
+    apart = theirs.groupBy(*keys, "doc").agg(F.bool_or(F.col("vkey") == F.col("best")).alias("has")).groupBy(*keys).agg(F.bool_or(~F.col("has")).alias("apart"))
+    win = F.col("top")[0]
+    rows = top.join(best, keys).join(apart, keys, "left")
+    return rows.select(
         *keys,
         win["vkey"].alias("vkey"),
-        (-win["s"]).alias("score"),
-        F.size(win["docs"]).alias("agreeing_sources"),
+        win["score"].alias("score"),
+        win["docs"].alias("agreeing_sources"),
         win["reps"].alias("repetitions"),
-        F.size(losers).alias("n_rivals"),
-        F.slice(F.transform(losers, lambda x: F.coalesce(F.nullif(x["rep"]["display"], F.lit("")), x["vkey"])), 1, 4).alias("conflict_values"),
-        F.exists(losers, lambda x: F.size(F.array_except(x["docs"], win["docs"])) > 0).alias("conflicting"),
+        "n_rivals",
+        F.transform(F.slice("top", 2, RIVALS_SHOWN), lambda x: F.coalesce(F.nullif(x["rep"]["display"], F.lit("")), x["vkey"])).alias("conflict_values"),
+        F.coalesce("apart", F.lit(False)).alias("conflicting"),
         win["rep"].alias("won"),
     )
 

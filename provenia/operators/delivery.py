@@ -18,6 +18,8 @@ LONG_TAILS = {"Number of Wash Cycles": " Wash Cycles", "Mounting Type": " Mounti
 WITH_UNIT = ("Voltage Rating", "Amperage Rating", "Depth With Door Open", "Minimum Height", "Maximum Height", "Sound Level")
 #: Longest invoice description; least and most of a mobile one; confidence from which a row is published.
 INVOICE_MOST, MOBILE_LEAST, MOBILE_MOST, PUBLISHED_FROM = 40, 60, 80, 0.75
+#: Characters of a page that a model is shown.
+SHOWN = 12_000
 ATTRS = "map<string,struct<value:string,uom:string>>"
 
 
@@ -71,11 +73,20 @@ def plausible(label: Column, value: Column) -> Column:
     return ~short | ((F.length(value) <= 40) & (words <= 5) & (~value.rlike(JUNK_WORDS) | (label == "Mounting Type")))
 
 
-def page_attributes(pages: DataFrame, responses: DataFrame, most: int = 12_000) -> DataFrame:
+def page_prompts(pages: DataFrame, most: int = SHOWN) -> DataFrame:
+    """(mpn, slot, label, spec_unit, shown): what a model is asked of a page, one row for each attribute of its category.
+
+    shown is the page's first `most` characters.
+    """
+    rows = pages.join(F.broadcast(delivered_attributes(pages.sparkSession)), "category")
+    return rows.select("mpn", "slot", "label", "spec_unit", F.left("text", F.lit(most)).alias("shown"))
+
+
+def page_attributes(pages: DataFrame, responses: DataFrame) -> DataFrame:
     """(mpn, slot, label, value, uom, quote, offset): attributes that recorded responses read from a page and the page has.
 
-    pages: mpn, category, text. responses: mpn, label, found, value, quote. The quote is
-    looked up in the whole page; what was shown of it is at most its first 12,000 characters.
+    pages: mpn, category, text. responses: mpn, label, found, value, quote, as answers to
+    page_prompts(). The quote is looked up in the whole page.
     """
     specs = delivered_attributes(pages.sparkSession)
     said = responses.where(F.coalesce("found", F.lit(False)) & (F.trim(F.coalesce("value", F.lit(""))) != "") & (F.trim(F.coalesce("quote", F.lit(""))) != ""))
@@ -240,3 +251,9 @@ def assemble(rows: DataFrame, pages: DataFrame, found: DataFrame, searched: Data
     slots = dict(zip([f"ATTRIBUTE_{p} {k}" for k in range(1, SLOTS + 1) for p in ("LABEL", "VALUE", "UOM")], slot_columns(F.col("slots")), strict=True))
     header = [values.get(c, slots.get(c, F.lit(None))).cast("string").alias(c) for c in delivery_header()]
     return described.select(*header, confidence.alias("confidence"), F.when(confidence >= PUBLISHED_FROM, "AUTO_PUBLISH").otherwise("REVIEW").alias("decision"), reasons.alias("reasons"))
+
+
+def error_rows(rows: DataFrame, reason: Column) -> DataFrame:
+    """Delivered rows of input that could not be worked on: part and description, for review, with the reason."""
+    header = [(F.col(c) if c in ("Mfg_Part_Num", "Part_Desc") else F.lit(None)).cast("string").alias(c) for c in delivery_header()]
+    return rows.select(*header, F.lit(0.0).alias("confidence"), F.lit("REVIEW").alias("decision"), F.array(F.concat(F.lit("pipeline error: "), reason)).alias("reasons"))

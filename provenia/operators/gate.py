@@ -47,24 +47,42 @@ def verify_all(candidates: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataF
 def quotes_in_documents(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """(quote_id, doc_id, start) for each document that has a quote, where none is claimed.
 
-    quotes (quote_id, quote), docs (doc_id, text). A quote's longest inner word is looked
-    up among the documents' words, and only those documents are searched. Quotes of fewer
-    than three words have no inner word; their words are matched against all texts.
+    quotes (quote_id, quote), docs (doc_id, text). A quote of three words or more is looked
+    up by its longest inner word among the documents' words, one of two by its first word's
+    end and its last word's beginning, a single word by itself as a part of the documents'
+    distinct words; only documents that have these are searched. Empty quotes are nowhere.
     """
     words = F.split(F.trim(F.col("quote")), r"\s+")
-    parted = quotes.select("quote_id", "quote", words.alias("w"))
-    anchored = parted.where(F.size("w") >= 3).select("quote_id", "quote", F.expr("element_at(array_sort(slice(w, 2, size(w) - 2), (a, b) -> CASE WHEN length(a) <> length(b) THEN length(b) - length(a) WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END), 1)").alias("word"))
+    parted = quotes.select("quote_id", "quote", words.alias("w")).where(F.trim("quote") != "")
+    inner = F.expr("element_at(array_sort(slice(w, 2, size(w) - 2), (a, b) -> CASE WHEN length(a) <> length(b) THEN length(b) - length(a) WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END), 1)")
+    anchored = parted.where(F.size("w") >= 3).select("quote_id", inner.alias("word"))
     needed = anchored.select("word").distinct()
     tokens = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
     pairs = tokens.join(F.broadcast(needed), "word", "left_semi") if _few(needed) else tokens.join(needed, "word", "left_semi")
     near = pairs.join(anchored, "word").select("quote_id", "doc_id").distinct()
+    short = parted.where(F.size("w") < 3).select("quote_id", "w")
+    if not short.isEmpty():
+        near = near.unionByName(_with_short_quotes(short, tokens))
     found = near.join(docs.select("doc_id", "text"), "doc_id").join(quotes, "quote_id").select("quote_id", "doc_id", (F.instr("text", F.col("quote")) - 1).alias("start"))
-    short = parted.where(F.size("w") < 3).select("quote_id", "quote")
-    if short.limit(1).count():
-        close = docs.join(short, F.col("text").contains(F.col("quote"))).select("quote_id", "doc_id", (F.instr("text", F.col("quote")) - 1).alias("start"))
-        found = found.unionByName(close)
     return found.where("start >= 0")
 
 
+def _with_short_quotes(short: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(quote_id, doc_id) of documents that can have quotes of one or two words (w).
+
+    The documents' words are looked at once each, whatever number of documents has them:
+    a word ends with the first of two words, or has the only one, if one of its pieces of
+    the quote's length is it; so both sides meet by equality.
+    """
+    heads = short.select("quote_id", F.try_element_at("w", F.lit(1)).alias("piece"), (F.size("w") == 2).alias("two"))
+    sizes = heads.select(F.length("piece").alias("n"), "two").distinct()
+    each = tokens.select("word").distinct().join(F.broadcast(sizes), F.col("n") <= F.length("word"))
+    last = F.length("word") - F.col("n")
+    starts = F.when(F.col("two"), F.array(last)).otherwise(F.sequence(F.lit(0), last))
+    pieces = each.select("word", "n", "two", F.explode(starts).alias("k")).select("word", "two", F.expr("substring(word, k + 1, n)").alias("piece")).distinct()
+    meet = pieces.join(heads, ["piece", "two"]).select("word", "quote_id")
+    return tokens.join(meet, "word").select("quote_id", "doc_id").distinct()
+
+
 def _few(df: DataFrame, most: int = 100_000) -> bool:
     return df.limit(most + 1).count() <= most

@@ -7,10 +7,12 @@ runs a panel of them, gates every span against the text and tags its section.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenia.functions.text import collapse, find_all, find_quote, let, page_for_offset, quote_regex, slice_text
+from provenia.functions.text import collapse, find_all, find_quote, let, quote_regex, slice_text
 from provenia.functions.values import VALUE, compatible, convert, format_g, in_range, minus, normalize_value, parse_number
 from provenia.operators.gate import verify_span
 from provenia.operators.sections import is_graph_region, section_at, section_marks
@@ -246,9 +248,26 @@ def inline_spec(text: Column, mpn: Column, spec: Column, siblings: Column, known
     return F.aggregate(F.transform(alias_hits(text, spec["aliases"]), after), _none(CANDIDATE), once)
 
 
+#: Strategies by name, in the order in which they are tried.
 STRATEGIES = {"table_column": table_column, "range": range_end, "inline_spec": inline_spec}
 
 
+def register(name: str, strategy: Callable[[Column, Column, Column, Column, Column], Column]) -> None:
+    """Add a strategy, which any panel may then name; those registered come after the others, and after the model.
+
+    It takes the columns text, mpn, spec, siblings and known and gives an array of CANDIDATE.
+    """
+    if name in STRATEGIES or name == "llm":
+        raise ValueError(f"there is a strategy {name} already")
+    STRATEGIES[name] = strategy
+
+
+def _position(name: str) -> int:
+    """Where a strategy stands in the order of trial; the model comes after the built-in ones."""
+    names = list(STRATEGIES)
+    return len(EXTRACTORS) - 1 if name == "llm" else names.index(name) + (names.index(name) >= len(EXTRACTORS) - 1)
+
+
 def llm_windows(work: DataFrame, most: int = 3, before: int = 400, after: int = 700, bucket: int = 500) -> DataFrame:
     """(sku, doc_id, attribute, window_no, window_start, window): where a model would look, three regions at most."""
     starts = F.transform(alias_hits(F.col("text"), F.col("spec.aliases")), lambda h: F.struct(F.greatest(h["s"] - before, F.lit(0)).alias("s"), F.least(F.length("text"), h["e"] + after).alias("e")))
@@ -321,16 +340,19 @@ def candidates(work: DataFrame, panel: tuple[str, ...] = ("table_column", "range
 
     work: sku, mpn, doc_id, doc_pos, authority, publisher, siblings, known, specs, text,
     pages. With early exit, what comes after a strategy's clean candidate is left out.
+    A name in the panel that no strategy has is an error.
     """
+    if strange := set(panel) - {*STRATEGIES, "llm"}:
+        raise ValueError(f"unknown strategies: {sorted(strange)}")
     marked = work.withColumn("marks", section_marks(F.col("text")))
     each = marked.select("*", F.explode("specs").alias("spec"))
-    arrays = [F.transform(STRATEGIES[name](F.col("text"), F.col("mpn"), F.col("spec"), F.col("siblings"), F.col("known")), lambda c, i: F.struct(F.lit(pos).alias("extractor_pos"), F.lit(name).alias("extractor"), i.alias("cand_pos"), c.alias("c"))) for pos, name in enumerate(EXTRACTORS[:3]) if name in panel]
+    arrays = [F.transform(STRATEGIES[name](*map(F.col, ("text", "mpn", "spec", "siblings", "known"))), lambda c, i: F.struct(F.lit(_position(name)).alias("extractor_pos"), F.lit(name).alias("extractor"), i.alias("cand_pos"), c.alias("c"))) for name in STRATEGIES if name in panel]
     rows = None
     if arrays:
         rows = each.select("*", F.explode(F.concat(*arrays)).alias("x")).select("*", "x.extractor_pos", "x.extractor", "x.cand_pos", "x.c", F.lit(1.0).alias("self_consistency")).drop("x")
     if "llm" in panel and responses is not None:
         said = llm_candidates(work, responses, samples)
-        own = each.withColumn("attribute", F.col("spec.attribute")).join(said, ["sku", "doc_id", "attribute"]).drop("attribute").select(*each.columns, F.lit(3).alias("extractor_pos"), F.lit("llm").alias("extractor"), "cand_pos", "c", "self_consistency")
+        own = each.withColumn("attribute", F.col("spec.attribute")).join(said, ["sku", "doc_id", "attribute"]).drop("attribute").select(*each.columns, F.lit(_position("llm")).alias("extractor_pos"), F.lit("llm").alias("extractor"), "cand_pos", "c", "self_consistency")
         rows = own if rows is None else rows.unionByName(own)
     spec = F.col("spec")
     at = F.when(F.col("focus_start") >= 0, F.col("focus_start")).otherwise(F.col("match.start"))
@@ -375,5 +397,3 @@ def naive(work: DataFrame) -> DataFrame:
     picked = first.groupBy("sku", "attribute").agg(F.min_by(F.struct(*columns), "doc_pos").alias("x")).select("sku", "attribute", "x.*")
     return picked.withColumns({"verified": F.lit(True), "normalize_error": F.lit(""), "confidence": F.lit(1.0), "decision": F.lit("AUTO_PUBLISH")})
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["page_for_offset"]

@@ -37,8 +37,14 @@ def run(rows: DataFrame, fetched: DataFrame, responses: DataFrame, results: Data
 
 
 def run_batch(spark: SparkSession, path: str, out: str, fetched: DataFrame, responses: DataFrame, results: DataFrame | None = None, excluded: tuple[str, ...] = ()) -> DataFrame:
-    """Reads the catalog, writes the delivered rows and the review log below out, gives the counts by decision."""
-    done = run(input_rows(spark, path, excluded), fetched, responses, results)
+    """Reads the catalog, writes the delivered rows and the review log below out, gives the counts by decision.
+
+    A malformed line of the catalog costs its own row only, which is put up for review.
+    """
+    bad = corpus.malformed_rows(spark, path)
+    rows = input_rows(spark, path, excluded)
+    whole = rows.join(bad.select("Mfg_Part_Num", "Part_Desc").distinct(), ["Mfg_Part_Num", "Part_Desc"], "left_anti").select(rows.columns)
+    done = run(whole, fetched, responses, results).unionByName(delivery.error_rows(bad, F.concat(F.lit("malformed line: "), F.left("_line", F.lit(80)))))
     sinks.write_delivery(done, f"{out}/delivery")
     sinks.write_review_log(done, f"{out}/review_log")
     log = spark.read.option("header", True).csv(f"{out}/review_log")

@@ -23,14 +23,17 @@ def work_rows(skus: DataFrame, manifest: DataFrame, docs: DataFrame) -> DataFram
 
     skus: sku, mpn, brand, product_class. manifest: doc_id, doc_pos, publisher, authority,
     covers. docs: doc_id, text, pages. Known parts are attached per document: only those
-    its text names, so no list grows with the catalog.
+    its text names, so no list grows with the catalog. A product class that is not known
+    raises an error when the rows are read.
     """
     tokens = docs.select("doc_id", F.explode(generators.part_tokens(F.col("text"))).alias("part"))
     known = tokens.join(corpus.known_parts(skus, manifest), "part").groupBy("doc_id").agg(F.collect_set("part").alias("known"))
     specs = attribute_specs(skus.sparkSession)
     row = F.struct(*[c for c in specs.columns if c != "class_key"])
     by_class = specs.groupBy("class_key").agg(F.array_sort(F.collect_list(row)).alias("specs"))
-    covered = corpus.docs_for_part(skus, manifest).join(F.broadcast(by_class), F.col("product_class") == F.col("class_key"))
+    covered = corpus.docs_for_part(skus, manifest).join(F.broadcast(by_class), F.col("product_class") == F.col("class_key"), "left")
+    unknown = F.raise_error(F.concat(F.lit("unknown product class "), F.coalesce("product_class", F.lit("null"))))
+    covered = covered.withColumn("specs", F.when(F.col("class_key").isNull(), unknown.cast(covered.schema["specs"].dataType)).otherwise(F.col("specs")))
     about = manifest.select("doc_id", "publisher", "authority", F.col("covers").alias("siblings"))
     rows = covered.join(about, "doc_id").join(docs, "doc_id").join(known, "doc_id", "left")
     return rows.withColumn("known", F.coalesce("known", F.array().cast("array<string>"))).drop("class_key", "part")

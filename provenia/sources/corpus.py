@@ -101,6 +101,14 @@ def catalog_rows(spark: SparkSession, path: str, excluded: tuple[str, ...] = ())
     return rows.where(~F.coalesce(F.trim("Part_Manuf"), F.lit("")).isin(*excluded)) if excluded else rows
 
 
+def malformed_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a headed CSV file that have too few or too many fields, with what could be read and the line in `_line`."""
+    names = spark.read.option("header", True).csv(path).columns
+    schema = ", ".join(f"`{c}` string" for c in [*names, "_line"])
+    rows = spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("columnNameOfCorruptRecord", "_line").schema(schema).csv(path)
+    return rows.where(F.col("_line").isNotNull())
+
+
 def gold_labels(spark: SparkSession, path: str) -> DataFrame:
     """(sku, attribute, accepted) from a JSON file {"labels": {sku: {attribute: value or list}}}; accepted is an array of (num, str, flag)."""
     text = spark.read.option("wholetext", True).text(path)

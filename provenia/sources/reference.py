@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Trust in a publisher, and the weight that trust has.
 AUTHORITY_TIERS = {"MFR_DATASHEET": 1, "MFR_WEB": 2, "AUTHORIZED_DIST": 3, "MARKETPLACE": 4, "UNKNOWN": 9}
@@ -136,3 +137,15 @@ def categories(spark: SparkSession) -> DataFrame:
 def delivered_attributes(spark: SparkSession) -> DataFrame:
     rows = [(c, k, label, unit) for c, specs in DELIVERED.items() for k, (label, unit) in enumerate(specs, 1)]
     return spark.createDataFrame(rows, "category string, slot int, label string, spec_unit string")
+
+
+def attributes_of(spark: SparkSession, key: str) -> DataFrame:
+    """The attributes of a class, or those delivered of a category; an unknown one has none."""
+    of_class = attribute_specs(spark).where(F.col("class_key") == key).select(F.col("attr_pos").alias("place"), F.col("attribute").alias("name"))
+    of_category = delivered_attributes(spark).where(F.col("category") == key).select(F.col("slot").alias("place"), F.col("label").alias("name"))
+    return of_class.unionByName(of_category)
+
+
+def safety_critical(spark: SparkSession) -> DataFrame:
+    """(class_key, attribute) of all safety-critical attributes."""
+    return attribute_specs(spark).where("safety").select("class_key", "attribute")
