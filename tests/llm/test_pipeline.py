@@ -93,3 +93,27 @@ def test_stages_with_clashing_columns_and_nulls(spark, tmp_path):
     assert counts[:4] == [9, 4, 4, 4]
     red = {r.text for r in spark.read.parquet(str(tmp_path / "odd" / "personal_data")).collect()}
     assert "call [PHONE] or [EMAIL]" in red
+
+
+def test_a_pass_empties_what_others_kept():
+    import functools
+
+    from provenia.llm import common
+
+    @functools.lru_cache
+    def one():
+        return object()
+
+    @functools.lru_cache
+    def two():
+        return object()
+
+    common.turn_to(one)
+    first = one()
+    common.turn_to(one)
+    assert one() is first
+    common.turn_to(two)
+    two()
+    assert one.cache_info().currsize == 0 and two.cache_info().currsize == 1
+    common.turn_to(None)
+    assert two.cache_info().currsize == 0
