@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, value: str, within: str | None = None) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, value: str, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """left with `value` of the last row of right at or before it in `on`, for the same `by`; null if none.
 
-    Both sides are put in one order and the value carried forward: one shuffle and sort,
-    linear in the rows, with no pairs. Of right rows with equal `on` the greatest value
-    stands. `within` names a further column by which windows are split, such as a day.
+    Both sides are put in one order and the value carried forward: linear in the rows, with
+    no pairs. Of right rows with equal `on` the greatest value stands; null values and a
+    null `on` count for nothing. bucket, a function of `on` that never falls as `on` rises
+    (such as F.to_date), parts a hot key's rows: what was last before each bucket is found
+    among one row for each, and no window is longer than a bucket.
     """
-    keys = [*by, *([within] if within else [])]
-    marks = right.groupBy(*keys, on).agg(F.max(value).alias("_v")).withColumn("_left", F.lit(0))
-    rows = left.withColumn("_row", F.struct(*left.columns)).select(*keys, on, "_row").withColumn("_left", F.lit(1))
+    part = F.lit(0) if bucket is None else bucket(F.col(on))
+    marks = right.where(F.col(on).isNotNull() & F.col(value).isNotNull()).groupBy(*by, on).agg(F.max(value).alias("_v")).select(*by, part.alias("_part"), F.col(on).alias("_on"), F.lit(0).alias("_left"), "_v")
+    rows = left.withColumn("_row", F.struct(*left.columns)).select(*by, part.alias("_part"), F.col(on).alias("_on"), F.lit(1).alias("_left"), "_row")
     both = rows.unionByName(marks, allowMissingColumns=True)
-    last = F.last("_v", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(on, "_left").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("_last", last).where("_left = 1").select("_row.*", F.col("_last").alias(value))
+    if bucket is not None:
+        ends = both.groupBy(*by, "_part").agg(F.max_by("_v", F.when(F.col("_left") == 0, F.col("_on"))).alias("_end"))
+        before = F.last("_end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+        carried = ends.select(*by, "_part", before.alias("_v"), F.lit(-1).alias("_left"))
+        both = both.unionByName(carried, allowMissingColumns=True)
+    last = F.last("_v", ignorenulls=True).over(Window.partitionBy(*by, "_part").orderBy(F.when(F.col("_left") < 0, 0).otherwise(1), "_on", "_left").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("_last", last).where("_left = 1")
+    return found.select("_row.*", F.when(F.col("_on").isNotNull(), F.col("_last")).alias(value))
 
 
 def nth_of(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:

@@ -99,7 +99,7 @@ def asof_lookup(spark, d):
     """The last click before each error of a user, as offsets find their section."""
     e = t(spark, d, "events")
     clicks = e.where("event_type = 'click'").select("user_id", "ts", F.col("value").alias("last_click"))
-    return joins.asof(e.where("event_type = 'error'").select("event_id", "user_id", "ts"), clicks, ["user_id"], "ts", "last_click").select("event_id", "user_id", "last_click")
+    return joins.asof(e.where("event_type = 'error'").select("event_id", "user_id", "ts"), clicks, ["user_id"], "ts", "last_click", bucket=F.to_date).select("event_id", "user_id", "last_click")
 
 
 @query("""

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from provenia.operators.ledger import ACTIONS, latest_reviews
+from provenia.sources.scratch import delete
 
 EVENT = "id long, ts timestamp, sku string, attribute string, action string, actor string, detail string"
 
@@ -23,39 +27,60 @@ def action_counts(events: DataFrame, width: str = "1 day") -> DataFrame:
     return events.groupBy(F.window("ts", width).alias("w"), "action").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "action", "n")
 
 
-def fold_into(events: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
-    """Keeps at `state`, one folder for each batch, the latest review of each attribute.
+def fold_into(events: DataFrame, state: str, checkpoint: str, every: int = 64) -> StreamingQuery:
+    """Keeps at `state` the latest review of each attribute.
 
-    A batch is merged with the state before it and written whole under its number, so a
-    batch that is run again after a failure gives the same folder.
+    A batch writes the latest reviews of its own events, under its number, so a batch that
+    is run again after a failure gives the same folder, and costs what its events cost.
+    After every `every` batches these folders are merged into one.
     """
-    spark = events.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        columns = ["id", "ts", "sku", "attribute", "action", "actor", "detail"]
-        rows = batch.select(*columns)
-        before = _state(spark, state, number)
-        if before is not None:
-            rows = rows.unionByName(before)
-        last = rows.groupBy("sku", "attribute").agg(F.max_by(F.struct(*columns), F.struct("ts", "id")).alias("x")).select("x.*")
-        last.write.mode("overwrite").parquet(f"{state}/batch={number}")
+        _latest(batch).write.mode("overwrite").parquet(f"{state}/deltas/batch={number}")
+        if number % every == every - 1:
+            compact(batch.sparkSession, state, number)
 
     return events.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(availableNow=True).start()
 
 
-def _state(spark: SparkSession, path: str, before: int) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
+def _latest(events: DataFrame) -> DataFrame:
+    columns = StructType.fromDDL(EVENT).names
+    return events.groupBy("sku", "attribute").agg(F.max_by(F.struct(*columns), F.struct("ts", "id")).alias("x")).select("x.*")
+
+
+def _parts(spark: SparkSession, path: str, number: str) -> DataFrame | None:
+    """The event rows below path with the number of their folder; None if there are none."""
+    try:
+        return spark.read.schema(StructType.fromDDL(EVENT).add(number, "long")).option("basePath", path).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e.getCondition()):
+            raise
+        return None
+
+
+def _rows(spark: SparkSession, state: str) -> tuple[DataFrame | None, int]:
+    """Rows of the newest merged folder and of the batches after it, and the number that the former goes up to."""
+    merged, deltas = _parts(spark, f"{state}/merged", "upto"), _parts(spark, f"{state}/deltas", "batch")
+    upto = -1 if merged is None else merged.agg(F.max("upto")).first()[0]
+    upto = -1 if upto is None else upto
+    parts = [] if merged is None else [merged.where(F.col("upto") == upto).drop("upto")]
+    parts += [] if deltas is None else [deltas.where(F.col("batch") > upto).drop("batch")]
+    return (reduce(DataFrame.unionByName, parts) if parts else None), upto
+
 
-    for number in range(before - 1, -1, -1):
-        try:
-            return spark.read.schema(StructType.fromDDL(EVENT)).parquet(f"{path}/batch={number}")
-        except AnalysisException:
-            continue
-    return None
+def compact(spark: SparkSession, state: str, number: int) -> None:
+    """Merge what there is up to a batch into one folder, then remove what that replaces."""
+    rows, before = _rows(spark, state)
+    if rows is None or before >= number:
+        return
+    _latest(rows).write.mode("overwrite").parquet(f"{state}/merged/upto={number}")
+    if before >= 0:
+        delete(spark, f"{state}/merged/upto={before}")
+    for k in range(before + 1, number + 1):
+        delete(spark, f"{state}/deltas/batch={k}")
 
 
 def current(spark: SparkSession, state: str) -> DataFrame:
-    """(sku, attribute, decision, corrected) of the newest state."""
-    rows = spark.read.parquet(state)
-    newest = rows.agg(F.max("batch")).first()[0]
-    return latest_reviews(rows.where(F.col("batch") == newest).drop("batch"))
+    """(sku, attribute, decision, corrected) as of the newest batch."""
+    rows, _ = _rows(spark, state)
+    return latest_reviews(spark.createDataFrame([], EVENT) if rows is None else rows)

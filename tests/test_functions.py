@@ -136,3 +136,13 @@ def test_models_are_saved_and_checked(spark, tmp_path):
 
 def test_prior_has_a_weight_for_each_feature():
     assert len(confidence.FEATURE_COLUMNS) == len(confidence.PRIOR_WEIGHTS) == len(confidence.FEATURES)
+
+
+def test_asof_with_buckets_gives_the_same(spark):
+    rng = random.Random(31)
+    left = [(i, rng.choice("ab"), rng.choice([None, *range(40)])) for i in range(200)]
+    right = [(rng.choice("abc"), rng.randrange(40), rng.choice([None, 1, 2, 3, 4])) for _ in range(60)]
+    one, two = spark.createDataFrame(left, "i int, k string, o int"), spark.createDataFrame(right, "k string, o int, v int")
+    want = {i: max(((o2, v) for k2, o2, v in right if k2 == k and v is not None and o is not None and o2 <= o), default=(None, None))[1] for i, k, o in left}
+    for bucket in (None, lambda o: F.floor(o / 7)):
+        assert {r.i: r.v for r in joins.asof(one, two, ["k"], "o", "v", bucket).collect()} == want

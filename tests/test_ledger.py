@@ -44,6 +44,18 @@ def test_stream_gives_the_fold(spark, tmp_path):
     assert key(stream.current(spark, str(tmp_path / "state"))) == key(ledger.latest_reviews(log(spark, *ROWS)))
 
 
+def test_batches_are_merged_now_and_then(spark, tmp_path):
+    events, state = str(tmp_path / "events"), str(tmp_path / "state")
+    assert stream.current(spark, state).count() == 0
+    for row in [*ROWS, (7, 10, "T", "ACCEPT", "")]:
+        log(spark, row).coalesce(1).write.mode("append").parquet(events)
+        stream.fold_into(stream.read_events(spark, events, files_per_batch=1, lateness="1 day"), state, str(tmp_path / "cp"), every=3).awaitTermination()
+    key = lambda df: sorted(map(str, df.select("sku", "attribute", "decision", "corrected").collect()))
+    assert key(stream.current(spark, state)) == key(ledger.latest_reviews(log(spark, *ROWS, (7, 10, "T", "ACCEPT", ""))))
+    assert len([p for p in (tmp_path / "state" / "merged").iterdir() if p.is_dir()]) == 1
+    assert len([p for p in (tmp_path / "state" / "deltas").iterdir() if p.is_dir()]) < 3
+
+
 def test_windows_close_behind_the_watermark(spark, tmp_path):
     events = str(tmp_path / "events")
     log(spark, *ROWS).withColumn("ts", F.col("ts") + F.expr("make_interval(0, 0, 0, CAST(id AS INT))")).write.parquet(events)
