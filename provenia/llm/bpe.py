@@ -381,7 +381,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return each
 
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return text_pass(docs, make, fields, text_col, [id_col], binary=False)
+    return text_pass(docs, make, fields, text_col, [id_col], binary=False, keeps=memo_of)
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Rows turned into Python objects at a time; Spark bounds the bytes of a batch.
 SLICE_ROWS = 50
 _LOCAL: dict[str, str] = {}
+_KEPT: set[Callable] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +70,15 @@ def remove(df: DataFrame) -> None:
         _delete(df.sparkSession, folder)
 
 
+def turn_to(cache: Callable | None) -> None:
+    """Say which functools cache the pass that begins in this Python worker keeps between its tasks; those of other passes are emptied."""
+    for other in _KEPT - {cache}:
+        other.cache_clear()
+    _KEPT.clear()
+    if cache is not None:
+        _KEPT.add(cache)
+
+
 def text_pass(
     df: DataFrame,
     make: Callable[[], Callable[[list], list]],
@@ -77,6 +87,7 @@ def text_pass(
     carry: list[str] | None = None,
     binary: bool = True,
     shown: bool = True,
+    keeps: Callable | None = None,
 ) -> DataFrame:
     """One Arrow pass over a text column.
 
@@ -84,7 +95,8 @@ def text_pass(
     row); out is the DDL of these dicts. The columns named in carry (None: all of df)
     stay in front. Null texts arrive as empty ones, as bytes or, if binary is false, str.
     Carried columns travel in a struct, so that no name of theirs can clash with ours;
-    with shown false they alone come back, for passes that only drop rows.
+    with shown false they alone come back, for passes that only drop rows. keeps is the
+    cache that the pass leaves in its Python workers, if any; see turn_to().
     """
     from pyspark.sql.types import StructType
 
@@ -97,6 +109,7 @@ def text_pass(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
+        turn_to(keeps)
         f, kind = make(), to_arrow_type(fields)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):

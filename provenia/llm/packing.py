@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from provenia.llm.bpe import byte_letters
+from provenia.llm.common import turn_to
 from provenia.llm.merging import MergeTable
 
 #: Ids of a sequence; id after each document.
@@ -257,6 +258,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         schema.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to(encoder_of)
         encoder = encoder_of(vocabulary)
         packer = Packer(encoder.sentence_end, size)
         base = TaskContext.get().partitionId() << 33

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenia.llm.common import cut, join_splittable, text_pass
+from provenia.llm.common import cut, join_splittable, text_pass, turn_to
 from provenia.llm.components import connected_components
 from provenia.llm.rows import keep_one_of_each, text_hash
 
@@ -183,6 +183,7 @@ def _joined(keyed: DataFrame, solve: Callable[[pa.Table], Iterator[pa.RecordBatc
     most = max(1, TRIE_BITS // width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to(None)
         yield from _by_bucket(batches, solve, most)
 
     return keyed.repartition("bucket").sortWithinPartitions("bucket", *order).mapInArrow(run, "u long, v long").distinct()
