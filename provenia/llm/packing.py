@@ -18,6 +18,7 @@ import functools
 import json
 import re
 import zlib
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -165,8 +166,13 @@ def encoder_of(vocabulary: str) -> WordEncoder:
     return WordEncoder(vocabulary)
 
 
-def choose_cuts(positions: np.ndarray, penalties: np.ndarray, size: int = SIZE) -> list[int]:
-    """Positions at which the windows of the cheapest cover end; the last candidate is the stream's end."""
+def choose_cuts(positions: np.ndarray, penalties: np.ndarray, size: int = SIZE, more: bool = False) -> list[int]:
+    """Positions at which the windows of the cheapest cover end; the last candidate is the stream's end.
+
+    more: the stream goes on, so its last window stays open and its padding counts for
+    nothing; of the cuts it can begin at that of least cost stands, less what the ids
+    before it cost on average.
+    """
     pos, pen = [0, *positions.tolist()], [0, *penalties.tolist()]
     cost, back = [0] * len(pos), [0] * len(pos)
     queue = deque([(0, 0, 0)])  # (cost + position, position, index), smallest first
@@ -181,6 +187,10 @@ def choose_cuts(positions: np.ndarray, penalties: np.ndarray, size: int = SIZE)
             queue.pop()
         queue.append((c, p, j))
     cuts, j = [], len(pos) - 1
+    if more:
+        rate = cost[j] / max(1, pos[j])
+        first = bisect_left(pos, pos[j] - size)
+        j = min(range(first, j + 1), key=lambda i: cost[i] - rate * pos[i])
     while j:
         cuts.append(pos[j])
         j = back[j]
@@ -221,7 +231,7 @@ class Packer:
     def _solve(self, last: bool) -> list[tuple]:
         stream = np.concatenate([h[1] for h in self.held])
         ends = np.cumsum([len(h[1]) for h in self.held])
-        cuts = choose_cuts(*self._candidates(stream, ends), self.size)
+        cuts = choose_cuts(*self._candidates(stream, ends), self.size, not last)
         if not last:
             cuts = cuts[:-AGAIN]
         out, at, k, begin = [], 0, 0, 0

@@ -90,3 +90,23 @@ def test_pieces_cover_every_id(spark, library, monkeypatch, block):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_blocks_cost_little_more_than_the_whole(monkeypatch):
+    rng = np.random.default_rng(23)
+    stops = np.zeros(50, bool)
+    stops[:2] = True
+    docs = [rng.integers(0, 50, rng.integers(20, 900)).astype("<u4") for _ in range(1500)]
+    monkeypatch.setattr(packing, "BLOCK", 20_000)
+    packer = packing.Packer(stops, 256)
+    out = [piece for i, ids in enumerate(docs) for piece in packer.add(i, ids)] + packer.finish()
+    at, pen = packer._candidates(np.concatenate(docs), np.cumsum([len(x) for x in docs]))
+    of = dict(zip(at.tolist(), pen.tolist()))
+    sizes = {}
+    for piece in out:
+        sizes[piece[5]] = sizes.get(piece[5], 0) + piece[2]
+    cost = lambda cuts: sum(256 - (b - a) + of.get(b, packing.WITHIN) for a, b in zip([0, *cuts], cuts))
+    best = packing.choose_cuts(at, pen, 256)
+    got = np.cumsum([sizes[k] for k in sorted(sizes)]).tolist()
+    assert len(got) <= len(best) * 1.002 + 1, (len(got), len(best))
+    assert cost(got) <= 1.1 * cost(best), (cost(got), cost(best))
