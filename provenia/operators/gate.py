@@ -44,8 +44,8 @@ def verify_all(candidates: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataF
     return checked.where("match.verified"), checked.where("not match.verified")
 
 
-def quotes_in_documents(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(quote_id, doc_id, start) for each document that has a quote, where none is claimed.
+def quotes_in_documents(quotes: DataFrame, docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """(quote_id, doc_id, start[, quote, text]) for each document that has a quote, where none is claimed.
 
     quotes (quote_id, quote), docs (doc_id, text). A quote of three words or more is looked
     up by its longest inner word among the documents' words, one of two by its first word's
@@ -63,8 +63,8 @@ def quotes_in_documents(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     short = parted.where(F.size("w") < 3).select("quote_id", "w")
     if not short.isEmpty():
         near = near.unionByName(_with_short_quotes(short, tokens))
-    found = near.join(docs.select("doc_id", "text"), "doc_id").join(quotes, "quote_id").select("quote_id", "doc_id", (F.instr("text", F.col("quote")) - 1).alias("start"))
-    return found.where("start >= 0")
+    found = near.join(docs.select("doc_id", "text"), "doc_id").join(quotes, "quote_id").select("quote_id", "doc_id", (F.instr("text", F.col("quote")) - 1).alias("start"), "quote", "text").where("start >= 0")
+    return found if with_text else found.drop("quote", "text")
 
 
 def _with_short_quotes(short: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -33,6 +33,7 @@ HEADER_GAP, REGION, ANCHORS, ROW_TOKENS, ROW_WORDS, TABLE_BEST = 80, 9000, 8, 71
 RANGE_REACH, INLINE_REACH, INLINE_MOST = 140, 130, 8
 EXTRACTORS = ("table_column", "range", "inline_spec", "llm")
 
+_HIT = "struct<s:int,e:int,m:string>"
 _CELL = "struct<s:int,e:int,num:double>"
 _ROW = f"struct<cells:array<{_CELL}>,unit:string,skipped:int,done:boolean>"
 CANDIDATE = "struct<raw:string,unit:string,start:int,end:int,quote:string,focus_start:int,focus_end:int,precision:double,column_index:int,column_of:int,contaminated_by:string,extra_error:boolean>"
@@ -61,14 +62,25 @@ def contamination(near: Column, mpn: Column, known: Column) -> Column:
     return F.coalesce(_first(F.filter(part_tokens(near), lambda t: (t != F.upper(mpn)) & F.array_contains(known, t))), F.lit(""))
 
 
+def _cased(text: Column) -> Column:
+    """What the search for words in any case looks at first."""
+    return F.struct(F.lower(text).alias("low"), F.upper(text).alias("up"))
+
+
+def _hits(text: Column, cased: Column, word: Column) -> Column:
+    """(s, e, m) of every place of a word, in any case; the pattern is tried only where the text has the word."""
+    has = cased["low"].contains(F.lower(word)) | cased["up"].contains(F.upper(word))
+    return F.when(has, find_all(text, F.concat(F.lit("(?iu)"), quote_regex(word)))).otherwise(_none(_HIT))
+
+
 def alias_hits(text: Column, aliases: Column) -> Column:
     """(s, e, m) of every place of every alias, in any case, alias after alias."""
-    return F.flatten(F.transform(aliases, lambda a: find_all(text, F.concat(F.lit("(?iu)"), quote_regex(a)))))
+    return let(_cased(text), lambda c: F.flatten(F.transform(aliases, lambda a: _hits(text, c, a))))
 
 
 def first_alias_hits(text: Column, aliases: Column) -> Column:
     """Hits of the first alias that has any."""
-    return F.aggregate(aliases, _none("struct<s:int,e:int,m:string>"), lambda acc, a: F.when(F.size(acc) > 0, acc).otherwise(find_all(text, F.concat(F.lit("(?iu)"), quote_regex(a)))))
+    return let(_cased(text), lambda c: F.aggregate(aliases, _none(_HIT), lambda acc, a: F.when(F.size(acc) > 0, acc).otherwise(_hits(text, c, a))))
 
 
 def series_headers(text: Column, siblings: Column) -> Column:
@@ -118,11 +130,12 @@ def row_numbers(region: Column, start: Column, expected: Column) -> Column:
     return let(find_all(F.substring(region, start + 1, F.lit(2000)), r"(?U)\S+"), lambda tokens: F.when(F.size(tokens) == 0, none).otherwise(walk(tokens)))
 
 
-def table_column(text: Column, mpn: Column, spec: Column, siblings: Column, known: Column) -> Column:
+def table_column(text: Column, mpn: Column, spec: Column, siblings: Column, known: Column, headers: Column | None = None) -> Column:
     """Values of the part's own column in a series table; a row with one value for all counts less.
 
     Rows with some but not all values are not read. Of equal values the best is kept;
     the three best come back, for two defensible values are a conflict to be seen.
+    headers, where they are known, are those of series_headers(); they serve all attributes.
     """
     column = F.array_position(F.transform(siblings, F.upper), F.upper(mpn)).cast("int")
     n = F.size(siblings)
@@ -154,7 +167,7 @@ def table_column(text: Column, mpn: Column, spec: Column, siblings: Column, know
 
         return let(numbered, pick)
 
-    headers = series_headers(text, siblings)
+    headers = series_headers(text, siblings) if headers is None else headers
     found = F.filter(F.flatten(F.transform(headers, in_region)), lambda x: x.isNotNull())
     return F.when((spec["dtype"] == "number") & (n >= 2) & (column > 0), let(found, best)).otherwise(_none(CANDIDATE))
 
@@ -181,13 +194,13 @@ def range_end(text: Column, mpn: Column, spec: Column, siblings: Column, known:
 
         return let(_first(find_all(near, RANGE)), read)
 
-    def of_alias(a: Column) -> Column:
-        return F.filter(F.transform(find_all(text, F.concat(F.lit("(?iu)"), quote_regex(a))), after), lambda c: c.isNotNull())
+    def of_alias(cased: Column, a: Column) -> Column:
+        return F.filter(F.transform(_hits(text, cased, a), after), lambda c: c.isNotNull())
 
     def best(cs: Column) -> Column:
         return F.filter(cs, lambda c, i: ~F.exists(F.transform(cs, lambda d, j: F.struct(d["precision"].alias("p"), j.alias("j"))), lambda d: (d["p"] > c["precision"]) | ((d["p"] == c["precision"]) & (d["j"] < i))))
 
-    found = F.aggregate(spec["aliases"], _none(CANDIDATE), lambda acc, a: F.when(F.size(acc) > 0, acc).otherwise(of_alias(a)))
+    found = let(_cased(text), lambda cased: F.aggregate(spec["aliases"], _none(CANDIDATE), lambda acc, a: F.when(F.size(acc) > 0, acc).otherwise(of_alias(cased, a))))
     return F.when(spec["range_end"].isNotNull(), let(found, best)).otherwise(_none(CANDIDATE))
 
 
@@ -344,9 +357,10 @@ def candidates(work: DataFrame, panel: tuple[str, ...] = ("table_column", "range
     """
     if strange := set(panel) - {*STRATEGIES, "llm"}:
         raise ValueError(f"unknown strategies: {sorted(strange)}")
-    marked = work.withColumn("marks", section_marks(F.col("text")))
+    marked = work.withColumns({"marks": section_marks(F.col("text")), "headers": series_headers(F.col("text"), F.col("siblings"))})
     each = marked.select("*", F.explode("specs").alias("spec"))
-    arrays = [F.transform(STRATEGIES[name](*map(F.col, ("text", "mpn", "spec", "siblings", "known"))), lambda c, i: F.struct(F.lit(_position(name)).alias("extractor_pos"), F.lit(name).alias("extractor"), i.alias("cand_pos"), c.alias("c"))) for name in STRATEGIES if name in panel]
+    own = lambda name: STRATEGIES[name](*map(F.col, ("text", "mpn", "spec", "siblings", "known")), *([F.col("headers")] if name == "table_column" else []))
+    arrays = [F.transform(own(name), lambda c, i: F.struct(F.lit(_position(name)).alias("extractor_pos"), F.lit(name).alias("extractor"), i.alias("cand_pos"), c.alias("c"))) for name in STRATEGIES if name in panel]
     rows = None
     if arrays:
         rows = each.select("*", F.explode(F.concat(*arrays)).alias("x")).select("*", "x.extractor_pos", "x.extractor", "x.cand_pos", "x.c", F.lit(1.0).alias("self_consistency")).drop("x")

@@ -58,7 +58,7 @@ FROM p, (VALUES ('as_is'), ('spaced'), ('shifted'), ('invented')) k(kind)
 def evidence_gate(spark, d):
     """Each match ladder rung: quotes as they stand, with other blanks, at wrong offsets, with invented words."""
     docs = t(spark, d, "documents").select("doc_id", "text")
-    found = gate.quotes_in_documents(_quotes(spark, d), docs).join(_quotes(spark, d), "quote_id")
+    found = gate.quotes_in_documents(_quotes(spark, d), docs, with_text=True)
     at, n = F.col("start"), F.length("quote")
     claims = F.array(
         F.struct(F.lit("as_is").alias("kind"), F.col("quote").alias("said"), at.alias("s"), (at + n).alias("e")),
@@ -66,7 +66,7 @@ def evidence_gate(spark, d):
         F.struct(F.lit("shifted").alias("kind"), F.col("quote").alias("said"), (at + 7).alias("s"), (at + n + 7).alias("e")),
         F.struct(F.lit("invented").alias("kind"), F.concat("quote", F.lit(" zq 9.9 zq")).alias("said"), at.alias("s"), (at + n).alias("e")),
     )
-    rows = found.select("quote_id", "doc_id", F.explode(claims).alias("c")).join(docs, "doc_id")
+    rows = found.select("quote_id", "doc_id", "text", F.explode(claims).alias("c"))
     checked = rows.withColumn("v", gate.verify_span(F.col("text"), F.col("c.s"), F.col("c.e"), F.col("c.said")))
     return checked.select("quote_id", "doc_id", "c.kind", "v.mode", "v.start", "v.verified")
 
@@ -209,7 +209,7 @@ lose AS (SELECT r.sku, r.attribute, bool_or(len(list_filter(r.docs, lambda x: NO
 
 
 def _claims(spark, d):
-    rows = t(spark, d, "lineitem").join(F.broadcast(t(spark, d, "supplier").select("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = t(spark, d, "lineitem").join(t(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     key = T.format_g(F.col("l_discount"))
     return rows.select(F.col("l_partkey").alias("sku"), F.col("l_returnflag").alias("attribute"), F.col("l_suppkey").alias("doc"), key.alias("vkey"), (1.0 + F.col("l_linenumber") % 3).alias("prec"), A.tier_weight((F.col("s_nationkey") % 4 + 1).cast("int")).alias("weight"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_discount").alias("ord"), key.alias("display"))
 

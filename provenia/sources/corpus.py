@@ -190,4 +190,4 @@ def brand_of_results(results: DataFrame, brands: DataFrame) -> DataFrame:
     labels = F.split(host(to), r"\.")
     each = results.select("mpn", "rank", to.alias("url"), F.posexplode(F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0)))).alias("pos", "token"))
     own = brands.select("brand_key", domain_token(F.col("domain")).alias("token"))
-    return each.join(F.broadcast(own), "token").groupBy("mpn").agg(F.min_by(F.struct("brand_key", "url"), F.struct("rank", "pos", "brand_key")).alias("x")).select("mpn", "x.*")
+    return each.join(own, "token").groupBy("mpn").agg(F.min_by(F.struct("brand_key", "url"), F.struct("rank", "pos", "brand_key")).alias("x")).select("mpn", "x.*")
