@@ -117,3 +117,16 @@ def test_a_pass_empties_what_others_kept():
     assert one.cache_info().currsize == 0 and two.cache_info().currsize == 1
     common.turn_to(None)
     assert two.cache_info().currsize == 0
+
+
+def test_rows_are_kept_by_a_shuffle_too(spark, monkeypatch):
+    """The join of kept rows beyond its broadcast bound gives the same, with nulls, repeats and a hot key."""
+    from provenia.llm import rows as R
+
+    made = [(i % 40 if i % 7 else None, ["a b c", None, "", "d e f g", f"text {i}"][i % 5]) for i in range(300)]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    known = docs.select(F.col("doc_id").alias("id"), R.text_hash("text").alias("h64")).withColumn("class", F.col("h64") % 3)
+    kept = lambda: sorted(map(str, R.keep_one_of_each(docs, known, "doc_id", "text").collect()))
+    want = kept()
+    monkeypatch.setattr(R, "BROADCAST_ROWS", -1)
+    assert kept() == want and len(want) == known.select("class").distinct().count()

@@ -1,7 +1,9 @@
+import os
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import zstandard
@@ -158,3 +160,19 @@ def test_very_long_text():
     text = ("aa bb cc\n" * 400_000).encode()
     s = D.statistics(text)
     assert s["n_words"] == s["n_repeat_words"] == 1_200_000 and s["n_dup_lines"] == 399_999
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="tables are not here")
+def test_base_columns_match_sql(spark):
+    """The counts and the base rule over all documents of the smallest tables, in SQL."""
+    sql = r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM '/root/testdata/sf0.001/documents.parquet'),
+    w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+    g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w)),
+    r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS times FROM g), (VALUES (0), (1), (2)) o(k) WHERE times > 1 GROUP BY doc_id),
+    l AS (SELECT doc_id, sum(n - 1) AS n FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY ALL) GROUP BY doc_id),
+    c AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM w)
+    SELECT c.doc_id, n_words, word_chars, n_symbols, coalesce(l.n, 0)::BIGINT, coalesce(r.n, 0)::BIGINT, n_words < 50 OR 100 * coalesce(r.n, 0) > 50 * n_words FROM c LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)"""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = D.judged(docs, []).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert sorted(map(tuple, got.collect())) == sorted(duckdb.sql(sql).fetchall())

@@ -73,3 +73,15 @@ def test_hot_group_gets_its_own_shard(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert check(spark, spark.createDataFrame([], "doc_id long, text string"))[0] == []
+
+
+def test_long_texts_and_equal_sizes(spark):
+    rows = [(i, f"{i:04d}" + "x" * 96) for i in range(400)] + [(900, "é" * 60_000), (901, "z" * 50_000)]
+    got, by = check(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    loads = {k: sum(r.size for r in own) for k, own in by.items()}
+    home = {r.doc_id: r.shard for r in got}
+    assert loads[home[900]] == 120_001 and loads[home[901]] == 50_001 and home[900] != home[901]
+    rest = [n for k, n in loads.items() if k not in (home[900], home[901])]
+    assert sum(rest) == 400 * 101 and max(rest) == 29 * 101  # 400 rows in 14 shards
+    again, _ = check(spark, spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(7))
+    assert {r.doc_id: r.shard for r in again} == home
