@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ WORDS, BITS, SEED = 3, 3, 42
 SHINGLE, WIDE, LEAST, ANCHORS = 5, 1024, 0.8, 6
 #: Case and ASCII punctuation play no part in near copies.
 _PLAIN = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in bytes(range(256)).lower())
-#: Rows from which a trie is split; blocks of bits by which one of near copies is.
-HOT, SPLIT_HOT, BLOCKS = 20_000, 1000, 16
+#: Rows from which a trie is split; blocks of bits by which one of near copies is; first fingerprints to link to where a block is equal.
+HOT, SPLIT_HOT, BLOCKS, STARS = 20_000, 1000, 16, 4
 #: Bytes of a text split into words at a time; shingles counted at a time; bits of the fingerprints of tries and node pairs walked at a time.
 BLOCK, COUNTED, TRIE_BITS, FRONTIER = 1 << 20, 4096, 4_000_000, 1 << 16
 _SPREAD, _LANES = np.uint64(0x9E3779B97F4A7C15), WIDE // 64
@@ -297,25 +298,47 @@ def wide_fingerprint(shingles: np.ndarray) -> tuple[bytes, list[int]]:
     return np.packbits(ones * 2 > len(shingles)).tobytes(), least.view(np.int64).tolist() if len(shingles) else []
 
 
-def _split(rows: DataFrame) -> DataFrame:
-    """(bucket, f, fp) of rows (bucket, f, fp, n): tries of n > SPLIT_HOT rows become smaller ones.
+def _split(rows: DataFrame, bits: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(bucket, f, fp) of rows (bucket, f, fp, n), and links: tries of n > SPLIT_HOT rows become smaller ones.
 
     Each goes to BLOCKS tries, by the first four bits of as many blocks of the fingerprint,
-    and these that are still large to more, by the next four.
+    and these that are still large to more, by the next four. Where a whole block is equal
+    in a large trie, its rows are mostly copies of one text: those near its first
+    fingerprint link to it, without being gathered, and the others go on.
     """
-    out = rows.where(F.col("n") <= SPLIT_HOT).select("bucket", "f", "fp")
+    out, links = rows.where(F.col("n") <= SPLIT_HOT).select("bucket", "f", "fp"), []
     now = rows.where(F.col("n") > SPLIT_HOT).select("bucket", "f", "fp", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
     step = WIDE // BLOCKS // 8
-    for level in range(2 * step):
-        digit = F.substring(F.hex(F.expr(f"substring(fp, block * {step} + {level // 2 + 1}, 1)")), level % 2 + 1, 1)
-        now = cut(now.select(F.xxhash64("bucket", "block", digit).alias("bucket"), "f", "fp", "block"))
+    for level in range(2 * step + STARS):
+        if level < 2 * step:
+            digit = F.substring(F.hex(F.expr(f"substring(fp, block * {step} + {level // 2 + 1}, 1)")), level % 2 + 1, 1)
+            now = cut(now.select(F.xxhash64("bucket", "block", digit).alias("bucket"), "f", "fp", "block"))
+        else:
+            marked = cut(_near_first(now.select("bucket", "f", "fp"), bits))
+            links.append(marked.where("near").select(F.col("f").alias("u"), "v"))
+            now = marked.where("not near").select("bucket", "f", "fp", F.lit(0).alias("block"))
         hot = _hot(now, SPLIT_HOT)
         if hot is None:
             break
         marked = join_splittable(now, hot, "bucket")
         out = out.unionByName(marked.where("hot is null").select("bucket", "f", "fp"))
         now = marked.where("hot").drop("hot")
-    return out.unionByName(now.select("bucket", "f", "fp"))
+    return out.unionByName(now.select("bucket", "f", "fp")), links
+
+
+def _near_first(rows: DataFrame, bits: int) -> DataFrame:
+    """rows (bucket, f, fp) with v, the smallest f of the bucket, and whether their fingerprints differ in `bits` bits at most."""
+    first = rows.groupBy("bucket").agg(F.min(F.struct("f", "fp")).alias("first")).select("bucket", F.col("first.f").alias("v"), F.col("first.fp").alias("vp"))
+    met = join_splittable(rows, first, "bucket", "inner").select("bucket", "f", "fp", "v", "vp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to(None)
+        for b in batches:
+            fp, vp = (np.frombuffer(b"".join(b.column(k).to_pylist()), ">u8").reshape(-1, _LANES) for k in (2, 4))
+            near = np.bitwise_count(fp ^ vp).sum(1, dtype=np.int64) <= bits
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(near)], names=["bucket", "f", "fp", "v", "near"])
+
+    return met.mapInArrow(run, "bucket long, f long, fp binary, v long, near boolean")
 
 
 def budget(least: float = LEAST) -> int:
@@ -340,8 +363,9 @@ def wide_links(marked: DataFrame, least: float = LEAST) -> DataFrame:
     rows = cut(join_splittable(keys, met, "bucket", "inner"), narrow=True)
     fps = marked.select("f", "fp").join(rows.select("f").distinct(), "f", "left_semi").dropDuplicates(["f"])
     rows = rows.join(fps, "f")
+    stars: list[DataFrame] = []
     if not met.where(F.col("n") > SPLIT_HOT).isEmpty():
-        rows = _split(cut(rows))
+        rows, stars = _split(cut(rows), bits)
 
     def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
         fp = np.frombuffer(b"".join(t["fp"].to_pylist()), ">u8").astype(np.uint64).reshape(-1, _LANES)
@@ -354,7 +378,7 @@ def wide_links(marked: DataFrame, least: float = LEAST) -> DataFrame:
         _, i, j, _ = trie_walk(bucket[at], fp[at], bits)
         yield from _linked(names, at[i], at[j])
 
-    return _joined(rows.select("bucket", "f", "fp"), solve, WIDE, "fp")
+    return reduce(DataFrame.unionByName, stars, _joined(rows.select("bucket", "f", "fp"), solve, WIDE, "fp")).where("u <> v")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:

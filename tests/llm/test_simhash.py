@@ -253,3 +253,26 @@ def test_hot_fingerprints_stay_whole(spark):
     got = simhash.near_duplicates(docs)
     assert got.count() == 3000
     assert got.where("component_id = 0").count() == 1000
+
+
+def test_large_groups_of_near_copies_link_by_stars(spark, monkeypatch):
+    """Tries whose rows are equal in whole blocks are not gathered: their rows link to the first one."""
+    monkeypatch.setattr(simhash, "SPLIT_HOT", 6)
+    rng = random.Random(33)
+    base, other = rng.getrandbits(1024), rng.getrandbits(1024)
+    flip = lambda x: x ^ sum(1 << b for b in rng.sample(range(64), 12))
+    fps = [flip(base) for _ in range(40)] + [flip(other) for _ in range(30)] + [rng.getrandbits(1024) for _ in range(10)]
+    rows = [(i, x.to_bytes(128, "big"), [1, 2 + (i % 2)]) for i, x in enumerate(fps)]
+    marked = spark.createDataFrame(rows, "f long, fp binary, anchors array<long>")
+    links = {(r.u, r.v) for r in simhash.wide_links(marked).collect()}
+    root = list(range(80))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for u, v in links:
+        a, b = sorted((find(u), find(v)))
+        root[b] = a
+    assert [find(i) for i in range(80)] == [0] * 40 + [40] * 30 + list(range(70, 80))
