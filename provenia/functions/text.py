@@ -72,9 +72,13 @@ def find_all(text: Column, pattern: str | Column) -> Column:
     return let(F.struct(F.split(text, regex, -1).alias("p"), F.regexp_extract_all(text, regex, F.lit(0)).alias("m")), positions)
 
 
+# What is taken out of a page's source, in order, and what stands in its place.
+_MARKUP = ((r"(?is)<script\b[^>]*>.*?</script>", " "), (r"(?is)<style\b[^>]*>.*?</style>", " "), (r"<[^>]+>", " "), ("&nbsp;", " "), ("&amp;", "&"), (r"[ \t]+", " "), (r"\n\s*\n+", "\n"))
+
+
 def strip_html(html: Column) -> Column:
     """Visible text of a page: script and style bodies and tags gone, two entities decoded, blanks squeezed."""
-    for pattern, by in ((r"(?is)<script\b[^>]*>.*?</script>", " "), (r"(?is)<style\b[^>]*>.*?</style>", " "), (r"<[^>]+>", " "), ("&nbsp;", " "), ("&amp;", "&"), (r"[ \t]+", " "), (r"\n\s*\n+", "\n")):
+    for pattern, by in _MARKUP:
         html = F.regexp_replace(html, pattern, by)
     return F.trim(F.regexp_replace(F.regexp_replace(html, r"(?U)^\s+", ""), r"(?U)\s+$", ""))
 

@@ -138,9 +138,13 @@ def fetched_pages(responses: DataFrame) -> DataFrame:
     )
 
 
+# Words of a specification.
+_SPECIFIED = r"(?i)\b(voltage|amperage|dimensions|specifications|dBA|cu\.?\s*ft)\b"
+
+
 def has_content(text: Column, mpn: Column) -> Column:
     """Whether a page names the part or has a word of a specification."""
-    return F.upper(text).contains(F.upper(mpn)) | text.rlike(r"(?i)\b(voltage|amperage|dimensions|specifications|dBA|cu\.?\s*ft)\b")
+    return F.upper(text).contains(F.upper(mpn)) | text.rlike(_SPECIFIED)
 
 
 def first_reachable(pages: DataFrame, keys: list[str]) -> DataFrame:

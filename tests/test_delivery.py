@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from provenia.operators import delivery as D
 from provenia.sources import corpus, reference, sinks
 
+# Two delivered rows and their texts, byte for byte.
 A = {
     "brand_display": "FRIGIDAIRE®", "manufacturer_name": "Rheem Manufacturing", "mpn": "PDSH4816AF", "product_name": "Dishwasher", "with_feature": "CleanBoost™",
     "attrs": {"Series": ("Professional Series", ""), "Number of Wash Cycles": ("5", ""), "Voltage Rating": ("120", "V"), "Amperage Rating": ("15", "A"), "Mounting Type": ("Leg", ""), "Size": ("24 in W x 24-1/4 in D", ""), "Depth With Door Open": ("50-1/4", "in"), "Minimum Height": ("8-1/2 in Upper Rack, 11-1/4 in Lower Rack", ""), "Maximum Height": ("10-3/8 in Upper Rack, 13-1/4 in Lower Rack", ""), "Sound Level": ("47", "dBA"), "Material": ("Stainless Steel", ""), "Additional Information": ("240 kW-hr Annual Energy, 1 to 12 hr Delay Start Hours", "")},
