@@ -42,7 +42,7 @@ SENTENCE, WITHIN, STEP = 4, 12, 24
 #: Ids of a block, and windows at its end that are solved again with the next.
 BLOCK, AGAIN = 1 << 19, 4
 #: Entries of a generation of the memo of words, their longest key, characters of texts encoded together.
-MEMO, KEY, TOGETHER = 600_000, 64, 1 << 21
+MEMO, KEY, TOGETHER = 300_000, 64, 1 << 21
 #: Words whose lower case and split are the same to the library: Latin-1 letters, then marks.
 _MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]*)")
