@@ -93,7 +93,9 @@ def resolve_reasons(spark, d):
     from provenia.operators import arbitrate
 
     skus, manifest, docs = sheets(spark, d)
-    found = generators.candidates(datasheet.work_rows(skus, manifest, docs)).join(skus.select("sku", "brand"), "sku")
+    path = scratch_dir(spark)
+    generators.candidates(datasheet.work_rows(skus, manifest, docs)).write.parquet(path)
+    found = spark.read.parquet(path).join(skus.select("sku", "brand"), "sku")
     return arbitrate.resolve(arbitrate.brand_authority(found)).select("sku", "attribute", "total_sources", "n_candidates", F.try_element_at("reasons", F.lit(1)).alias("first_reason"))
 
 
