@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from provenia.llm import bpe, compression, decision_list, exact_dedup, packing, periodic, pii, sharding, simhash, toxicity, warc
+from provenia.llm import bpe, compression, decision_list, exact_dedup, hard_negatives, packing, periodic, pii, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_packing": packing.op10_packing,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op1_warc": warc.OP1_SQL,
     "op4_pii": pii.OP4_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
 }
