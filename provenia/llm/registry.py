@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from provenia.llm import bpe, compression, decision_list, exact_dedup, hard_negatives, packing, periodic, pii, sharding, simhash, toxicity, warc
+from provenia.llm import bpe, compression, decision_list, exact_dedup, hard_negatives, nn_descent, packing, periodic, pii, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_packing": packing.op10_packing,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_nn_descent": nn_descent.op12_nn_descent,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {
@@ -23,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op4_pii": pii.OP4_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op11_hard_negatives": hard_negatives.OP11_SQL,
+    "op12_nn_descent": nn_descent.OP12_SQL,
 }
