@@ -47,7 +47,7 @@ def find_quote(text: Column, quote: Column) -> Column:
     """Where quote begins in text: as it is, else with other white space or case; -1 if nowhere."""
     at = F.instr(text, quote) - 1
     loose = let(F.split(text, flexible_pattern(quote), 2), lambda p: F.when(F.size(p) > 1, F.length(p[0])).otherwise(-1))
-    return F.when(F.trim(quote) == "", -1).when(at >= 0, at).otherwise(loose)
+    return F.when(collapse(quote) == "", -1).when(at >= 0, at).otherwise(loose)
 
 
 def contains_quote(text: Column, quote: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenia.functions.text import collapse, find_quote, let, page_for_offset, slice_text
+from provenia.functions.text import WHITE, collapse, find_quote, let, page_for_offset, slice_text
+from provenia.operators import matching
 
 
 def verify_span(text: Column, start: Column, end: Column, quote: Column, pages: Column | None = None) -> Column:
@@ -47,23 +48,47 @@ def verify_all(candidates: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataF
 def quotes_in_documents(quotes: DataFrame, docs: DataFrame, with_text: bool = False) -> DataFrame:
     """(quote_id, doc_id, start[, quote, text]) for each document that has a quote, where none is claimed.
 
-    quotes (quote_id, quote), docs (doc_id, text). A quote of three words or more is looked
-    up by its longest inner word among the documents' words, one of two by its first word's
-    end and its last word's beginning, a single word by itself as a part of the documents'
-    distinct words; only documents that have these are searched. Empty quotes are nowhere.
+    quotes (quote_id, quote), docs (doc_id, text). start is what find_quote() gives: a quote
+    counts in any case and with any white space between its words. Quotes of HELD characters
+    in all go into one automaton, with which each text is read once. More are looked up by
+    their words. Null quotes and such without words are nowhere, null texts have none.
     """
-    words = F.split(F.trim(F.col("quote")), r"\s+")
-    parted = quotes.select("quote_id", "quote", words.alias("w")).where(F.trim("quote") != "")
+    sought = quotes.where(F.trim(F.regexp_replace("quote", WHITE, " ")) != "").select("quote_id", "quote")
+    size = sought.agg(F.sum(F.length("quote")).alias("n")).first()["n"] or 0
+    if size > matching.HELD:
+        return _by_words(sought, docs, with_text)
+    held = [(r["quote_id"], r["quote"]) for r in sought.collect()]
+    kind = sought.schema["quote_id"].dataType.simpleString()
+    numbered = docs.sparkSession.createDataFrame([(k, i, q) for k, (i, q) in enumerate(held)], f"number int, quote_id {kind}, quote string")
+    found = matching.quotes_by_automaton(held, docs, with_text).join(F.broadcast(numbered), "number")
+    return found.select("quote_id", "doc_id", "start", *(["quote", "text"] if with_text else []))
+
+
+def _folded(text: Column) -> Column:
+    """text in one case, in which all that find_quote() takes for equal is equal (and some more is)."""
+    return F.upper(F.lower(F.translate(text, "\u0130\u0131", "ii")))
+
+
+def _by_words(quotes: DataFrame, docs: DataFrame, with_text: bool) -> DataFrame:
+    """quotes_in_documents() for any number of quotes, without empty ones.
+
+    A quote of three words or more is looked up by its longest inner word among the
+    documents' words, one of two by its first word's end and its last word's beginning, a
+    single word by itself as a part of the documents' distinct words; only documents that
+    have these are searched.
+    """
+    words = F.split(F.trim(F.regexp_replace(_folded(F.col("quote")), WHITE, " ")), " ")
+    parted = quotes.select("quote_id", words.alias("w"))
     inner = F.expr("element_at(array_sort(slice(w, 2, size(w) - 2), (a, b) -> CASE WHEN length(a) <> length(b) THEN length(b) - length(a) WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END), 1)")
     anchored = parted.where(F.size("w") >= 3).select("quote_id", inner.alias("word"))
     needed = anchored.select("word").distinct()
-    tokens = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    tokens = docs.select("doc_id", F.explode(F.array_distinct(F.split(_folded(F.col("text")), WHITE))).alias("word"))
     pairs = tokens.join(F.broadcast(needed), "word", "left_semi") if _few(needed) else tokens.join(needed, "word", "left_semi")
     near = pairs.join(anchored, "word").select("quote_id", "doc_id").distinct()
     short = parted.where(F.size("w") < 3).select("quote_id", "w")
     if not short.isEmpty():
-        near = near.unionByName(_with_short_quotes(short, tokens))
-    found = near.join(docs.select("doc_id", "text"), "doc_id").join(quotes, "quote_id").select("quote_id", "doc_id", (F.instr("text", F.col("quote")) - 1).alias("start"), "quote", "text").where("start >= 0")
+        near = near.unionByName(_with_short_quotes(short, tokens)).distinct()
+    found = near.join(docs.select("doc_id", "text"), "doc_id").join(quotes, "quote_id").select("quote_id", "doc_id", find_quote(F.col("text"), F.col("quote")).alias("start"), "quote", "text").where("start >= 0")
     return found if with_text else found.drop("quote", "text")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from provenia.functions.text import collapse, find_all, find_quote, let, quote_regex, slice_text
 from provenia.functions.values import VALUE, compatible, convert, format_g, in_range, minus, normalize_value, parse_number
+from provenia.operators import matching
 from provenia.operators.gate import verify_span
 from provenia.operators.sections import is_graph_region, section_at, section_marks
 
@@ -67,20 +68,29 @@ def _cased(text: Column) -> Column:
     return F.struct(F.lower(text).alias("low"), F.upper(text).alias("up"))
 
 
-def _hits(text: Column, cased: Column, word: Column) -> Column:
-    """(s, e, m) of every place of a word, in any case; the pattern is tried only where the text has the word."""
+def _hits(text: Column, cased: Column, word: Column, places: Column | None = None) -> Column:
+    """(s, e) of every place of a word, in any case: from places where these are known, else by a pattern, which is tried only where the text has the word."""
+    if places is not None:
+        return matching.apart(F.coalesce(F.try_element_at(places, word), _none("struct<s:int,e:int>")))
     has = cased["low"].contains(F.lower(word)) | cased["up"].contains(F.upper(word))
     return F.when(has, find_all(text, F.concat(F.lit("(?iu)"), quote_regex(word)))).otherwise(_none(_HIT))
 
 
-def alias_hits(text: Column, aliases: Column) -> Column:
-    """(s, e, m) of every place of every alias, in any case, alias after alias."""
-    return let(_cased(text), lambda c: F.flatten(F.transform(aliases, lambda a: _hits(text, c, a))))
+def alias_hits(text: Column, aliases: Column, places: Column | None = None) -> Column:
+    """(s, e) of every place of every alias, in any case, alias after alias; places are those of matching.with_places(), if it has been run."""
+    return let(_cased(text), lambda c: F.flatten(F.transform(aliases, lambda a: _hits(text, c, a, places))))
 
 
-def first_alias_hits(text: Column, aliases: Column) -> Column:
+def first_alias_hits(text: Column, aliases: Column, places: Column | None = None) -> Column:
     """Hits of the first alias that has any."""
-    return let(_cased(text), lambda c: F.aggregate(aliases, _none(_HIT), lambda acc, a: F.when(F.size(acc) > 0, acc).otherwise(_hits(text, c, a))))
+    return let(_cased(text), lambda c: F.aggregate(aliases, _none(_HIT if places is None else "struct<s:int,e:int>"), lambda acc, a: F.when(F.size(acc) > 0, acc).otherwise(_hits(text, c, a, places))))
+
+
+def _within(places: Column, start: Column, size: int) -> Column:
+    """The places of a region of `size` characters from start on, counted from there."""
+    inside = lambda p: (p["s"] >= start) & (p["e"] <= start + size)
+    moved = lambda p: F.struct((p["s"] - start).alias("s"), (p["e"] - start).alias("e"))
+    return F.transform_values(places, lambda _, ps: F.transform(F.filter(ps, inside), moved))
 
 
 def series_headers(text: Column, siblings: Column) -> Column:
@@ -130,12 +140,13 @@ def row_numbers(region: Column, start: Column, expected: Column) -> Column:
     return let(find_all(F.substring(region, start + 1, F.lit(2000)), r"(?U)\S+"), lambda tokens: F.when(F.size(tokens) == 0, none).otherwise(walk(tokens)))
 
 
-def table_column(text: Column, mpn: Column, spec: Column, siblings: Column, known: Column, headers: Column | None = None) -> Column:
+def table_column(text: Column, mpn: Column, spec: Column, siblings: Column, known: Column, headers: Column | None = None, places: Column | None = None) -> Column:
     """Values of the part's own column in a series table; a row with one value for all counts less.
 
     Rows with some but not all values are not read. Of equal values the best is kept;
     the three best come back, for two defensible values are a conflict to be seen.
-    headers, where they are known, are those of series_headers(); they serve all attributes.
+    headers, where they are known, are those of series_headers(), and places those of
+    matching.with_places(); they serve all attributes.
     """
     column = F.array_position(F.transform(siblings, F.upper), F.upper(mpn)).cast("int")
     n = F.size(siblings)
@@ -154,7 +165,10 @@ def table_column(text: Column, mpn: Column, spec: Column, siblings: Column, know
 
             return let(row_numbers(region, a["e"], n), read)
 
-        return F.transform(F.slice(first_alias_hits(region, spec["table_aliases"]), 1, ANCHORS), at_anchor)
+        if places is None:
+            return F.transform(F.slice(first_alias_hits(region, spec["table_aliases"]), 1, ANCHORS), at_anchor)
+        own = F.map_filter(places, lambda word, _: F.array_contains(spec["table_aliases"], word))
+        return let(_within(own, h["e"], REGION), lambda near: F.transform(F.slice(first_alias_hits(region, spec["table_aliases"], near), 1, ANCHORS), at_anchor))
 
     def best(found: Column) -> Column:
         numbered = F.transform(found, lambda x, i: F.struct(x["key"].alias("key"), x["c"].alias("c"), i.alias("i")))
@@ -172,7 +186,7 @@ def table_column(text: Column, mpn: Column, spec: Column, siblings: Column, know
     return F.when((spec["dtype"] == "number") & (n >= 2) & (column > 0), let(found, best)).otherwise(_none(CANDIDATE))
 
 
-def range_end(text: Column, mpn: Column, spec: Column, siblings: Column, known: Column) -> Column:
+def range_end(text: Column, mpn: Column, spec: Column, siblings: Column, known: Column, places: Column | None = None) -> Column:
     """One end of the best range "low to high unit" after the first alias that has any; the unit must be stated."""
     low_end = spec["range_end"] == "min"
 
@@ -195,7 +209,7 @@ def range_end(text: Column, mpn: Column, spec: Column, siblings: Column, known:
         return let(_first(find_all(near, RANGE)), read)
 
     def of_alias(cased: Column, a: Column) -> Column:
-        return F.filter(F.transform(_hits(text, cased, a), after), lambda c: c.isNotNull())
+        return F.filter(F.transform(_hits(text, cased, a, places), after), lambda c: c.isNotNull())
 
     def best(cs: Column) -> Column:
         return F.filter(cs, lambda c, i: ~F.exists(F.transform(cs, lambda d, j: F.struct(d["precision"].alias("p"), j.alias("j"))), lambda d: (d["p"] > c["precision"]) | ((d["p"] == c["precision"]) & (d["j"] < i))))
@@ -238,7 +252,7 @@ def value_in(near: Column, spec: Column) -> Column:
     )
 
 
-def inline_spec(text: Column, mpn: Column, spec: Column, siblings: Column, known: Column) -> Column:
+def inline_spec(text: Column, mpn: Column, spec: Column, siblings: Column, known: Column, places: Column | None = None) -> Column:
     """A value within 130 characters after any alias; each distinct quote once, eight at most.
 
     A number outside the plausible range stays, with an error.
@@ -258,7 +272,7 @@ def inline_spec(text: Column, mpn: Column, spec: Column, siblings: Column, known
         seen = F.exists(acc, lambda d: F.lower(collapse(d["quote"])) == key)
         return F.when(c.isNull() | seen | (F.size(acc) >= INLINE_MOST), acc).otherwise(F.array_append(acc, c))
 
-    return F.aggregate(F.transform(alias_hits(text, spec["aliases"]), after), _none(CANDIDATE), once)
+    return F.aggregate(F.transform(alias_hits(text, spec["aliases"], places), after), _none(CANDIDATE), once)
 
 
 #: Strategies by name, in the order in which they are tried.
@@ -281,9 +295,13 @@ def _position(name: str) -> int:
     return len(EXTRACTORS) - 1 if name == "llm" else names.index(name) + (names.index(name) >= len(EXTRACTORS) - 1)
 
 
+def _known_places(work: DataFrame) -> Column | None:
+    return F.col("places") if "places" in work.columns else None
+
+
 def llm_windows(work: DataFrame, most: int = 3, before: int = 400, after: int = 700, bucket: int = 500) -> DataFrame:
     """(sku, doc_id, attribute, window_no, window_start, window): where a model would look, three regions at most."""
-    starts = F.transform(alias_hits(F.col("text"), F.col("spec.aliases")), lambda h: F.struct(F.greatest(h["s"] - before, F.lit(0)).alias("s"), F.least(F.length("text"), h["e"] + after).alias("e")))
+    starts = F.transform(alias_hits(F.col("text"), F.col("spec.aliases"), _known_places(work)), lambda h: F.struct(F.greatest(h["s"] - before, F.lit(0)).alias("s"), F.least(F.length("text"), h["e"] + after).alias("e")))
 
     def once(acc: Column, w: Column) -> Column:
         seen = F.exists(acc, lambda a: F.floor(a["s"] / bucket) == F.floor(w["s"] / bucket))
@@ -352,14 +370,19 @@ def candidates(work: DataFrame, panel: tuple[str, ...] = ("table_column", "range
     """All gated candidates of a panel of strategies, one row each.
 
     work: sku, mpn, doc_id, doc_pos, authority, publisher, siblings, known, specs, text,
-    pages. With early exit, what comes after a strategy's clean candidate is left out.
+    pages, and where matching.with_places() has been run over the documents, as in
+    work_rows(), places and headers; else each alias is sought by itself. With early exit, what comes after a strategy's clean candidate is left out.
     A name in the panel that no strategy has is an error.
     """
     if strange := set(panel) - {*STRATEGIES, "llm"}:
         raise ValueError(f"unknown strategies: {sorted(strange)}")
-    marked = work.withColumns({"marks": section_marks(F.col("text")), "headers": series_headers(F.col("text"), F.col("siblings"))})
+    places = _known_places(work)
+    marked = work.withColumn("marks", section_marks(F.col("text")))
+    if places is None:
+        marked = marked.withColumn("headers", series_headers(F.col("text"), F.col("siblings")))
+    found_before = {"table_column": {"headers": F.col("headers"), "places": places}, "range": {"places": places}, "inline_spec": {"places": places}}
     each = marked.select("*", F.explode("specs").alias("spec"))
-    own = lambda name: STRATEGIES[name](*map(F.col, ("text", "mpn", "spec", "siblings", "known")), *([F.col("headers")] if name == "table_column" else []))
+    own = lambda name: STRATEGIES[name](*map(F.col, ("text", "mpn", "spec", "siblings", "known")), **found_before.get(name, {}))
     arrays = [F.transform(own(name), lambda c, i: F.struct(F.lit(_position(name)).alias("extractor_pos"), F.lit(name).alias("extractor"), i.alias("cand_pos"), c.alias("c"))) for name in STRATEGIES if name in panel]
     rows = None
     if arrays:

@@ -7,9 +7,9 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenia.operators import arbitrate, confidence, generators, rules
+from provenia.operators import arbitrate, confidence, generators, matching, rules
 from provenia.sources import corpus
-from provenia.sources.reference import attribute_specs
+from provenia.sources.reference import ALIASES, attribute_specs
 
 
 class Enriched(NamedTuple):
@@ -23,7 +23,8 @@ def work_rows(skus: DataFrame, manifest: DataFrame, docs: DataFrame) -> DataFram
 
     skus: sku, mpn, brand, product_class. manifest: doc_id, doc_pos, publisher, authority,
     covers. docs: doc_id, text, pages. Known parts are attached per document: only those
-    its text names, so no list grows with the catalog. A product class that is not known
+    its text names, so no list grows with the catalog. Each text is read once for all
+    aliases of all classes and for its series headers. A product class that is not known
     raises an error when the rows are read.
     """
     tokens = docs.select("doc_id", F.explode(generators.part_tokens(F.col("text"))).alias("part"))
@@ -35,7 +36,8 @@ def work_rows(skus: DataFrame, manifest: DataFrame, docs: DataFrame) -> DataFram
     unknown = F.raise_error(F.concat(F.lit("unknown product class "), F.coalesce("product_class", F.lit("null"))))
     covered = covered.withColumn("specs", F.when(F.col("class_key").isNull(), unknown.cast(covered.schema["specs"].dataType)).otherwise(F.col("specs")))
     about = manifest.select("doc_id", "publisher", "authority", F.col("covers").alias("siblings"))
-    rows = covered.join(about, "doc_id").join(docs, "doc_id").join(known, "doc_id", "left")
+    read = matching.with_places(docs.join(about, "doc_id"), ALIASES, generators.HEADER_GAP, "siblings")
+    rows = covered.join(read, "doc_id").join(known, "doc_id", "left")
     return rows.withColumn("known", F.coalesce("known", F.array().cast("array<string>"))).drop("class_key", "part")
 
 

@@ -12,7 +12,7 @@ from provenia.functions import values as V
 from provenia.operators import arbitrate as A
 from provenia.operators import confidence as C
 from provenia.operators import delivery as D
-from provenia.operators import gate, generators, joins, ledger, publish, rules, sections
+from provenia.operators import gate, generators, joins, ledger, matching, publish, rules, sections
 from provenia.plans import evaluate
 from provenia.sources import corpus
 from provenia.sources import reference as R
@@ -45,10 +45,38 @@ def _quotes(spark, d):
 
 @query("SELECT item_id AS quote_id, doc_id, strpos(d.text, b.text) - 1 AS start FROM documents d JOIN benchmark b ON strpos(d.text, b.text) > 0")
 def quote_search(spark, d):
-    """Documents that have a quote, by its longest inner word."""
+    """Documents that have a quote, all quotes sought at once."""
     return gate.quotes_in_documents(_quotes(spark, d), t(spark, d, "documents"))
 
 
+_LOUD = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+@query(r"""
+WITH q AS (SELECT item_id, text, '(?is)^(.*?)' || array_to_string(list_transform(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: regexp_escape(w)), '\s+') AS pattern FROM benchmark)
+SELECT item_id AS quote_id, doc_id, length(regexp_extract(d.text, pattern, 1)) AS start
+FROM documents d JOIN q ON strpos(lower(regexp_replace(d.text, '\s+', ' ', 'g')), lower(trim(regexp_replace(q.text, '\s+', ' ', 'g')))) > 0
+""")
+def quote_search_loose(spark, d):
+    """The same where quotes come in capitals and with other blanks between their words."""
+    loud = F.replace(F.translate("quote", *_LOUD), F.lit(" "), F.lit(" \n "))
+    return gate.quotes_in_documents(_quotes(spark, d).withColumn("quote", loud), t(spark, d, "documents"))
+
+
+@query("""
+WITH w AS (SELECT DISTINCT lower(max_by(u.w, (length(u.w), u.w))) AS word FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark) u GROUP BY item_id)
+SELECT doc_id, word, strpos(lower(text), word) - 1 AS first_start, (length(text) - length(replace(lower(text), word, ''))) // length(word) AS n
+FROM documents, w WHERE strpos(lower(text), word) > 0
+""")
+def word_places(spark, d):
+    """Where the longest word of each quote stands in each document, in any case, read from one automaton for all of them."""
+    each = t(spark, d, "benchmark").select("item_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
+    words = each.groupBy("item_id").agg(F.lower(F.max_by("w", F.struct(F.length("w"), "w"))).alias("word")).select("word").distinct()
+    read = matching.with_places(t(spark, d, "documents").select("doc_id", "text"), [r["word"] for r in words.collect()], 80)
+    kept = read.select("doc_id", F.explode("places").alias("word", "at")).select("doc_id", "word", matching.apart(F.col("at")).alias("at"))
+    return kept.select("doc_id", "word", F.col("at")[0]["s"].alias("first_start"), F.size("at").alias("n"))
+
+
 @query("""
 WITH p AS (SELECT item_id AS quote_id, doc_id, d.text, b.text AS quote, strpos(d.text, b.text) - 1 AS pos FROM documents d JOIN benchmark b ON strpos(d.text, b.text) > 0)
 SELECT quote_id, doc_id, kind, CASE kind WHEN 'as_is' THEN 'exact' WHEN 'spaced' THEN 'normalized' WHEN 'shifted' THEN 'relocated' ELSE 'not_found' END AS mode,

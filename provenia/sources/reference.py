@@ -42,6 +42,8 @@ CLASSES = {
         *_SHARED,
     ],
 }
+#: Every alias of every class.
+ALIASES = sorted({alias for specs in CLASSES.values() for spec in specs for alias in spec[7]})
 # Plausibility across attributes: class, key, operands, condition, message, severity.
 RULES = [
     ("RECTIFIER_DIODE", "surge_ge_continuous", ("surge_current_max", "forward_current_avg"), "surge_current_max > forward_current_avg", "surge current must exceed the continuous forward current", "error"),

@@ -80,15 +80,6 @@ def test_an_unknown_class_raises(spark):
         datasheet.work_rows(strange, manifest, corpus.document_text(pages)).select("sku", "specs").collect()
 
 
-def test_short_quotes_are_found_without_pairs(spark):
-    rng = random.Random(22)
-    texts = ["".join(rng.choice("ab é  \n") for _ in range(rng.randint(0, 40))) for _ in range(60)]
-    quotes = ["a", "ab", "a b", "b  a", "bb é", "é", "", "zz", "b\na"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    got = {(r.quote_id, r.doc_id): r.start for r in gate.quotes_in_documents(spark.createDataFrame(list(enumerate(quotes)), "quote_id int, quote string"), docs).collect()}
-    assert got == {(q, i): t.index(s) for q, s in enumerate(quotes) if s.strip() for i, t in enumerate(texts) if s in t}
-
-
 def test_more_units(spark):
     cases = [(1.0, "mil", "mm", 0.0254), (2.0, "ft", "in", 24.0), (300.0, "K", "degC", 26.85), (2.0, "Ah", "mAh", 2000.0), (60.0, "rpm", "Hz", 1.0), (1.0, "kg", "lb", 2.2046226), (3.0, "kWh", "J", 1.08e7), (1.5, "MHz", "kHz", 1500.0)]
     rows = spark.createDataFrame(cases, "x double, a string, b string, want double")
