@@ -10,7 +10,8 @@ A trie holds the fingerprints that can be near each other. For a budget of few b
 fingerprints within the budget have one in common. For near copies (wide_links), whose
 budget is a fifth of all bits, no block is both wide enough to tell texts apart and likely
 to be equal; there, the texts of a trie share one of six min-wise shingles. Tries of many
-rows are split by further bits before they are dealt out.
+rows are split, by further shingles and by masks of bits whose number follows from the
+budget, before they are dealt out.
 """
 
 from __future__ import annotations
@@ -36,8 +37,10 @@ WORDS, BITS, SEED = 3, 3, 42
 SHINGLE, WIDE, LEAST, ANCHORS = 5, 1024, 0.8, 6
 #: Case and ASCII punctuation play no part in near copies.
 _PLAIN = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in bytes(range(256)).lower())
-#: Rows from which a trie is split; blocks of bits by which one of near copies is; first fingerprints to link to where a block is equal.
-HOT, SPLIT_HOT, BLOCKS, STARS = 20_000, 1000, 16, 4
+#: Rows from which a trie is split; the same for near copies; share of pairs at the budget that meet under masks; bits of a mask at most.
+HOT, SPLIT_HOT, COVERED, MASK_BITS = 20_000, 1000, 0.99, 14
+#: Fingerprints whose copies leave a large trie before it is parted; times that it is parted by masks; rows of a block.
+STARS, TURNS, PACKED = 2, 3, 500
 #: Bytes of a text split into words at a time; shingles counted at a time; bits of the fingerprints of tries and node pairs walked at a time.
 BLOCK, COUNTED, TRIE_BITS, FRONTIER = 1 << 20, 4096, 4_000_000, 1 << 16
 _SPREAD, _LANES = np.uint64(0x9E3779B97F4A7C15), WIDE // 64
@@ -174,9 +177,13 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], solve: Callable[[pa.Table], It
         yield from solve(pa.Table.from_batches(held))
 
 
+def _linked_pairs(u: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(u):
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
 def _linked(names: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if len(i):
-        yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(names[j])], names=["u", "v"])
+    yield from _linked_pairs(names[i], names[j])
 
 
 def _joined(keyed: DataFrame, solve: Callable[[pa.Table], Iterator[pa.RecordBatch]], width: int, *order: str) -> DataFrame:
@@ -298,47 +305,133 @@ def wide_fingerprint(shingles: np.ndarray) -> tuple[bytes, list[int]]:
     return np.packbits(ones * 2 > len(shingles)).tobytes(), least.view(np.int64).tolist() if len(shingles) else []
 
 
-def _split(rows: DataFrame, bits: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(bucket, f, fp) of rows (bucket, f, fp, n), and links: tries of n > SPLIT_HOT rows become smaller ones.
+def covering(differ: int, width: int, wide: int = WIDE, sure: float = COVERED) -> int:
+    """Masks of `width` bits drawn at random of `wide` that fingerprints `differ` bits apart need to agree on one with a chance of `sure`."""
+    agree = math.prod((wide - differ - k) / (wide - k) for k in range(width))
+    return math.ceil(math.log(1 - sure) / math.log1p(-agree)) if agree < 1 else 1
 
-    Each goes to BLOCKS tries, by the first four bits of as many blocks of the fingerprint,
-    and these that are still large to more, by the next four. Where a whole block is equal
-    in a large trie, its rows are mostly copies of one text: those near its first
-    fingerprint link to it, without being gathered, and the others go on.
-    """
-    out, links = rows.where(F.col("n") <= SPLIT_HOT).select("bucket", "f", "fp"), []
-    now = rows.where(F.col("n") > SPLIT_HOT).select("bucket", "f", "fp", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
-    step = WIDE // BLOCKS // 8
-    for level in range(2 * step + STARS):
-        if level < 2 * step:
-            digit = F.substring(F.hex(F.expr(f"substring(fp, block * {step} + {level // 2 + 1}, 1)")), level % 2 + 1, 1)
-            now = cut(now.select(F.xxhash64("bucket", "block", digit).alias("bucket"), "f", "fp", "block"))
-        else:
-            marked = cut(_near_first(now.select("bucket", "f", "fp"), bits))
-            links.append(marked.where("near").select(F.col("f").alias("u"), "v"))
-            now = marked.where("not near").select("bucket", "f", "fp", F.lit(0).alias("block"))
-        hot = _hot(now, SPLIT_HOT)
-        if hot is None:
-            break
-        marked = join_splittable(now, hot, "bucket")
-        out = out.unionByName(marked.where("hot is null").select("bucket", "f", "fp"))
-        now = marked.where("hot").drop("hot")
-    return out.unionByName(now.select("bucket", "f", "fp")), links
+
+def mask_width(n: int) -> int:
+    """Bits of a mask for a trie of n rows: as many as part unrelated rows into tries of at most half of SPLIT_HOT."""
+    return min(MASK_BITS, max(1, math.ceil(math.log2(2 * n / SPLIT_HOT))))
 
 
-def _near_first(rows: DataFrame, bits: int) -> DataFrame:
-    """rows (bucket, f, fp) with v, the smallest f of the bucket, and whether their fingerprints differ in `bits` bits at most."""
-    first = rows.groupBy("bucket").agg(F.min(F.struct("f", "fp")).alias("first")).select("bucket", F.col("first.f").alias("v"), F.col("first.fp").alias("vp"))
-    met = join_splittable(rows, first, "bucket", "inner").select("bucket", "f", "fp", "v", "vp")
+def mask_codes(fp: np.ndarray, width: int, masks: int, turn: int = 0) -> Iterator[np.ndarray]:
+    """For each mask, a number of the bits of each fingerprint (rows of bytes) under it."""
+    rng = np.random.default_rng([SEED, turn, width])
+    bits = np.unpackbits(fp, axis=1)
+    for _ in range(masks):
+        at = rng.choice(bits.shape[1], width, replace=False)
+        yield bits[:, at].astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
+
+
+def _masked(rows: DataFrame, bits: int, turn: int) -> DataFrame:
+    """(bucket, f, fp) of rows (bucket, f, fp, n): each trie as many smaller ones, by the bits under masks.
+
+    Their number follows from the budget, so that of fingerprints `bits` apart COVERED meet
+    in one of them, whatever the size of the trie, and of nearer ones more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to(None)
+        for batch in (b.slice(k, COUNTED) for b in batches for k in range(0, b.num_rows, COUNTED)):
+            width = np.array([mask_width(n) for n in batch.column("n").to_pylist()])
+            for w in np.unique(width).tolist():
+                part = batch.take(pa.array(np.flatnonzero(width == w)))
+                fp = np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                old = part.column("bucket").to_numpy().view(np.uint64)
+                for k, code in enumerate(mask_codes(fp, w, covering(bits, w), turn)):
+                    new = _mix(old * _SPREAD + _mix(code.view(np.uint64) * np.uint64(1 << 12) + np.uint64(k)))
+                    yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), part.column("f"), part.column("fp")], names=["bucket", "f", "fp"])
+
+    return rows.mapInArrow(run, "bucket long, f long, fp binary")
+
+
+def _sized(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (bucket, f, fp, ...) of tries of 2 to SPLIT_HOT rows; those of larger ones with their size n, as a table, or None."""
+    rows = cut(rows)
+    sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), narrow=True)
+    met = join_splittable(rows, sizes, "bucket", "inner")
+    large = not sizes.where(F.col("n") > SPLIT_HOT).isEmpty()
+    return met.where(F.col("n") <= SPLIT_HOT), met.where(F.col("n") > SPLIT_HOT) if large else None
+
+
+def _star(rows: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(links, rest) of tries (bucket, f, fp): those near one fingerprint of a trie, drawn by hash, link to it and leave; the rest goes on.
+
+    No link is lost: what stays is near one that leaves only if it is within twice the
+    budget of the drawn one, and these are compared with all that leave, block by block.
+    No trie is gathered.
+    """
+    drawn = rows.groupBy("bucket").agg(F.min_by(F.struct("f", "fp"), F.xxhash64("bucket", "f")).alias("first")).select("bucket", F.col("first.f").alias("v"), F.col("first.fp").alias("vp"))
+    met = join_splittable(rows, drawn, "bucket", "inner").select("bucket", "f", "fp", "v", "vp")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to(None)
         for b in batches:
             fp, vp = (np.frombuffer(b"".join(b.column(k).to_pylist()), ">u8").reshape(-1, _LANES) for k in (2, 4))
-            near = np.bitwise_count(fp ^ vp).sum(1, dtype=np.int64) <= bits
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(near)], names=["bucket", "f", "fp", "v", "near"])
+            apart = np.bitwise_count(fp ^ vp).sum(1, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(apart)], names=["bucket", "f", "fp", "v", "apart"])
+
+    marked = cut(met.mapInArrow(measure, "bucket long, f long, fp binary, v long, apart int"))
+    side = F.when(F.col("apart") <= bits, 0).when(F.col("apart") <= 2 * bits, 1)
+    sides = marked.select("bucket", side.alias("side"), "f", "fp").where("side is not null")
+    sizes = sides.groupBy("bucket").agg(*[F.ceil(F.count_if(F.col("side") == k) / PACKED).cast("int").alias(f"n{k}") for k in (0, 1)]).where("n1 > 0")
+    placed = join_splittable(sides, sizes, "bucket", "inner").withColumn("chunk", F.pmod(F.hash("f"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))))
+    packs = cut(placed.groupBy("bucket", "side", "chunk").agg(F.collect_list("f").alias("fs"), F.collect_list("fp").alias("fps")))
+    pair = join_splittable(packs.where("side = 0").select("bucket", "fs", "fps"), packs.where("side = 1").groupBy("bucket").agg(F.collect_set("chunk").alias("chunks")), "bucket", "inner")
+    pair = pair.withColumn("chunk", F.explode("chunks")).join(packs.where("side = 1").select("bucket", "chunk", F.col("fs").alias("gs"), F.col("fps").alias("gps")), ["bucket", "chunk"]).select("fs", "fps", "gs", "gps")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to(None)
+        for b in batches:
+            for k in range(b.num_rows):
+                inner, outer = (np.frombuffer(b"".join(b.column(c)[k].as_py()), np.uint64).reshape(-1, _LANES) for c in (1, 3))
+                f, g = (np.array(b.column(c)[k].as_py(), np.int64) for c in (0, 2))
+                near = np.stack([np.bitwise_count(inner ^ o).sum(1, dtype=np.int32) <= bits for o in outer])
+                some = np.flatnonzero(near.any(1))  # one link into what leaves is enough, for that is linked
+                yield from _linked_pairs(g[some], f[near[some].argmax(1)])
+
+    links = marked.where(F.col("apart") <= bits).select(F.col("f").alias("u"), "v").unionByName(pair.mapInArrow(compare, "u long, v long"))
+    return links, marked.where(F.col("apart") > bits).select("bucket", "f", "fp")
 
-    return met.mapInArrow(run, "bucket long, f long, fp binary, v long, near boolean")
+
+def _split(rows: DataFrame, bits: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(bucket, f, fp) of rows (bucket, f, fp, anchors, n), and links: tries of n > SPLIT_HOT rows become smaller ones.
+
+    Of a large trie first the copies of one text leave, see _star(), a few times. The rest
+    goes to one trie for each further anchor of a row: texts of Jaccard j lack a second
+    anchor in common with a chance of (1 - j) ** (ANCHORS - 1). What is still large is
+    parted by masks of bits, see _masked().
+    """
+    links: list[DataFrame] = []
+    out = rows.where(F.col("n") <= SPLIT_HOT).select("bucket", "f", "fp")
+
+    def thinned(large: DataFrame | None) -> DataFrame | None:
+        nonlocal out
+        for _ in range(STARS):
+            if large is None:
+                break
+            found, rest = _star(large.select("bucket", "f", "fp"), bits)
+            links.append(found)
+            fine, large = _sized(rest)
+            out = out.unionByName(fine.select("bucket", "f", "fp"))
+        return large
+
+    anchors = rows.where(F.col("n") > SPLIT_HOT).select("f", "anchors").dropDuplicates(["f"])
+    large = thinned(rows.where(F.col("n") > SPLIT_HOT))
+    if large is not None:
+        other = F.explode(F.filter("anchors", lambda a: a != F.col("bucket"))).alias("other")
+        fine, large = _sized(large.join(anchors, "f").select("bucket", "f", "fp", other).select(F.xxhash64("bucket", "other").alias("bucket"), "f", "fp"))
+        out = out.unionByName(fine.select("bucket", "f", "fp"))
+        large = thinned(large)
+    for turn in range(TURNS):
+        if large is None:
+            break
+        fine, large = _sized(_masked(large.select("bucket", "f", "fp", "n"), bits, turn))
+        out = out.unionByName(fine.select("bucket", "f", "fp"))
+        large = thinned(large)
+    return (out if large is None else out.unionByName(large.select("bucket", "f", "fp"))), links
 
 
 def budget(least: float = LEAST) -> int:
@@ -361,7 +454,7 @@ def wide_links(marked: DataFrame, least: float = LEAST) -> DataFrame:
     keys = cut(marked.select("f", F.explode("anchors").alias("bucket")).distinct(), narrow=True)
     met = cut(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), narrow=True)
     rows = cut(join_splittable(keys, met, "bucket", "inner"), narrow=True)
-    fps = marked.select("f", "fp").join(rows.select("f").distinct(), "f", "left_semi").dropDuplicates(["f"])
+    fps = marked.select("f", "fp", "anchors").join(rows.select("f").distinct(), "f", "left_semi").dropDuplicates(["f"])
     rows = rows.join(fps, "f")
     stars: list[DataFrame] = []
     if not met.where(F.col("n") > SPLIT_HOT).isEmpty():

@@ -276,3 +276,67 @@ def test_large_groups_of_near_copies_link_by_stars(spark, monkeypatch):
         a, b = sorted((find(u), find(v)))
         root[b] = a
     assert [find(i) for i in range(80)] == [0] * 40 + [40] * 30 + list(range(70, 80))
+
+
+def apart(rng, fp, bits):
+    """fp with so many bits turned."""
+    return fp ^ sum(1 << b for b in rng.sample(range(1024), bits))
+
+
+def test_masks_cover_the_budget_at_each_size():
+    """Of pairs at the budget as many meet in a trie of a thousand rows as in one of three hundred thousand."""
+    rng = random.Random(41)
+    for differ, least in ((180, 0.99), (210, 0.98), (simhash.budget(), 0.97)):
+        first = [rng.getrandbits(1024) for _ in range(600)]
+        rows = [x.to_bytes(128, "big") for f in first for x in (f, apart(rng, f, differ))]
+        fp = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 128)
+        for n in (1_001, 10_000, 300_000, 30_000_000):
+            width = simhash.mask_width(n)
+            meet, most = np.zeros(600, bool), 0
+            for code in simhash.mask_codes(fp, width, simhash.covering(simhash.budget(), width)):
+                meet |= code[::2] == code[1::2]
+                most = max(most, np.bincount(code).max())
+            assert meet.mean() >= least, (differ, n, meet.mean())
+        assert n * 2**-width < 8 * simhash.SPLIT_HOT
+
+
+def test_links_of_a_hot_trie_are_those_of_brute_force(spark, monkeypatch):
+    """Chains whose ends are far apart, pairs near the budget, a dense group with rows at its edge, all in one trie."""
+    monkeypatch.setattr(simhash, "SPLIT_HOT", 15)
+    monkeypatch.setattr(simhash, "PACKED", 7)
+    rng = random.Random(43)
+    fps = [rng.getrandbits(1024) for _ in range(120)]
+    for k in range(20):
+        fps.append(apart(rng, fps[k], 215))
+    for k in range(20, 26):
+        end = fps[k]
+        for _ in range(8):
+            end = apart(rng, end, 110)
+            fps.append(end)
+    dense = [apart(rng, fps[30], 60) for _ in range(80)]
+    fps += dense + [apart(rng, x, 205) for x in dense[:15]]
+    order = rng.sample(range(len(fps)), len(fps))
+    fps = [fps[k] for k in order]
+    words = np.array([np.frombuffer(x.to_bytes(128, "big"), np.uint64) for x in fps])
+    near = np.array([np.bitwise_count(words ^ w).sum(1) for w in words]) <= simhash.budget()
+
+    def roots(links):
+        root = list(range(len(fps)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for u, v in links:
+            a, b = sorted((find(u), find(v)))
+            root[b] = a
+        return [find(i) for i in range(len(fps))]
+
+    marked = spark.createDataFrame([(i, x.to_bytes(128, "big"), [1, 2]) for i, x in enumerate(fps)], "f long, fp binary, anchors array<long>").repartition(3)
+    links = {(r.u, r.v) for r in simhash.wide_links(marked).collect()}
+    assert all(near[u, v] for u, v in links)
+    want = roots(zip(*np.nonzero(near)))
+    found = roots(links)
+    assert sum(found[i] == found[j] for i, j in zip(*np.nonzero(near))) >= 0.99 * near.sum()
+    assert sum(a == b for a, b in zip(want, found)) >= len(fps) - 2
