@@ -34,8 +34,8 @@ STEM, LEAST_DOCS, LEAST_SHARE, MOST_CLEAN, RATIO = (4, 12), 3, 0.004, 0.002, 20.
 EDITS = ((5, 1), (10, 2))
 #: Words on either side that make the context; entries of the memo of words; states of the automaton.
 CONTEXT, MEMO, STATES = 6, 200_000, 20_000
-#: Characters without white space from which these are not one word.
-LONG = 1000
+#: Words that a quotation has at most between its marks.
+SAID = 60
 #: Files of the labelled sample.
 FILES = 8
 #: Share of hold-outs and score from which a document is toxic.
@@ -45,7 +45,9 @@ SEED = ("idiot", "moron", "scum", "worthless", "pathetic", "disgusting", "stupid
 #: Signs of quotation or reporting, and of address.
 QUOTING = frozenset("said says quoted quote called wrote writes word term phrase alleged reported comment sagte schrieb zitat wort dijo escribió cita palabra dit écrit citation mot".split())
 ADDRESSING = frozenset("you your you're youre yourself u du dich dein ihr euch tú tu te vosotros usted vous toi votre".split())
-_MARKS = "\"'“”„«»‘’`"
+#: Marks that open a quotation, with those that close it; the first three do wherever they stand.
+_CLOSERS = {"“": "”“", "„": "“”", "«": "»", "»": "«", "‘": "’", '"': '"', "'": "'", "`": "`'"}
+_PARTS = re.compile(r"[^\W_]+|[\"'“”„«»‘’`]")
 _LETTERS = re.compile(r"[^\W_]+")
 
 
@@ -143,46 +145,76 @@ class Automaton:
 
 
 class _Words(dict):
-    """What each word of a text, as split at white space, is to the lexicon: None or (weight, edits, quoted)."""
+    """What each piece of a text, as split at white space, is to the lexicon: its number of words, and its hits as (word, weight, edits)."""
 
     def __init__(self, automaton: Automaton):
         super().__init__()
         self.automaton = automaton
 
-    def __missing__(self, word: str):
+    def __missing__(self, piece: str):
         if len(self) >= MEMO:
             self.clear()
-        best = None
-        for part in _LETTERS.findall(word.lower()):
-            found = self.automaton.find(part)
-            if found and (best is None or found[0] < best[1]):
-                best = (found[1].weight, found[0], word[0] in _MARKS and word.rstrip(".,;:!?")[-1:] in _MARKS)
-        if len(word) <= 40:
-            self[word] = best
-        return best
+        parts = _LETTERS.findall(piece.lower())
+        found = [(k, self.automaton.find(part)) for k, part in enumerate(parts)]
+        out = (len(parts), tuple((k, hit[1].weight, hit[0]) for k, hit in found if hit))
+        if len(piece) <= 40:
+            self[piece] = out
+        return out
+
+
+def spoken(text: str) -> tuple[list[str], list[bool]]:
+    """The words of a text (runs of letters and digits, lower case), and whether each is within a quotation.
+
+    A quotation goes from a mark that opens to the next that closes that kind, SAID words
+    on at most. Straight marks and apostrophes open before a word and not within one.
+    """
+    words: list[str] = []
+    spans, opened = [], None
+    for piece in text.lower().split():
+        for m in _PARTS.finditer(piece):
+            c = m.group()
+            if c not in _CLOSERS and c not in "”’":
+                words.append(c)
+                continue
+            before, after = piece[m.start() - 1 : m.start()].isalnum(), piece[m.end() : m.end() + 1].isalnum()
+            if opened and c in _CLOSERS[opened[0]] and not (c in "'’`" and before and after):
+                if len(words) - opened[1] <= SAID:
+                    spans.append((opened[1], len(words)))
+                opened = None
+            elif c in "“„«" or c in _CLOSERS and after and not before:
+                if opened is None or len(words) - opened[1] > SAID or c in "“„«":
+                    opened = (c, len(words))
+    within = [False] * len(words)
+    for a, b in spans:
+        within[a:b] = [True] * (b - a)
+    return words, within
 
 
 def measure(words: _Words, text: str) -> list[float]:
     """Sums over a text's hits: exact and near ones as abuse, all as quotation, and their share of the words.
 
-    Words are split at white space, a run of LONG characters without any at all but letters and digits.
+    A hit counts less within a quotation, and the less the more words of reporting are near;
+    it counts more beside words of address, of which a quotation's own are no address of
+    the reader and do not count for what is outside, nor those outside for it.
     """
-    parts = [p for w in text.split() for p in ([w] if len(w) < LONG else _LETTERS.findall(w))]
-    found = [words[w] for w in parts]
+    found, n = [], 0
+    for piece in text.split():
+        size, hits = words[piece]
+        found += [(n + k, weight, edits) for k, weight, edits in hits]
+        n += size
     exact = near = quoted = 0.0
-    for k, hit in enumerate(found):
-        if hit is None:
-            continue
-        weight, edits, marked = hit
-        around = [w.strip(_MARKS + ".,;:!?").lower() for w in parts[max(0, k - CONTEXT) : k + CONTEXT + 1]]
-        report = marked + sum(w in QUOTING for w in around)
-        share = (1 + sum(w in ADDRESSING for w in around)) / (1 + sum(w in ADDRESSING for w in around) + 2 * report)
+    said, within = spoken(text) if found else ([], [])
+    for k, weight, edits in found:
+        around = range(max(0, k - CONTEXT), min(n, k + CONTEXT + 1))
+        report = within[k] + sum(said[j] in QUOTING for j in around)
+        address = 1 + (0 if within[k] else sum(said[j] in ADDRESSING and not within[j] for j in around))
+        share = address / (address + 2 * report)
         if edits:
             near += weight * share
         else:
             exact += weight * share
         quoted += weight * (1 - share)
-    return [float(np.log1p(exact)), float(np.log1p(near)), float(np.log1p(quoted)), (exact + near) / max(1, len(parts)) ** 0.5]
+    return [float(np.log1p(exact)), float(np.log1p(near)), float(np.log1p(quoted)), (exact + near) / max(1, n) ** 0.5]
 
 
 def _terms_of(text: str) -> set[tuple[str, bool]]:
@@ -315,12 +347,19 @@ def _scorer(model: Model):
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for each row; null and empty texts get the score of no hits, repeated rows stay."""
+    """(id, score) for each row; null and empty texts get the score of no hits, repeated rows stay.
+
+    Texts of any length are read whole, in time linear in it; an empty table gives no rows, other columns play no part.
+    """
     return text_pass(docs, _scorer(model), "score double", text_col, [id_col], binary=False)
 
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text", least: float = TOXIC) -> DataFrame:
-    """The rows of docs, all columns, whose score is below `least`."""
+    """The rows of docs, all columns, whose score is below `least`.
+
+    Null and empty texts have no hits and stay, equal texts stay or go together, texts of
+    any length are read whole, an empty table stays empty.
+    """
     scorer = _scorer(model)
 
     def make():

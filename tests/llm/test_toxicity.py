@@ -62,26 +62,56 @@ def test_long_words_and_other_scripts_are_read():
 
 
 def slow_measure(terms, text):
-    """Sums of measure() by the plain distance of each word to each term."""
+    """Sums of measure() by the plain distance of each word to each term, where a quotation is a word in marks."""
     parts, sums = text.split(), [0.0, 0.0, 0.0]
-    for k, w in enumerate(parts):
+    plain = [w.strip('"(),!').lower() for w in parts]
+    marked = [w[0] == '"' for w in parts]
+    for k, w in enumerate(plain):
         best = None
-        for run in X._LETTERS.findall(w.lower()):
-            for t in terms:
-                d = min(distance(run[:n], t.text) for n in (range(len(run) + 1) if t.stem else [len(run)]))
-                if d <= X.Automaton.edits(t) and (best is None or d < best[0]):
-                    best = (d, t)
+        for t in terms:
+            d = min(distance(w[:n], t.text) for n in (range(len(w) + 1) if t.stem else [len(w)]))
+            if d <= X.Automaton.edits(t) and (best is None or d < best[0]):
+                best = (d, t)
         if best is None:
             continue
-        around = [v.strip(X._MARKS + ".,;:!?").lower() for v in parts[max(0, k - X.CONTEXT) : k + X.CONTEXT + 1]]
-        marked = w[0] in X._MARKS and w.rstrip(".,;:!?")[-1:] in X._MARKS
-        to, report = sum(v in X.ADDRESSING for v in around), marked + sum(v in X.QUOTING for v in around)
+        around = range(max(0, k - X.CONTEXT), min(len(parts), k + X.CONTEXT + 1))
+        to = 0 if marked[k] else sum(plain[j] in X.ADDRESSING and not marked[j] for j in around)
+        report = marked[k] + sum(plain[j] in X.QUOTING for j in around)
         share = (1 + to) / (1 + to + 2 * report)
         sums[1 if best[0] else 0] += best[1].weight * share
         sums[2] += best[1].weight * (1 - share)
     return [*np.log1p(sums), (sums[0] + sums[1]) / max(1, len(parts)) ** 0.5]
 
 
+def test_quotations_are_told_from_abuse_in_four_languages():
+    words = X._Words(X.Automaton([X.Term(t, False, 0.9) for t in ("idiot", "idiota", "scum")]))
+    pairs = [
+        ("you are a total idiot and everyone knows", '"you are a total idiot and everyone knows" was in the film'),
+        ("you are a total idiot and everyone knows", "“you are a total idiot and everyone knows” was in the film"),
+        ("du bist ein idiot", "„du bist ein idiot“ stand an der Wand"),
+        ("tu es un idiot fini", "« tu es un idiot fini » sur le mur"),
+        ("eres un idiota total", "«eres un idiota total» en la pared"),
+        ("you're an idiot", "'you're an idiot' on the wall"),
+    ]
+    for abuse, quoted in pairs:
+        a, q = X.measure(words, abuse), X.measure(words, quoted)
+        assert q[0] <= 0.62 * a[0] and q[2] > a[2], quoted
+    # Outside the marks, after marks that never close, and with an apostrophe it is abuse as before.
+    full = X.measure(words, "you are an idiot")[0]
+    for text in ('"fine" you are an idiot', "you're an idiot, don't deny", '5" you are an idiot', '"' + "so " * 100 + "you are an idiot"):
+        assert X.measure(words, text)[0] >= 0.99 * full, text
+    assert X.spoken('He said "a b" c') == (["he", "said", "a", "b", "c"], [False, False, True, True, False])
+
+
+def test_no_length_changes_how_words_are_read():
+    words = X._Words(X.Automaton([X.Term("idiot", False, 0.64)]))
+    sums = [np.expm1(X.measure(words, "idiot," * k)[0]) for k in range(1, 400)]
+    assert np.allclose(sums, 0.64 * np.arange(1, 400))
+    for n in (10, 39, 41, 998, 1002, 5000):
+        piece = ("word," * n)[: n - 6] + "idiot,"
+        assert np.isclose(X.measure(words, piece)[0], X.measure(words, piece.replace(",", " "))[0])
+
+
 def test_measure_matches_brute_force():
     rng = random.Random(14)
     terms = [X.Term(t, stem, 0.9) for t, stem in (("zwipot", False), ("grabbul", True), ("trolmaggers", False), ("moktar", True))]
