@@ -112,12 +112,28 @@ def store_commits(spark, d):
         some = orders.where(F.col("o_orderstatus") != left_out).select(F.col("o_orderkey").alias("sku"), (F.col("o_totalprice") + (k - 1)).alias("record_value"))
         own = sums.join(some.select("sku"), "sku").withColumn("quantity", F.col("quantity") * k)
         store.save(path, some, own, some.select("sku", F.lit("SAVE").alias("action")))
-    orders.select(F.col("o_orderkey").alias("sku"), F.lit(-1.0).alias("record_value")).write.parquet(f"{path}/records/version=3")
+    orders.select(F.col("o_orderkey").alias("sku"), F.lit(-1.0).alias("record_value")).write.parquet(f"{path}/records/part-never-listed")
     rows = store.load(spark, path, "attributes").join(store.load(spark, path, "records").drop("version"), "sku")
     events = store.load(spark, path, "audit").agg(F.count("*").alias("audit_events"))
     return rows.crossJoin(F.broadcast(events)).select("sku", "attribute", "record_value", "quantity", "version", "audit_events")
 
 
+@query("""
+WITH c AS (SELECT o_orderkey AS sku, k AS version, o_totalprice + k AS value, k = 4 AS gone FROM orders, range(1, 6) r(k) WHERE CASE WHEN k = 4 THEN o_orderkey % 7 = 0 ELSE o_orderkey % 5 = k - 1 OR o_orderkey % 3 = k % 3 END)
+SELECT s.version AS snapshot, sku, max(c.version) AS version, arg_max(value, c.version) AS value FROM c JOIN (VALUES (2), (3), (5)) s(version) ON c.version <= s.version GROUP BY ALL HAVING NOT arg_max(gone, c.version)
+""")
+def store_snapshots(spark, d):
+    """Five commits, one of which removes keys, with a checkpoint after the third: the table as of three versions."""
+    path, key = scratch_dir(spark), F.col("o_orderkey")
+    for k in range(1, 6):
+        own = key % 7 == 0 if k == 4 else (key % 5 == k - 1) | (key % 3 == k % 3)
+        rows = t(spark, d, "orders").where(own).select(key.alias("sku"), (F.col("o_totalprice") + k).alias("value"), F.lit(k == 4).alias(store.REMOVED))
+        if store.commit(path, {"records": rows}, store.KEYS) == 3:
+            store.compact(spark, path)
+    seen = [store.load(spark, path, "records", v).select(F.lit(v).alias("snapshot"), "sku", "version", "value") for v in (2, 3, 5)]
+    return seen[0].unionByName(seen[1]).unionByName(seen[2])
+
+
 @query("WITH q AS (SELECT DISTINCT w FROM (SELECT left(text, strpos(text, ' ') - 1) AS w FROM benchmark UNION ALL SELECT array_to_string(string_split(text, ' ')[2:3], ' ') FROM benchmark)) SELECT w AS quote_id, conv_id || '/' || turn AS doc_id, strpos(text, w) - 1 AS start FROM q JOIN conversations ON strpos(text, w) > 0 WHERE w <> ''")
 def short_quotes(spark, d):
     """Documents that have a quote of one or two words, as parts of words too."""

@@ -63,6 +63,34 @@ def quote_search_loose(spark, d):
     return gate.quotes_in_documents(_quotes(spark, d).withColumn("quote", loud), t(spark, d, "documents"))
 
 
+@query(r"""
+WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+l AS (SELECT doc_id, line, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY line) - length(t) - 1 AS s, length(t) + 1 AS n FROM p)
+SELECT item_id AS quote_id, d.doc_id, line::INT AS line FROM documents d JOIN benchmark b ON strpos(d.text, b.text) > 0 JOIN l ON l.doc_id = d.doc_id AND strpos(d.text, b.text) - 1 < s + n AND s < strpos(d.text, b.text) - 1 + length(b.text)
+""")
+def quote_lines(spark, d):
+    """The lines of a document that a quote found in it touches: spans that meet spans, both as rows."""
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    found = gate.quotes_in_documents(_quotes(spark, d), docs, with_text=True).select("doc_id", "quote_id", F.col("start").alias("s"), (F.col("start") + F.length("quote")).alias("e"))
+    lines = corpus.page_spans(docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "line")).select("doc_id", (F.col("page") + 1).alias("page"), F.concat("line", F.lit("\n")).alias("text")))
+    met = joins.meeting(found, lines.select("doc_id", "page", F.col("char_start").alias("s"), F.col("char_end").alias("e")), ["doc_id"])
+    return met.select("left.quote_id", "doc_id", F.col("right.page").cast("int").alias("line"))
+
+
+@query("""
+WITH i AS (SELECT l_suppkey AS k, l_orderkey, l_linenumber, l_quantity, date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS s FROM lineitem)
+SELECT a.k AS l_suppkey, count(*) AS pairs, sum(b.l_linenumber)::BIGINT AS lines, max(least(a.s + a.l_quantity, b.s + b.l_quantity) - greatest(a.s, b.s))::BIGINT AS longest
+FROM i a JOIN i b ON a.k = b.k AND a.l_quantity >= 48 AND b.l_quantity <= 3 AND a.s < b.s + b.l_quantity AND b.s < a.s + a.l_quantity GROUP BY a.k
+""")
+def meeting_shipments(spark, d):
+    """Small shipments under way, a day for each piece, while a large one of their supplier is."""
+    day = F.datediff("l_shipdate", F.lit("1970-01-01"))
+    rows = t(spark, d, "lineitem").select("l_suppkey", "l_linenumber", "l_quantity", day.alias("s"), (day + F.col("l_quantity").cast("int")).alias("e"))
+    met = joins.meeting(rows.where("l_quantity >= 48"), rows.where("l_quantity <= 3"), ["l_suppkey"], bin=32)
+    both = F.least("left.e", "right.e") - F.greatest("left.s", "right.s")
+    return met.groupBy("l_suppkey").agg(F.count("*").alias("pairs"), F.sum("right.l_linenumber").alias("lines"), F.max(both).cast("long").alias("longest"))
+
+
 @query("""
 WITH w AS (SELECT DISTINCT lower(max_by(u.w, (length(u.w), u.w))) AS word FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark) u GROUP BY item_id)
 SELECT doc_id, word, strpos(lower(text), word) - 1 AS first_start, (length(text) - length(replace(lower(text), word, ''))) // length(word) AS n
@@ -441,6 +469,20 @@ def ledger_stream(spark, d):
     return stream.current(spark, f"{root}/state")
 
 
+@query(_FOLD)
+def ledger_state(spark, d):
+    """The same fold as the state of a stream, read back from its checkpoint after two runs."""
+    from provenia.streaming import ledger as stream
+    from provenia.streaming import reviews
+
+    root = scratch_dir(spark)
+    log = _log(spark, d).repartition(4, "id")
+    for part in (0, 1):
+        log.where(F.col("id") % 2 == part).write.mode("append").parquet(f"{root}/events")
+        reviews.keep_latest(stream.read_events(spark, f"{root}/events", files_per_batch=4, lateness="3650 days"), f"{root}/checkpoint", quiet_days=36_500).awaitTermination()
+    return reviews.kept(spark, f"{root}/checkpoint")
+
+
 @query("SELECT user_id::VARCHAR AS sku, event_id AS id, rn AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn <= 20")
 def audit_trail(spark, d):
     """The newest twenty events of each part."""

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from provenia.operators import ledger
 from provenia.streaming import ledger as stream
+from provenia.streaming import reviews
 
 LOG = "id long, ts timestamp, sku string, attribute string, action string, actor string, detail string"
 
@@ -63,3 +64,23 @@ def test_windows_close_behind_the_watermark(spark, tmp_path):
     q = counts.writeStream.outputMode("append").format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("windows").count() >= 1
+
+
+def test_state_gives_the_fold_and_goes_on_after_a_restart(spark, tmp_path):
+    events, checkpoint = str(tmp_path / "events"), str(tmp_path / "cp")
+    source = lambda: stream.read_events(spark, events, files_per_batch=1, lateness="1 day")
+    log(spark, *ROWS[:3]).coalesce(1).write.parquet(events)
+    reviews.keep_latest(source(), checkpoint).awaitTermination()
+    log(spark, *ROWS[3:], ROWS[0], (9, 0, "S", "REJECT", "")).coalesce(1).write.mode("append").parquet(events)
+    reviews.keep_latest(source(), checkpoint).awaitTermination()
+    key = lambda df: sorted(map(str, df.select("sku", "attribute", "decision", "corrected").collect()))
+    assert key(reviews.kept(spark, checkpoint)) == key(ledger.latest_reviews(log(spark, *ROWS)))
+
+
+def test_state_forgets_quiet_keys(spark, tmp_path):
+    events, checkpoint = str(tmp_path / "events"), str(tmp_path / "cp")
+    at = lambda df, days: df.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {days} DAYS"))
+    for days, row in ((0, (1, 1, "S", "ACCEPT", "")), (5, (2, 1, "T", "REJECT", "")), (40, (3, 1, "U", "ACCEPT", "")), (41, (4, 1, "U", "REJECT", ""))):
+        at(log(spark, row), days).coalesce(1).write.mode("append").parquet(events)
+        reviews.keep_latest(stream.read_events(spark, events, lateness="1 hour"), checkpoint, quiet_days=20).awaitTermination()
+    assert {r.sku: r.decision for r in reviews.kept(spark, checkpoint).collect()} == {"U": "REJECT"}

@@ -20,7 +20,7 @@ def test_commits_are_seen_whole_or_not_at_all(spark, tmp_path):
     assert store.commits(spark, path).count() == 0
     assert store.save(path, rec(("a", "x"), ("b", "y")), att(("a", "p", 1), ("b", "p", 2)), log(1)) == 1
     assert store.save(path, rec(("a", "z")), att(("a", "p", 3), ("a", "q", 4)), log(2)) == 2
-    rec(("b", "lost")).write.parquet(f"{path}/records/version=3")  # a writer that was lost
+    rec(("b", "lost")).write.parquet(f"{path}/records/part-of-a-writer-that-was-lost")
     assert sorted(map(tuple, store.load(spark, path, "records").select("sku", "name").collect())) == [("a", "z"), ("b", "y")]
     assert sorted(map(tuple, store.load(spark, path, "attributes").select("sku", "attribute", "v").collect())) == [("a", "p", 3), ("a", "q", 4), ("b", "p", 2)]
     assert store.save(path, rec(("c", "w")), att(("c", "p", 5)), log(3)) == 3
@@ -28,6 +28,69 @@ def test_commits_are_seen_whole_or_not_at_all(spark, tmp_path):
     assert sorted(r.event for r in store.load(spark, path, "audit").collect()) == ["e1", "e2", "e3"]
 
 
+def _rows(spark, *rows):
+    return spark.createDataFrame(list(rows), "sku string, v int")
+
+
+def _read(spark, path, version=None):
+    return sorted((r.sku, r.v, r.version) for r in store.load(spark, path, "t", version).collect())
+
+
+def test_writers_at_once_lose_nothing(spark, tmp_path, monkeypatch):
+    path, keys = str(tmp_path / "store"), {"t": ["sku"]}
+    assert store.commit(path, {"t": _rows(spark, ("a", 1), ("b", 1))}, keys) == 1
+    listed, late = store._listed, []
+
+    def stale(s, p):
+        """What a writer sees that looks just before another one's commit is there."""
+        out = listed(s, p)
+        if not late:
+            late.append(store.commit(path, {"t": _rows(spark, ("b", 2))}, keys) if late.append(0) is None else None)
+        return out
+
+    monkeypatch.setattr(store, "_listed", stale)
+    assert store.commit(path, {"t": _rows(spark, ("a", 3))}, keys, base=1) == 3  # its entry was taken, its keys were not
+    monkeypatch.setattr(store, "_listed", listed)
+    assert late == [0, 2] and _read(spark, path) == [("a", 3, 3), ("b", 2, 2)]
+    with pytest.raises(store.Conflict):
+        store.commit(path, {"t": _rows(spark, ("b", 9), ("c", 9))}, keys, base=1)
+    assert _read(spark, path) == [("a", 3, 3), ("b", 2, 2)] and store.commits(spark, path).count() == 3
+    assert store.commit(path, {"t": _rows(spark, ("b", 9))}, keys, base=2) == 4 and store.commit(path, {"t": _rows(spark, ("b", 10))}, keys) == 5
+    assert not store._publish(spark, f"{path}/_log/{5:012d}.json", {}) and _read(spark, path, 5) == [("a", 3, 3), ("b", 10, 5)]
+
+
+def test_threads_commit_side_by_side(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "store")
+    frames = [_rows(spark, (f"k{k}", k)) for k in range(6)]
+    with ThreadPoolExecutor(3) as pool:
+        versions = sorted(pool.map(lambda f: store.commit(path, {"t": f}, {"t": ["sku"]}), frames))
+    assert versions == [1, 2, 3, 4, 5, 6] and [r[:2] for r in _read(spark, path)] == [(f"k{k}", k) for k in range(6)]
+
+
+def test_checkpoints_bound_what_a_read_opens(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "EVERY", 3)
+    path, keys, now = str(tmp_path / "store"), {"t": ["sku"], "log": []}, {}
+    versions = {}
+    for k in range(1, 9):
+        rows = _rows(spark, (f"k{k % 4}", k)).withColumn(store.REMOVED, F.lit(k == 6))
+        now[f"k{k % 4}"] = (k, k)
+        if k == 6:
+            del now["k2"]
+        store.commit(path, {"t": rows, "log": _rows(spark, ("e", k))}, keys)
+        versions[k] = sorted((s, *v) for s, v in now.items())
+    for k, want in versions.items():
+        assert _read(spark, path, k) == want
+        assert store.load(spark, path, "log", k).count() == k
+    folders = {f.rsplit("/", 2)[1] for f in store.load(spark, path, "t").inputFiles()}
+    assert len(folders) <= 3 and any(f.startswith("merged") for f in folders)
+    with pytest.raises(ValueError, match="no version 99"):
+        store.load(spark, path, "t", 99)
+    with pytest.raises(ValueError, match="no table"):
+        store.load(spark, path, "other")
+
+
 def slow_arbitrate(claims):
     """The winner of claims (key, doc, vkey, prec, weight, ord) by plain loops."""
     import math
