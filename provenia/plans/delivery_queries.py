@@ -134,9 +134,14 @@ def store_snapshots(spark, d):
     return seen[0].unionByName(seen[1]).unionByName(seen[2])
 
 
-@query("WITH q AS (SELECT DISTINCT w FROM (SELECT left(text, strpos(text, ' ') - 1) AS w FROM benchmark UNION ALL SELECT array_to_string(string_split(text, ' ')[2:3], ' ') FROM benchmark)) SELECT w AS quote_id, conv_id || '/' || turn AS doc_id, strpos(text, w) - 1 AS start FROM q JOIN conversations ON strpos(text, w) > 0 WHERE w <> ''")
+@query(r"""
+WITH q AS (SELECT DISTINCT w FROM (SELECT left(text, strpos(text, ' ') - 1) AS w FROM benchmark UNION ALL SELECT array_to_string(string_split(text, ' ')[2:3], ' ') FROM benchmark) WHERE w <> ''),
+d AS (SELECT conv_id || '/' || turn AS doc_id, text, lower(regexp_replace(text, '\s+', ' ', 'g')) AS folded FROM conversations)
+SELECT w AS quote_id, doc_id, CASE WHEN strpos(text, w) > 0 THEN strpos(text, w) - 1 ELSE length(regexp_extract(text, '(?is)^(.*?)' || replace(regexp_escape(w), '\ ', '\s+'), 1)) END AS start
+FROM q JOIN d ON strpos(folded, lower(w)) > 0
+""")
 def short_quotes(spark, d):
-    """Documents that have a quote of one or two words, as parts of words too."""
+    """Documents that have a quote of one or two words, as parts of words too, in any case."""
     words = F.split("text", " ")
     quotes = t(spark, d, "benchmark").select(F.explode(F.array(words[0], F.array_join(F.slice(words, 2, 2), " "))).alias("quote")).where("quote <> ''").distinct()
     docs = t(spark, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("doc_id"), "text")

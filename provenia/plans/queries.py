@@ -43,7 +43,12 @@ def _quotes(spark, d):
     return t(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
 
 
-@query("SELECT item_id AS quote_id, doc_id, strpos(d.text, b.text) - 1 AS start FROM documents d JOIN benchmark b ON strpos(d.text, b.text) > 0")
+@query(r"""
+WITH q AS (SELECT item_id, text, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS folded FROM benchmark), d AS (SELECT doc_id, text, lower(regexp_replace(text, '\s+', ' ', 'g')) AS folded FROM documents)
+SELECT item_id AS quote_id, doc_id, CASE WHEN strpos(d.text, q.text) > 0 THEN strpos(d.text, q.text) - 1
+  ELSE length(regexp_extract(d.text, '(?is)^(.*?)' || array_to_string(list_transform(string_split(q.folded, ' '), lambda w: regexp_escape(w)), '\s+'), 1)) END AS start
+FROM d JOIN q ON strpos(d.folded, q.folded) > 0
+""")
 def quote_search(spark, d):
     """Documents that have a quote, all quotes sought at once."""
     return gate.quotes_in_documents(_quotes(spark, d), t(spark, d, "documents"))
