@@ -18,17 +18,19 @@ class Enriched(NamedTuple):
     notes: DataFrame
 
 
-def work_rows(skus: DataFrame, manifest: DataFrame, docs: DataFrame) -> DataFrame:
+def work_rows(skus: DataFrame, manifest: DataFrame, docs: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """A row for each (sku, covering document) with all that generators need.
 
     skus: sku, mpn, brand, product_class. manifest: doc_id, doc_pos, publisher, authority,
     covers. docs: doc_id, text, pages. Known parts are attached per document: only those
     its text names, so no list grows with the catalog. Each text is read once for all
     aliases of all classes and for its series headers. A product class that is not known
-    raises an error when the rows are read.
+    raises an error when the rows are read. parts are all known parts, if those of skus and
+    manifest are not all.
     """
+    parts = corpus.known_parts(skus, manifest) if parts is None else parts
     tokens = docs.select("doc_id", F.explode(generators.part_tokens(F.col("text"))).alias("part"))
-    known = tokens.join(corpus.known_parts(skus, manifest), "part").groupBy("doc_id").agg(F.collect_set("part").alias("known"))
+    known = tokens.join(parts, "part").groupBy("doc_id").agg(F.collect_set("part").alias("known"))
     specs = attribute_specs(skus.sparkSession)
     row = F.struct(*[c for c in specs.columns if c != "class_key"])
     by_class = specs.groupBy("class_key").agg(F.array_sort(F.collect_list(row)).alias("specs"))
@@ -52,14 +54,19 @@ def enrich(skus: DataFrame, manifest: DataFrame, docs: DataFrame, responses: Dat
     if path:
         found.write.mode("overwrite").parquet(path)
         found = skus.sparkSession.read.schema(found.schema).parquet(path)
+    weighed, decided = decide(found, skus, model)
+    return Enriched(weighed, decided, notes(skus, manifest, decided, weighed))
+
+
+def decide(found: DataFrame, skus: DataFrame, model: confidence.Model) -> tuple[DataFrame, DataFrame]:
+    """Candidates with the authority that their document has for the part's brand, and the decided attributes."""
     brand = skus.select("sku", "brand")
     weighed = arbitrate.brand_authority(found.join(brand, "sku")).drop("brand")
     resolved = arbitrate.resolve(weighed)
     class_of = skus.select("sku", F.col("product_class").alias("class_key"))
     specs = attribute_specs(skus.sparkSession).select("class_key", "attribute", "label", "safety")
     checked = rules.apply_rules(resolved, class_of).join(class_of, "sku").join(F.broadcast(specs), ["class_key", "attribute"])
-    decided = confidence.score_and_decide(checked, model)
-    return Enriched(weighed, decided, notes(skus, manifest, decided, weighed))
+    return weighed, confidence.score_and_decide(checked, model)
 
 
 def notes(skus: DataFrame, manifest: DataFrame, decided: DataFrame, found: DataFrame) -> DataFrame:
