@@ -10,8 +10,8 @@ from provenia.operators.generators import live
 from provenia.sources.corpus import brand_matches
 from provenia.sources.reference import AUTHORITY_TIERS, OTHER_TIER_WEIGHT, TIER_WEIGHTS
 
-#: Rival values that a result shows.
-RIVALS_SHOWN = 4
+#: Rival values that a result shows; parts in which a key's values are ranked.
+RIVALS_SHOWN, PARTS = 4, 8
 
 
 def authority_tier(authority: Column) -> Column:
@@ -38,33 +38,38 @@ def arbitrate(claims: DataFrame, keys: list[str]) -> DataFrame:
     claims and the authority of the first. Second: per value the sum of precision times
     authority times 1 + log2(n + 1) / 2, so repetition counts but little. The greatest sum
     wins, the smaller value on a tie. It conflicts if a rival has a document it has not.
-    Keys must not be null. No group of claims, documents or values is gathered anywhere.
+    Keys must not be null. The claims are read once; no list of a key's claims, documents or
+    values is gathered anywhere, but the few that are shown.
     """
     row = F.struct(*[c for c in claims.columns if c not in (*keys, "vkey")])
     order = F.struct((-F.col("prec")).alias("p"), F.col("ord"))
     cells = claims.groupBy(*keys, "doc", "vkey").agg(F.max("prec").alias("prec"), F.count("*").alias("n"), F.min_by("weight", "ord").alias("weight"), F.min_by(row, order).alias("rep"))
+    # Each document is counted for the first of its values, so that a key's documents can be summed up.
+    first = F.row_number().over(Window.partitionBy(*keys, "doc").orderBy("vkey")) == 1
     # Rounded, so that sums in another order rank alike.
     score = F.round(F.sum(F.col("prec") * F.col("weight") * (1 + 0.5 * F.log2(F.col("n") + 1))), 9)
-    clusters = cells.groupBy(*keys, "vkey").agg(score.alias("score"), F.count("*").cast("int").alias("docs"), F.sum("n").alias("reps"), F.min_by("rep", F.struct((-F.col("prec")).alias("p"), F.col("rep.ord"))).alias("rep"))
-    # The winner and four rivals of each key are gathered, however many values it has.
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "vkey"))
-    shown = F.struct("rank", "vkey", "score", "docs", "reps", "rep")
-    top = clusters.withColumn("rank", rank).where(F.col("rank") <= 1 + RIVALS_SHOWN).groupBy(*keys).agg(F.array_sort(F.collect_list(shown)).alias("top"))
-    # A rival has a document of its own if one of its documents has no claim of the winner's value.
-    best = clusters.groupBy(*keys).agg(F.min_by("vkey", F.struct((-F.col("score")).alias("s"), "vkey")).alias("best"), (F.count("*") - 1).cast("int").alias("n_rivals"))
-    theirs = cells.join(best.where("n_rivals > 0").select(*keys, "best"), keys)
-    apart = theirs.groupBy(*keys, "doc").agg(F.bool_or(F.col("vkey") == F.col("best")).alias("has")).groupBy(*keys).agg(F.bool_or(~F.col("has")).alias("apart"))
+    clusters = cells.withColumn("first", first).groupBy(*keys, "vkey").agg(
+        score.alias("score"), F.count("*").cast("int").alias("docs"), F.sum("n").alias("reps"), F.count_if("first").alias("own"), F.min_by("rep", F.struct((-F.col("prec")).alias("p"), F.col("rep.ord"))).alias("rep")
+    )
+    # The best few values of each of a key's parts are gathered, and with the first of them what all of the part come to.
+    part = Window.partitionBy(*keys, "part")
+    ranked = clusters.withColumn("part", F.pmod(F.hash("vkey"), F.lit(PARTS))).withColumns(
+        {"at": F.row_number().over(part.orderBy(F.desc("score"), "vkey")), "values": F.count("*").over(part), "all_docs": F.sum("own").over(part)}
+    )
+    shown = F.struct((-F.col("score")).alias("order"), "vkey", "score", "docs", "reps", "rep")
+    sums = [F.sum(F.when(F.col("at") == 1, F.col(c))).alias(c) for c in ("values", "all_docs")]
+    rows = ranked.where(F.col("at") <= 1 + RIVALS_SHOWN).groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(shown)), 1, 1 + RIVALS_SHOWN).alias("top"), *sums)
     win = F.col("top")[0]
-    rows = top.join(best, keys).join(apart, keys, "left")
     return rows.select(
         *keys,
         win["vkey"].alias("vkey"),
         win["score"].alias("score"),
         win["docs"].alias("agreeing_sources"),
         win["reps"].alias("repetitions"),
-        "n_rivals",
+        (F.col("values") - 1).cast("int").alias("n_rivals"),
         F.transform(F.slice("top", 2, RIVALS_SHOWN), lambda x: F.coalesce(F.nullif(x["rep"]["display"], F.lit("")), x["vkey"])).alias("conflict_values"),
-        F.coalesce("apart", F.lit(False)).alias("conflicting"),
+        # A document that has not the winner's value has a rival's.
+        (F.col("all_docs") > win["docs"]).alias("conflicting"),
         win["rep"].alias("won"),
     )
 
