@@ -8,8 +8,9 @@ runs a panel of them, gates every span against the text and tags its section.
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenia.functions.text import collapse, find_all, find_quote, let, quote_regex, slice_text
@@ -279,19 +280,27 @@ def inline_spec(text: Column, mpn: Column, spec: Column, siblings: Column, known
 STRATEGIES = {"table_column": table_column, "range": range_end, "inline_spec": inline_spec}
 
 
-def register(name: str, strategy: Callable[[Column, Column, Column, Column, Column], Column]) -> None:
-    """Add a strategy, which any panel may then name; those registered come after the others, and after the model.
+_OWN: WeakKeyDictionary[SparkSession, dict] = WeakKeyDictionary()
+
+
+def strategies(spark: SparkSession | None = None) -> dict[str, Callable]:
+    """The strategies that a session has, its own after those that all have."""
+    return STRATEGIES | (_OWN.get(spark, {}) if spark is not None else {})
+
+
+def register(name: str, strategy: Callable[[Column, Column, Column, Column, Column], Column], spark: SparkSession | None = None) -> None:
+    """Add a strategy, which a panel may then name: to a session, or without one to all; it comes after the built-in ones and the model.
 
     It takes the columns text, mpn, spec, siblings and known and gives an array of CANDIDATE.
     """
-    if name in STRATEGIES or name == "llm":
+    if name in strategies(spark) or name == "llm":
         raise ValueError(f"there is a strategy {name} already")
-    STRATEGIES[name] = strategy
+    (STRATEGIES if spark is None else _OWN.setdefault(spark, {}))[name] = strategy
 
 
-def _position(name: str) -> int:
+def _position(name: str, known: dict[str, Callable]) -> int:
     """Where a strategy stands in the order of trial; the model comes after the built-in ones."""
-    names = list(STRATEGIES)
+    names = list(known)
     return len(EXTRACTORS) - 1 if name == "llm" else names.index(name) + (names.index(name) >= len(EXTRACTORS) - 1)
 
 
@@ -374,7 +383,8 @@ def candidates(work: DataFrame, panel: tuple[str, ...] = ("table_column", "range
     work_rows(), places and headers; else each alias is sought by itself. With early exit, what comes after a strategy's clean candidate is left out.
     A name in the panel that no strategy has is an error.
     """
-    if strange := set(panel) - {*STRATEGIES, "llm"}:
+    known = strategies(work.sparkSession)
+    if strange := set(panel) - {*known, "llm"}:
         raise ValueError(f"unknown strategies: {sorted(strange)}")
     places = _known_places(work)
     marked = work.withColumn("marks", section_marks(F.col("text")))
@@ -382,14 +392,14 @@ def candidates(work: DataFrame, panel: tuple[str, ...] = ("table_column", "range
         marked = marked.withColumn("headers", series_headers(F.col("text"), F.col("siblings")))
     found_before = {"table_column": {"headers": F.col("headers"), "places": places}, "range": {"places": places}, "inline_spec": {"places": places}}
     each = marked.select("*", F.explode("specs").alias("spec"))
-    own = lambda name: STRATEGIES[name](*map(F.col, ("text", "mpn", "spec", "siblings", "known")), **found_before.get(name, {}))
-    arrays = [F.transform(own(name), lambda c, i: F.struct(F.lit(_position(name)).alias("extractor_pos"), F.lit(name).alias("extractor"), i.alias("cand_pos"), c.alias("c"))) for name in STRATEGIES if name in panel]
+    own = lambda name: known[name](*map(F.col, ("text", "mpn", "spec", "siblings", "known")), **found_before.get(name, {}))
+    arrays = [F.transform(own(name), lambda c, i: F.struct(F.lit(_position(name, known)).alias("extractor_pos"), F.lit(name).alias("extractor"), i.alias("cand_pos"), c.alias("c"))) for name in known if name in panel]
     rows = None
     if arrays:
         rows = each.select("*", F.explode(F.concat(*arrays)).alias("x")).select("*", "x.extractor_pos", "x.extractor", "x.cand_pos", "x.c", F.lit(1.0).alias("self_consistency")).drop("x")
     if "llm" in panel and responses is not None:
         said = llm_candidates(work, responses, samples)
-        own = each.withColumn("attribute", F.col("spec.attribute")).join(said, ["sku", "doc_id", "attribute"]).drop("attribute").select(*each.columns, F.lit(_position("llm")).alias("extractor_pos"), F.lit("llm").alias("extractor"), "cand_pos", "c", "self_consistency")
+        own = each.withColumn("attribute", F.col("spec.attribute")).join(said, ["sku", "doc_id", "attribute"]).drop("attribute").select(*each.columns, F.lit(_position("llm", known)).alias("extractor_pos"), F.lit("llm").alias("extractor"), "cand_pos", "c", "self_consistency")
         rows = own if rows is None else rows.unionByName(own)
     spec = F.col("spec")
     at = F.when(F.col("focus_start") >= 0, F.col("focus_start")).otherwise(F.col("match.start"))

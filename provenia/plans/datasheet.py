@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenia.operators import arbitrate, confidence, generators, matching, rules
+from provenia.operators import arbitrate, confidence, generators, matching, prefilter, rules
 from provenia.sources import corpus
 from provenia.sources.reference import ALIASES, attribute_specs
 
@@ -30,7 +30,7 @@ def work_rows(skus: DataFrame, manifest: DataFrame, docs: DataFrame, parts: Data
     """
     parts = corpus.known_parts(skus, manifest) if parts is None else parts
     tokens = docs.select("doc_id", F.explode(generators.part_tokens(F.col("text"))).alias("part"))
-    known = tokens.join(parts, "part").groupBy("doc_id").agg(F.collect_set("part").alias("known"))
+    known = prefilter.known_only(tokens, parts, "part").groupBy("doc_id").agg(F.collect_set("part").alias("known"))
     specs = attribute_specs(skus.sparkSession)
     row = F.struct(*[c for c in specs.columns if c != "class_key"])
     by_class = specs.groupBy("class_key").agg(F.array_sort(F.collect_list(row)).alias("specs"))

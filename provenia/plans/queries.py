@@ -96,20 +96,38 @@ def meeting_shipments(spark, d):
     return met.groupBy("l_suppkey").agg(F.count("*").alias("pairs"), F.sum("right.l_linenumber").alias("lines"), F.max(both).cast("long").alias("longest"))
 
 
-@query("""
+_PLACES = """
 WITH w AS (SELECT DISTINCT lower(max_by(u.w, (length(u.w), u.w))) AS word FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark) u GROUP BY item_id)
 SELECT doc_id, word, strpos(lower(text), word) - 1 AS first_start, (length(text) - length(replace(lower(text), word, ''))) // length(word) AS n
 FROM documents, w WHERE strpos(lower(text), word) > 0
-""")
+"""
+
+
+def _longest_words(spark, d) -> list[str]:
+    """The longest word of each quote, lower case."""
+    each = t(spark, d, "benchmark").select("item_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
+    words = each.groupBy("item_id").agg(F.lower(F.max_by("w", F.struct(F.length("w"), "w"))).alias("word"))
+    return [r["word"] for r in words.select("word").distinct().collect()]
+
+
+@query(_PLACES)
 def word_places(spark, d):
     """Where the longest word of each quote stands in each document, in any case, read from one automaton for all of them."""
-    each = t(spark, d, "benchmark").select("item_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
-    words = each.groupBy("item_id").agg(F.lower(F.max_by("w", F.struct(F.length("w"), "w"))).alias("word")).select("word").distinct()
-    read = matching.with_places(t(spark, d, "documents").select("doc_id", "text"), [r["word"] for r in words.collect()], 80)
+    read = matching.with_places(t(spark, d, "documents").select("doc_id", "text"), _longest_words(spark, d), 80)
     kept = read.select("doc_id", F.explode("places").alias("word", "at")).select("doc_id", "word", matching.apart(F.col("at")).alias("at"))
     return kept.select("doc_id", "word", F.col("at")[0]["s"].alias("first_start"), F.size("at").alias("n"))
 
 
+@query(_PLACES)
+def word_places_sql(spark, d):
+    """The same by SQL, from a table function that the session knows."""
+    from provenia.functions import tables
+
+    tables.register(spark)
+    words = ", ".join(f"'{w}'" for w in sorted(_longest_words(spark, d)))
+    return spark.sql(f"SELECT doc_id, word, min(s) AS first_start, CAST(count(*) AS INT) AS n FROM word_places(TABLE(SELECT doc_id, text FROM parquet.`{d}/documents.parquet`), array({words})) GROUP BY doc_id, word")
+
+
 @query("""
 WITH p AS (SELECT item_id AS quote_id, doc_id, d.text, b.text AS quote, strpos(d.text, b.text) - 1 AS pos FROM documents d JOIN benchmark b ON strpos(d.text, b.text) > 0)
 SELECT quote_id, doc_id, kind, CASE kind WHEN 'as_is' THEN 'exact' WHEN 'spaced' THEN 'normalized' WHEN 'shifted' THEN 'relocated' ELSE 'not_found' END AS mode,

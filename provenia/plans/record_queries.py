@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provenia.operators import confidence, delivery, generators, ledger, publish, rules
+from provenia.operators import confidence, delivery, generators, ledger, prefilter, publish, rules
 from provenia.plans import appliance, datasheet, evaluate
 from provenia.plans.delivery_queries import _KEYED
 from provenia.plans.queries import query, t
@@ -129,9 +129,9 @@ def page_prompts(spark, d):
 
 @query("SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS word FROM documents) WHERE word IN (SELECT unnest(string_split_regex(text, '\\s+')) FROM benchmark) AND length(word) > 9")
 def known_words(spark, d):
-    """Long words of documents that a list of known ones has, by a semi-join instead of a set in memory."""
+    """Long words of documents that a list of known ones has: sifted by bitmaps of these, then joined."""
     words = lambda name, *keys: t(spark, d, name).select(*keys, F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).where(F.length("word") > 9)
-    return words("documents", "doc_id").join(words("benchmark").distinct(), "word", "left_semi").select("doc_id", "word")
+    return prefilter.known_only(words("documents", "doc_id"), words("benchmark"), "word")
 
 
 @query("SELECT '1.0' AS version, false AS calibrated, count(DISTINCT l_partkey) AS records, count(*) AS attributes, (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM events) AS audit_events, 0.9::DOUBLE AS threshold_general FROM lineitem")

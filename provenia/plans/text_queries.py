@@ -374,18 +374,25 @@ def catalog_file(spark, d):
     return corpus.catalog_rows(spark, path, ("Excluded Inc",))
 
 
-@query("SELECT p_brand AS sku, p_name AS attribute, count(*)::INT AS n, max(p_size)::DOUBLE AS largest, bool_or(p_type = 'PROMO') AS any_promo FROM part GROUP BY ALL")
+@query("""
+SELECT p_partkey::VARCHAR AS sku, p_name AS attribute, CASE p_partkey % 3 WHEN 2 THEN 0 ELSE 1 END AS n, CASE p_partkey % 3 WHEN 2 THEN NULL ELSE p_size END::DOUBLE AS largest, p_partkey % 3 = 1 AND p_type = 'PROMO' AS any_promo, '' AS reason FROM part WHERE p_partkey % 50 <> 7
+UNION ALL SELECT '', '', 0, NULL, false, CASE WHEN p_partkey % 100 = 7 THEN 'no JSON' ELSE 'no sku' END FROM part WHERE p_partkey % 50 = 7
+""")
 def gold_file(spark, d):
-    """Labels in one JSON file, one value or a list, read as numbers, texts and flags."""
+    """Labels as lines of JSON, a record for each part: one value or a list, numbers, texts and flags; broken records as errors."""
     path = scratch_dir(spark)
-    each = t(spark, d, "part").groupBy("p_brand", "p_name").agg(F.collect_list("p_size").alias("sizes"), F.bool_or(F.col("p_type") == "PROMO").alias("promo"))
-    shown = F.concat(F.lit("["), F.array_join(F.transform("sizes", lambda s: s.cast("string")), ","), F.lit(","), F.col("promo").cast("string"), F.lit(',"text"]'))
-    by = each.groupBy("p_brand").agg(F.array_join(F.collect_list(F.concat(F.lit('"'), "p_name", F.lit('":'), shown)), ",").alias("x"))
-    whole = by.agg(F.concat(F.lit('{"labels":{'), F.array_join(F.collect_list(F.concat(F.lit('"'), "p_brand", F.lit('":{'), "x", F.lit("}"))), ","), F.lit("}}")).alias("value"))
-    whole.coalesce(1).write.text(path)
-    got = corpus.gold_labels(spark, path)
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey")
+    listed = F.concat(F.lit("["), size, F.lit(","), (F.col("p_type") == "PROMO").cast("string"), F.lit(',"text"]'))
+    value = F.when(key % 3 == 0, size).when(key % 3 == 1, listed).otherwise(F.concat(F.lit('"size '), size, F.lit('"')))
+    labels = F.concat(F.lit('"labels":{"'), "p_name", F.lit('":'), value, F.lit("}}"))
+    line = F.concat(F.lit('{"sku":"'), key, F.lit('",'), labels)
+    broken = F.when(key % 100 == 7, F.left(line, F.length(line) - 3)).otherwise(F.concat(F.lit("{"), labels))
+    t(spark, d, "part").select(F.when(key % 50 == 7, broken).otherwise(line).alias("value")).write.text(path)
     number = F.filter("accepted", lambda a: a["num"].isNotNull())
-    return got.select("sku", "attribute", F.size(number).alias("n"), F.array_max(F.transform(number, lambda a: a["num"])).alias("largest"), F.exists("accepted", lambda a: F.coalesce(a["flag"], F.lit(False))).alias("any_promo"))
+    flagged = F.exists("accepted", lambda a: F.coalesce(a["flag"], F.lit(False)))
+    read = corpus.gold_labels(spark, path).select("sku", "attribute", F.size(number).alias("n"), F.array_max(F.transform(number, lambda a: a["num"])).alias("largest"), flagged.alias("any_promo"), F.lit("").alias("reason"))
+    nothing = F.lit("")
+    return read.unionByName(corpus.gold_errors(spark, path).select(nothing.alias("sku"), nothing.alias("attribute"), F.lit(0).alias("n"), F.lit(None).cast("double").alias("largest"), F.lit(False).alias("any_promo"), "reason"))
 
 
 # --- evidence ---------------------------------------------------------------------------------

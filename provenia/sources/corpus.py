@@ -109,17 +109,44 @@ def malformed_rows(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("_line").isNotNull())
 
 
-def gold_labels(spark: SparkSession, path: str) -> DataFrame:
-    """(sku, attribute, accepted) from a JSON file {"labels": {sku: {attribute: value or list}}}; accepted is an array of (num, str, flag)."""
-    text = spark.read.option("wholetext", True).text(path)
-    by_sku = F.from_json(F.get_json_object("value", "$.labels"), "map<string,map<string,string>>")
-    each = text.select(F.explode(by_sku).alias("sku", "of")).select("sku", F.explode("of").alias("attribute", "raw"))
-    values = F.when(F.col("raw").startswith("["), F.from_json("raw", "array<string>")).otherwise(F.array("raw"))
+def _gold_records(spark: SparkSession, path: str, whole: bool) -> DataFrame:
+    """(value, v): the records of a file of labels as they stand and as variants, null where they are no JSON."""
+    text = spark.read.option("wholetext", whole).text(path)
+    return text.where(F.trim("value") != "").select("value", F.try_parse_json("value").alias("v"))
+
+
+def gold_labels(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """(sku, attribute, accepted) from labels; accepted is an array of (num, str, flag).
+
+    A line is the record of one part, {"sku": ..., "labels": {attribute: value or list}}, so
+    files of any size are read by many tasks. whole: files that are one small JSON text
+    each, {"labels": {sku: {attribute: value or list}}}. Records that are neither are left
+    to gold_errors().
+    """
+    records = _gold_records(spark, path, whole)
+    of = lambda rows, v, *names: rows.lateralJoin(spark.tvf.variant_explode(v.outer())).select(*names, F.col("key"), F.col("value").alias("of"))
+    if whole:
+        by_sku = of(records.select(F.try_variant_get("v", "$.labels", "variant").alias("v")), F.col("v"))
+        by_sku = by_sku.select(F.col("key").alias("sku"), F.col("of").alias("labels"))
+    else:
+        by_sku = records.select(F.try_variant_get("v", "$.sku", "string").alias("sku"), F.try_variant_get("v", "$.labels", "variant").alias("labels")).where("sku is not null")
+    each = of(by_sku, F.col("labels"), "sku").where("key is not null").select("sku", F.col("key").alias("attribute"), "of")
+    several = F.try_variant_get("of", "$", "array<string>")
+    values = F.when(F.schema_of_variant("of").startswith("ARRAY"), several).otherwise(F.array(F.try_variant_get("of", "$", "string")))
     flag = lambda v: F.when(v.isin("true", "false"), v == "true")
     one = lambda v: F.struct(v.try_cast("double").alias("num"), F.when(v.try_cast("double").isNull() & flag(v).isNull(), v).alias("str"), flag(v).alias("flag"))
     return each.select("sku", "attribute", F.transform(values, one).alias("accepted"))
 
 
+def gold_errors(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """(value, reason) of the records that gold_labels() cannot read."""
+    records = _gold_records(spark, path, whole)
+    key = F.lit(True) if whole else F.try_variant_get("v", "$.sku", "string").isNotNull()
+    labels = F.coalesce(F.schema_of_variant(F.try_variant_get("v", "$.labels", "variant")).startswith("OBJECT"), F.lit(False))
+    reason = F.when(F.col("v").isNull(), "no JSON").when(~key, "no sku").when(~labels, "no labels")
+    return records.select("value", reason.alias("reason")).where("reason is not null")
+
+
 def fetched_pages(responses: DataFrame) -> DataFrame:
     """(…, ok, text, reason) of recorded HTTP responses (url, status, content_type, body, error).
 

@@ -111,10 +111,20 @@ def test_catalog_file(spark, tmp_path):
 
 def test_gold_file(spark, tmp_path):
     (tmp_path / "g.json").write_text('{"labels": {"S": {"a": 50, "b": ["X", "Y"], "c": true}}}')
-    got = {r.attribute: [(x.num, x.str, x.flag) for x in r.accepted] for r in corpus.gold_labels(spark, str(tmp_path / "g.json")).collect()}
+    got = {r.attribute: [(x.num, x.str, x.flag) for x in r.accepted] for r in corpus.gold_labels(spark, str(tmp_path / "g.json"), whole=True).collect()}
     assert got == {"a": [(50.0, None, None)], "b": [(None, "X", None), (None, "Y", None)], "c": [(None, None, True)]}
 
 
+def test_gold_lines(spark, tmp_path):
+    lines = ['{"sku": "S", "labels": {"a": 50, "b": ["X", "7", 1.5], "c": true, "d": null, "e": []}}', "", "{broken", '{"labels": {"a": 1}}', '{"sku": "T", "labels": 5}', '[1]', '{"sku": "U", "labels": {}}', '{"sku": 12, "labels": {"a": "false"}}']
+    (tmp_path / "g.json").write_text("\n".join(lines))
+    path = str(tmp_path / "g.json")
+    got = {(r.sku, r.attribute): [(x.num, x.str, x.flag) for x in r.accepted] for r in corpus.gold_labels(spark, path).collect()}
+    assert got == {("S", "a"): [(50.0, None, None)], ("S", "b"): [(None, "X", None), (7.0, None, None), (1.5, None, None)], ("S", "c"): [(None, None, True)], ("S", "d"): [(None, None, None)], ("S", "e"): [], ("12", "a"): [(None, None, False)]}
+    assert sorted((r.reason, r.value) for r in corpus.gold_errors(spark, path).collect()) == [("no JSON", "{broken"), ("no labels", '{"sku": "T", "labels": 5}'), ("no sku", "[1]"), ("no sku", '{"labels": {"a": 1}}')]
+    assert corpus.gold_errors(spark, path, whole=True).first().reason == "no JSON"
+
+
 def test_documents_never_fetched_raise(spark, tmp_path):
     manifest = spark.createDataFrame([("a",), ("b",)], "doc_id string")
     fetched = spark.createDataFrame([("a", "11")], "doc_id string, sha256 string")

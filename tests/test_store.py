@@ -118,16 +118,16 @@ def test_arbitration_matches_plain_loops(spark):
 
 
 def test_a_registered_strategy_joins_the_panel(spark, monkeypatch):
-    monkeypatch.setattr(generators, "STRATEGIES", dict(generators.STRATEGIES))
-
     def fixed(text, mpn, spec, siblings, known):
         at = F.instr(text, "35 V") - 1
         c = generators._candidate(text, F.lit("35 V"), F.lit("V"), at, at + 4, at, at + 4, F.lit(2.5))
         return F.when((spec["attribute"] == "input_voltage_max") & (at >= 0), F.array(c)).otherwise(F.array().cast(f"array<{generators.CANDIDATE}>"))
 
-    generators.register("fixed", fixed)
+    monkeypatch.setattr(generators, "_OWN", type(generators._OWN)())
+    generators.register("fixed", fixed, spark)
     with pytest.raises(ValueError):
-        generators.register("fixed", fixed)
+        generators.register("fixed", fixed, spark)
+    assert "fixed" in generators.strategies(spark) and "fixed" not in generators.strategies(spark.newSession())
     skus, manifest, pages = sheets.tables(spark)
     work = datasheet.work_rows(skus, manifest, corpus.document_text(pages))
     rows = generators.candidates(work, ("fixed",)).collect()
