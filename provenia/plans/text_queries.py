@@ -10,7 +10,7 @@ from provenia.operators import arbitrate as A
 from provenia.operators import delivery as D
 from provenia.operators import gate, generators, ledger, rules, sections
 from provenia.plans.queries import query, t
-from provenia.sources import corpus, sinks
+from provenia.sources import corpus, responses, sinks
 from provenia.sources import reference as R
 from provenia.sources.scratch import scratch_dir
 
@@ -395,6 +395,28 @@ def gold_file(spark, d):
     return read.unionByName(corpus.gold_errors(spark, path).select(nothing.alias("sku"), nothing.alias("attribute"), F.lit(0).alias("n"), F.lit(None).cast("double").alias("largest"), F.lit(False).alias("any_promo"), "reason"))
 
 
+@query(r"""
+WITH p AS (SELECT page_id, url, html, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host FROM pages)
+SELECT page_id::VARCHAR AS page_id, host, CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 7 = 0 THEN 404 ELSE 200 END::INT AS status, CASE WHEN page_id % 11 = 0 THEN 'timed out' WHEN page_id % 7 = 0 THEN 'HTTP 404' END AS error, sha256(html) AS sha256,
+  page_id % 11 <> 0 AND page_id % 7 <> 0 AND page_id % 2 = 0 AS fresh
+FROM p WHERE host IN (SELECT min(host) FROM p UNION SELECT max(host) FROM p UNION SELECT arg_max(host, length(html)) FROM p)
+""")
+def recorded_pages(spark, d):
+    """Pages recorded as an archive of responses: three hosts are read back, no file of another, and those that the cache lacks marked."""
+    path = scratch_dir(spark)
+    page = F.col("page_id")
+    lost, gone = page % 11 == 0, page % 7 == 0
+    made = t(spark, d, "pages").select(page, F.concat("url", F.lit("#"), page).alias("url"), F.when(lost, None).when(gone, 404).otherwise(200).alias("status"), F.lit("text/html").alias("content_type"), F.col("html").alias("body"), F.when(lost, "timed out").alias("error"))
+    responses.record(made, path)
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    hosts = t(spark, d, "pages").select(host.alias("h"), F.length("html").alias("n")).agg(F.min("h"), F.max("h"), F.max_by("h", "n")).first()
+    found = responses.responses(spark, path).where(F.col("host").isin(*hosts))
+    number = F.element_at(F.split("url", "#"), -1)
+    cache = found.where(number.cast("long") % 2 == 1).select("url", "sha256")
+    new = responses.fresh(found, cache).select("url", F.lit(True).alias("new"))
+    return found.join(new, "url", "left").select(number.alias("page_id"), "host", "status", "error", "sha256", F.coalesce("new", F.lit(False)).alias("fresh"))
+
+
 # --- evidence ---------------------------------------------------------------------------------
 
 
