@@ -143,6 +143,10 @@ def auc(scored: DataFrame) -> DataFrame:
     return ranked.agg((wins / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 
+#: Rows of the smaller class beyond which a hash alone deals folds evenly enough.
+DEALT = 10_000
+
+
 def _logistic(rows: DataFrame, columns: tuple[str, ...], c: float = 1.0):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
@@ -152,8 +156,14 @@ def _logistic(rows: DataFrame, columns: tuple[str, ...], c: float = 1.0):
 
 
 def out_of_fold(rows: DataFrame, columns: tuple[str, ...], folds: int, id_col: str = "row_id") -> DataFrame:
-    """rows with p, scored by a model fitted on the other folds. Folds are dealt class by class in the order of a hash."""
-    turn = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64(F.lit(17), F.col(id_col)), id_col))
+    """rows with p, scored by a model fitted on the other folds.
+
+    Folds are dealt by a hash; of classes of few rows, evenly in its order, so that no fold
+    is without one.
+    """
+    key = F.xxhash64(F.lit(17), F.col(id_col))
+    least = rows.groupBy("y").agg(F.count("*").alias("n")).agg(F.min("n")).first()[0] or 0
+    turn = F.pmod(key, F.lit(folds)) if least > DEALT else F.row_number().over(Window.partitionBy("y").orderBy(key, id_col))
     dealt = rows.withColumn("fold", (turn % folds).cast("int"))
     out = None
     for k in range(folds):
