@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenia.llm.common import SPACE, cut, join_splittable, text_pass
@@ -23,6 +23,8 @@ from provenia.llm.rows import keep_one_of_each
 PRIME = 2**128 + 51
 #: Bytes hashed at a time, bytes of a text dealt to one task, bytes compared at a time.
 PIECE, CHUNK, COMPARED = 1 << 12, 1 << 22, 1 << 16
+#: Repeats of a row that are put back at a time.
+PUT_BACK = 100_000
 #: Rows of duplicates up to which their keys (some 60 bytes each) are broadcast.
 BROADCAST_ROWS = 100_000
 _WHITE = b" \t\n\r\x0b\x0c"
@@ -145,9 +147,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marked, twins = _classes(docs, id_col, text_col)
     named = join_splittable(marked, twins, "fp").select("id", "sha", "fp", F.coalesce("group_size", F.lit(1)).alias("group_size"), F.coalesce("keep_id", "id").alias("keep_id"))
     first = F.col("id").eqNullSafe(F.col("keep_id"))
-    # Only rows that repeat the id that stays need a tie broken; they are the same row.
-    again = F.row_number().over(Window.partitionBy("fp", "id").orderBy(F.lit(0)))
-    kept = named.where(first).select("*", (again == 1).alias("kept"))
+    # Rows that repeat the id that stays are the same row: they are counted, and put back by their count.
+    same = named.where(first).groupBy("id", "sha", "fp", "group_size", "keep_id").agg(F.count("*").alias("n"))
+    block = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / PUT_BACK))).alias("block")
+    each = F.explode(F.sequence(F.lit(1), F.least(F.col("n") - F.col("block") * PUT_BACK, F.lit(PUT_BACK)))).alias("k")
+    kept = same.select("*", block).select("*", each).select(named.columns + [((F.col("block") == 0) & (F.col("k") == 1)).alias("kept")])
     out = kept.unionByName(named.where(~first).withColumn("kept", F.lit(False)))
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
