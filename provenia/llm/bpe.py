@@ -365,7 +365,11 @@ def memo_of(name: str) -> Memo:
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", keep_ids: bool = False) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256[, ids]) for each row; null counts as empty, which has no ids."""
+    """(id, n_tokens, ids_sha256, decoded_sha256[, ids]) for each row; null counts as empty, which has no ids.
+
+    Texts of any length pass in bounded memory but for the text itself; repeated rows stay,
+    an empty table gives no rows, other columns play no part.
+    """
 
     def make():
         merges, memo = load(vocabulary), memo_of(vocabulary)

@@ -98,7 +98,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     Null counts as empty; an empty text has sizes 0 and scores as a text that is all
     repetition. Equal texts have equal scores and repeated rows stay; an empty table gives
-    no rows. 0.5 throughout if the model has no score.
+    no rows, other columns play no part. 0.5 throughout if the model has no score.
     """
     good, bad, calibrated = model
 

@@ -197,7 +197,7 @@ def judged(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
 
     kept is false where the base rule fails or a learned rule marks the row. A null or
     empty text has no words and fails. Texts of any length are counted whole. Repeated rows
-    stay and are judged alike; an empty table gives no rows.
+    stay and are judged alike; an empty table gives no rows, other columns play no part.
     """
     rows = measured(docs, id_col, text_col).select(F.col(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), *features())
     return rows.select(F.col(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & verdict(rules)).alias("kept"))

@@ -182,7 +182,10 @@ def _joined(found: Column) -> Column:
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, found) for each row of docs, found as spans() gives it; repeated rows stay, empty tables give none."""
+    """(id, found) for each row of docs, found as spans() gives it; repeated rows stay, empty tables give none.
+
+    Null texts count as empty. Long texts are read whole, line by line; other columns play no part.
+    """
     return docs.select(F.col(id_col), spans(F.col(text_col)).alias("found"))
 
 

@@ -259,7 +259,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows link if their fingerprints differ in at most `bits` bits, equal ones included.
     A null id takes part with its text but is never a component_id unless all are null.
-    Repeated rows stay repeated. An empty table gives no rows.
+    Null texts count as empty, which have fingerprint 0 and link like any other; long texts
+    are read whole, a block at a time. Repeated rows stay repeated. An empty table gives no
+    rows, other columns play no part.
     """
     return _classes(docs, id_col, text_col, words, bits).select(F.col("id").alias(id_col), "fp", "component_id")
 
