@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from provenia.operators import confidence, delivery, generators, ledger, prefilter, publish, rules
 from provenia.plans import appliance, datasheet, evaluate
 from provenia.plans.delivery_queries import _KEYED
-from provenia.plans.queries import query, t
+from provenia.plans.queries import _SCORED, _scored, query, t
 from provenia.plans.sheet_queries import _CANDIDATES, _WON, _X, sheets
 from provenia.plans.text_queries import _WIDE, _diodes, _named
 from provenia.sources import corpus, sinks
@@ -87,13 +87,17 @@ def audit_rows(spark, d):
     return rows.select("sku", "attribute", "action", F.get_json_object("detail", "$.confidence").cast("double").alias("confidence"), F.get_json_object("detail", "$.value").alias("value"))
 
 
-@query("SELECT unnest(['" + "', '".join(R.FEATURES) + f"']) AS feature, unnest({list(R.PRIOR_WEIGHTS)})::DOUBLE AS weight, 0.9::DOUBLE AS general, 0.97::DOUBLE AS safety, false AS trained")
+@query(f"""WITH {_SCORED}, t AS (SELECT DISTINCT round(p, 4) AS t FROM s UNION SELECT unnest([0.0, 1.0])), v AS (SELECT t, (SELECT avg(y) FROM s WHERE p >= t) AS prec FROM t),
+m AS (SELECT coalesce(min(t) FILTER (prec >= 0.6), 1.01)::DOUBLE AS general, coalesce(min(t) FILTER (prec >= 0.8), 1.01)::DOUBLE AS safety FROM v)
+SELECT unnest({list(R.FEATURES)}) AS feature, unnest({list(R.PRIOR_WEIGHTS)})::DOUBLE AS weight, general, safety, false AS trained, (SELECT count(*) FROM s WHERE p >= general) AS published FROM m""")
 def model_file(spark, d):
-    """The scoring model written as JSON and read again, and its weights, the heaviest first."""
-    path = scratch_dir(spark)
-    confidence.save_model(spark, confidence.Model(), path)
+    """A scoring model whose floors come from scored rows, written as JSON, read again and held against these rows; its weights, the heaviest first."""
+    path, rows = scratch_dir(spark), _scored(spark, d)
+    floor = lambda target: float(confidence.pick_threshold(rows, target))
+    confidence.save_model(spark, confidence.Model(general=floor(0.6), safety=floor(0.8)), path)
     model = confidence.load_model(spark, path)
-    return evaluate.feature_weights(model, spark).select("feature", "weight", F.lit(model.general).alias("general"), F.lit(model.safety).alias("safety"), F.lit(model.trained).alias("trained"))
+    published = rows.where(F.col("p") >= model.general).count()
+    return evaluate.feature_weights(model, spark).select("feature", "weight", F.lit(model.general).alias("general"), F.lit(model.safety).alias("safety"), F.lit(model.trained).alias("trained"), F.lit(published).cast("long").alias("published"))
 
 
 @query("SELECT p_brand AS arm, count(*) AS n, round(avg(p_retailprice), 4) AS mean FROM part GROUP BY p_brand")
