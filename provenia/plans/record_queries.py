@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from provenia.operators import confidence, delivery, generators, ledger, prefilter, publish, rules
 from provenia.plans import appliance, datasheet, evaluate
 from provenia.plans.delivery_queries import _KEYED
-from provenia.plans.queries import _SCORED, _scored, query, t
+from provenia.plans.queries import ORACLES, _SCORED, _decided, _scored, query, t
 from provenia.plans.sheet_queries import _CANDIDATES, _WON, _X, sheets
 from provenia.plans.text_queries import _WIDE, _diodes, _named
 from provenia.sources import corpus, sinks
@@ -138,9 +138,8 @@ def known_words(spark, d):
     return prefilter.known_only(words("documents", "doc_id"), words("benchmark"), "word")
 
 
-@query("SELECT '1.0' AS version, false AS calibrated, count(DISTINCT l_partkey) AS records, count(*) AS attributes, (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM events) AS audit_events, 0.9::DOUBLE AS threshold_general FROM lineitem")
+@query(f"SELECT '1.0' AS version, false AS calibrated, 0.9::DOUBLE AS threshold_general, (SELECT count(*) FROM documents) AS documents, c.* FROM ({ORACLES['catalog_health']}) c")
 def health(spark, d):
-    """One row on the state of the engine: version, catalog, documents, thresholds."""
-    decided = t(spark, d, "lineitem").select(F.col("l_partkey").alias("sku"), F.lit("a").alias("attribute"), F.lit("REVIEW").alias("decision"), F.lit(False).alias("conflicting"), F.lit(True).alias("safety"), F.lit(1).alias("agreeing_sources"), F.lit("q").alias("quote"))
-    got = publish.health(decided, t(spark, d, "events"), t(spark, d, "documents"), confidence.Model(), "1.0")
-    return got.select("version", "calibrated", "records", "attributes", "documents", "audit_events", "threshold_general")
+    """One row on the state of the engine: version, thresholds, documents, and what was decided over the whole catalog."""
+    decided = _decided(spark, d).withColumn("quote", F.when(F.col("sku") % 5 != 0, "q"))
+    return publish.health(decided, t(spark, d, "events"), t(spark, d, "documents"), confidence.Model(), "1.0").drop("threshold_safety", "reject_below")
