@@ -7,9 +7,11 @@ alive. What is kept can be read while the stream runs or after it, from its chec
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -55,6 +57,10 @@ class LatestReview(StatefulProcessor):
         pass
 
 
+# The processor also runs beside the driver, where files that were added to the context are not on the path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 @contextmanager
 def _rocksdb(spark: SparkSession):
     """State stores of what starts or is read inside are RocksDB's."""
