@@ -10,8 +10,8 @@ A trie holds the fingerprints that can be near each other. For a budget of few b
 fingerprints within the budget have one in common. For near copies (wide_links), whose
 budget is a fifth of all bits, no block is both wide enough to tell texts apart and likely
 to be equal; there, the texts of a trie share one of six min-wise shingles. Tries of many
-rows are split, by further shingles and by masks of bits whose number follows from the
-budget, before they are dealt out.
+rows are compared in blocks instead, each row with each other one, so that a link does not
+depend on how many rows share its trie.
 """
 
 from __future__ import annotations
@@ -37,10 +37,10 @@ WORDS, BITS, SEED = 3, 3, 42
 SHINGLE, WIDE, LEAST, ANCHORS = 5, 1024, 0.8, 6
 #: Case and ASCII punctuation play no part in near copies.
 _PLAIN = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in bytes(range(256)).lower())
-#: Rows from which a trie is split; the same for near copies; share of pairs at the budget that meet under masks; bits of a mask at most.
+#: Rows from which a trie is split; rows from which one of near copies is compared in blocks; share of pairs at the budget that meet under masks; bits of a mask at most.
 HOT, SPLIT_HOT, COVERED, MASK_BITS = 20_000, 1000, 0.99, 14
-#: Fingerprints whose copies leave a large trie before it is parted; times that it is parted by masks; rows of a block.
-STARS, TURNS, PACKED = 2, 3, 500
+#: Fingerprints whose copies leave a large trie before it is compared whole; rows of a block beside a drawn fingerprint, and of one of a whole trie; rows compared with a block at a time.
+STARS, PACKED, GRID, TILE = 2, 500, 2000, 128
 #: Bytes of a text split into words at a time; shingles counted at a time; bits of the fingerprints of tries and node pairs walked at a time.
 BLOCK, COUNTED, TRIE_BITS, FRONTIER = 1 << 20, 4096, 4_000_000, 1 << 16
 _SPREAD, _LANES = np.uint64(0x9E3779B97F4A7C15), WIDE // 64
@@ -327,31 +327,9 @@ def mask_codes(fp: np.ndarray, width: int, masks: int, turn: int = 0) -> Iterato
         yield bits[:, at].astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
 
 
-def _masked(rows: DataFrame, bits: int, turn: int) -> DataFrame:
-    """(bucket, f, fp) of rows (bucket, f, fp, n): each trie as many smaller ones, by the bits under masks.
-
-    Their number follows from the budget, so that of fingerprints `bits` apart COVERED meet
-    in one of them, whatever the size of the trie, and of nearer ones more.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn_to(None)
-        for batch in (b.slice(k, COUNTED) for b in batches for k in range(0, b.num_rows, COUNTED)):
-            width = np.array([mask_width(n) for n in batch.column("n").to_pylist()])
-            for w in np.unique(width).tolist():
-                part = batch.take(pa.array(np.flatnonzero(width == w)))
-                fp = np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                old = part.column("bucket").to_numpy().view(np.uint64)
-                for k, code in enumerate(mask_codes(fp, w, covering(bits, w), turn)):
-                    new = _mix(old * _SPREAD + _mix(code.view(np.uint64) * np.uint64(1 << 12) + np.uint64(k)))
-                    yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), part.column("f"), part.column("fp")], names=["bucket", "f", "fp"])
-
-    return rows.mapInArrow(run, "bucket long, f long, fp binary")
-
-
 def _sized(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Rows (bucket, f, fp, ...) of tries of 2 to SPLIT_HOT rows; those of larger ones with their size n, as a table, or None."""
-    rows = cut(rows)
+    rows = cut(rows, narrow=True)
     sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), narrow=True)
     met = join_splittable(rows, sizes, "bucket", "inner")
     large = not sizes.where(F.col("n") > SPLIT_HOT).isEmpty()
@@ -375,12 +353,12 @@ def _star(rows: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
             apart = np.bitwise_count(fp ^ vp).sum(1, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(apart)], names=["bucket", "f", "fp", "v", "apart"])
 
-    marked = cut(met.mapInArrow(measure, "bucket long, f long, fp binary, v long, apart int"))
+    marked = cut(met.mapInArrow(measure, "bucket long, f long, fp binary, v long, apart int"), narrow=True)
     side = F.when(F.col("apart") <= bits, 0).when(F.col("apart") <= 2 * bits, 1)
     sides = marked.select("bucket", side.alias("side"), "f", "fp").where("side is not null")
     sizes = sides.groupBy("bucket").agg(*[F.ceil(F.count_if(F.col("side") == k) / PACKED).cast("int").alias(f"n{k}") for k in (0, 1)]).where("n1 > 0")
     placed = join_splittable(sides, sizes, "bucket", "inner").withColumn("chunk", F.pmod(F.hash("f"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))))
-    packs = cut(placed.groupBy("bucket", "side", "chunk").agg(F.collect_list("f").alias("fs"), F.collect_list("fp").alias("fps")))
+    packs = cut(placed.groupBy("bucket", "side", "chunk").agg(F.collect_list("f").alias("fs"), F.collect_list("fp").alias("fps")), narrow=True)
     pair = join_splittable(packs.where("side = 0").select("bucket", "fs", "fps"), packs.where("side = 1").groupBy("bucket").agg(F.collect_set("chunk").alias("chunks")), "bucket", "inner")
     pair = pair.withColumn("chunk", F.explode("chunks")).join(packs.where("side = 1").select("bucket", "chunk", F.col("fs").alias("gs"), F.col("fps").alias("gps")), ["bucket", "chunk"]).select("fs", "fps", "gs", "gps")
 
@@ -398,42 +376,73 @@ def _star(rows: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
     return links, marked.where(F.col("apart") > bits).select("bucket", "f", "fp")
 
 
+def near_pairs(a: np.ndarray, b: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j): all rows a[i] and b[j] of 64-bit words at most `bits` bits apart, some rows of a at a time.
+
+    The first half of the words is compared alone: what differs there in more bits differs.
+    """
+    half = a.shape[1] // 2
+    first = np.ascontiguousarray(b[:, :half].T)
+    for at in range(0, len(a), TILE):
+        x = a[at : at + TILE]
+        apart = np.zeros((len(x), len(b)), np.uint16)
+        for k in range(half):
+            apart += np.bitwise_count(x[:, k, None] ^ first[k])
+        i, j = np.nonzero(apart <= bits)
+        near = apart[i, j] + np.bitwise_count(x[i, half:] ^ b[j, half:]).sum(1, dtype=np.int32) <= bits
+        yield at + i[near], j[near]
+
+
+def _compared(rows: DataFrame, bits: int) -> DataFrame:
+    """(u, v): links that span the components of tries (bucket, f, fp), each row compared with each other one of its trie.
+
+    A trie is dealt into blocks by hash, and each pair of blocks is one row: no trie is
+    gathered, and none is too large. The work is the square of a trie's rows.
+    """
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / GRID).cast("int").alias("m"))
+    placed = join_splittable(rows, sizes, "bucket", "inner").withColumn("chunk", F.pmod(F.hash("f"), "m"))
+    packs = cut(placed.groupBy("bucket", "m", "chunk").agg(F.collect_list("f").alias("fs"), F.collect_list("fp").alias("fps")), narrow=True)
+    # Block c meets c, c + 1, ... c + m / 2 round a circle of m: each pair of blocks once, each block as often as any other.
+    step = F.explode(F.sequence(F.lit(0), F.floor(F.col("m") / 2).cast("int"))).alias("step")
+    left = packs.select("*", step).where("2 * step < m or chunk < step").withColumn("other", F.expr("pmod(chunk + step, m)"))
+    right = packs.select("bucket", F.col("chunk").alias("other"), F.col("fs").alias("gs"), F.col("fps").alias("gps"))
+    pair = left.join(right, ["bucket", "other"]).select("fs", "fps", "gs", "gps", (F.col("step") == 0).alias("own"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to(None)
+        for b in batches:
+            for k in range(b.num_rows):
+                one, two = (np.frombuffer(b"".join(b.column(c)[k].as_py()), np.uint64).reshape(-1, _LANES) for c in (1, 3))
+                f, g = (np.array(b.column(c)[k].as_py(), np.int64) for c in (0, 2))
+                own = b.column(4)[k].as_py()
+                names = f if own else np.r_[f, g]
+                labels = np.arange(len(names))
+                for i, j in near_pairs(one, two, bits):
+                    i, j = (i[i < j], j[i < j]) if own else (i, j + len(f))
+                    labels, used = _hook(labels, i, j)
+                    yield from _linked(names, i[used], j[used])
+
+    return pair.mapInArrow(compare, "u long, v long")
+
+
 def _split(rows: DataFrame, bits: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(bucket, f, fp) of rows (bucket, f, fp, anchors, n), and links: tries of n > SPLIT_HOT rows become smaller ones.
+    """(bucket, f, fp) of the tries of rows (bucket, f, fp, n) that are small, and the links of those of more than SPLIT_HOT rows.
 
-    Of a large trie first the copies of one text leave, see _star(), a few times. The rest
-    goes to one trie for each further anchor of a row: texts of Jaccard j lack a second
-    anchor in common with a chance of (1 - j) ** (ANCHORS - 1). What is still large is
-    parted by masks of bits, see _masked().
+    The size of a trie decides how it is walked, never which links are found. Of a large
+    trie first the copies of one text leave, see _star(), a few times; what is still large
+    is compared pair by pair in blocks, see _compared().
     """
     links: list[DataFrame] = []
     out = rows.where(F.col("n") <= SPLIT_HOT).select("bucket", "f", "fp")
-
-    def thinned(large: DataFrame | None) -> DataFrame | None:
-        nonlocal out
-        for _ in range(STARS):
-            if large is None:
-                break
-            found, rest = _star(large.select("bucket", "f", "fp"), bits)
-            links.append(found)
-            fine, large = _sized(rest)
-            out = out.unionByName(fine.select("bucket", "f", "fp"))
-        return large
-
-    anchors = rows.where(F.col("n") > SPLIT_HOT).select("f", "anchors").dropDuplicates(["f"])
-    large = thinned(rows.where(F.col("n") > SPLIT_HOT))
-    if large is not None:
-        other = F.explode(F.filter("anchors", lambda a: a != F.col("bucket"))).alias("other")
-        fine, large = _sized(large.join(anchors, "f").select("bucket", "f", "fp", other).select(F.xxhash64("bucket", "other").alias("bucket"), "f", "fp"))
+    large = cut(rows.where(F.col("n") > SPLIT_HOT).select("bucket", "f", "fp"), narrow=True)
+    for _ in range(STARS):
+        found, rest = _star(large, bits)
+        links.append(found)
+        fine, large = _sized(rest)
         out = out.unionByName(fine.select("bucket", "f", "fp"))
-        large = thinned(large)
-    for turn in range(TURNS):
         if large is None:
-            break
-        fine, large = _sized(_masked(large.select("bucket", "f", "fp", "n"), bits, turn))
-        out = out.unionByName(fine.select("bucket", "f", "fp"))
-        large = thinned(large)
-    return (out if large is None else out.unionByName(large.select("bucket", "f", "fp"))), links
+            return out, links
+    return out, [*links, _compared(large.select("bucket", "f", "fp"), bits)]
 
 
 def budget(least: float = LEAST) -> int:
@@ -456,11 +465,11 @@ def wide_links(marked: DataFrame, least: float = LEAST) -> DataFrame:
     keys = cut(marked.select("f", F.explode("anchors").alias("bucket")).distinct(), narrow=True)
     met = cut(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), narrow=True)
     rows = cut(join_splittable(keys, met, "bucket", "inner"), narrow=True)
-    fps = marked.select("f", "fp", "anchors").join(rows.select("f").distinct(), "f", "left_semi").dropDuplicates(["f"])
+    fps = marked.select("f", "fp").join(rows.select("f").distinct(), "f", "left_semi").dropDuplicates(["f"])
     rows = rows.join(fps, "f")
     stars: list[DataFrame] = []
     if not met.where(F.col("n") > SPLIT_HOT).isEmpty():
-        rows, stars = _split(cut(rows), bits)
+        rows, stars = _split(rows, bits)
 
     def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
         fp = np.frombuffer(b"".join(t["fp"].to_pylist()), ">u8").astype(np.uint64).reshape(-1, _LANES)

@@ -340,3 +340,26 @@ def test_links_of_a_hot_trie_are_those_of_brute_force(spark, monkeypatch):
     found = roots(links)
     assert sum(found[i] == found[j] for i, j in zip(*np.nonzero(near))) >= 0.99 * near.sum()
     assert sum(a == b for a, b in zip(want, found)) >= len(fps) - 2
+
+
+def test_links_do_not_depend_on_the_size_of_a_trie(spark, monkeypatch):
+    """Pairs at the budget that share one shingle only, which all rows have: the same links whether that trie is small or large."""
+    rng = random.Random(44)
+    monkeypatch.setattr(simhash, "GRID", 30)
+    first = [rng.getrandbits(1024) for _ in range(60)]
+    fps = [x for f in first for x in (f, apart(rng, f, simhash.budget()))] + [rng.getrandbits(1024) for _ in range(40)]
+    rows = [(i, x.to_bytes(128, "big"), [1, 100 + i]) for i, x in enumerate(fps)]
+    marked = spark.createDataFrame(rows, "f long, fp binary, anchors array<long>").repartition(3)
+    for hot in (1000, 20, 2):
+        monkeypatch.setattr(simhash, "SPLIT_HOT", hot)
+        assert {(min(r), max(r)) for r in simhash.wide_links(marked).collect()} == {(2 * i, 2 * i + 1) for i in range(60)}, hot
+
+
+def test_pairs_of_blocks_are_those_of_brute_force(monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 7)
+    rng = random.Random(45)
+    a = [rng.getrandbits(1024) for _ in range(40)]
+    b = [apart(rng, x, rng.randint(0, 446)) for x in a] + [x ^ (2**400 - 1) for x in a[:5]] + [x ^ (2**150 - 1) << 800 for x in a[:5]]
+    words = [np.array([np.frombuffer(x.to_bytes(128, "big"), np.uint64) for x in y]) for y in (a, b)]
+    want = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if (x ^ y).bit_count() <= 223}
+    assert {(int(i), int(j)) for p, q in simhash.near_pairs(*words, 223) for i, j in zip(p, q)} == want
