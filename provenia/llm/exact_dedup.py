@@ -103,7 +103,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _unequal(docs: DataFrame, marked: DataFrame, twins: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The fingerprints (fp) of which some chunk differs between texts."""
     keys = marked.join(twins.select("fp"), "fp", "left_semi").select("id", "h64", "fp").distinct()
-    keys = cut(keys)
+    keys = cut(keys, narrow=True)
     if keys.count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
     body = F.coalesce(F.col(text_col), F.lit(""))
@@ -118,12 +118,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     """(id, h64, sha, fp) for each row, fp telling unequal texts apart, and (fp, group_size, keep_id) where it has several rows."""
     marked = cut(fingerprints(docs, id_col, text_col), narrow=True)
     sizes = marked.groupBy("fp").agg(F.count("*").alias("group_size"), F.min("id").alias("keep_id"))
-    twins = cut(sizes.where("group_size > 1"))
-    bad = cut(_unequal(docs, marked, twins, id_col, text_col))
+    twins = cut(sizes.where("group_size > 1"), narrow=True)
+    bad = cut(_unequal(docs, marked, twins, id_col, text_col), narrow=True)
     if bad.count():  # different texts of one fingerprint: told apart by their SHA-256
         key = F.when(F.col("bad"), F.concat("fp", F.lit(":"), "sha")).otherwise(F.col("fp"))
-        marked = cut(marked.join(bad.withColumn("bad", F.lit(True)), "fp", "left").withColumn("bad", F.coalesce("bad", F.lit(False))).select("id", "h64", "sha", key.alias("fp")))
-        twins = cut(marked.groupBy("fp").agg(F.count("*").alias("group_size"), F.min("id").alias("keep_id")).where("group_size > 1"))
+        marked = cut(marked.join(bad.withColumn("bad", F.lit(True)), "fp", "left").withColumn("bad", F.coalesce("bad", F.lit(False))).select("id", "h64", "sha", key.alias("fp")), narrow=True)
+        twins = cut(marked.groupBy("fp").agg(F.count("*").alias("group_size"), F.min("id").alias("keep_id")).where("group_size > 1"), narrow=True)
         if _unequal(docs, marked, twins, id_col, text_col).count():
             raise ValueError("texts with equal fingerprints and digests differ")
     return marked, twins
@@ -146,13 +146,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = docs.select(id_col, text_col)
     marked, twins = _classes(docs, id_col, text_col)
     named = join_splittable(marked, twins, "fp").select("id", "sha", "fp", F.coalesce("group_size", F.lit(1)).alias("group_size"), F.coalesce("keep_id", "id").alias("keep_id"))
-    first = F.col("id").eqNullSafe(F.col("keep_id"))
-    # Rows that repeat the id that stays are the same row: they are counted, and put back by their count.
-    same = named.where(first).groupBy("id", "sha", "fp", "group_size", "keep_id").agg(F.count("*").alias("n"))
+    # Rows of one id and text are the same row: they are counted, and put back by their count; one of them may stay.
+    same = named.groupBy("id", "sha", "fp", "group_size", "keep_id").agg(F.count("*").alias("n"))
     block = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / PUT_BACK))).alias("block")
     each = F.explode(F.sequence(F.lit(1), F.least(F.col("n") - F.col("block") * PUT_BACK, F.lit(PUT_BACK)))).alias("k")
-    kept = same.select("*", block).select("*", each).select(named.columns + [((F.col("block") == 0) & (F.col("k") == 1)).alias("kept")])
-    out = kept.unionByName(named.where(~first).withColumn("kept", F.lit(False)))
+    first = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("block") == 0) & (F.col("k") == 1)
+    out = same.select("*", block).select("*", each).withColumn("kept", first)
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 

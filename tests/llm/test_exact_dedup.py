@@ -71,3 +71,19 @@ def test_empty_and_hot(spark):
     assert X.exact_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     hot = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
     assert X.exact_duplicates(hot).where("kept").count() == 2000 - 667 + 1
+
+
+def test_scratch_tables_are_few_files(spark, monkeypatch, tmp_path):
+    """However many partitions a shuffle has, a narrow scratch table is a file a core at most."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    monkeypatch.setattr("provenia.llm.common.scratch_dir", lambda _: f"file://{tmp_path}/{len(list(tmp_path.iterdir()))}")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = [(i, f"text {i % 400}") for i in range(1000)] + [(7, "text 7")] * 3
+        assert got(spark, rows) == expected(rows)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    files = [len(list(d.glob("*.parquet"))) for d in tmp_path.iterdir()]
+    assert len(files) >= 4 and max(files) <= spark.sparkContext.defaultParallelism
