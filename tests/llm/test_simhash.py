@@ -363,3 +363,20 @@ def test_pairs_of_blocks_are_those_of_brute_force(monkeypatch):
     words = [np.array([np.frombuffer(x.to_bytes(128, "big"), np.uint64) for x in y]) for y in (a, b)]
     want = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if (x ^ y).bit_count() <= 223}
     assert {(int(i), int(j)) for p, q in simhash.near_pairs(*words, 223) for i, j in zip(p, q)} == want
+
+
+def test_scratch_tables_of_near_copies_are_few_files(spark, monkeypatch, tmp_path):
+    """However many partitions a shuffle has, a scratch table of the stage is a file a core at most, large tries included."""
+    monkeypatch.setattr(simhash, "SPLIT_HOT", 12)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    docs = spark.createDataFrame(passages(random.Random(8), 20), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr("provenia.llm.common.scratch_dir", lambda _: f"file://{tmp_path}/{len(list(tmp_path.iterdir()))}")
+    monkeypatch.setattr("provenia.llm.components.remove", lambda _: None)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "20")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        simhash.drop_near_copies(docs).count()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert max(len(list(d.glob("*.parquet"))) for d in tmp_path.iterdir()) <= spark.sparkContext.defaultParallelism
