@@ -49,18 +49,21 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
+def cut(df: DataFrame, narrow: bool = False, few: bool = False) -> DataFrame:
     """df written once as Parquet in the shared folder and read back.
 
     It ends the lineage: what follows survives lost executors without computing df again.
-    narrow: rows of a few bytes, made where wide ones are read; they are dealt anew and
-    written as one file a core at most, rather than one small file for each task that reads
-    or each partition of a shuffle. On a local disk without Hadoop's native library each
-    file costs the executor several processes (chmod).
+    narrow: rows of a few bytes, made where wide ones are read; they are dealt anew into
+    files of the advisory size rather than one small file for each task that reads.
+    few: the same, and written as one file a core at most, however many partitions a
+    shuffle has. On a local disk without Hadoop's native library each file costs the
+    executor several processes (chmod).
     """
     spark = df.sparkSession
-    if narrow:
-        df = df.hint("rebalance").coalesce(spark.sparkContext.defaultParallelism)
+    if narrow or few:
+        df = df.hint("rebalance")
+    if few:
+        df = df.coalesce(spark.sparkContext.defaultParallelism)
     path = scratch_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     shared folder, which goes when the next one is there.
     Rows with a null end are ignored; no edges give no rows.
     """
-    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), narrow=True)
+    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), few=True)
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = join_splittable(both.where("v > u"), low, "u", "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = join_splittable(large, low, "u", "inner").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        old, now, before = now, cut(small, narrow=True), state
+        old, now, before = now, cut(small, few=True), state
         state = _state(now)
         remove(old)
         if state == before:

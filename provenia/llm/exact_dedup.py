@@ -103,7 +103,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _unequal(docs: DataFrame, marked: DataFrame, twins: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The fingerprints (fp) of which some chunk differs between texts."""
     keys = marked.join(twins.select("fp"), "fp", "left_semi").select("id", "h64", "fp").distinct()
-    keys = cut(keys, narrow=True)
+    keys = cut(keys, few=True)
     if keys.count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
     body = F.coalesce(F.col(text_col), F.lit(""))
@@ -116,14 +116,14 @@ def _unequal(docs: DataFrame, marked: DataFrame, twins: DataFrame, id_col: str,
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(id, h64, sha, fp) for each row, fp telling unequal texts apart, and (fp, group_size, keep_id) where it has several rows."""
-    marked = cut(fingerprints(docs, id_col, text_col), narrow=True)
+    marked = cut(fingerprints(docs, id_col, text_col), few=True)
     sizes = marked.groupBy("fp").agg(F.count("*").alias("group_size"), F.min("id").alias("keep_id"))
-    twins = cut(sizes.where("group_size > 1"), narrow=True)
-    bad = cut(_unequal(docs, marked, twins, id_col, text_col), narrow=True)
+    twins = cut(sizes.where("group_size > 1"), few=True)
+    bad = cut(_unequal(docs, marked, twins, id_col, text_col), few=True)
     if bad.count():  # different texts of one fingerprint: told apart by their SHA-256
         key = F.when(F.col("bad"), F.concat("fp", F.lit(":"), "sha")).otherwise(F.col("fp"))
-        marked = cut(marked.join(bad.withColumn("bad", F.lit(True)), "fp", "left").withColumn("bad", F.coalesce("bad", F.lit(False))).select("id", "h64", "sha", key.alias("fp")), narrow=True)
-        twins = cut(marked.groupBy("fp").agg(F.count("*").alias("group_size"), F.min("id").alias("keep_id")).where("group_size > 1"), narrow=True)
+        marked = cut(marked.join(bad.withColumn("bad", F.lit(True)), "fp", "left").withColumn("bad", F.coalesce("bad", F.lit(False))).select("id", "h64", "sha", key.alias("fp")), few=True)
+        twins = cut(marked.groupBy("fp").agg(F.count("*").alias("group_size"), F.min("id").alias("keep_id")).where("group_size > 1"), few=True)
         if _unequal(docs, marked, twins, id_col, text_col).count():
             raise ValueError("texts with equal fingerprints and digests differ")
     return marked, twins

@@ -26,7 +26,7 @@ def keep_one_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: st
     key = F.struct(F.col("id").isNull().alias("none"), "id", "h64")
     twin = F.pmod(F.hash("class"), F.lit(2))
     many = rows.withColumn("twin", twin).join(first.withColumn("twin", twin), ["class", "twin"]).select("id", "h64", (key == F.col("first")).alias("stays"))
-    found = cut(many.groupBy("id", "h64").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), narrow=True)
+    found = cut(many.groupBy("id", "h64").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), few=True)
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
     row, known = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{id_col}`").alias("row_id"), text_hash(text_col).alias("row_hash")), found

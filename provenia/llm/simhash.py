@@ -199,7 +199,7 @@ def _joined(keyed: DataFrame, solve: Callable[[pa.Table], Iterator[pa.RecordBatc
 
 def _hot(keyed: DataFrame, least: int) -> DataFrame | None:
     """(bucket) of more than `least` rows, as a table; None if there is none."""
-    hot = cut(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > least).select("bucket", F.lit(True).alias("hot")), narrow=True)
+    hot = cut(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > least).select("bucket", F.lit(True).alias("hot")), few=True)
     return None if hot.isEmpty() else hot
 
 
@@ -244,7 +244,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int)
     def make():
         return lambda texts: [{"fp": (fingerprint(t, words) ^ (1 << 63)) - (1 << 63)} for t in texts]
 
-    marked = cut(text_pass(keyed, make, "fp long", "text", ["id", "h64"]), narrow=True)
+    marked = cut(text_pass(keyed, make, "fp long", "text", ["id", "h64"]), few=True)
     fps = cut(marked.groupBy("fp").agg(F.min("id").alias("low")))
     roots = connected_components(near_links(fps, bits))
     tied = roots.join(fps, roots.node == fps.fp).select("fp", "root", "low")
@@ -329,8 +329,8 @@ def mask_codes(fp: np.ndarray, width: int, masks: int, turn: int = 0) -> Iterato
 
 def _sized(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Rows (bucket, f, fp, ...) of tries of 2 to SPLIT_HOT rows; those of larger ones with their size n, as a table, or None."""
-    rows = cut(rows, narrow=True)
-    sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), narrow=True)
+    rows = cut(rows, few=True)
+    sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), few=True)
     met = join_splittable(rows, sizes, "bucket", "inner")
     large = not sizes.where(F.col("n") > SPLIT_HOT).isEmpty()
     return met.where(F.col("n") <= SPLIT_HOT), met.where(F.col("n") > SPLIT_HOT) if large else None
@@ -353,12 +353,12 @@ def _star(rows: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
             apart = np.bitwise_count(fp ^ vp).sum(1, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(apart)], names=["bucket", "f", "fp", "v", "apart"])
 
-    marked = cut(met.mapInArrow(measure, "bucket long, f long, fp binary, v long, apart int"), narrow=True)
+    marked = cut(met.mapInArrow(measure, "bucket long, f long, fp binary, v long, apart int"), few=True)
     side = F.when(F.col("apart") <= bits, 0).when(F.col("apart") <= 2 * bits, 1)
     sides = marked.select("bucket", side.alias("side"), "f", "fp").where("side is not null")
     sizes = sides.groupBy("bucket").agg(*[F.ceil(F.count_if(F.col("side") == k) / PACKED).cast("int").alias(f"n{k}") for k in (0, 1)]).where("n1 > 0")
     placed = join_splittable(sides, sizes, "bucket", "inner").withColumn("chunk", F.pmod(F.hash("f"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))))
-    packs = cut(placed.groupBy("bucket", "side", "chunk").agg(F.collect_list("f").alias("fs"), F.collect_list("fp").alias("fps")), narrow=True)
+    packs = cut(placed.groupBy("bucket", "side", "chunk").agg(F.collect_list("f").alias("fs"), F.collect_list("fp").alias("fps")), few=True)
     pair = join_splittable(packs.where("side = 0").select("bucket", "fs", "fps"), packs.where("side = 1").groupBy("bucket").agg(F.collect_set("chunk").alias("chunks")), "bucket", "inner")
     pair = pair.withColumn("chunk", F.explode("chunks")).join(packs.where("side = 1").select("bucket", "chunk", F.col("fs").alias("gs"), F.col("fps").alias("gps")), ["bucket", "chunk"]).select("fs", "fps", "gs", "gps")
 
@@ -401,7 +401,7 @@ def _compared(rows: DataFrame, bits: int) -> DataFrame:
     """
     sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / GRID).cast("int").alias("m"))
     placed = join_splittable(rows, sizes, "bucket", "inner").withColumn("chunk", F.pmod(F.hash("f"), "m"))
-    packs = cut(placed.groupBy("bucket", "m", "chunk").agg(F.collect_list("f").alias("fs"), F.collect_list("fp").alias("fps")), narrow=True)
+    packs = cut(placed.groupBy("bucket", "m", "chunk").agg(F.collect_list("f").alias("fs"), F.collect_list("fp").alias("fps")), few=True)
     # Block c meets c, c + 1, ... c + m / 2 round a circle of m: each pair of blocks once, each block as often as any other.
     step = F.explode(F.sequence(F.lit(0), F.floor(F.col("m") / 2).cast("int"))).alias("step")
     left = packs.select("*", step).where("2 * step < m or chunk < step").withColumn("other", F.expr("pmod(chunk + step, m)"))
@@ -434,7 +434,7 @@ def _split(rows: DataFrame, bits: int) -> tuple[DataFrame, list[DataFrame]]:
     """
     links: list[DataFrame] = []
     out = rows.where(F.col("n") <= SPLIT_HOT).select("bucket", "f", "fp")
-    large = cut(rows.where(F.col("n") > SPLIT_HOT).select("bucket", "f", "fp"), narrow=True)
+    large = cut(rows.where(F.col("n") > SPLIT_HOT).select("bucket", "f", "fp"), few=True)
     for _ in range(STARS):
         found, rest = _star(large, bits)
         links.append(found)
@@ -462,9 +462,9 @@ def wide_links(marked: DataFrame, least: float = LEAST) -> DataFrame:
     of (1 - j) ** ANCHORS; at a cosine of 0.8 j is two thirds, the chance 0.0014.
     """
     bits = budget(least)
-    keys = cut(marked.select("f", F.explode("anchors").alias("bucket")).distinct(), narrow=True)
-    met = cut(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), narrow=True)
-    rows = cut(join_splittable(keys, met, "bucket", "inner"), narrow=True)
+    keys = cut(marked.select("f", F.explode("anchors").alias("bucket")).distinct(), few=True)
+    met = cut(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), few=True)
+    rows = cut(join_splittable(keys, met, "bucket", "inner"), few=True)
     fps = marked.select("f", "fp").join(rows.select("f").distinct(), "f", "left_semi").dropDuplicates(["f"])
     rows = rows.join(fps, "f")
     stars: list[DataFrame] = []
@@ -501,10 +501,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         fp, anchors = wide_fingerprint(found)
         return {"f": xxhash.xxh3_64_intdigest(found.tobytes(), SEED) - (1 << 63), "fp": fp, "anchors": anchors}
 
-    marked = cut(text_pass(keyed, lambda: lambda texts: [one(t) for t in texts], "f long, fp binary, anchors array<long>", "text", ["id", "h64"]), narrow=True)
+    marked = cut(text_pass(keyed, lambda: lambda texts: [one(t) for t in texts], "f long, fp binary, anchors array<long>", "text", ["id", "h64"]), few=True)
     roots = connected_components(wide_links(marked, least)).select(F.col("node").alias("f"), "root")
     rows = join_splittable(marked.select("id", "h64", "f"), roots, "f").select("id", "h64", F.coalesce("root", "f").alias("class"))
-    return keep_one_of_each(docs, cut(rows, narrow=True), id_col, text_col)
+    return keep_one_of_each(docs, cut(rows, few=True), id_col, text_col)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
