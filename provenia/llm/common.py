@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -75,10 +76,22 @@ def remove(df: DataFrame) -> None:
         _delete(df.sparkSession, folder)
 
 
+def _give_back() -> None:
+    """Return free memory of Arrow's pool and, with glibc, of the heap to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def turn_to(cache: Callable | None) -> None:
-    """Say which functools cache the pass that begins in this Python worker keeps between its tasks; those of other passes are emptied."""
-    for other in _KEPT - {cache}:
-        other.cache_clear()
+    """Say which functools cache the pass that begins in this Python worker keeps between its tasks; those of other passes are emptied.
+
+    What they held goes back to the system: a worker lives on through all stages beside its executor.
+    """
+    if others := _KEPT - {cache}:
+        for other in others:
+            other.cache_clear()
+        _give_back()
     _KEPT.clear()
     if cache is not None:
         _KEPT.add(cache)

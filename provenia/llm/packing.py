@@ -41,29 +41,34 @@ SIZE, END = 2048, 1
 SENTENCE, WITHIN, STEP = 4, 12, 24
 #: Ids of a block, and windows at its end that are solved again with the next.
 BLOCK, AGAIN = 1 << 19, 4
-#: Entries of a generation of the memo of words, their longest key, characters of texts encoded together.
-MEMO, KEY, TOGETHER = 300_000, 64, 1 << 21
-#: Words whose lower case and split are the same to the library: Latin-1 letters, then marks.
-_MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]*)")
-_ODD = re.compile("[\x1c-\x1f]")
-_WORDS = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-
-def _is_latin(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+#: Entries of a generation of the memo of words that the library splits; bytes of the longest word merged or kept there; bytes of texts encoded together.
+MEMO, KEY, TOGETHER = 100_000, 64, 1 << 21
+#: Kinds of bytes. Runs of letters and of marks and single digits are pre-tokens; of a word with any other byte the library decides.
+_GAP, _LETTER, _MARK, _DIGIT, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[list(b"\t\n\x0b\x0c\r ")] = _GAP
+_KIND[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = _LETTER
+_KIND[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = _MARK
+_KIND[list(b"0123456789")] = _DIGIT
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+#: Second bytes, after C3, of the letters of Latin-1 (not of \u00d7 and \u00f7), and the same in lower case.
+_SECOND = np.zeros(256, bool)
+_SECOND[0x80:0xC0] = True
+_SECOND[[0x97, 0xB7]] = False
+_SECOND_LOWER = np.arange(256, dtype=np.uint8)
+_SECOND_LOWER[0x80:0x9F] += 0x20
+#: The end of the tokenizer's special tokens, which are no words of marks and letters.
+_SPECIAL = re.compile(rb"oftext\|>")
+_BREAK = re.compile(rb"[\t-\r ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
 class WordEncoder:
     """ids of texts by a BPE tokenizer for which white space only separates words.
 
-    Words are looked up in a memo of two generations. Of those not there, plain ones are
-    split into letters and marks and merged together; any other goes to the library.
+    Texts are read side by side as arrays of bytes. Words of Latin-1 letters, digits and
+    ASCII marks but the apostrophe are split there into pre-tokens, of which each different
+    one is merged once for these texts; nothing is kept of them. Any other word goes whole
+    to the library, by a memo of two generations.
     """
 
     def __init__(self, vocabulary: str):
@@ -80,80 +85,89 @@ class WordEncoder:
         self.inner = np.array([vocab[c] for c, _ in letters])
         self.final = np.array([vocab[c + suffix] for c, _ in letters])
         self.merges = MergeTable({(vocab[x], vocab[y]): (rank, vocab[x + y]) for rank, (x, y) in enumerate(model["merges"])})
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         stops = [i for t, i in self.library.get_vocab().items() if re.fullmatch(r"(?:.*[^\w\s])?[.!?]+[^\w\s]*</w>", t)]
         self.sentence_end = np.zeros(self.library.get_vocab_size(), bool)
         self.sentence_end[stops] = True
 
-    def _merged(self, parts: list[str]) -> dict[str, bytes]:
-        if not parts:
-            return {}
-        raw = np.frombuffer("\n".join([*parts, ""]).lower().encode(), np.uint8)
-        breaks = np.flatnonzero(raw == 10)
-        sizes = np.diff(np.r_[-1, breaks]) - 1
-        raw = raw[raw != 10]
-        last = np.cumsum(sizes) - 1
-        ids = self.inner[raw]
-        ids[last] = self.final[raw[last]]
-        ids, sizes = self.merges.merge(ids, sizes)
-        flat, ends = ids.astype("<u4").tobytes(), (np.cumsum(sizes) * 4).tolist()
-        return {p: flat[x:y] for p, x, y in zip(parts, [0, *ends], ends)}
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
+    def _by_library(self, words: list[bytes]) -> list[np.ndarray]:
         young, old = self.young, self.old
-        known = old.keys() & words
-        got = {w: old[w] for w in known}
-        new = words - known if known else words
-        plain = _is_latin("".join(new)) and max(map(len, new), default=0) <= KEY
-        whole = {w for w in new if w.isalpha() and (plain or len(w) <= KEY and max(w) <= "\xff")}
-        split, other = [], []
-        for w in new - whole:
-            body, mark = w[:-1], w[-1]
-            if body.isalpha() and mark in _MARKS and (plain or len(w) <= KEY and max(body) <= "\xff"):
-                split.append((w, body, mark))
-            elif len(w) <= KEY and (m := _PLAIN.fullmatch(w)):
-                split.append((w, *m.groups()))
-            else:
-                other.append(w)
-        parts = dict.fromkeys(p for _, *both in split for p in both)
-        for p in parts:
-            b = young.get(p)
-            parts[p] = old.get(p) if b is None else b
-        parts[""] = b""
-        made = self._merged([*whole, *(p for p, b in parts.items() if b is None and p not in whole)])
-        got |= made
-        parts.update((p, made[p]) for p, b in parts.items() if b is None)
-        got.update((w, parts[a] + parts[b]) for w, a, b in split)
-        if len(young) + len(got) > MEMO:
+        got = {w: old.get(w) if (b := young.get(w)) is None else b for w in words}
+        new = [w for w, b in got.items() if b is None]
+        if new:
+            encoded = self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+            got.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded, strict=True))
+        fresh = {w: b for w, b in got.items() if len(w) <= KEY and w not in young}
+        if len(young) + len(fresh) > MEMO:
             self.old, self.young = young, {}
-        self.young.update(got)
-        if other:
-            of = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False), strict=True)}
-            self.young.update((w, b) for w, b in of.items() if len(w) <= KEY)
-            got |= of
-        return got
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_WORDS.findall(t) if _ODD.search(t) else t.split() for t in texts]
-        words = set().union(*split)
-        missing = words.difference(self.young)
-        table = self.young
-        if missing:
-            got = self._learn(missing)
-            if self.young is not table or max(map(len, missing)) > KEY:  # a new generation began, or words too long for it
-                old, table = table, {}
-                for w in words:
-                    b = got.get(w)
-                    table[w] = old[w] if b is None else b
-        ids = table.__getitem__
-        return [np.frombuffer(b"".join(map(ids, s)), "<u4") for s in split]
-
-    def encode_long(self, text: str) -> np.ndarray:
-        """ids of a text of any length, a block of words at a time."""
+        self.young.update(fresh)
+        return [np.frombuffer(got[w], "<u4") for w in words]
+
+    def _encoded(self, words: pa.BinaryArray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of different words laid end to end, and how many each has; those marked in whole go to the library."""
+        n = len(words)
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset :][: n + 1].astype(np.int64)
+        raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        sizes, last = np.diff(ends), ends[1:] - ends[0] - 1
+        whole = whole | (sizes > KEY)
+        ids = self.inner[raw]
+        ids[last] = self.final[raw[last]]
+        some = np.flatnonzero(whole)
+        if not len(some):
+            return self.merges.merge(ids, sizes)
+        ids, of_plain = self.merges.merge(ids[np.repeat(~whole, sizes)], sizes[~whole])
+        rest = self._by_library(words.take(pa.array(some)).to_pylist())
+        counts = np.zeros(n, np.int64)
+        counts[~whole] = of_plain
+        counts[some] = [len(x) for x in rest]
+        out, of_rest = np.empty(counts.sum(), np.int64), np.repeat(whole, counts)
+        out[~of_rest] = ids
+        out[of_rest] = np.concatenate(rest)
+        return out, counts
+
+    def encode(self, texts: list[str] | list[bytes]) -> list[np.ndarray]:
+        """ids of each text (str or its UTF-8)."""
+        data = [t.encode() if isinstance(t, str) else t for t in texts]
+        text_ends = np.cumsum([len(t) + 1 for t in data])
+        joined = b"\n".join([*data, b""])
+        raw = np.frombuffer(joined, np.uint8)
+        kind, low = _KIND[raw], _LOWER[raw]
+        latin = np.flatnonzero(raw == 0xC3)
+        latin = latin[_SECOND[raw[latin + 1]]]
+        kind[latin] = kind[latin + 1] = _LETTER
+        low[latin + 1] = _SECOND_LOWER[raw[latin + 1]]
+        kind[[m.start() for m in _SPECIAL.finditer(joined)]] = _OTHER
+        solid = kind != _GAP
+        if (kind == _OTHER).any():  # their words stay whole and as they are
+            word = np.cumsum(solid & ~np.r_[False, solid[:-1]], dtype=np.int32)
+            odd = np.zeros(word[-1] + 1, bool)
+            odd[word[kind == _OTHER]] = True
+            inside = odd[word] & solid
+            kind[inside], low[inside] = _OTHER, raw[inside]
+        first = solid & ((np.r_[np.uint8(_GAP), kind[:-1]] != kind) | (kind == _DIGIT))
+        at = np.flatnonzero(first)
+        if not len(at):
+            return [np.zeros(0, "<u4")] * len(data)
+        packed = low[solid]
+        offsets = np.r_[np.flatnonzero(first[solid]), len(packed)].astype(np.int32)
+        words = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
+        index = words.indices.to_numpy()
+        whole = np.zeros(len(words.dictionary), bool)
+        whole[index[kind[at] == _OTHER]] = True
+        ids, counts = self._encoded(words.dictionary, whole)
+        before = np.cumsum(counts) - counts
+        n = counts[index]
+        ends = np.cumsum(n)
+        out = ids.astype("<u4")[np.repeat(before[index] - (ends - n), n) + np.arange(ends[-1])]
+        cuts = np.r_[0, ends][np.searchsorted(at, text_ends)].tolist()
+        return [out[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def encode_long(self, text: bytes) -> np.ndarray:
+        """ids of a UTF-8 text of any length, a block of words at a time."""
         parts, at = [], 0
         while at < len(text):
-            gap = _GAP.search(text, at + TOGETHER) if len(text) - at > TOGETHER else None
+            gap = _BREAK.search(text, at + TOGETHER) if len(text) - at > TOGETHER else None
             end = gap.start() if gap else len(text)
             parts += self.encode([text[at:end]])
             at = end
@@ -262,7 +276,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     gives no pieces. A sequence holds pieces of one task's documents, in their order;
     sequence ids are unique, not consecutive. Other columns play no part.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     schema = StructType().add(source.schema["id"])
     for name in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"):
         schema.add(name, "long")

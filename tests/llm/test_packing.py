@@ -32,6 +32,21 @@ def test_ids_are_the_library_s(library, monkeypatch):
             assert got.tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_plain_words_are_merged_once_without_the_library_and_leave_nothing(library, monkeypatch):
+    encoder = packing.WordEncoder("word_bpe_49k.json")
+    monkeypatch.setattr(encoder, "library", None)
+    merge, merged = encoder.merges.merge, []
+    monkeypatch.setattr(encoder.merges, "merge", lambda ids, sizes: merged.append(len(sizes)) or merge(ids, sizes))
+    some = ["The THE (the) the. the", "3.14 well-known é,É ÿ", "", "a<|b|>c 2024/11"]
+    for t, got in zip(some, encoder.encode(some), strict=True):
+        assert got.tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    assert merged == [len({"the", "(", ")", ".", *"314202411", "well", "-", "known", "é", ",", "ÿ", "a", "<|", "b", "|>", "c", "/"})]
+    rng = random.Random(29)
+    words = ["".join(rng.choices("abcdefghé", k=9)) for _ in range(20_000)]
+    encoder.encode([" ".join(words)])
+    assert not encoder.young and not encoder.old
+
+
 def slow_cost(pos, pen, size):
     pos, pen = [0, *pos], [0, *pen]
     best = [0] + [None] * (len(pos) - 1)

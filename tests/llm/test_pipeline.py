@@ -119,6 +119,28 @@ def test_a_pass_empties_what_others_kept():
     assert two.cache_info().currsize == 0
 
 
+def test_a_pass_that_ends_gives_its_memory_back(monkeypatch):
+    import functools
+
+    from provenia.llm import common
+
+    given = []
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: given.append(one.cache_info().currsize)})())
+
+    @functools.lru_cache
+    def one():
+        return 1
+
+    common.turn_to(one)
+    one()
+    common.turn_to(one)
+    assert given == []  # the pass goes on
+    common.turn_to(None)
+    assert given == [0]  # after its cache was emptied
+    common.turn_to(None)
+    assert given == [0]
+
+
 def test_rows_are_kept_by_a_shuffle_too(spark, monkeypatch):
     """The join of kept rows beyond its broadcast bound gives the same, with nulls, repeats and a hot key."""
     from provenia.llm import rows as R
