@@ -42,7 +42,7 @@ SENTENCE, WITHIN, STEP = 4, 12, 24
 #: Ids of a block, and windows at its end that are solved again with the next.
 BLOCK, AGAIN = 1 << 19, 4
 #: Entries of a generation of the memo of words that the library splits; bytes of the longest word merged or kept there; bytes of texts encoded together.
-MEMO, KEY, TOGETHER = 100_000, 64, 1 << 21
+MEMO, KEY, TOGETHER = 150_000, 64, 1 << 21
 #: Kinds of bytes. Runs of letters and of marks and single digits are pre-tokens; of a word with any other byte the library decides.
 _GAP, _LETTER, _MARK, _DIGIT, _OTHER = range(5)
 _KIND = np.full(256, _OTHER, np.uint8)

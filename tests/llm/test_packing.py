@@ -47,6 +47,19 @@ def test_plain_words_are_merged_once_without_the_library_and_leave_nothing(libra
     assert not encoder.young and not encoder.old
 
 
+def test_any_neighbours_give_the_library_s_ids(library, monkeypatch):
+    monkeypatch.setattr(packing, "TOGETHER", 40)
+    encoder = packing.WordEncoder("word_bpe_49k.json")
+    rng = random.Random(31)
+    parts = [*map(chr, range(256)), "\u0301", "<", "\u0338", "<|startoftext|>", "<|ENDOFTEXT|>", "oftext|>", "\u3000", "\u2028", "\u212a", "\u0130", "\u03a3", "日本", "\U0001d400", "'ll", "word", "q" * 70, "!" * 70]
+    many = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 50))) for _ in range(2000)]
+    for k in range(0, len(many), 40):
+        for t, got in zip(many[k : k + 40], encoder.encode(many[k : k + 40]), strict=True):
+            assert got.tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    for t in filter(None, many[:300]):
+        assert encoder.encode_long(t.encode()).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def slow_cost(pos, pen, size):
     pos, pen = [0, *pos], [0, *pen]
     best = [0] + [None] * (len(pos) - 1)
