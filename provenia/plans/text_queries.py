@@ -307,7 +307,9 @@ SELECT doc_id, CASE WHEN p <> '' AND b <> '' AND (starts_with(p, left(b, 6)) OR
 def brand_authority(spark, d):
     """A document's first word as publisher, its second or the first in capitals as brand: whether either begins with the other's letters."""
     w = F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\s+")
-    rows = t(spark, d, "documents").select("doc_id", F.lit("MFR_DATASHEET").alias("authority"), w[0].alias("publisher"), F.when(F.size(w) > 60, F.try_element_at(w, F.lit(2))).otherwise(F.concat(F.upper(w[0]), F.lit(" Inc"))).alias("brand"))
+    # Letter by letter: what is two letters in capitals (ß) stays as it is, as in SQL.
+    loud = F.array_join(F.transform(F.split(w[0], ""), lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)), "")
+    rows = t(spark, d, "documents").select("doc_id", F.lit("MFR_DATASHEET").alias("authority"), w[0].alias("publisher"), F.when(F.size(w) > 60, F.try_element_at(w, F.lit(2))).otherwise(F.concat(loud, F.lit(" Inc"))).alias("brand"))
     return A.brand_authority(rows).select("doc_id", "authority", A.tier_weight(A.authority_tier(F.col("authority"))).alias("weight"))
 
 

@@ -31,3 +31,9 @@ def test_only_quotes_that_stand_as_they_are(spark, tmp_path):
     gate = same(spark, tmp_path, "evidence_gate", **tables)
     assert len(gate) == 8  # quote 8 in document 1 and quote 7 in document 4, four claims each
     assert len(same(spark, tmp_path, "quote_lines", **tables)) == 2
+
+
+def test_a_brand_in_capitals_letter_by_letter(spark, tmp_path):
+    docs = [(1, "Erßung enver"), (2, "ﬁrma zwei"), (3, "Straße " + "w " * 70), (4, " Acme is"), (5, "")]
+    got = same(spark, tmp_path, "brand_authority", documents=(docs, _DOCS[0]))
+    assert sum("MFR_DATASHEET" in r for r in got) == 3
