@@ -1,6 +1,7 @@
 """Registered queries against their SQL on small tables of odd rows."""
 
 import duckdb
+import pytest
 from test_queries import plain
 
 from provenia.plans import registry
@@ -44,3 +45,12 @@ def test_a_short_quote_with_a_line_break_is_nowhere(spark, tmp_path):
     marks = ([(1, "one Cio.\nQue now"), (2, "Cio. que")], "item_id long, text string")
     got = same(spark, tmp_path, "short_quotes", conversations=talk, benchmark=marks)
     assert not any("\n" in q for r in got for q in r)
+
+
+_PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+
+
+@pytest.mark.parametrize("name", ["extract_from_doc", "naive_arm", "llm_prompts"])
+def test_sheets_of_any_number_of_parts(spark, tmp_path, name):
+    parts = [(k, "steel" if k % 2 else f"rod{k}", "Brand#1", ("PROMO", "ECONOMY", "SMALL")[k % 3], 7, 900.0 + k) for k in range(150)]
+    assert len(same(spark, tmp_path, name, part=(parts, _PART))) >= 300
