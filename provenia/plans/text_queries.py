@@ -135,10 +135,13 @@ def series_table(spark, d):
     cells = lambda f, xs: F.array_join(F.transform(xs, lambda x: F.translate(x[f].cast("decimal(18,2)").cast("string"), ".", ",") if f == "e" else x[f].cast("string")), " ")
     text = F.concat(F.lit("Parameter\t"), F.array_join(F.transform(of, name), " | "), F.lit(" Unit\nQTY "), cells("q", of), F.lit(" V\nPRICE |"), cells("e", of), F.lit("\nEND\nFEW "), cells("q", F.slice(of, 1, F.size(of) - 1)), F.lit(" A\nONE "), F.col("f").cast("string"), F.lit(" %\n"))
     spec = F.explode(F.array(*[_spec(attribute=a, dtype="number", table_aliases=(a,), high=45.0 if a == "QTY" else None) for a in ("QTY", "PRICE", "FEW", "ONE")])).alias("spec")
-    work = docs.where(F.size("of") > 1).select("o", text.alias("text"), F.transform(of, name).alias("siblings"), F.explode("of").alias("own")).select("*", spec)
-    c = generators.table_column(F.col("text"), name(F.col("own")), F.col("spec"), F.col("siblings"), F.array().cast(_NONE))
-    rows = work.select("o", F.col("own.part").alias("part"), "spec.attribute", F.explode(c).alias("c"))
-    return rows.select("o", "part", "attribute", F.col("c.raw").cast("double").alias("value"), "c.column_index", "c.precision")
+    tables = docs.where(F.size("of") > 1).select("o", "of", text.alias("text"), F.transform(of, name).alias("siblings"))
+    work = tables.withColumn("headers", generators.series_headers(F.col("text"), F.col("siblings"))).select("*", spec)
+    # A table's rows are read once for all of its parts.
+    columns = generators.table_columns(F.col("text"), F.col("spec"), F.col("siblings"), F.col("headers"))
+    own = F.transform(columns, lambda cs, k: F.transform(cs, lambda c: F.struct(F.get("of", k)["part"].alias("part"), c["raw"].alias("raw"), c["column_index"].alias("column_index"), c["precision"].alias("precision"))))
+    rows = work.select("o", "spec.attribute", F.explode(F.flatten(own)).alias("c"))
+    return rows.select("o", "c.part", "attribute", F.col("c.raw").cast("double").alias("value"), "c.column_index", "c.precision")
 
 
 @query("SELECT conv_id, turn, CASE WHEN role <> 'system' THEN role = 'assistant' END AS found, CASE WHEN role <> 'system' THEN role END AS value, CASE WHEN role <> 'system' THEN text END AS quote FROM conversations")

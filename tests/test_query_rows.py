@@ -54,3 +54,9 @@ _PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size in
 def test_sheets_of_any_number_of_parts(spark, tmp_path, name):
     parts = [(k, "steel" if k % 2 else f"rod{k}", "Brand#1", ("PROMO", "ECONOMY", "SMALL")[k % 3], 7, 900.0 + k) for k in range(150)]
     assert len(same(spark, tmp_path, name, part=(parts, _PART))) >= 300
+
+
+def test_series_tables_of_any_number_of_parts(spark, tmp_path):
+    lines = [(1, k, 1.0 + k % 50, 100.25 + k, 0.05) for k in range(120)] + [(2, 7, 3.0, 10.5, 0.1), (2, 9, 50.0, 11.0, 0.02), (3, 1, 4.0, 9.0, 0.0)]
+    got = same(spark, tmp_path, "series_table", lineitem=(lines, "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double, l_discount double"))
+    assert sum("PRICE" in r for r in got) == 122
